@@ -28,6 +28,7 @@ from lectern.llm.common import parts_for, stored
 DENSE = 4
 WIDE = 64
 _LOW = (1 << 48) - 1
+_NO_ID = -(1 << 63)
 _TWO = 0x0000000100000001  # two lanes of 32 bits in a long
 
 
@@ -116,22 +117,21 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near_edited, near_next. The texts are dealt out by id once; from there the next document
     sends the one before it just the prefix that it needs.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # a null id takes the least long, so that joins by plain equality keep the texts where they are dealt
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     after = stored(following(base), "next")
     odd = base.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
-    parts = parts_for(base, 16)
-    dealt = base.repartition(parts, "doc_id")
+    dealt = base.repartition(parts_for(base, 16), "doc_id")
     if odd:  # rows that share an id: copies counted, and the least text marked
         dealt = dealt.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))
         dealt = dealt.withColumn("least", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) == 1)
         dealt = dealt.withColumn("version", F.sha2("text", 256))
     else:
         dealt = dealt.withColumns({"copies": F.lit(1), "least": F.lit(True), "version": F.lit("")})
-    same = lambda a, b: a.eqNullSafe(b)
     needs = base.groupBy("doc_id").agg((F.max(F.char_length("text")) / 2).cast("int").alias("need"))
-    asked = after.join(needs.withColumnRenamed("doc_id", "_i"), same(F.col("doc_id"), F.col("_i"))).select(F.col("next_id").alias("_n"), F.col("doc_id").alias("asker"), "need")
-    prefixes = dealt.filter("least").join(asked, same(F.col("doc_id"), F.col("_n"))).select("asker", F.substring(F.col("text"), F.lit(1), F.col("need")).alias("prefix"))
-    both = dealt.join(prefixes, same(F.col("doc_id"), F.col("asker")))
+    asked = after.join(needs.withColumnRenamed("doc_id", "_i"), F.col("doc_id") == F.col("_i")).select(F.col("next_id").alias("_n"), F.col("doc_id").alias("asker"), "need")
+    prefixes = dealt.filter("least").join(asked, F.col("doc_id") == F.col("_n")).select("asker", F.substring(F.col("text"), F.lit(1), F.col("need")).alias("prefix"))
+    both = dealt.join(prefixes, F.col("doc_id") == F.col("asker"))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("prefix"), F.lit(1), half))
@@ -142,12 +142,12 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     made = stored(sums.select(*keys, "pairs", packed().alias("print"), lanes_array().alias("lanes")), "prints")
     own, changed = made.filter("kind = 0"), made.filter("kind = 1").select(F.col("doc_id").alias("_e"), F.col("version").alias("_v"), F.col("pairs").alias("e_pairs"), F.col("print").alias("e_print"), F.col("lanes").alias("e_lanes"))
     follows = own.filter("least").select(F.col("doc_id").alias("_f"), F.col("pairs").alias("f_pairs"), F.col("print").alias("f_print"), F.col("lanes").alias("f_lanes"))
-    out = own.join(changed, same(F.col("doc_id"), F.col("_e")) & (F.col("version") == F.col("_v")))
-    out = out.join(after.select(F.col("doc_id").alias("_a"), "next_id"), same(F.col("doc_id"), F.col("_a"))).join(follows, same(F.col("next_id"), F.col("_f")))
+    out = own.join(changed, (F.col("doc_id") == F.col("_e")) & (F.col("version") == F.col("_v")))
+    out = out.join(after.select(F.col("doc_id").alias("_a"), "next_id"), F.col("doc_id") == F.col("_a")).join(follows, F.col("next_id") == F.col("_f"))
     if odd:
         out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", F.col("print").alias("fingerprint"), F.col("e_print").alias("edited_fingerprint"),
+        F.nullif(F.col("doc_id"), F.lit(_NO_ID)).alias("doc_id"), "n_chars", "edited_sha256", F.col("print").alias("fingerprint"), F.col("e_print").alias("edited_fingerprint"),
         likeness(F.col("lanes"), F.col("pairs"), F.col("print"), F.col("e_lanes"), F.col("e_pairs"), F.col("e_print")).alias("near_edited"),
         likeness(F.col("lanes"), F.col("pairs"), F.col("print"), F.col("f_lanes"), F.col("f_pairs"), F.col("f_print")).alias("near_next"),
     )

@@ -59,19 +59,20 @@ def fold(column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` as (key, doc_id, text): key is unique for each (doc_id, text) and ascends with doc_id.
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
+    """``docs`` as (key, doc_id, text), and the column ``keep``: key is unique for each (doc_id, text) and ascends with doc_id.
 
     Ids that are unique and not null are their own keys, found out by counting ids only.
     Otherwise distinct (doc_id, text hash) pairs are numbered in sorted order (nulls first),
     so repeated rows are one document and rows that share an id but not a text are several.
     Null texts become empty ones.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    extra = [keep] if keep else []
+    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *extra)
     odd = base.groupBy("doc_id").count().filter((F.col("count") > 1) | F.col("doc_id").isNull())
     if odd.limit(1).count() == 0:
-        return base.select(F.col("doc_id").cast("long").alias("key"), "doc_id", "text")
+        return base.select(F.col("doc_id").cast("long").alias("key"), "doc_id", "text", *extra)
     named = base.withColumn("th", F.sha2("text", 256))
     numbers = stored(named.select("doc_id", "th").distinct().orderBy(F.col("doc_id").asc_nulls_first(), "th").withColumn("key", F.monotonically_increasing_id()), "keys")
     n = numbers.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "key")
-    return named.join(n, named["doc_id"].eqNullSafe(n["_d"]) & (named["th"] == n["_t"])).select("key", "doc_id", "text")
+    return named.join(n, named["doc_id"].eqNullSafe(n["_d"]) & (named["th"] == n["_t"])).select("key", "doc_id", "text", *extra)

@@ -86,7 +86,7 @@ class Hasher:
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
         self.values = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        base = int(rng.integers(0, 1 << 62)) * 8 + 5
+        base = int(rng.integers(0, 1 << 61)) * 8 + 5
         self._bases = base, pow(base, -1, 1 << 64)
         self._powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 

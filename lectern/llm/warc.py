@@ -1,7 +1,7 @@
 """WARC archives: writing with revisit records and segments, and reading with reassembly.
 
 Records are rows of one string column that Spark's text sink writes with CRLF as the line end, so
-every file of the archive folder is a valid WARC/1.1 file; ``maxRecordsPerFile`` times the segment
+every file of the archive folder is a valid, gzipped WARC/1.1 file; ``maxRecordsPerFile`` times the segment
 size bounds a file. Blocks are HTTP responses in chunked transfer framing; a block over
 ``segment_bytes`` is cut into a first record and continuation records.
 
@@ -19,6 +19,7 @@ are missing, or do not add up, comes back with ``complete`` false and a null pay
 from __future__ import annotations
 
 import base64
+import gzip
 import re
 import uuid
 from collections.abc import Iterator
@@ -127,7 +128,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
                 part = batch.slice(lo, 256)
                 yield pa.RecordBatch.from_arrays([pa.array([r for row in zip(*(c.to_pylist() for c in part.columns), strict=True) for r in records(*row, segment_bytes)], pa.string())], ["value"])
 
-    rows.mapInArrow(run, "value string").write.option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    rows.mapInArrow(run, "value string").write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
     return path
 
 
@@ -159,7 +160,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for h, block in parse(content.as_py()):
+                data = content.as_py()
+                for h, block in parse(gzip.decompress(data) if data.startswith(b"\x1f\x8b") else data):
                     origin = h.get("warc-segment-origin-id") or h.get("warc-record-id")
                     rows.append((origin, number(h.get("warc-segment-number")), number(h.get("warc-segment-total-length")), h.get("warc-type"), h.get("x-page-id"), h.get("x-refers-page-id"), h.get("warc-payload-digest", "").removeprefix("sha1:"), number(h.get("x-payload-length")), h.get("warc-target-uri"), block))
                 if rows:

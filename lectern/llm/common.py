@@ -9,8 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a batch that crosses to or from a Python worker; Spark's own default, 64 MB, is held several times over there.
+ARROW_BATCH = "4m"
+
+
+def configured(spark: SparkSession) -> SparkSession:
+    """The session, with batches for Python workers bounded by bytes, so that long texts make small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A whole table of a test-data folder; only Spark's readers touch the path."""
+    configured(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -217,3 +217,13 @@ def score(docs: DataFrame, labels: DataFrame, allowed: Column, label_col: str =
     """(doc_id, score) of every row."""
     stats = stored(statistics(docs, id_col, text_col), "statistics")
     return stats.select(F.col(id_col).alias("doc_id"), train(stats, labels, label_col, allowed, id_col).column().alias("score"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, allowed: Column, threshold: float = 0.3, label_col: str = "quality", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with their columns, whose score reaches ``threshold``.
+
+    Statistics are made once for the fit, stored, and once more beside the rows, so that no text is moved.
+    """
+    rules = train(stored(statistics(docs, "doc_id", text_col), "statistics"), labels, label_col, allowed)
+    beside = statistics(docs, "doc_id", text_col, keep=docs.columns)
+    return beside.filter(rules.column() >= threshold).select(*docs.columns)

@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontaminate, fingerprint, neardup, quality, substrings, suffixes, toxicity, warc
+from lectern.llm import bpe, decontaminate, fingerprint, lm, neardup, quality, substrings, suffixes, toxicity, warc
 from lectern.llm.common import fold, table
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold("doc_id", 7) == 2
+    scored = lm.score(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,7 +60,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity_cnn, op2_suffix_array, op3_quality_rules, op5_byte_bpe, op6_warc, op7_near_duplicates, op8_decontaminate, op9_substring_dedup, op10_fingerprint)}
+    return {f.__name__: f for f in (op1_toxicity_cnn, op2_suffix_array, op3_quality_rules, op4_language_model, op5_byte_bpe, op6_warc, op7_near_duplicates, op8_decontaminate, op9_substring_dedup, op10_fingerprint)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -115,7 +115,7 @@ def numbers(c: Column | str) -> Column:
 
 def version_variants(versions: Column) -> Column:
     """Each version with and without its v, order kept, blanks left out."""
-    kept = F.filter(F.transform(versions, F.trim), lambda v: v != "")
+    kept = F.filter(F.transform(versions, lambda v: F.trim(v)), lambda v: v != "")
     both = F.transform(kept, lambda v: F.array(v, F.when(F.lower(F.substring(v, 1, 1)) == "v", F.substring(v, 2, 1 << 20)).otherwise(F.concat(F.lit("v"), v))))
     return F.array_distinct(F.flatten(both))
 

@@ -1,6 +1,6 @@
 """Every query of the engine itself, with its oracle where SQL can express it."""
 
-from lectern.plans import roll_ups
+from lectern.plans import roll_ups, texts
 
-QUERIES = dict(roll_ups.QUERIES)
-SQL = dict(roll_ups.SQL)
+QUERIES = roll_ups.QUERIES | texts.QUERIES
+SQL = roll_ups.SQL | texts.SQL

@@ -30,7 +30,7 @@ from lectern.llm import tokens, windows
 from lectern.llm.substrings import runs
 
 WIDTH = 100
-GRAM = 12
+GRAM = 28
 DIGIT = 8
 _ONE, _TWO = tokens.Hasher(71), tokens.Hasher(73)
 
@@ -124,11 +124,14 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
                 part = batch.slice(lo, 1000)
                 data, offs = tokens.text_bytes(part.column(1))
                 out: list[tuple] = []
+                whole = part.column(3).to_pylist()
                 for i in range(part.num_rows):
                     text, gone, spans = data[offs[i] : offs[i + 1]], 0, 0
                     got = part.column(2)[i]
                     n = len(text)
-                    if got.is_valid and len(got):
+                    if whole[i] and n >= width:
+                        text, gone, spans = text[:0], n, 1
+                    elif got.is_valid and len(got):
                         hit = tokens.covered(got.values.field("s").to_numpy(), got.values.field("e").to_numpy(), n)
                         gone, spans = int(hit.sum()), int(hit[0]) + int((hit[1:] & ~hit[:-1]).sum())
                         text = text[~hit]
@@ -138,4 +141,4 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return windows.repeated(docs, unit(width), id_col, text_col, hot).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return windows.repeated(docs, unit(width), id_col, text_col, hot).mapInArrow(tokens.trimmed(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -4,6 +4,7 @@ A window is ``width`` consecutive units (words or bytes) of one document. Consec
 share a minimiser form a super-k-mer (``tokens.super_kmers``), so equal windows always lie in
 super-k-mers of one minimiser, and minimisers are dealt out to buckets by hash.
 
+0. Of documents with one text (by a hash of 128 bits) the one of least id stands for all.
 1. *Anchors*: a row (minimiser, document, ordinal) for each super-k-mer, about one for each half window.
 2. Minimisers that occur once are dropped: their windows occur once. This is a count with partial aggregation and a join
    by minimiser (whose large partitions Spark splits).
@@ -14,7 +15,7 @@ super-k-mers of one minimiser, and minimisers are dealt out to buckets by hash.
    so that no task ever holds a group of unbounded size.
 5. The ranges go back to the documents.
 
-The texts are dealt out by document once; steps 3 and 5 use the same exchange.
+The texts are dealt out by document once; steps 1, 3 and 5 use the same exchange.
 """
 
 from __future__ import annotations
@@ -24,15 +25,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import tokens
-from lectern.llm.common import keyed, parts_for
+from lectern.llm.common import keyed, parts_for, stored
 
 HOT = 20_000
 #: Bytes of packed strings that a bucket task orders at a time, if its groups allow.
-TOGETHER = 4 << 20
+TOGETHER = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -66,7 +68,7 @@ def _super_kmers(unit: Unit, column: pa.Array) -> Iterator[tuple[int, np.ndarray
         yield lo, row, ordinal, first[row] if len(s) else s, np.column_stack([s, n]), grams[at] if len(at) else np.zeros(0, np.uint64), pack
 
 
-def anchors(base: DataFrame, unit: Unit) -> DataFrame:
+def anchors(base: DataFrame, unit: Unit, id_col: str) -> DataFrame:
     """(m, key, ord) of every super-k-mer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,11 +79,11 @@ def anchors(base: DataFrame, unit: Unit) -> DataFrame:
                     part = slice(at, at + 100_000)
                     yield pa.RecordBatch.from_arrays([pa.array(m[part].view(np.int64)), pa.array(keys[lo + row[part]]), pa.array(ordinal[part].astype(np.int32))], ["m", "key", "ord"])
 
-    return base.select("key", "text").mapInArrow(run, "m long, key long, ord int")
+    return base.select("key", "text", id_col).mapInArrow(tokens.trimmed(run), "m long, key long, ord int")
 
 
-def packed(joined: DataFrame, unit: Unit) -> DataFrame:
-    """(m, key, start, hot, packed): the super-k-mers of ``ords``, hot where the ordinal is in ``hots``."""
+def packed(joined: DataFrame, unit: Unit, id_col: str) -> DataFrame:
+    """(m, key, start, packed): the super-k-mers whose ordinals are in ``ords``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,18 +94,18 @@ def packed(joined: DataFrame, unit: Unit) -> DataFrame:
                 top = int(row.max()) + 1
                 begins = np.searchsorted(row, np.arange(top + 1))
                 live = np.zeros(len(m), np.int8)
-                for column, mark in ((2, 1), (3, 2)):
-                    chosen = batch.column(column).slice(lo, top)
-                    flat = chosen.flatten().to_numpy(zero_copy_only=False)
-                    sizes = chosen.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                    live[np.repeat(begins[:-1], sizes) + flat] = mark
+                chosen = batch.column(2).slice(lo, top)
+                flat = chosen.flatten().to_numpy(zero_copy_only=False)
+                sizes = chosen.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                live[np.repeat(begins[:-1], sizes) + flat] = 1
                 picked = np.flatnonzero(live)
                 for at in range(0, len(picked), 20_000):
                     part = picked[at : at + 20_000]
                     texts = [pack(s, s + n + unit.width - 1) for s, n in runs[part].tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(m[part].view(np.int64)), pa.array(keys[lo + row[part]]), pa.array(runs[part, 0] - first[part]), pa.array(live[part] == 2), pa.array(texts, pa.binary())], ["m", "key", "start", "hot", "packed"])
+                    yield pa.RecordBatch.from_arrays([pa.array(m[part].view(np.int64)), pa.array(keys[lo + row[part]]), pa.array(runs[part, 0] - first[part]), pa.array(texts, pa.binary())], ["m", "key", "start", "packed"])
 
-    return joined.select("key", "text", "ords", "hots").mapInArrow(run, "m long, key long, start long, hot boolean, packed binary")
+    # the id goes along unused, so that the exchange below has the columns of the last one
+    return joined.select("key", "text", "ords", id_col).mapInArrow(tokens.trimmed(run), "m long, key long, start long, packed binary")
 
 
 def ordered(cold: DataFrame, unit: Unit, parts: int) -> DataFrame:
@@ -125,7 +127,7 @@ def ordered(cold: DataFrame, unit: Unit, parts: int) -> DataFrame:
                 yield ranges(held)
                 held, size = [], 0
             done = 0
-            sizes = np.concatenate([[0], np.cumsum(batch.column(4).cast(pa.binary()).to_pandas().str.len().to_numpy())]) if len(m) else np.zeros(1)
+            sizes = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column(3)).to_numpy())]) if len(m) else np.zeros(1)
             for begin in change[1:].tolist():
                 if size + sizes[begin] - sizes[done] >= TOGETHER:
                     held.append(batch.slice(done, begin - done))
@@ -136,7 +138,7 @@ def ordered(cold: DataFrame, unit: Unit, parts: int) -> DataFrame:
         if held:
             yield ranges(held)
 
-    return cold.repartition(parts, "m").sortWithinPartitions("m").mapInArrow(run, "key long, s long, e long")
+    return cold.repartition(parts, "m").sortWithinPartitions("m").mapInArrow(tokens.trimmed(run), "key long, s long, e long")
 
 
 def counted(hot: DataFrame, unit: Unit) -> DataFrame:
@@ -152,7 +154,7 @@ def counted(hot: DataFrame, unit: Unit) -> DataFrame:
                 keys, starts = (np.repeat(part.column(i).to_numpy(zero_copy_only=False), sizes) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate([p[i] for p in pairs]).view(np.int64)) for i in (0, 1)), pa.array(keys), pa.array(starts + offset)], ["a", "b", "key", "s"])
 
-    rows = hot.select("key", "start", "packed").mapInArrow(run, "a long, b long, key long, s long")
+    rows = hot.select("key", "start", "packed").mapInArrow(tokens.trimmed(run), "a long, b long, key long, s long")
     found = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "s")).alias("first")).filter("n > 1")
     both = rows.join(found.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "first"), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
     if unit.spare_first:
@@ -161,19 +163,35 @@ def counted(hot: DataFrame, unit: Unit) -> DataFrame:
 
 
 def repeated(docs: DataFrame, unit: Unit, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, keep: str | None = None) -> DataFrame:
-    """(doc_id, text, spans): every document with the ranges of units, array<struct<s,e>>, that repeated windows cover.
+    """(doc_id, text, spans, whole): every document with the ranges of units, array<struct<s,e>>, that repeated windows cover.
+
+    Where ``whole`` holds, every window is repeated.
 
     With ``keep``, that column takes the place of the id.
     """
-    base = keyed(docs, id_col, text_col, keep)
-    found = anchors(base, unit)
-    several = found.groupBy("m").count().filter("count > 1").select(F.col("m").alias("_m"), (F.col("count") > hot).alias("many"))
-    live = found.join(several, F.col("m") == F.col("_m")).groupBy("key").agg(
-        F.collect_list(F.when(~F.col("many"), F.col("ord"))).alias("ords"), F.collect_list(F.when(F.col("many"), F.col("ord"))).alias("hots")
-    )
+    name = keep or "doc_id"
+    base = keyed(docs, id_col, text_col, keep).select("key", name, "text")
+    hashed = base.select("key", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))
+    groups = hashed.groupBy("h", "g").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = hashed.join(groups.select(F.col("h").alias("_h"), F.col("g").alias("_g"), "first"), (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g")))
+    copies = stored(copies.select(F.col("key").alias("_c"), (F.col("key") != F.col("first")).alias("again")), "copies")
     parts = parts_for(base, 8)
-    dealt = base.repartition(parts, "key")
-    sent = packed(dealt.join(live.withColumnRenamed("key", "_k"), F.col("key") == F.col("_k")), unit)
-    ranges = ordered(sent.filter("not hot"), unit, parts).unionByName(counted(sent.filter("hot"), unit))
+    dealt = base.repartition(parts, "key").join(copies, F.col("key") == F.col("_c"), "left")
+    seen = dealt.filter(~F.coalesce(F.col("again"), F.lit(False)))
+
+    # counted where the texts lie, copies and all: that can only let through more
+    several = stored(anchors(base, unit, name).groupBy("m").count().filter("count > 1").select(F.col("m").alias("_m"), (F.col("count") > hot).alias("many")), "minimisers")
+    found = anchors(seen, unit, name)
+    any_hot = several.filter("many").limit(1).count() > 0
+
+    def sent(many: bool) -> DataFrame:
+        ords = found.join(several.filter(F.col("many") == many), F.col("m") == F.col("_m")).groupBy(F.col("key").alias("_k")).agg(F.collect_list("ord").alias("ords"))
+        return packed(seen.join(ords, F.col("key") == F.col("_k")), unit, name)
+
+    ranges = ordered(sent(False), unit, parts)
+    if any_hot:
+        ranges = ranges.unionByName(counted(sent(True), unit))
     spans = ranges.groupBy(F.col("key").alias("_r")).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    return dealt.join(spans, F.col("key") == F.col("_r"), "left").select(keep or "doc_id", "text", "spans")
+    # of copies, the first one's windows are repeats only if first occurrences count
+    whole = F.coalesce(F.col("again") if unit.spare_first else F.col("again").isNotNull(), F.lit(False))
+    return dealt.join(spans, F.col("key") == F.col("_r"), "left").select(name, "text", "spans", whole.alias("whole"))

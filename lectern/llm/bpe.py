@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm import tokens
+
 #: Unicode White_Space, as the splitting pattern's \s means it. Fixed values.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _CUT = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
@@ -104,7 +106,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tokens.trimmed(run), schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
@@ -121,4 +123,4 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") ->
             out = [None if ids is None else codec.decode(ids) for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*rest, "decoded"])
 
-    return encoded.select(*rest).mapInArrow(run, schema)
+    return encoded.select(*rest).mapInArrow(tokens.trimmed(run), schema)

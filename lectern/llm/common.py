@@ -82,7 +82,8 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *extra)
     odd = base.groupBy("doc_id").count().filter((F.col("count") > 1) | F.col("doc_id").isNull())
     if odd.limit(1).count() == 0:
-        return base.select(F.col("doc_id").cast("long").alias("key"), "doc_id", "text", *extra)
+        # never null, and known not to be, so joins add no filter that would set their exchanges of the texts apart
+        return base.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"), "doc_id", "text", *extra)
     named = base.withColumn("th", F.sha2("text", 256))
     numbers = stored(named.select("doc_id", "th").distinct().orderBy(F.col("doc_id").asc_nulls_first(), "th").withColumn("key", F.monotonically_increasing_id()), "keys")
     n = numbers.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "key")

@@ -223,7 +223,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wo
                 told = [items.get(i, none) for i in range(batch.num_rows)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([t[0] for t in told], pa.int64()), pa.array([t[1] for t in told], pa.string())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
 
-        out = picked.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string")
+        out = picked.mapInArrow(tokens.trimmed(run), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string")
     else:
         found = _united(picked, parts)
         hit = F.aggregate("flags", F.lit(0).cast("long"), lambda n, x: n + x)
@@ -259,7 +259,7 @@ def _united(picked: DataFrame, parts: list[Block]) -> DataFrame:
                 at = pa.array([r[0] for r in rows_out], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array([[{"s": s, "e": e} for s, e in r[1]] for r in rows_out], pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), pa.array([r[2] for r in rows_out], pa.list_(pa.string()))], ["doc_id", "th", "spans", "items"])
 
-        return keyed.mapInArrow(run, f"doc_id {kind}, th long, spans array<struct<s:int,e:int>>, items array<string>")
+        return keyed.mapInArrow(tokens.trimmed(run), f"doc_id {kind}, th long, spans array<struct<s:int,e:int>>, items array<string>")
 
     hits = reduce(DataFrame.unionByName, [one(b) for b in parts]).distinct()
     hits = hits.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
@@ -310,5 +310,5 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cov
                 columns[at] = texts
                 yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tokens.trimmed(run), docs.schema)
     return docs.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs

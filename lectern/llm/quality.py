@@ -104,7 +104,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             stats = statistics_of(batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(stats[:, i]) for i in range(stats.shape[1])]], [*kept, *names])
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(tokens.trimmed(run), schema)
 
 
 @dataclass

@@ -88,7 +88,7 @@ def unit(width: int = WIDTH, gram: int = GRAM) -> windows.Unit:
     return windows.Unit(width, min(gram, width), _split, lambda t, k, s: _order(t, k, s, width), lambda t: _windows([t], width)[2:], False)
 
 
-def _kept(column: pa.Array, spans: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+def _kept(column: pa.Array, spans: pa.Array, whole: pa.Array, width: int) -> Iterator[tuple[int, int, list[bytes]]]:
     """(words, removed words, the kept words) of each text."""
     for lo, hi, data, offs in tokens.slices(column):
         starts, ends, rows = tokens.words(data, offs, tokens.SPACES)
@@ -98,7 +98,9 @@ def _kept(column: pa.Array, spans: pa.Array) -> Iterator[tuple[int, int, list[by
             n = int(first[i + 1] - first[i])
             s, e = starts[first[i] : first[i + 1]], ends[first[i] : first[i + 1]]
             got = spans[lo + i]
-            if got.is_valid and len(got):
+            if whole[lo + i].as_py() and n >= width:
+                s = e = starts[:0]
+            elif got.is_valid and len(got):
                 keep = ~tokens.covered(got.values.field("s").to_numpy(), got.values.field("e").to_numpy(), n)
                 s, e = s[keep], e[keep]
             yield n, n - len(s), [raw[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True)]
@@ -112,7 +114,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 n, removed, digest, kept = [], [], [], []
-                for words, gone, rest in _kept(part.column(1), part.column(2)):
+                for words, gone, rest in _kept(part.column(1), part.column(2), part.column(3), width):
                     text = b" ".join(rest)
                     n.append(words)
                     removed.append(gone)
@@ -121,7 +123,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return windows.repeated(docs, unit(width), id_col, text_col, hot).mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
+    return windows.repeated(docs, unit(width), id_col, text_col, hot).mapInArrow(tokens.trimmed(run), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def cleaned(docs: DataFrame, width: int = WIDTH, text_col: str = "text") -> DataFrame:
@@ -140,12 +142,12 @@ def cleaned(docs: DataFrame, width: int = WIDTH, text_col: str = "text") -> Data
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 texts = part.column(1).to_pylist()
-                out = [b" ".join(kept).decode() if gone else text for text, (_, gone, kept) in zip(texts, _kept(part.column(1), part.column(2)), strict=True)]
+                out = [b" ".join(kept).decode() if gone else text for text, (_, gone, kept) in zip(texts, _kept(part.column(1), part.column(2), part.column(3), width), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.string())], ["_rest", "_text"])
 
     from pyspark.sql.types import StringType, StructType
 
-    out = spans.mapInArrow(run, StructType([whole.schema["_rest"], *StructType().add("_text", StringType()).fields]))
+    out = spans.mapInArrow(tokens.trimmed(run), StructType([whole.schema["_rest"], *StructType().add("_text", StringType()).fields]))
     made = {c: F.col("_text") if c == text_col else F.col(f"_rest.{c}") for c in docs.columns}
     if "n_chars" in made:
         made["n_chars"] = F.char_length("_text").cast(docs.schema["n_chars"].dataType)

@@ -7,13 +7,14 @@ a few passes over its bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at a time; a longer text is a batch of its own.
-BATCH = 1 << 20
+BATCH = 1 << 18
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -81,24 +82,27 @@ def counts(rows: np.ndarray, n: int) -> np.ndarray:
 
 
 class Hasher:
-    """64-bit polynomial hashes of ranges of a sequence, with random byte values and a final mix."""
+    """64-bit polynomial hashes of ranges of a sequence, with random byte values and a final mix.
+
+    Hashers differ in their values; the base and the table of its powers are one for all, for they take memory.
+    """
+
+    BASE = 0x5851F42D4C957F2D
+    _tables = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
     def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.values = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        base = int(rng.integers(0, 1 << 61)) * 8 + 5
-        self._bases = base, pow(base, -1, 1 << 64)
-        self._powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self._powers[0]) < n:
+        self.values = np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    @classmethod
+    def powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls._tables[0]) < n:
             made = []
-            for base in self._bases:
-                p = np.full(max(n, BATCH + 1), base, np.uint64)
+            for base in (cls.BASE, pow(cls.BASE, -1, 1 << 64)):
+                p = np.full(max(n, BATCH + 2), base, np.uint64)
                 p[0] = 1
                 made.append(np.cumprod(p, dtype=np.uint64))
-            self._powers = tuple(made)
-        return self._powers
+            Hasher._tables = tuple(made)
+        return cls._tables
 
     @staticmethod
     def mixed(h: np.ndarray) -> np.ndarray:
@@ -183,3 +187,17 @@ def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def trimmed(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """``run``, giving memory back to the system after each partition; idle workers would keep it."""
+
+    def wrapped(*args) -> Iterator:
+        yield from run(*args)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
+
+    return wrapped

@@ -266,7 +266,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, allowed: Column, i
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts, pa.int64()), pa.array(language, pa.int64()), packed], ["id", "y", "n", "language", "ids"])
 
     kind = known.schema["_l"].dataType.simpleString()
-    made = picked.mapInArrow(run, f"id {kind}, y double, n long, language long, ids binary").orderBy(F.xxhash64("id"), "id")
+    made = picked.mapInArrow(tokens.trimmed(run), f"id {kind}, y double, n long, language long, ids binary").orderBy(F.xxhash64("id"), "id")
     size, rows = 0, []
     for row in made.toLocalIterator():
         if rows and size + row["n"] > max_words:
@@ -292,4 +292,4 @@ def score(docs: DataFrame, labels: DataFrame, allowed: Column, label_col: str =
             out = [model.scores(ids, counts, language) for _, ids, counts, language in features(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(tokens.trimmed(run), f"doc_id {kind}, score double")

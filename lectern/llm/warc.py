@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.llm import tokens
 from lectern.llm.common import shared_dir
 
 SEGMENT = 16 << 10
@@ -128,7 +129,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
                 part = batch.slice(lo, 256)
                 yield pa.RecordBatch.from_arrays([pa.array([r for row in zip(*(c.to_pylist() for c in part.columns), strict=True) for r in records(*row, segment_bytes)], pa.string())], ["value"])
 
-    rows.mapInArrow(run, "value string").write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    rows.mapInArrow(tokens.trimmed(run), "value string").write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
     return path
 
 
@@ -167,7 +168,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    parsed = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, _OUT)
+    parsed = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(tokens.trimmed(run), _OUT)
     return payloads(reassembled(parsed))
 
 
@@ -203,7 +204,7 @@ def payloads(rows: DataFrame) -> DataFrame:
             out = [body(k.as_py(), b.as_py()) for k, b in zip(batch.column(1), batch.column(len(rest)), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(out, pa.binary())], [*rest, "payload"])
 
-    return rows.select(*rest, "block").mapInArrow(run, "page string, kind string, refers string, digest string, payload_bytes long, uri string, complete boolean, payload binary")
+    return rows.select(*rest, "block").mapInArrow(tokens.trimmed(run), "page string, kind string, refers string, digest string, payload_bytes long, uri string, complete boolean, payload binary")
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0) -> DataFrame:
@@ -228,5 +229,5 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                     size[i], digest[i] = len(data), base64.b32encode(hashlib.sha1(data).digest()).decode()
             yield pa.RecordBatch.from_arrays([pa.array(page, pa.string()), pa.array(size, pa.int64()), pa.array(digest, pa.string()), pa.array(kinds, pa.string()), pa.array(refers, pa.string())], ["page", "payload_bytes", "payload_digest", "record_type", "refers"])
 
-    back = read(spark, path).select("page", "kind", "refers", "digest", "payload_bytes", "complete", "payload").mapInArrow(run, "page string, payload_bytes long, payload_digest string, record_type string, refers string")
+    back = read(spark, path).select("page", "kind", "refers", "digest", "payload_bytes", "complete", "payload").mapInArrow(tokens.trimmed(run), "page string, payload_bytes long, payload_digest string, record_type string, refers string")
     return back.select(F.expr("nullif(page, '')").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.expr("nullif(refers, '')").cast(kind).alias("refers_to"))

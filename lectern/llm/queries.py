@@ -63,5 +63,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity_cnn, op2_suffix_array, op3_quality_rules, op4_language_model, op5_byte_bpe, op6_warc, op7_near_duplicates, op8_decontaminate, op9_substring_dedup, op10_fingerprint)}
 
 
+_COVER = """e AS (SELECT doc_id, j, sum(d) AS d FROM (SELECT doc_id, i AS j, 1 AS d FROM hits UNION ALL SELECT doc_id, i + n, -1 FROM hits) GROUP BY 1, 2),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM t),
+marked AS (SELECT doc_id, j, word, sum(coalesce(d, 0)) OVER (PARTITION BY doc_id ORDER BY j) > 0 AS hit FROM words LEFT JOIN e USING (doc_id, j))"""
+
+OP6_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), h AS (SELECT page_id, strlen(html) AS n, sha1(html) AS sha, min(page_id) OVER (PARTITION BY sha1(html)) AS first FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][strpos('0123456789abcdef', substr(sha, i, 1))]), '') AS bits FROM h)
+SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT) + CAST(substr(bits, 5 * i + 5, 1) AS INT), 1)), '') AS payload_digest,
+CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM b"""
+
+_OP8_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP8_SQL = f"""WITH t AS (SELECT doc_id, {_OP8_WORDS} AS w FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_OP8_WORDS} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS key FROM (SELECT item, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS key FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM t, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+found AS (SELECT doc_id, i, n, item FROM dw JOIN bw USING (n, key)), hits AS (SELECT DISTINCT doc_id, i, n FROM found), {_COVER},
+x AS (SELECT doc_id, count(*) FILTER (hit) AS n_hit FROM marked GROUP BY 1), y AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM found GROUP BY 1)
+SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM t LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)"""
+
+OP9_SQL = f"""WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents), v AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS key FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM t WHERE len(w) >= 35)),
+c AS (SELECT key FROM v GROUP BY 1 HAVING count(*) > 1), hits AS (SELECT doc_id, i, 35 AS n FROM v SEMI JOIN c USING (key)), {_COVER},
+k AS (SELECT doc_id, count(*) FILTER (hit) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (NOT hit) AS kept FROM marked GROUP BY 1)
+SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN k USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can express the whole result; the others are held against brute force in the tests."""
+    return {"op6_warc": OP6_SQL, "op8_decontaminate": OP8_SQL, "op9_substring_dedup": OP9_SQL}

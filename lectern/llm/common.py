@@ -51,18 +51,16 @@ def stored(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
 
 
 def bytes_estimate(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan, from file sizes; it starts no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's size estimate of a plan, from file sizes; it starts no job. 0 if there is none."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 60 else 0
 
 
 def parts_for(df: DataFrame, mb_each: float, least: int = 1) -> int:
     """A partition count in proportion to the input."""
     spark = df.sparkSession
     floor = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    known = min(bytes_estimate(df), 1 << 62)
-    if known >= 1 << 60:  # no statistics
-        return max(least, floor)
-    return max(least, floor, -(-known // int(mb_each * 1e6)))
+    return max(least, floor, -(-bytes_estimate(df) // int(mb_each * 1e6)))
 
 
 def fold(column: str, modulus: int):
@@ -70,8 +68,8 @@ def fold(column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % modulus
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
-    """``docs`` as (key, doc_id, text), and the column ``keep``: key is unique for each (doc_id, text) and ascends with doc_id.
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> tuple[DataFrame, bool]:
+    """``docs`` as (key, doc_id, text), and the column ``keep``, and whether keys may repeat: key is unique for each (doc_id, text) and ascends with doc_id.
 
     Ids that are unique and not null are their own keys, found out by counting ids only.
     Otherwise distinct (doc_id, text hash) pairs are numbered in sorted order (nulls first),
@@ -83,8 +81,8 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     odd = base.groupBy("doc_id").count().filter((F.col("count") > 1) | F.col("doc_id").isNull())
     if odd.limit(1).count() == 0:
         # never null, and known not to be, so joins add no filter that would set their exchanges of the texts apart
-        return base.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"), "doc_id", "text", *extra)
+        return base.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"), "doc_id", "text", *extra), False
     named = base.withColumn("th", F.sha2("text", 256))
     numbers = stored(named.select("doc_id", "th").distinct().orderBy(F.col("doc_id").asc_nulls_first(), "th").withColumn("key", F.monotonically_increasing_id()), "keys")
     n = numbers.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "key")
-    return named.join(n, named["doc_id"].eqNullSafe(n["_d"]) & (named["th"] == n["_t"])).select("key", "doc_id", "text", *extra)
+    return named.join(n, named["doc_id"].eqNullSafe(n["_d"]) & (named["th"] == n["_t"])).select("key", "doc_id", "text", *extra), True

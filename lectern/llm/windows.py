@@ -170,7 +170,9 @@ def repeated(docs: DataFrame, unit: Unit, id_col: str = "doc_id", text_col: str
     With ``keep``, that column takes the place of the id.
     """
     name = keep or "doc_id"
-    base = keyed(docs, id_col, text_col, keep).select("key", name, "text")
+    rows, repeats = keyed(docs, id_col, text_col, keep)
+    rows = rows.select("key", name, "text")
+    base = stored(rows.dropDuplicates(["key"]), "documents") if repeats else rows
     hashed = base.select("key", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))
     groups = hashed.groupBy("h", "g").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     copies = hashed.join(groups.select(F.col("h").alias("_h"), F.col("g").alias("_g"), "first"), (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g")))
@@ -194,4 +196,7 @@ def repeated(docs: DataFrame, unit: Unit, id_col: str = "doc_id", text_col: str
     spans = ranges.groupBy(F.col("key").alias("_r")).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     # of copies, the first one's windows are repeats only if first occurrences count
     whole = F.coalesce(F.col("again") if unit.spare_first else F.col("again").isNotNull(), F.lit(False))
-    return dealt.join(spans, F.col("key") == F.col("_r"), "left").select(name, "text", "spans", whole.alias("whole"))
+    out = dealt.join(spans, F.col("key") == F.col("_r"), "left").select("key", name, "text", "spans", whole.alias("whole"))
+    if repeats:
+        out = rows.join(out.select(F.col("key").alias("_key"), "spans", "whole"), F.col("key") == F.col("_key"))
+    return out.select(name, "text", "spans", "whole")

@@ -50,8 +50,8 @@ def title(path: Column, text: Column) -> Column:
 def repository(spark: SparkSession, root: str, name: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """(external_id, path, format, title, text, updated_at) of a checked-out tree, read by Spark."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(SUFFIXES) + "}").load(root)
-    base = root.rstrip("/")
-    path = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/+(?:[^/]*)?(?=/)", ""), f"^.*?{re.escape(base.split('://')[-1].lstrip('/'))}/", "")
+    base = root.rstrip("/").split("://")[-1] + "/"
+    path = F.substring(F.col("path"), F.locate(base, F.col("path")) + len(base), F.lit(1 << 20))
     rows = files.select(path.alias("path"), F.decode("content", "UTF-8").alias("text"), F.col("modificationTime").alias("updated_at")).filter(matches(F.col("path"), include or [], exclude or []))
     return rows.select(F.concat(F.lit(f"github:{name}:"), "path").alias("external_id"), "path", F.lower(F.regexp_extract("path", r"\.([^.]*)$", 1)).alias("format"), title(F.col("path"), F.col("text")).alias("title"), "text", "updated_at")
 

@@ -216,6 +216,26 @@ def overlap(left: str, right: str, least: int = 16) -> int:
     return 0
 
 
+def merged(rows: list[dict]) -> tuple[str, list[tuple[int, int, int]]]:
+    """(text, ranges (chunk_id, start, end) in it) of one group's chunks in order of offset.
+
+    What a chunk repeats of the one before it is written once: by their offsets if these overlap as the text does, else by their
+    longest common end and beginning.
+    """
+    text, ranges, end = "", [], None
+    for row in sorted(rows, key=lambda r: (r["start_offset"], r["end_offset"], r["chunk_id"])):
+        body = row["content"]
+        shared = end - row["start_offset"] if end is not None else 0
+        if not 0 < shared <= len(body) or not text.endswith(body[:shared]):
+            shared = overlap(text, body)
+        joined = text if not text or shared else text + "\n\n"
+        begin = len(joined) - shared
+        text = joined + body[shared:]
+        ranges.append((row["chunk_id"], begin, begin + len(body)))
+        end = max(end or 0, row["end_offset"])
+    return text, ranges
+
+
 def cut(text: str, limit: int) -> str:
     """A prefix that ends at a line or a blank, if that keeps half of it."""
     if len(text) <= limit:

@@ -139,3 +139,28 @@ def balanced(cases: DataFrame, n: int, seed: int = 20250717) -> DataFrame:
     mark = F.xxhash64(F.lit(seed), "case_id")
     own = Window.partitionBy("category").orderBy(mark, "case_id")
     return kept.withColumn("_own", F.row_number().over(own) > 1).orderBy("_own", mark, "case_id").limit(n).drop("_own")
+
+
+def built_cases(chunks: DataFrame) -> DataFrame:
+    """Candidate cases of (chunk_id, title, section, content): factual and how-to templates, a hard negative, and pairs of neighbours."""
+    reference = T.first_sentences("content")
+    section = F.coalesce("section", F.lit("the indexed section"))
+    say = lambda *parts: F.concat(*[F.lit(p) if i % 2 == 0 else p for i, p in enumerate(parts)])
+    one = lambda question, category, difficulty, answerable: F.struct(question.alias("question"), F.lit(category).alias("category"), F.lit(difficulty).alias("difficulty"), F.lit(answerable).alias("answerable"))
+    made = F.array(
+        one(say("What does ", F.col("title"), " state in ", section, "?"), "factual", "easy", True),
+        one(say("How should a user apply the guidance in ", F.col("title"), ", ", section, "?"), "how_to", "medium", True),
+        one(say("For ", F.col("title"), ", what exact result will occur at the next incident?"), "unanswerable", "hard", False),
+    )
+    rows = chunks.select("chunk_id", "title", reference.alias("_r"), F.explode(made).alias("c")).select(
+        F.sha2(F.concat_ws("|", F.col("chunk_id").cast("string"), "c.question"), 256).alias("case_id"), "c.*",
+        F.when(F.col("c.answerable"), F.col("_r")).otherwise("The indexed evidence does not predict a future incident or its exact result.").alias("reference_answer"),
+        F.when(F.col("c.answerable"), F.array(F.col("chunk_id").cast("string"))).otherwise(F.array().cast("array<string>")).alias("relevant_chunk_ids"),
+    )
+    pair = Window.partitionBy("document_id").orderBy("chunk_index")
+    follows = chunks.withColumns({"_t": F.lead("title").over(pair), "_c": F.lead("chunk_id").over(pair), "_x": F.lead("content").over(pair)}).filter("_c is not null")
+    hops = follows.select(
+        F.sha2(F.concat_ws("|", F.col("chunk_id").cast("string"), F.col("_c").cast("string")), 256).alias("case_id"), say("How do ", F.col("title"), " and ", F.col("_t"), " relate?").alias("question"),
+        F.lit("multi_hop").alias("category"), F.lit("hard").alias("difficulty"), F.lit(True).alias("answerable"), F.concat_ws(" ", T.first_sentences("content"), T.first_sentences("_x")).alias("reference_answer"), F.array(F.col("chunk_id").cast("string"), F.col("_c").cast("string")).alias("relevant_chunk_ids"),
+    )
+    return rows.unionByName(hops)

@@ -44,6 +44,15 @@ def any_metadata(columns: list[str], keys: list[str], values: list[str]) -> Colu
     return out
 
 
+def version_matches(version: Column, metadata: str, wanted: list[str]) -> Column:
+    """A version, or a version in the JSON metadata, that is one of the wanted ones with or without their v; none wanted, no filter."""
+    if not wanted:
+        return F.lit(True)
+    either = T.version_variants(F.array(*[F.lit(w) for w in wanted]))
+    held = [version, *[F.get_json_object(metadata, f"$.{k}") for k in ("version", "kubernetes_version")]]
+    return F.coalesce(F.greatest(*[F.coalesce(F.array_contains(either, h), F.lit(False)) for h in held]), F.lit(False))
+
+
 def contains_all(have: Column, want: list[str]) -> Column:
     """Containment of a list."""
     return F.size(F.array_except(F.array(*[F.lit(w) for w in want]), have)) == 0

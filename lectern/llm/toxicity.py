@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lectern.llm import tokens
 
 MAX_ROWS = 10_000
-MAX_WORDS = 6_000_000
+MAX_WORDS = 3_000_000
 BUCKETS = 1 << 19
 SIZE = 8
 FILTERS = {1: 8, 2: 4, 3: 4}
@@ -141,7 +141,7 @@ def _log_odds(ids: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Smoothed log odds of each bucket's texts, 0 where they could be chance."""
     pos, neg = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for i in range(ids.shape[1]):
-        pair = np.unique(rows.astype(np.int64) * BUCKETS + ids[:, i])
+        pair = np.unique(rows * np.int64(BUCKETS) + ids[:, i])
         row, bucket = pair // BUCKETS, pair % BUCKETS
         pos += np.bincount(bucket[y[row] == 1], minlength=BUCKETS)
         neg += np.bincount(bucket[y[row] == 0], minlength=BUCKETS)
@@ -273,8 +273,13 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, allowed: Column, i
             break
         size += row["n"]
         rows.append(row)
-    ids = np.frombuffer(b"".join(r["ids"] for r in rows), np.int32).reshape(-1, columns)
-    return fit(ids, np.array([r["n"] for r in rows], np.int64), np.array([r["language"] for r in rows], np.int64), np.array([r["y"] for r in rows]))
+    ids = np.empty((size, columns), np.int32)
+    counts, language, y = (np.array([r[c] for r in rows], kind) for c, kind in (("n", np.int64), ("language", np.int64), ("y", float)))
+    at = 0
+    for i, n in enumerate(counts.tolist()):  # each row's bytes go as they are copied
+        ids[at : at + n] = np.frombuffer(rows[i]["ids"], np.int32).reshape(-1, columns)
+        rows[i], at = None, at + n
+    return fit(ids, counts, language, y)
 
 
 def score(docs: DataFrame, labels: DataFrame, allowed: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

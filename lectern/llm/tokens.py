@@ -189,15 +189,25 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _malloc() -> ctypes.CDLL | None:
+    """The C library, if it is one that can be told to keep large blocks apart and to give memory back."""
+    library = ctypes.CDLL(None)
+    return library if hasattr(library, "malloc_trim") and hasattr(library, "mallopt") else None
+
+
 def trimmed(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
-    """``run``, giving memory back to the system after each partition; idle workers would keep it."""
+    """``run``, with large blocks going back to the system when freed, and all free memory after each partition.
+
+    Idle workers would keep it, and an executor has several.
+    """
 
     def wrapped(*args) -> Iterator:
+        library = _malloc()
+        if library:
+            library.mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD, which else grows
         yield from run(*args)
         pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except AttributeError:  # another C library
-            pass
+        if library:
+            library.malloc_trim(0)
 
     return wrapped

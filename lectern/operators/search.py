@@ -154,7 +154,9 @@ def trigram_top_k(queries: DataFrame, chunks: DataFrame, k: int = 30, threshold:
     c = chunks.select("chunk_id", T.trigrams("text").alias("g"))
     left = q.select("query_id", F.size("g").alias("nq"), F.explode("g").alias("t"))
     right = c.select("chunk_id", F.size("g").alias("nc"), F.explode("g").alias("t"))
-    shared = right.join(left, "t").groupBy("query_id", "chunk_id", "nq", "nc").agg(F.count(F.lit(1)).alias("n"))
+    # a similarity is at most the smaller set's size over the larger's, so most pairs fall before they are counted
+    near = (F.col("nq") >= threshold * F.col("nc")) & (F.col("nc") >= threshold * F.col("nq"))
+    shared = right.join(left, "t").filter(near).groupBy("query_id", "chunk_id", "nq", "nc").agg(F.count(F.lit(1)).alias("n"))
     scored = shared.select("query_id", "chunk_id", F.round(F.col("n") / (F.col("nq") + F.col("nc") - F.col("n")), 6).alias("score")).filter(F.col("score") >= threshold)
     return top_k(scored, k)
 

@@ -15,6 +15,9 @@
   the leaders and is paired with those whose sketch looks like its own; a member that no leader resembles goes on to
   the next round, with twice the pivots, until none is left. Large buckets are salted, and pivots go to
   every salt, so neither memory nor pairs grow with the square of a group of copies.
+* What leaders link are classes for a start. Then, in each larger bucket that still holds several classes, every two
+  members of different classes whose sketches look alike are verified too (``between_classes``), in pairs of blocks. Two
+  members of one class need no link of their own, so the classes are those of all pairs that share a band.
 * Pairs are verified by the weighted Jaccard similarity of all their shingles (>= ``THRESHOLD``) before they
   link. Shingles are packed by the documents that need them, and pivots of many pairs are salted.
 * Classes are the connected components of verified links and copies, by rounds of least labels with
@@ -44,11 +47,15 @@ DF_BUCKETS = 1 << 18
 RANDOMS = 1 << 16
 #: Sketches this alike are worth verifying: 0.8 less three standard deviations of 48 samples.
 WORTH = 0.62
-#: Sketches this alike make a member a follower, which need not go on.
+#: Sketches this alike make a member a follower, which need not lead; ``between_classes`` makes up for its other links.
 FOLLOWS = 0.7
 FEW = 16
 PIVOTS = 64
 SALT_ROWS = 2_000
+#: Likeliest partners of a member that ``between_classes`` tries before all others.
+BEST = 2
+#: Members of a block of ``between_classes``; two blocks are compared at a time.
+BLOCK = 256
 PAIRS_TOGETHER = 200
 _WORD, _GRAM, _TEXT = tokens.Hasher(97), tokens.Hasher(101), tokens.Hasher(103)
 
@@ -285,6 +292,73 @@ def candidates(texts: DataFrame, salt_rows: int = SALT_ROWS, pivots: int = PIVOT
     return found.groupBy(F.least("x", "y").alias("_lo"), F.greatest("x", "y").alias("_hi")).agg(F.min("x").alias("x")).select("x", (F.col("_lo") + (F.col("_hi") - F.col("x"))).alias("y"))
 
 
+def between_classes(texts: DataFrame, roots: DataFrame, tried: DataFrame, best: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Distinct pairs (x, y), not among ``tried``, of texts that share a band of over ``FEW``, look alike and are in different classes.
+
+    ``roots`` has (key, root) of texts that are linked. A bucket's largest class is held against the others only; these, in
+    blocks of about ``block``, against themselves and against blocks of it. With ``best``, only so many likeliest
+    partners of a member in each pair of blocks: what they link needs no further pairs, and a call without it finds the rest.
+    """
+    rows = texts.select("key", F.explode("bands").alias("bucket"))
+    sizes = rows.groupBy("bucket").count().filter(F.col("count") > FEW).select(F.col("bucket").alias("_b"))
+    members = rows.join(sizes, F.col("bucket") == F.col("_b")).select("bucket", "key")
+    members = members.join(roots.select(F.col("key").alias("_k"), "root"), F.col("key") == F.col("_k"), "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
+    held = members.groupBy("bucket", "root").count().groupBy(F.col("bucket").alias("_b")).agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.max("count").alias("most"), F.sum("count").alias("n")).filter("n > most")
+    members = members.join(held, F.col("bucket") == F.col("_b"))
+    members = stored(members.select("bucket", "key", "root", (F.col("root") == F.col("main")).alias("of_main"), F.ceil(F.col("most") / block).cast("int").alias("mains"), F.ceil((F.col("n") - F.col("most")) / block).cast("int").alias("others")), "between")
+    if members.limit(1).count() == 0:
+        return tried.limit(0)
+    whole = members.join(texts.select(F.col("key").alias("_k"), "sketch", "bands"), F.col("key") == F.col("_k"))
+    own = F.pmod(F.xxhash64("key", F.lit(-2)), F.when(F.col("of_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
+    others = F.sequence(F.lit(0), F.col("others") - 1)
+    place = lambda i, j, right: F.struct(i.alias("i"), j.alias("j"), right.alias("right"))
+    # blocks i <= j of the other classes, and block i of them with block -1 - j of the largest
+    of_main = F.transform(others, lambda i: place(i, -1 - F.col("own"), F.lit(True)))
+    of_others = F.concat(F.transform(others, lambda o: place(F.least(o, "own"), F.greatest(o, "own"), o < F.col("own"))), F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda m: place(F.col("own"), -1 - m, F.lit(False))))
+    dealt = whole.withColumn("own", own).select("bucket", "key", "root", "sketch", "bands", F.explode(F.when(F.col("of_main"), of_main).otherwise(of_others)).alias("p")).select("bucket", "p.i", "p.j", "p.right", "key", "root", "sketch", "bands")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here: tuple = ()
+        sides: tuple[list, list] = ([], [])
+
+        def pairs() -> Iterator[pa.RecordBatch]:
+            if not sides[0] or not (sides[1] or here[1] == here[2]):
+                return
+            (k, r, s, b), (k2, r2, s2, b2) = ((np.array([m[0] for m in side]), np.array([m[1] for m in side]), np.frombuffer(b"".join(m[2] for m in side), np.uint16).reshape(len(side), -1), np.array([m[3] for m in side])) for side in (sides[0], sides[1] or sides[0]))
+            for lo in range(0, len(k), 64):
+                part = slice(lo, lo + 64)
+                alike = (s[part, None, :] == s2[None, :, :]).mean(2)
+                wanted = (alike >= WORTH) & (r[part, None] != r2[None, :])
+                if here[1] == here[2]:
+                    wanted &= k[part, None] < k2[None, :]
+                # the first band that two share tells of them, here or, in a small bucket, among its pairs
+                same = b[part, None, :] == b2[None, :, :]
+                wanted &= np.take_along_axis(b[part], same.argmax(2), 1) == here[0]
+                if best is not None and len(k2) > best:
+                    near = np.where(wanted, alike, -1)
+                    kept = np.zeros_like(wanted)
+                    np.put_along_axis(kept, np.argpartition(-near, best - 1, axis=1)[:, :best], True, 1)
+                    wanted &= kept
+                at, to = np.nonzero(wanted)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(k[part][at]), pa.array(k2[to])], ["x", "y"])
+
+        for batch in batches:
+            buckets, i, j, right, keys, classes, raw, bands = (c.to_pylist() for c in batch.columns)
+            for n, group in enumerate(zip(buckets, i, j, strict=True)):
+                if group != here:
+                    yield from pairs()
+                    here, sides = group, ([], [])
+                sides[right[n]].append((keys[n], classes[n], raw[n], bands[n]))
+        yield from pairs()
+
+    dealt = dealt.repartition(parts_for(texts, 16), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    found = dealt.mapInArrow(tokens.trimmed(run), "x long, y long")
+    found = found.withColumns({"_lo": F.least("x", "y"), "_hi": F.greatest("x", "y")})
+    done = tried.select(F.least("x", "y").alias("_lo"), F.greatest("x", "y").alias("_hi"))
+    return found.join(done, ["_lo", "_hi"], "left_anti").select("x", "y")
+
+
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Of two sets of (hashes, weights) in order of hash: the sum of least weights over that of greatest."""
     both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -360,7 +434,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     same = stored(same.filter("key <> first").select("key", "first"), "copies")
     texts = made.join(same.select(F.col("key").alias("_c")), F.col("key") == F.col("_c"), "left_anti").filter("bands is not null").select("key", "bands", "sketch")
     pairs = stored(candidates(texts), "pairs")
-    links = verified(pairs, base, idf, threshold).select("x", "y")
+    first = components(verified(pairs, base, idf, threshold).select("x", "y"))
+    for best in (BEST, None):
+        more = stored(between_classes(texts, first, pairs, best), "pairs")
+        links = first.select(F.col("key").alias("x"), F.col("root").alias("y")).unionByName(verified(more, base, idf, threshold).select("x", "y"))
+        if best is not None:
+            first, pairs = components(links), pairs.unionByName(more)
     roots = stored(components(links.unionByName(same.select(F.col("key").alias("x"), F.col("first").alias("y")))), "roots")
     found = base.select("key", name).join(roots.withColumnRenamed("key", "_r"), F.col("key") == F.col("_r"), "left").select("key", name, F.coalesce("root", "key").alias("root"))
     lead = ids.distinct().select(F.col("key").alias("_l"), F.col("doc_id").alias("class_id"))

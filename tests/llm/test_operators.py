@@ -196,6 +196,49 @@ def test_a_large_group_and_odd_rows(spark, odd):
     assert kept.columns == odd.columns and kept.filter("doc_id = 1").count() == 1 and kept.filter("doc_id = 6").count() == 0
 
 
+def brute_classes(spark, texts, threshold=neardup.THRESHOLD):
+    """The classes of all pairs of at least the threshold, by the operator's own weights."""
+    import pyarrow as pa
+
+    idf, _ = neardup.document_frequencies(frame(spark, texts).withColumnRenamed("doc_id", "key"))
+    sets = []
+    for _, n, grams, weights, counts in neardup.shingled(pa.array(texts), idf):
+        edge = np.concatenate([[0], np.cumsum(counts)])
+        sets += [(grams[edge[i] : edge[i + 1]], weights[edge[i] : edge[i + 1]]) for i in range(n)]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if root[a] != root[b] and neardup.weighted_jaccard(sets[a], sets[b]) >= threshold:
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    return dict(enumerate(root))
+
+
+@pytest.fixture
+def one_bucket(monkeypatch):
+    """All texts share one band and no other."""
+    real = neardup.sketched
+    monkeypatch.setattr(neardup, "sketched", lambda base, idf: real(base, idf).withColumn("bands", F.when(F.col("bands").isNotNull(), F.array(F.lit(1).cast("long")))))
+
+
+def test_pairs_on_one_template_are_found(spark, one_bucket):
+    """Pairs alike at about 0.9, each at about 0.7 to a template that all 120 texts share."""
+    import random
+
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    texts = [" ".join(base)]
+    for i in range(60):
+        w = list(base)
+        at = rng.randrange(150)
+        w[at : at + 25] = [f"a{i}x{j}" for j in range(25)]
+        texts.append(" ".join(w))
+        w[at + 10] = f"b{i}"
+        texts.append(" ".join(w))
+    got = {r.doc_id: r.class_id for r in neardup.classes(frame(spark, texts)).collect()}
+    assert got == brute_classes(spark, texts) and 40 < len(set(got.values())) < 70
+
+
 def test_sampling_agrees_as_weighted_jaccard():
     rng = np.random.default_rng(1)
     grams = np.sort(rng.integers(1, 1 << 63, 400).astype(np.uint64))

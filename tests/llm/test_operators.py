@@ -239,6 +239,23 @@ def test_pairs_on_one_template_are_found(spark, one_bucket):
     assert got == brute_classes(spark, texts) and 40 < len(set(got.values())) < 70
 
 
+def test_chains_of_edited_copies_are_found(spark, one_bucket):
+    """Copies of copies on one template, neighbours alike at about 0.86 and texts further apart below the threshold."""
+    import random
+
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    texts = []
+    for c in range(4):
+        w = list(base)
+        for i in range(12):
+            for at in (15 * i + 1, 15 * i + 6, 15 * i + 11):
+                w[at] = f"c{c}x{i}x{at}"
+            texts.append(" ".join(w))
+    got = {r.doc_id: r.class_id for r in neardup.classes(frame(spark, texts)).collect()}
+    assert got == brute_classes(spark, texts)
+
+
 def test_sampling_agrees_as_weighted_jaccard():
     rng = np.random.default_rng(1)
     grams = np.sort(rng.integers(1, 1 << 63, 400).astype(np.uint64))

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from lectern.llm import tokens
 
@@ -276,39 +277,60 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cov
 
     A span runs from its first hit word's first byte to its last hit word's last. Of a text
     whose words are hit by more than ``max_coverage``, nothing stays (an empty text). Column ``n_chars``, if there is one,
-    follows the text. Blocks are applied in turn, each to what the ones before it left.
+    follows the text. Each block adds its spans on the input text to a column, and the last one cuts and judges them all at once.
     """
     spark = docs.sparkSession
     at = docs.columns.index(text_col)
-    for block in list_blocks(benchmark, window, block_words):
+    names = docs.columns
+    parts = list_blocks(benchmark, window, block_words)
+    spans_type = pa.list_(pa.int64())
+
+    def cut(texts: pa.Array, scanned: list, spans_of: dict[int, list[int]]) -> pa.Array:
+        """The texts without the words of ``spans_of`` (row to a flat list of begins and ends in its words)."""
+        new: dict[int, str] = {}
+        for lo, offs, count, words in scanned:
+            first = np.concatenate([[0], np.cumsum(count)])
+            for row in range(len(count)):
+                if not (flat := spans_of.get(lo + row)):
+                    continue
+                s, e = np.array(flat).reshape(-1, 2).T
+                flags = tokens.covered(s, e, int(count[row]))
+                raw = texts[lo + row].as_py().encode()
+                if flags.mean() > max_coverage:
+                    new[lo + row] = ""
+                    continue
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
+                kept, end = [], 0
+                for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                    kept.append(raw[end : int(words[first[row] + s, 0] - offs[row])])
+                    end = int(words[first[row] + e - 1, 1] - offs[row])
+                new[lo + row] = b"".join([*kept, raw[end:]]).decode()
+        return pa.array([new.get(i, t) for i, t in enumerate(texts.to_pylist())], pa.string()) if new else texts
+
+    schema = docs.schema
+    for k, block in enumerate(parts):
         sent = spark.sparkContext.broadcast(block)
+        last = k == len(parts) - 1
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, more=k > 0, last=last) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = batch.column(at)
-                new: dict[int, str] = {}
-                for lo, offs, count, words, spans, _ in _scan(texts, sent.value):
-                    if not spans:
-                        continue
-                    hit = tokens.covered(*np.array(spans).T, len(words))
-                    first = np.concatenate([[0], np.cumsum(count)])
-                    for row in np.unique(words[hit, 2]).tolist():
-                        flags = hit[first[row] : first[row + 1]]
-                        raw = texts[lo + row].as_py().encode()
-                        if flags.mean() > max_coverage:
-                            new[lo + row] = ""
-                            continue
-                        edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-                        kept, end = [], 0
-                        for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                            kept.append(raw[end : int(words[first[row] + s, 0] - offs[row])])
-                            end = int(words[first[row] + e - 1, 1] - offs[row])
-                        new[lo + row] = b"".join([*kept, raw[end:]]).decode()
-                if new:
-                    texts = pa.array([new.get(i, t) for i, t in enumerate(texts.to_pylist())], pa.string())
                 columns = list(batch.columns)
-                columns[at] = texts
-                yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
-
-        docs = docs.mapInArrow(tokens.trimmed(run), docs.schema)
+                before = columns.pop() if more else None
+                spans_of: dict[int, list[int]] = {i: v for i, v in enumerate(before.to_pylist()) if v} if more else {}
+                scanned = []
+                for lo, offs, count, words, spans, _ in _scan(columns[at], sent.value):
+                    first = np.concatenate([[0], np.cumsum(count)])
+                    for s, e in spans:
+                        row = int(words[s, 2])
+                        spans_of.setdefault(lo + row, []).extend((int(s - first[row]), int(e - first[row])))
+                    if last and spans_of:
+                        scanned.append((lo, offs, count, words))
+                if last:
+                    columns[at] = cut(columns[at], scanned, spans_of)
+                    yield pa.RecordBatch.from_arrays(columns, names)
+                else:
+                    told = pa.array([spans_of.get(i) for i in range(batch.num_rows)], spans_type)
+                    yield pa.RecordBatch.from_arrays([*columns, told], [*names, "_spans"])
+
+        docs = docs.mapInArrow(tokens.trimmed(run), schema if last else StructType([*schema.fields, StructField("_spans", ArrayType(LongType()))]))
     return docs.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs

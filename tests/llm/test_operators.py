@@ -143,6 +143,16 @@ def test_decontamination_odd_rows(spark, odd):
     assert out.columns == odd.columns and {r.text for r in out.filter("doc_id = 1").collect()} == {"."}
 
 
+@pytest.mark.parametrize("cover", [0.8, 1.0])
+def test_cleaning_by_blocks_equals_one_block(spark, cover):
+    w = [f"w{i}" for i in range(60)]
+    # the second item has under ten words of its own, and no item covers 0.8 of a text alone
+    items = spark.createDataFrame([(1, " ".join(w[:25])), (2, " ".join(w[15:33])), (3, " ".join(w[50:]))], "item_id long, text string")
+    texts = ["x y " + " ".join(w[:33]) + " z" * 40, " ".join(w), " ".join(w[:33]) + " rest of it", "none", None]
+    one, many = ({r.doc_id: r.text for r in decontaminate.cleaned(frame(spark, texts), items, max_coverage=cover, block_words=n).collect()} for n in (500_000, 20))
+    assert one == many and one[0].split() == ["x", "y", *["z"] * 40] and one[2].strip() == ("" if cover == 0.8 else "rest of it")
+
+
 # --- near duplicates ---
 
 

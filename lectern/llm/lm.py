@@ -23,6 +23,7 @@ gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -382,9 +383,9 @@ def train(docs: DataFrame, best: list, groups: np.ndarray, ends: int, max_rows:
     network = Network.start(counts)
     order = (F.xxhash64("row"), F.length("text"))
     sizes = docs.filter("train").select("row", F.xxhash64("text").alias("h"), F.length("text").alias("n"), *[o.alias(f"o{i}") for i, o in enumerate(order)]).orderBy("o0", "o1", "h").limit(max_rows).toPandas()
-    chosen = sizes[(sizes["n"] / 6 + 1).cumsum() <= max_tokens]
-    if not len(chosen):
-        return network
+    chosen = sizes[_fitting(sizes["n"].to_numpy() / 6 + 1, max_tokens)]
+    if len(sizes) and not len(chosen):
+        logging.getLogger(__name__).warning("no training document fits into a sample of %d tokens", max_tokens)
     wanted = docs.sparkSession.createDataFrame([(int(h),) for h in chosen["h"].unique()], "h long")
     texts = docs.filter("train").withColumn("h", F.xxhash64("text")).join(F.broadcast(wanted), "h", "left_semi").select("h", "text").dropDuplicates(["h"])
     names = np.array([r["h"] for r in best], np.int64).view(np.uint64)
@@ -403,6 +404,15 @@ def train(docs: DataFrame, best: list, groups: np.ndarray, ends: int, max_rows:
     return network
 
 
+def _fitting(sizes: np.ndarray, most: float) -> np.ndarray:
+    """Booleans: which are taken, in order, if one that doesn't fit into what is left is passed over."""
+    out = np.zeros(len(sizes), bool)
+    for i, n in enumerate(sizes.tolist()):
+        if n <= most:
+            out[i], most = True, most - n
+    return out
+
+
 def to_ids(h: np.ndarray, group: np.ndarray, sorted_names: np.ndarray, ids: np.ndarray) -> np.ndarray:
     out = np.where(group == _NO_GROUP, _END_ID, _FIRST_GROUP + group)
     if len(sorted_names):

@@ -351,6 +351,17 @@ def test_language_model_counts_equal_brute_force(spark, prose, odd):
     assert lm.score(odd.filter("doc_id < 3"), F.lit(False)).filter("n_known > 0").count() == 0
 
 
+def test_a_document_over_the_sample_bound_is_passed_over(spark):
+    texts = ["a b c d e f g h " * 20] * 3 + ["long " * 3000]
+    docs = frame(spark, texts).select(F.col("doc_id").alias("row"), F.lit(True).alias("train"), "text")
+    start = lm.Network.start(np.zeros(lm.IDS) + np.eye(lm.IDS)[lm._END_ID] * 4)
+    assert lm._fitting(np.array([9.0, 3, 9, 3, 3]), 7).tolist() == [False, True, False, True, False]
+    for first in range(4):  # whichever comes first in order of hash
+        moved = docs.withColumn("row", F.col("row") + first * 10)
+        got = lm.train(moved, [], np.zeros((lm.GROUPS, 2), np.int64), 4, max_tokens=200)
+        assert not np.allclose(got.turn, start.turn)
+
+
 def test_probabilities_add_up_and_state_is_carried():
     net = lm.Network.start(np.arange(lm.IDS, dtype=float))
     h = np.random.default_rng(0).normal(size=(1, lm.HIDDEN)).astype(np.float32)

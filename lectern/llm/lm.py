@@ -11,8 +11,10 @@ all training documents' counts in their first biases.
    among 10^8 distinct words the chance that any two share one is about 3 in 10^4.
 2. *Count*: each range adds up its words over all chunks and sends each chunk its words' totals. A word has one entry a
    chunk, so no word is hot.
-3. *Train*: truncated backpropagation through time on a bounded sample of training documents (``MAX_ROWS`` of least hashed id,
-   up to ``MAX_TOKENS``), as parallel streams whose state is carried across windows and cleared after each end.
+3. *Train*: truncated backpropagation through time, as parallel streams whose state is carried across windows and cleared after
+   each end. A bounded sample of training documents (``MAX_ROWS`` of least hashed id, up to ``MAX_TOKENS``) gives the weights to start
+   from. Then all training documents are dealt by hash into ``ROUNDS`` rounds and into shards of about ``SHARD`` tokens; in a round
+   every shard trains from the weights so far, and the results are averaged by tokens.
 4. *Score*: a chunk's documents meet its totals and run through the network side by side, window after window, the state
    carried, so the log likelihood is that of the complete document.
 
@@ -23,7 +25,9 @@ gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import copy
 import logging
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,6 +46,11 @@ CLASSES = 16
 CHUNK = 4_000_000
 MAX_ROWS = 4_000
 MAX_TOKENS = 800_000
+ROUNDS = 3
+SHARD = 2_000_000
+STREAMS = 64
+RATE = 0.01
+WEIGHTS = ("enter", "turn", "to_class", "class_bias", "to_word", "word_bias")
 _HASH = tokens.Hasher(127)
 _END = np.uint64(0x5DEECE66D1234567)
 _END_ID, _FIRST_GROUP, IDS = TOP, TOP + 1, TOP + 1 + GROUPS
@@ -207,6 +216,18 @@ class Network:
         mass = np.array([counts[ids].sum() for ids in members])
         return cls(members, klass, place, small(IDS, 3 * HIDDEN), small(HIDDEN, 3 * HIDDEN), small(HIDDEN, len(members)), np.log(mass / mass.sum()).astype(np.float32), small(IDS, HIDDEN), np.log(counts / mass[klass]).astype(np.float32))
 
+    def weights(self) -> np.ndarray:
+        return np.concatenate([getattr(self, k).ravel() for k in WEIGHTS])
+
+    def with_weights(self, flat: np.ndarray) -> Network:
+        own = copy.deepcopy(self)
+        at = 0
+        for k in WEIGHTS:
+            w = getattr(own, k)
+            w[...] = flat[at : at + w.size].reshape(w.shape)
+            at += w.size
+        return own
+
     def step(self, ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
         x = self.enter[ids]
         gates = x[:, : 2 * HIDDEN] + h @ self.turn[:, : 2 * HIDDEN]
@@ -259,7 +280,7 @@ class Network:
                 grads["h"][some] += logits @ self.to_word[members]
         return out
 
-    def fit(self, texts: list[np.ndarray], streams: int = 32, window: int = 24, epochs: int = 2, rate: float = 0.01) -> None:
+    def fit(self, texts: list[np.ndarray], streams: int = 32, window: int = 24, epochs: int = 2, rate: float = RATE) -> None:
         """Truncated backpropagation through ``window`` steps of parallel streams of whole texts."""
         if not texts:
             return
@@ -268,7 +289,7 @@ class Network:
         if n < 2:
             return
         table = line[: n * streams].reshape(streams, n).T
-        names = ("enter", "turn", "to_class", "class_bias", "to_word", "word_bias")
+        names = WEIGHTS
         state = {k: (np.zeros_like(getattr(self, k)), np.zeros_like(getattr(self, k))) for k in names}
         t = 0
         steps = epochs * (n // window + 1)
@@ -372,7 +393,7 @@ def statistics(counted: DataFrame) -> tuple[list, np.ndarray, int, int]:
 
 
 def train(docs: DataFrame, best: list, groups: np.ndarray, ends: int, max_rows: int = MAX_ROWS, max_tokens: int = MAX_TOKENS) -> Network:
-    """Fit on whole training documents of least hashed id, at most ``max_rows`` and ``max_tokens``.
+    """Fit on whole training documents of least hashed id, at most ``max_rows`` and ``max_tokens``, then on all of them.
 
     ``docs`` has (row, train, text). The driver sees ids of tokens, and no more texts than the bound.
     """
@@ -401,9 +422,59 @@ def train(docs: DataFrame, best: list, groups: np.ndarray, ends: int, max_rows:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["h", "ids"])
 
     network.fit([np.frombuffer(r["ids"], np.int16).astype(np.int64) for r in texts.mapInArrow(tokens.trimmed(run), "h long, ids binary").orderBy("h").toLocalIterator()])
+    every = docs.filter("train").select(F.xxhash64("row", "text").alias("h"), "text").mapInArrow(tokens.trimmed(run), "h long, ids binary")
+    every = stored(every, "ids")
+    shards = max(1, -(-int(counts.sum()) // SHARD))
+    for k in range(ROUNDS):
+        network = trained(every.filter(F.pmod("h", F.lit(ROUNDS)) == k), network, shards, RATE * (1 - k / ROUNDS))
     return network
 
 
+def trained(every: DataFrame, network: Network, shards: int, rate: float) -> Network:
+    """The mean, by tokens, of what each shard of (h, ids) makes of the network."""
+    sent = every.sparkSession.sparkContext.broadcast(network)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, []
+
+        def told() -> pa.RecordBatch:
+            line = np.concatenate(held)
+            own = copy.deepcopy(sent.value)
+            streams = max(1, min(STREAMS, len(line) // 48))
+            # whole streams, so that no token is left out
+            own.fit([np.resize(line, -(-len(line) // streams) * streams)], streams, epochs=1, rate=rate)
+            made = own.weights().astype(float) * len(line)
+            return pa.RecordBatch.from_arrays([pa.array([here], pa.int32()), pa.array([len(line)]), pa.array([made.tobytes()], pa.binary())], ["shard", "n", "w"])
+
+        for batch in batches:
+            for shard, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and shard != here:
+                    yield told()
+                    held = []
+                here = shard
+                held.append(np.frombuffer(ids, np.int16))
+        if held:
+            yield told()
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, 0.0
+        for batch in batches:
+            for size, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                n, total = n + size, total + np.frombuffer(w)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary())], ["n", "w"])
+
+    dealt = every.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int")).select("shard", "ids", "h").repartition(shards, "shard").sortWithinPartitions("shard", "h", "ids")
+    made = dealt.mapInArrow(tokens.trimmed(fitted), "shard int, n long, w binary")
+    # added up in groups of about the root of their number, in order, before they come to the driver
+    groups = math.isqrt(shards - 1) + 1
+    sums = made.repartition(groups, "shard").sortWithinPartitions("shard").mapInArrow(tokens.trimmed(added), "n long, w binary")
+    n, total = 0, 0.0
+    for r in sums.toLocalIterator():
+        n, total = n + r["n"], total + np.frombuffer(r["w"])
+    return network.with_weights((total / n).astype(np.float32)) if n else network
+
+
 def _fitting(sizes: np.ndarray, most: float) -> np.ndarray:
     """Booleans: which are taken, in order, if one that doesn't fit into what is left is passed over."""
     out = np.zeros(len(sizes), bool)

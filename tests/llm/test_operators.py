@@ -362,6 +362,22 @@ def test_a_document_over_the_sample_bound_is_passed_over(spark):
         assert not np.allclose(got.turn, start.turn)
 
 
+def test_all_training_documents_shape_the_network(spark, monkeypatch):
+    """What only documents outside the sample hold is learnt: after 'ping' comes 'pong', over several shards."""
+    monkeypatch.setattr(lm, "SHARD", 200_000)
+    texts = ["ping pong " * 1000 if i % 2 else "pong pong ping ping " * 20 for i in range(400)]
+    docs = frame(spark, texts).select(F.col("doc_id").alias("row"), (F.col("doc_id") % 2 == 1).alias("train"), "text")
+    h = [next(lm.tokenised(__import__("pyarrow").array([w])))[1][0] for w in ("ping", "pong")]
+    best = [{"h": int(x.astype(np.int64)), "n": 200_000} for x in h]
+    args = docs, best, np.zeros((lm.GROUPS, 2), np.int64), 200
+    small = lm.train(*args, max_rows=1)
+    ids = np.array([0, 1] * 20)
+    fair = 40 * math.log(0.5)
+    assert small.likelihoods(ids, np.array([40]))[0] > 0.8 * fair
+    again = lm.train(docs.repartition(7), *args[1:], max_rows=1)
+    assert np.allclose(small.weights(), again.weights(), atol=1e-4)
+
+
 def test_probabilities_add_up_and_state_is_carried():
     net = lm.Network.start(np.arange(lm.IDS, dtype=float))
     h = np.random.default_rng(0).normal(size=(1, lm.HIDDEN)).astype(np.float32)

@@ -188,7 +188,12 @@ def keyword_top_k(queries: DataFrame, chunks: DataFrame, k: int = 30) -> DataFra
     Approximate parity with a database's density ranking; not claimed equal.
     """
     wanted = query_terms(queries)
-    hits = postings(chunks).join(wanted.select("term").distinct(), "term", "left_semi").join(wanted, "term")
+    known = postings(chunks).join(wanted.select("term").distinct(), "term", "left_semi")
+    # a chunk that holds all terms holds the query's rarest, so only such pairs meet the other terms
+    found = wanted.join(known.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term", "left")
+    rarest = found.groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("term"))
+    pairs = known.select("term", "chunk_id").join(rarest, "term").select("query_id", "chunk_id")
+    hits = pairs.join(wanted, "query_id").join(known, ["chunk_id", "term"])
     held = hits.groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("n"), F.first("terms").alias("terms"), F.collect_list(F.struct("term", "positions")).alias("at")).filter("n = terms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

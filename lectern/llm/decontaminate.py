@@ -3,11 +3,11 @@
 The items' words (see ``tokens.NOT_WORD``) become ids, and one automaton recognises every run of
 words of every item. A document's words are streamed through it while the longest match is
 tracked; a word is hit if a match of ``window`` words, or the whole of a shorter item, covers it.
-Before streaming, a vectorised pass leaves only runs of words whose neighbouring pairs all occur
-in some item: any window lies within such a run.
+Before streaming, a vectorised pass leaves only runs of words whose neighbouring pairs all occur, by hash,
+in some item: any window lies within such a run. Words' ids come from their bytes, so hits are exact.
 
 The items are taken in blocks of at most ``block_words`` words, so an automaton's size is bounded whatever
-the benchmark's; each block is a broadcast of its own and one pass over the documents, and hits are united by document.
+the benchmark's; each block is a broadcast of its own and one step of the same pass over the documents, and hits are united by document.
 
 Cases: null and empty texts, of documents or items, have no words; rows that repeat an item id are one
 item with several texts; rows that repeat a document id are judged each; null item ids count as an item
@@ -17,13 +17,14 @@ named ''; an empty benchmark hits nothing; further columns are ignored or, in ``
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from lectern.llm import tokens
 
@@ -114,19 +115,23 @@ class Block:
         at = {name: i for i, name in enumerate(self.names)}
         column = pa.array([text for _, text in items], pa.string())
         every: list[tuple[int, np.ndarray]] = []
+        #: The words themselves: the automaton's ids are exact, hashes only pick what is streamed through it.
+        self.index: dict[bytes, int] = {}
+        ids: list[tuple[int, list[int]]] = []
         for lo, hi, data, offs in tokens.slices(column):
             data = tokens.lower(data)
             starts, ends, rows = tokens.words(data, offs, tokens.NOT_WORD)
             h = _HASH.words(data, starts, ends)
             cut = np.searchsorted(rows, np.arange(hi - lo + 1))
             every += [(at[items[lo + i][0]], h[cut[i] : cut[i + 1]]) for i in range(hi - lo) if cut[i] < cut[i + 1]]
-        self.vocabulary = np.unique(np.concatenate([h for _, h in every])) if every else np.zeros(0, np.uint64)
+            raw = data.tobytes()
+            said = [self.index.setdefault(raw[s:e], len(self.index)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+            ids += [(at[items[lo + i][0]], said[cut[i] : cut[i + 1]]) for i in range(hi - lo) if cut[i] < cut[i + 1]]
         pairs = [_PAIR.grams(h, 2) for _, h in every if len(h) > 1]
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.uint64)
         singles = [h for _, h in every if len(h) == 1]
         self.singles = np.unique(np.concatenate(singles)) if singles else np.zeros(0, np.uint64)
         self.least = min((min(window, len(h)) for _, h in every if len(h) > 1), default=1 << 30)
-        ids = [(name, np.searchsorted(self.vocabulary, h).tolist()) for name, h in every]
         self.automaton = Automaton(window)
         for _, item in ids:
             self.automaton.add(item)
@@ -138,11 +143,12 @@ class Block:
             return np.zeros(len(h), bool)
         return sorted_set[np.minimum(np.searchsorted(sorted_set, h), len(sorted_set) - 1)] == h
 
-    def hits(self, h: np.ndarray, rows: np.ndarray) -> tuple[list[tuple[int, int]], dict[int, set[int]]]:
+    def hits(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[list[tuple[int, int]], dict[int, set[int]]]:
         """Covered ranges of words (in the batch's numbering), and the items that occur by row."""
+        h = _HASH.words(data, starts, ends)
         spans: list[tuple[int, int]] = []
         found: dict[int, set[int]] = {}
-        if not len(h) or not len(self.vocabulary):
+        if not len(h) or not self.index:
             return spans, found
         linked = np.zeros(len(h) + 1, bool)  # word i is joined to word i - 1
         linked[1:-1] = self._in(_PAIR.grams(h, 2), self.pairs) & (rows[1:] == rows[:-1])
@@ -153,16 +159,15 @@ class Block:
             one = np.zeros(len(h) + 1, np.int64)
             np.cumsum(self._in(h, self.singles), out=one[1:])
             wanted |= one[last] > one[first]
-        step, ends = self.automaton.step, self.automaton.ends
+        step, marks = self.automaton.step, self.automaton.ends
         for lo, hi in zip(first[wanted].tolist(), last[wanted].tolist(), strict=True):
-            ids = np.searchsorted(self.vocabulary, h[lo:hi]).tolist()
-            if not self._in(h[lo : lo + 1], self.vocabulary)[0]:
-                continue  # one word that no item has
+            # a word that no item has is -1, which leads nowhere
+            ids = [self.index.get(data[a:b].tobytes(), -1) for a, b in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist(), strict=True)]
             state = length = 0
             for i, c in enumerate(ids, lo + 1):
                 state, length = step(state, length, c)
                 longest = True
-                for size, names in ends[state]:
+                for size, names in marks[state]:
                     if size <= length:
                         if longest:
                             spans.append((i - size, i))
@@ -188,88 +193,80 @@ def blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_
 
 
 def _scan(column: pa.Array, block: Block) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]], dict[int, set[int]]]]:
+    """(first row, offsets, words of each row, (start, end) of each word, covered ranges, items by row) by slices."""
     for lo, hi, data, offs in tokens.slices(column):
         low = tokens.lower(data)
         starts, ends, rows = tokens.words(low, offs, tokens.NOT_WORD)
-        spans, found = block.hits(_HASH.words(low, starts, ends), rows)
-        yield lo, offs, tokens.counts(rows, hi - lo), np.column_stack([starts, ends, rows]), spans, found
+        yield lo, offs, tokens.counts(rows, hi - lo), np.column_stack([starts, ends]), *block.hits(low, starts, ends, rows)
 
 
-def _digest(names: set[str]) -> tuple[int, str]:
-    return len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+@dataclass
+class Found:
+    """What all blocks have found in a batch: ranges of a row's own words, flat, and items; and where the words lie."""
 
+    spans: dict[int, list[int]]
+    items: dict[int, list[str]]
+    scanned: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]
 
-def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of ``docs``."""
+    def flags(self, row: int, n: int) -> np.ndarray:
+        """Which of the row's ``n`` words are hit."""
+        s, e = np.array(self.spans[row]).reshape(-1, 2).T
+        return tokens.covered(s, e, n)
+
+
+def _through(docs: DataFrame, at: int, benchmark: DataFrame, window: int, block_words: int, schema: StructType, finish: Callable[[list[pa.Array], Found], list[pa.Array]]) -> DataFrame:
+    """``docs`` past every block; ``finish`` makes the columns of ``schema`` of a batch and all that was found in it.
+
+    Each block adds what it finds on the input texts to two further columns, so one block is no special case.
+    """
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = list_blocks(benchmark, window, block_words)
-    if len(parts) == 1:
-        sent = spark.sparkContext.broadcast(parts[0])
+    sent = [spark.sparkContext.broadcast(b) for b in blocks(benchmark, window, block_words)] or [spark.sparkContext.broadcast(Block([], window))]
+    kinds = [pa.list_(pa.int64()), pa.list_(pa.string())]
+    found_schema = StructType([*docs.schema.fields, StructField("_spans", ArrayType(LongType())), StructField("_items", ArrayType(StringType()))])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = sent.value
-            for batch in batches:
-                n_words, n_hit, items = [], [], {}
-                for lo, _, count, words, spans, found in _scan(batch.column(1), block):
-                    hit = np.zeros(len(count), np.int64)
-                    if spans:
-                        s, e = np.array(spans).T
-                        hit = np.bincount(words[tokens.covered(s, e, len(words)), 2], minlength=len(count))
-                    n_words += count.tolist()
-                    n_hit += hit.tolist()
-                    items |= {lo + row: _digest({block.names[i] for i in names}) for row, names in found.items()}
-                none = _digest(set())
-                told = [items.get(i, none) for i in range(batch.num_rows)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([t[0] for t in told], pa.int64()), pa.array([t[1] for t in told], pa.string())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
-
-        out = picked.mapInArrow(tokens.trimmed(run), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string")
-    else:
-        found = _united(picked, parts)
-        hit = F.aggregate("flags", F.lit(0).cast("long"), lambda n, x: n + x)
-        out = found.select("doc_id", "n_words", F.coalesce(hit, F.lit(0)).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
-    return out.withColumn("contaminated", F.col("n_hit") > 0)
-
-
-def list_blocks(benchmark: DataFrame, window: int, block_words: int) -> list[Block]:
-    return list(blocks(benchmark, window, block_words)) or [Block([], window)]
-
-
-def _united(picked: DataFrame, parts: list[Block]) -> DataFrame:
-    """(doc_id, n_words, flags, items) of every row, over several blocks, one pass each."""
-    from functools import reduce
-
-    spark = picked.sparkSession
-    kind = picked.schema["doc_id"].dataType.simpleString()
-    keyed = picked.withColumn("th", F.xxhash64("text"))
-
-    def one(block: Block) -> DataFrame:
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for k, block in enumerate(sent):
+        last = k == len(sent) - 1
+
+        def run(batches: Iterator[pa.RecordBatch], block=block, more=k > 0, last=last) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows_out = []
-                for lo, _, count, _, spans, found in _scan(batch.column(1), sent.value):
+                columns = list(batch.columns)
+                before = [{i: v for i, v in enumerate(c.to_pylist()) if v} for c in columns[-2:]] if more else [{}, {}]
+                columns = columns[:-2] if more else columns
+                found = Found(*before, [])
+                for lo, offs, count, words, spans, items in _scan(columns[at], block.value):
                     first = np.concatenate([[0], np.cumsum(count)])
-                    by_row: dict[int, list[tuple[int, int]]] = {}
                     for s, e in spans:
                         row = int(np.searchsorted(first, s, "right")) - 1
-                        by_row.setdefault(row, []).append((s - int(first[row]), e - int(first[row])))
-                    rows_out += [(lo + row, ranges, sorted(sent.value.names[i] for i in found[row])) for row, ranges in by_row.items()]
-                at = pa.array([r[0] for r in rows_out], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array([[{"s": s, "e": e} for s, e in r[1]] for r in rows_out], pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), pa.array([r[2] for r in rows_out], pa.list_(pa.string()))], ["doc_id", "th", "spans", "items"])
+                        found.spans.setdefault(lo + row, []).extend((int(s - first[row]), int(e - first[row])))
+                    for row, names in items.items():
+                        found.items[lo + row] = sorted({*found.items.get(lo + row, ()), *(block.value.names[i] for i in names)})
+                    if last:
+                        found.scanned.append((lo, offs, count, words))
+                if last:
+                    yield pa.RecordBatch.from_arrays(finish(columns, found), schema.names)
+                else:
+                    told = [pa.array([x.get(i) for i in range(batch.num_rows)], kind) for x, kind in zip((found.spans, found.items), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*columns, *told], found_schema.names)
 
-        return keyed.mapInArrow(tokens.trimmed(run), f"doc_id {kind}, th long, spans array<struct<s:int,e:int>>, items array<string>")
+        docs = docs.mapInArrow(tokens.trimmed(run), schema if last else found_schema)
+    return docs
 
-    hits = reduce(DataFrame.unionByName, [one(b) for b in parts]).distinct()
-    hits = hits.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    both = keyed.join(hits, keyed["doc_id"].eqNullSafe(hits["_d"]) & (keyed["th"] == hits["_t"]), "left")
-    words = F.size(F.expr(r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', 0)")).cast("long")
-    # disjoint spans' lengths, from spans in order
-    ordered = F.array_sort("spans")
-    lengths = F.aggregate(ordered, F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")), lambda a, s: F.struct(F.greatest(a["end"], s["e"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["e"] - F.greatest(a["end"], s["s"]))).alias("n")))
-    return both.select("doc_id", words.alias("n_words"), F.array(lengths["n"]).alias("flags"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of ``docs``."""
+    picked = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def finish(columns: list[pa.Array], found: Found) -> list[pa.Array]:
+        n_words = np.concatenate([count for _, _, count, _ in found.scanned]) if found.scanned else np.zeros(0, np.int64)
+        n_hit = np.zeros(len(n_words), np.int64)
+        for row in found.spans:
+            n_hit[row] = found.flags(row, int(n_words[row])).sum()
+        items = [found.items.get(i, []) for i in range(len(n_words))]
+        digests = [hashlib.sha256(",".join(names).encode()).hexdigest() for names in items]
+        return [columns[0], pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(digests, pa.string())]
+
+    schema = StructType([picked.schema["doc_id"], *[StructField(c, LongType()) for c in ("n_words", "n_hit", "n_items")], StructField("items_sha256", StringType())])
+    return _through(picked, 1, benchmark, window, block_words, schema, finish).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.8, block_words: int = BLOCK_WORDS, text_col: str = "text") -> DataFrame:
@@ -277,60 +274,30 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cov
 
     A span runs from its first hit word's first byte to its last hit word's last. Of a text
     whose words are hit by more than ``max_coverage``, nothing stays (an empty text). Column ``n_chars``, if there is one,
-    follows the text. Each block adds its spans on the input text to a column, and the last one cuts and judges them all at once.
+    follows the text. The spans of all blocks are cut and judged at once.
     """
-    spark = docs.sparkSession
     at = docs.columns.index(text_col)
-    names = docs.columns
-    parts = list_blocks(benchmark, window, block_words)
-    spans_type = pa.list_(pa.int64())
 
-    def cut(texts: pa.Array, scanned: list, spans_of: dict[int, list[int]]) -> pa.Array:
-        """The texts without the words of ``spans_of`` (row to a flat list of begins and ends in its words)."""
+    def finish(columns: list[pa.Array], found: Found) -> list[pa.Array]:
         new: dict[int, str] = {}
-        for lo, offs, count, words in scanned:
+        for lo, offs, count, words in found.scanned:
             first = np.concatenate([[0], np.cumsum(count)])
             for row in range(len(count)):
-                if not (flat := spans_of.get(lo + row)):
+                if lo + row not in found.spans:
                     continue
-                s, e = np.array(flat).reshape(-1, 2).T
-                flags = tokens.covered(s, e, int(count[row]))
-                raw = texts[lo + row].as_py().encode()
+                flags = found.flags(lo + row, int(count[row]))
                 if flags.mean() > max_coverage:
                     new[lo + row] = ""
                     continue
+                raw = columns[at][lo + row].as_py().encode()
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
                 kept, end = [], 0
                 for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
                     kept.append(raw[end : int(words[first[row] + s, 0] - offs[row])])
                     end = int(words[first[row] + e - 1, 1] - offs[row])
                 new[lo + row] = b"".join([*kept, raw[end:]]).decode()
-        return pa.array([new.get(i, t) for i, t in enumerate(texts.to_pylist())], pa.string()) if new else texts
-
-    schema = docs.schema
-    for k, block in enumerate(parts):
-        sent = spark.sparkContext.broadcast(block)
-        last = k == len(parts) - 1
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, more=k > 0, last=last) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                columns = list(batch.columns)
-                before = columns.pop() if more else None
-                spans_of: dict[int, list[int]] = {i: v for i, v in enumerate(before.to_pylist()) if v} if more else {}
-                scanned = []
-                for lo, offs, count, words, spans, _ in _scan(columns[at], sent.value):
-                    first = np.concatenate([[0], np.cumsum(count)])
-                    for s, e in spans:
-                        row = int(words[s, 2])
-                        spans_of.setdefault(lo + row, []).extend((int(s - first[row]), int(e - first[row])))
-                    if last and spans_of:
-                        scanned.append((lo, offs, count, words))
-                if last:
-                    columns[at] = cut(columns[at], scanned, spans_of)
-                    yield pa.RecordBatch.from_arrays(columns, names)
-                else:
-                    told = pa.array([spans_of.get(i) for i in range(batch.num_rows)], spans_type)
-                    yield pa.RecordBatch.from_arrays([*columns, told], [*names, "_spans"])
+        texts = pa.array([new.get(i, t) for i, t in enumerate(columns[at].to_pylist())], pa.string()) if new else columns[at]
+        return [*columns[:at], texts, *columns[at + 1 :]]
 
-        docs = docs.mapInArrow(tokens.trimmed(run), schema if last else StructType([*schema.fields, StructField("_spans", ArrayType(LongType()))]))
-    return docs.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+    out = _through(docs, at, benchmark, window, block_words, docs.schema, finish)
+    return out.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

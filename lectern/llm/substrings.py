@@ -2,8 +2,8 @@
 
 A window is ``width`` consecutive words of a document, unchanged. Every word covered by a window that also
 starts anywhere else, in the same document or another, is removed; windows are judged on the input, not
-on what is left. ``windows`` says how windows meet; in a bucket, sorting their 128-bit
-hashes counts them exactly.
+on what is left. ``windows`` says how windows meet; in a bucket, windows are sorted by a hash, and neighbours of one
+hash are compared byte by byte, so the count is exact.
 
 Cases: null and empty texts have no words; texts of fewer than ``width`` words keep all; rows that
 repeat both id and text are one document, so they count once and each get its result; rows that share an id but not a text are
@@ -14,6 +14,7 @@ ignored or, in ``cleaned``, kept.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -26,8 +27,7 @@ from lectern.llm import tokens, windows
 
 WIDTH = 35
 GRAM = 6
-_WORD, _ONE, _TWO = tokens.Hasher(53), tokens.Hasher(59), tokens.Hasher(61)
-_OTHER = tokens.Hasher(67)
+_WORD, _RUN = tokens.Hasher(53), tokens.Hasher(59)
 
 
 def _split(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, Callable[[int, int], bytes]]:
@@ -46,32 +46,45 @@ def _split(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return _WORD.words(data, starts, ends), rows, lambda i, j: plain[begin[i] : end[j - 1]]
 
 
-def _windows(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, offset, hash, other hash) of every window of packed strings."""
+def _windows(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, row, offset, hash, first byte, bytes) of every window of packed strings."""
     data = np.frombuffer(b"".join(texts), np.uint8)
-    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     starts, ends, rows = tokens.words(data, offs, tokens.SPACES)
     n = len(rows) - width + 1
     good = np.flatnonzero(rows[:n] == rows[width - 1 :]) if n > 0 else np.zeros(0, int)
-    a, b = (_ONE.grams(_WORD.words(data, starts, ends), width), _TWO.grams(_OTHER.words(data, starts, ends), width))
     row = rows[good]
-    return row, good - np.searchsorted(rows, row), a[good], b[good]
+    h = _RUN.grams(_WORD.words(data, starts, ends), width)[good]
+    return data, row, good - np.searchsorted(rows, row), h, starts[good], ends[good + width - 1] - starts[good]
 
 
 def _order(texts: list[bytes], keys: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    row, offset, a, b = _windows(texts, width)
-    by = np.argsort(a)
-    same = a[by[1:]] == a[by[:-1]]
-    if (same & (b[by[1:]] != b[by[:-1]])).any():
-        by = np.lexsort((b, a))
-        same = a[by[1:]] == a[by[:-1]]
-    same &= b[by[1:]] == b[by[:-1]]
-    flag = np.zeros(len(a), bool)
-    flag[by[1:][same]] = True
-    flag[by[:-1][same]] = True
+    data, row, offset, h, begin, size = _windows(texts, width)
+    by = np.argsort(h)
+    tied = h[by[1:]] == h[by[:-1]]
+    p, q = by[:-1][tied], by[1:][tied]
+    flag = np.zeros(len(h), bool)
+    if tokens.same_bytes(data, begin[p], begin[q], size[p], size[q]).all():
+        flag[p] = flag[q] = True
+    else:  # windows of one hash that differ: their digests tell
+        some = np.unique(np.concatenate([p, q]))
+        digests = [_digest(data, begin[i], size[i]) for i in some.tolist()]
+        seen = Counter(digests)
+        flag[some] = [seen[d] > 1 for d in digests]
     return runs(row, offset, flag)
 
 
+def _digest(data: np.ndarray, begin: int, size: int) -> bytes:
+    return hashlib.blake2b(data[begin : begin + size].tobytes(), digest_size=16).digest()
+
+
+def _digests(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests of the windows of a packed string, as two halves."""
+    data, _, _, _, begin, size = _windows([text], width)
+    made = np.frombuffer(b"".join(_digest(data, b, n) for b, n in zip(begin.tolist(), size.tolist(), strict=True)), np.uint64).reshape(-1, 2)
+    return made[:, 0], made[:, 1]
+
+
 def runs(row: np.ndarray, offset: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first, last + 1) of the maximal runs of flagged windows; windows are in order of row and offset."""
     if not flag.any():
@@ -85,7 +98,7 @@ def runs(row: np.ndarray, offset: np.ndarray, flag: np.ndarray) -> tuple[np.ndar
 
 @cache
 def unit(width: int = WIDTH, gram: int = GRAM) -> windows.Unit:
-    return windows.Unit(width, min(gram, width), _split, lambda t, k, s: _order(t, k, s, width), lambda t: _windows([t], width)[2:], False)
+    return windows.Unit(width, min(gram, width), _split, lambda t, k, s: _order(t, k, s, width), lambda t: _digests(t, width), False)
 
 
 def _kept(column: pa.Array, spans: pa.Array, whole: pa.Array, width: int) -> Iterator[tuple[int, int, list[bytes]]]:

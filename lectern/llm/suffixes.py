@@ -32,12 +32,12 @@ from lectern.llm.substrings import runs
 WIDTH = 100
 GRAM = 28
 DIGIT = 8
-_ONE, _TWO = tokens.Hasher(71), tokens.Hasher(73)
+_BYTE = tokens.Hasher(71)
 
 
 def _split(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, Callable[[int, int], bytes]]:
     raw = data.tobytes()
-    return _ONE.values[data], np.repeat(np.arange(len(offs) - 1), np.diff(offs)), lambda i, j: raw[i:j]
+    return _BYTE.values[data], np.repeat(np.arange(len(offs) - 1), np.diff(offs)), lambda i, j: raw[i:j]
 
 
 def digits(data: np.ndarray) -> np.ndarray:
@@ -52,28 +52,24 @@ def digits(data: np.ndarray) -> np.ndarray:
 def radix_groups(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, group numbers) of those strings of ``width`` bytes at ``at`` that occur more than once.
 
-    One pass for each DIGIT bytes (the last may overlap the one before); within a group, positions keep the
-    order of ``at``.
+    One pass for each DIGIT bytes (the last may overlap the one before), each a stable sort by that digit within the groups so
+    far, which drops suffixes that are alone in theirs. Groups come in order of their strings; within a group,
+    positions keep the order of ``at``.
     """
     wide = digits(data) if width >= DIGIT else None
-    group = np.zeros(len(at), np.uint64)
+    group = np.zeros(len(at), np.int64)
     depths = [*range(0, width - DIGIT + 1, DIGIT), width - DIGIT] if width >= DIGIT else range(width)
     for depth in dict.fromkeys(depths):
         if not len(at):
             break
         digit = wide[at + depth] if wide is not None else data[at + depth].astype(np.uint64)
-        mix = tokens.Hasher.mixed(digit ^ (group * np.uint64(0xD6E8FEB86659FD93)))
-        by = np.argsort(mix, kind="stable")
-        tied = mix[by[1:]] == mix[by[:-1]]
-        same = tied & (digit[by[1:]] == digit[by[:-1]]) & (group[by[1:]] == group[by[:-1]])
-        if (tied != same).any():  # two digits of one mix: order them exactly
-            by = np.lexsort((digit, group))
-            same = (digit[by[1:]] == digit[by[:-1]]) & (group[by[1:]] == group[by[:-1]])
+        # groups are in order of what they share, so sorting by (group, digit) keeps the order of suffixes
+        by = np.lexsort((digit, group)) if depth else np.argsort(digit, kind="stable")
+        digit, own = digit[by], group[by]
         edge = np.ones(len(by) + 1, bool)
-        edge[1:-1] = ~same
+        edge[1:-1] = (digit[1:] != digit[:-1]) | (own[1:] != own[:-1])
         several = ~(edge[:-1] & edge[1:])
-        number = np.cumsum(edge[:-1])[several]
-        at, group = at[by[several]], number.astype(np.uint64)
+        at, group = at[by[several]], np.cumsum(edge[:-1])[several]
     return at, group
 
 
@@ -105,14 +101,15 @@ def _order(texts: list[bytes], keys: np.ndarray, starts: np.ndarray, width: int)
     return np.concatenate([kept_at[r], again_at]), np.concatenate([lo, np.zeros(len(again), np.int64)]), np.concatenate([hi, whole])
 
 
-def _hashes(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer(text, np.uint8)
-    return _ONE.grams(_ONE.values[data], width), _TWO.grams(_TWO.values[data], width)
+def _digests(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests of the windows of a packed string, as two halves."""
+    made = np.frombuffer(b"".join(hashlib.blake2b(text[i : i + width], digest_size=16).digest() for i in range(len(text) - width + 1)), np.uint64).reshape(-1, 2)
+    return made[:, 0], made[:, 1]
 
 
 @cache
 def unit(width: int = WIDTH, gram: int = GRAM) -> windows.Unit:
-    return windows.Unit(width, min(gram, width), _split, lambda t, k, s: _order(t, k, s, width), lambda t: _hashes(t, width), True)
+    return windows.Unit(width, min(gram, width), _split, lambda t, k, s: _order(t, k, s, width), lambda t: _digests(t, width), True)
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, hot: int = windows.HOT, with_bytes: bool = True) -> DataFrame:

@@ -1,13 +1,13 @@
 """Whole-batch tokenisation and hashing of UTF-8 bytes in numpy.
 
-Nothing here runs Python code for a single word: words are found by a table of separator
-bytes, and their hashes come from prefix sums of a polynomial modulo 2^64, so a batch costs
-a few passes over its bytes.
+Nothing here runs Python code for a single word (but for very long ones): words are found by a table of separator
+bytes, and their hashes chain their digits of 8 bytes, so a batch costs a few passes over its bytes and words.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,6 +33,18 @@ SPACES = separators("20 09-0D")
 NOT_WORD = separators("00-2F 3A-60 7B-7F")
 
 
+#: Bytes that are read at a time, and what they keep of a digit at a range's end.
+DIGIT = 8
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(DIGIT + 1)], np.uint64)
+
+
+def unaligned(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on as an integer, the first byte lowest; past the end they are zero."""
+    padded = np.zeros(len(data) + DIGIT, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
 def lower(data: np.ndarray) -> np.ndarray:
     """A-Z in lower case; other bytes stay."""
     return _LOWER[data]
@@ -82,16 +94,23 @@ def counts(rows: np.ndarray, n: int) -> np.ndarray:
 
 
 class Hasher:
-    """64-bit polynomial hashes of ranges of a sequence, with random byte values and a final mix.
+    """64-bit hashes of words (ranges of bytes) and of runs of items that are hashes themselves.
 
-    Hashers differ in their values; the base and the table of its powers are one for all, for they take memory.
+    A word's 8-byte digits are chained through a mix by multiplication, from a state that depends on the seed and on the
+    word's length, so words of up to 8 bytes never collide and others as random values do; words of over ``LONG`` bytes take
+    BLAKE2b. Runs of items are sums of the items times powers modulo 2^64: cheap to slide, and good for finding
+    candidates. Whatever must be exact compares the bytes of what it has found.
     """
 
     BASE = 0x5851F42D4C957F2D
+    LONG = 64
     _tables = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
     def __init__(self, seed: int):
-        self.values = np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        rng = np.random.default_rng(seed)
+        self.seed = rng.integers(0, 1 << 63, dtype=np.uint64)
+        #: Random odd values that stand for bytes as items.
+        self.values = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     @classmethod
     def powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +143,24 @@ class Hasher:
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of byte ranges."""
-        return self.ranges(self.sums(self.values[data]), starts, ends)
+        size = ends - starts
+        h = self.mixed(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + self.seed)
+        if not len(h):
+            return h
+        digits = unaligned(data)
+        short = size <= self.LONG
+        live = np.flatnonzero(short & (size > 0))
+        for depth in range(0, self.LONG, DIGIT):
+            if depth:
+                live = live[size[live] > depth]
+            if not len(live):
+                break
+            digit = digits[starts[live] + depth] & MASKS[np.minimum(size[live] - depth, DIGIT)]
+            h[live] = self.mixed(h[live] ^ digit)
+        key = int(self.seed).to_bytes(8, "little")
+        for i in np.flatnonzero(~short).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=key).digest(), "little")
+        return h
 
     def grams(self, items: np.ndarray, k: int) -> np.ndarray:
         """Hashes of each ``k`` consecutive items (uint64)."""
@@ -136,6 +172,23 @@ class Hasher:
         return self.mixed((sums[k:] - sums[:-k]) * down[:n])
 
 
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, long: int = 4096) -> np.ndarray:
+    """Booleans: whether the ranges of ``size_a`` bytes at ``a`` and of ``size_b`` bytes at ``b`` hold the same bytes."""
+    same = size_a == size_b
+    digits = unaligned(data)
+    live = np.flatnonzero(same & (size_a <= long))
+    depth = 0
+    while len(live):
+        live = live[size_a[live] > depth]
+        differ = (digits[a[live] + depth] ^ digits[b[live] + depth]) & MASKS[np.minimum(size_a[live] - depth, DIGIT)] != 0
+        same[live[differ]] = False
+        live = live[~differ]
+        depth += DIGIT
+    for i in np.flatnonzero(same & (size_a > long)).tolist():
+        same[i] = np.array_equal(data[a[i] : a[i] + size_a[i]], data[b[i] : b[i] + size_a[i]])
+    return same
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """The minimum of each ``width`` consecutive values, by doubling."""
     n = len(x) - width + 1

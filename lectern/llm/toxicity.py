@@ -52,11 +52,10 @@ def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np
     for lo, hi, data, offs in tokens.slices(column):
         low = tokens.lower(data)
         starts, ends, rows = tokens.words(low, offs, _EDGE)
-        sums = _HASH.sums(_HASH.values[low])
-        whole = _HASH.ranges(sums, starts, ends)
+        whole = _HASH.words(low, starts, ends)
         ids = [whole % np.uint64(BUCKETS)]
         for n in PREFIXES:
-            short = _HASH.ranges(sums, starts, np.minimum(starts + n, ends))
+            short = _HASH.words(low, starts, np.minimum(starts + n, ends))
             ids.append(tokens.Hasher.mixed(short + np.uint64(n)) % np.uint64(BUCKETS))
         at = np.minimum(np.searchsorted(_KNOWN, whole), len(_KNOWN) - 1)
         is_function = _KNOWN[at] == whole

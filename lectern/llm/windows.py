@@ -4,14 +4,14 @@ A window is ``width`` consecutive units (words or bytes) of one document. Consec
 share a minimiser form a super-k-mer (``tokens.super_kmers``), so equal windows always lie in
 super-k-mers of one minimiser, and minimisers are dealt out to buckets by hash.
 
-0. Of documents with one text (by a hash of 128 bits) the one of least id stands for all.
+0. Of documents with one text (by its SHA-256) the one of least id stands for all.
 1. *Anchors*: a row (minimiser, document, ordinal) for each super-k-mer, about one for each half window.
 2. Minimisers that occur once are dropped: their windows occur once. This is a count with partial aggregation and a join
    by minimiser (whose large partitions Spark splits).
 3. The ordinals that are left go back to their documents, which send each such super-k-mer to its bucket as one
    packed string.
 4. A bucket orders its windows and reports the repeated ones as ranges of units. A minimiser with over ``hot`` super-k-mers
-   is no bucket: its windows travel as hashes of 128 bits and are counted by an aggregate with partial aggregation,
+   is no bucket: its windows travel as 128-bit digests and are counted by an aggregate with partial aggregation,
    so that no task ever holds a group of unbounded size.
 5. The ranges go back to the documents.
 
@@ -47,8 +47,8 @@ class Unit:
     split: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, Callable[[int, int], bytes]]]
     #: packed strings, documents, starts -> (index of string, first window, last window + 1) of repeated runs of windows
     order: Callable[[list[bytes], np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
-    #: packed string -> two uint64 hashes of each of its windows
-    hashes: Callable[[bytes], tuple[np.ndarray, np.ndarray]]
+    #: packed string -> the 128-bit digest of each of its windows, as two uint64
+    digests: Callable[[bytes], tuple[np.ndarray, np.ndarray]]
     #: whether the first occurrence of a window is not counted as a repeat
     spare_first: bool
 
@@ -142,13 +142,13 @@ def ordered(cold: DataFrame, unit: Unit, parts: int) -> DataFrame:
 
 
 def counted(hot: DataFrame, unit: Unit) -> DataFrame:
-    """(key, s, e) for the windows of hot minimisers, counted as hashes of 128 bits by Spark's aggregate."""
+    """(key, s, e) for the windows of hot minimisers, counted as 128-bit digests by Spark's aggregate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
-                pairs = [unit.hashes(p) for p in part.column(2).to_pylist()]
+                pairs = [unit.digests(p) for p in part.column(2).to_pylist()]
                 sizes = [len(a) for a, _ in pairs]
                 offset = np.concatenate([np.arange(n) for n in sizes])
                 keys, starts = (np.repeat(part.column(i).to_numpy(zero_copy_only=False), sizes) for i in (0, 1))
@@ -173,9 +173,9 @@ def repeated(docs: DataFrame, unit: Unit, id_col: str = "doc_id", text_col: str
     rows, repeats = keyed(docs, id_col, text_col, keep)
     rows = rows.select("key", name, "text")
     base = stored(rows.dropDuplicates(["key"]), "documents") if repeats else rows
-    hashed = base.select("key", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))
-    groups = hashed.groupBy("h", "g").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    copies = hashed.join(groups.select(F.col("h").alias("_h"), F.col("g").alias("_g"), "first"), (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g")))
+    hashed = base.select("key", F.unhex(F.sha2("text", 256)).alias("h"))
+    groups = hashed.groupBy("h").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = hashed.join(groups.select(F.col("h").alias("_h"), "first"), F.col("h") == F.col("_h"))
     copies = stored(copies.select(F.col("key").alias("_c"), (F.col("key") != F.col("first")).alias("again")), "copies")
     parts = parts_for(base, 8)
     dealt = base.repartition(parts, "key").join(copies, F.col("key") == F.col("_c"), "left")

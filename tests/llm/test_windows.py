@@ -104,3 +104,54 @@ def test_words_are_the_patterns(texts):
         s, e, _ = tokens.words(data, offs, tokens.SPACES)
         got += [data[a:b].tobytes().decode() for a, b in zip(s.tolist(), e.tolist(), strict=True)]
     assert got == [w for t in texts for w in SPACE.findall(t)]
+
+
+def _thue_morse(n):
+    a = np.array([bin(i).count("1") % 2 for i in range(n)])
+    return "".join("ab"[x] for x in a), "".join("ba"[x] for x in a)
+
+
+@pytest.mark.parametrize("n", [64, 1024, 4096])
+def test_words_that_sums_of_powers_confuse(spark, n):
+    from lectern.llm import decontaminate
+
+    one, two = _thue_morse(n)
+    shared = [f"w{i}" for i in range(34)]
+    docs = spark.createDataFrame([(1, " ".join([*shared, one])), (2, " ".join([*shared, two]))], "doc_id long, text string")
+    assert [r.n_removed for r in substrings.report(docs).collect()] == [0, 0]
+    bench = spark.createDataFrame([(1, " ".join([*shared[:9], one]))], "item_id long, text string")
+    texts = spark.createDataFrame([(1, " ".join([*shared[:9], two])), (2, " ".join([*shared[:9], one]))], "doc_id long, text string")
+    assert {r.doc_id: r.n_hit for r in decontaminate.report(texts, bench).collect()} == {1: 0, 2: 10}
+
+
+def test_windows_of_one_hash_are_compared_by_bytes(prose):
+    """With a hash that says nothing, buckets still count exactly."""
+    width = 5
+    texts = [" ".join(t.split()).encode() for t in prose[:40] if len(t.split()) >= width]
+    real = substrings._RUN.grams
+    want = substrings._order(texts, None, None, width)
+    try:
+        substrings._RUN.grams = lambda items, k: real(items, k) * np.uint64(0)
+        got = substrings._order(texts, None, None, width)
+    finally:
+        del substrings._RUN.grams
+    assert all((a == b).all() for a, b in zip(got, want, strict=True)) and len(want[0])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.binary(max_size=90), min_size=1, max_size=6))
+def test_hashes_and_comparisons_go_by_the_bytes(words):
+    data = np.frombuffer(b"".join(words), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    starts = ends - [len(w) for w in words]
+    h = tokens.Hasher(3).words(data, starts, ends)
+    i, j = (x.ravel() for x in np.indices((len(words),) * 2))
+    same = tokens.same_bytes(data, starts[i], starts[j], (ends - starts)[i], (ends - starts)[j], long=40)
+    assert same.tolist() == [words[a] == words[b] for a, b in zip(i, j, strict=True)] == (h[i] == h[j]).tolist()
+
+
+def test_radix_groups_are_in_order_of_suffixes():
+    data = np.frombuffer(b"mississippi river mississippi mud " * 3, np.uint8)
+    at, _ = suffixes.radix_groups(data, np.arange(len(data) - 19), 20)
+    strings = [data[i : i + 20].tobytes() for i in at]
+    assert strings == sorted(strings)

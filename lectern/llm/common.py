@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 
 #: Bytes of a batch that crosses to or from a Python worker; Spark's own default, 64 MB, is held several times over there.
@@ -26,17 +28,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver share.
+    """The folder that every executor and the driver share: ``spark.checkpoint.dir``, which clusters name.
 
-    Clusters name it in ``spark.checkpoint.dir``; only where that is unset (tests,
-    a single machine) is a folder made here.
+    Where it is unset, on one machine as in tests, the session's own Spark context gets a folder, once. Elsewhere that is an error.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    made = tempfile.mkdtemp(prefix="lectern-shared-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    context = spark.sparkContext
+    if not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not hasattr(context, "_lectern_shared"):
+        context._lectern_shared = tempfile.mkdtemp(prefix="lectern-shared-")
+    return context._lectern_shared
 
 
 def stored(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
@@ -71,7 +75,7 @@ def fold(column: str, modulus: int):
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> tuple[DataFrame, bool]:
     """``docs`` as (key, doc_id, text), and the column ``keep``, and whether keys may repeat: key is unique for each (doc_id, text) and ascends with doc_id.
 
-    Ids that are unique and not null are their own keys, found out by counting ids only.
+    Integers that are unique and not null are their own keys, found out by counting ids only.
     Otherwise distinct (doc_id, text hash) pairs are numbered in sorted order (nulls first),
     so repeated rows are one document and rows that share an id but not a text are several.
     Null texts become empty ones.
@@ -79,7 +83,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     extra = [keep] if keep else []
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *extra)
     odd = base.groupBy("doc_id").count().filter((F.col("count") > 1) | F.col("doc_id").isNull())
-    if odd.limit(1).count() == 0:
+    if isinstance(base.schema["doc_id"].dataType, IntegralType) and odd.limit(1).count() == 0:
         # never null, and known not to be, so joins add no filter that would set their exchanges of the texts apart
         return base.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"), "doc_id", "text", *extra), False
     named = base.withColumn("th", F.sha2("text", 256))

@@ -5,16 +5,20 @@ is the sum of its paragraphs' vectors, lane by lane, modulo a power of two. So t
 paragraphs doesn't matter, and a paragraph is inserted or deleted by adding or subtracting
 its vector. The vector has two parts:
 
-* ``DENSE`` lanes of 48 bits, each a seeded hash of the whole paragraph, summed modulo 2^48.
-  Equal sums mean equal multisets of paragraphs, up to a chance of about 2^-192.
-* ``WIDE`` lanes that sum, modulo 2^32, the hash bits of the paragraph's word pairs, and one lane
-  that counts the pairs. With n pairs in all, 2 * lane - n is a random +-1 projection of the
-  multiset of pairs, so the cosine of two such vectors estimates how much two texts share.
+* ``DENSE`` lanes of 40 bits, each a hash of the whole paragraph under a seed of its own, summed modulo 2^40. Texts whose
+  paragraphs differ have equal sums by chance only, of about 2^-200; the hash isn't cryptographic, so it doesn't hold
+  against texts that are made to collide.
+* ``HASHES`` times 60 wide lanes of 20 bits, three to a number: sums of the bits of hashes of the
+  paragraph's word pairs. With n pairs in all, 2 * lane - n is a random +-1 projection of the
+  multiset of pairs, so the cosine of two such vectors estimates the cosine of the multisets, with a
+  standard error of at most 0.065 (one over the root of 240). In texts of over 2 million words lanes may run into the next one, which
+  equality doesn't mind, but likeness does.
 
 Cases: null texts are empty; an empty text is one empty paragraph without word pairs; two texts
 without word pairs are alike (1) if their fingerprints are equal, else 0; rows that repeat both
 id and text get equal rows; where rows share an id but not a text, all are fingerprinted and the
-least text stands for the id as somebody's next document; null ids come last in descending order;
+least text stands for the id as somebody's next document; null ids come last in descending order (an id of -2^63 counts
+as null); ids of other types than integers are taken in their own order;
 an empty table gives an empty result; further columns are ignored.
 """
 
@@ -22,18 +26,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lectern.llm.common import parts_for, stored
 
-DENSE = 4
-WIDE = 64
-_LOW = (1 << 48) - 1
+DENSE = 5
+HASHES = 4
+BITS = 20
+_LOW = (1 << 40) - 1
+_LANE = (1 << BITS) - 1
 _NO_ID = -(1 << 63)
-_TWO = 0x0000000100000001  # two lanes of 32 bits in a long
-
-
-def _lanes() -> list[str]:
-    return [f"d{i}" for i in range(DENSE)] + [f"w{i}" for i in range(WIDE // 2)]
+_THREE = 1 | 1 << BITS | 1 << 2 * BITS  # three lanes in a long
 
 
 def vectors(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
@@ -45,40 +48,48 @@ def vectors(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFr
     paragraphs = texts.select(*keys, F.explode(F.split(text_col, "\n")).alias("_p"))
     paragraphs = paragraphs.select(*keys, "_p", F.filter(F.split("_p", "[ \\t\\r\\f]+"), lambda w: w != "").alias("_w"))
     # each word with the one before it; the first with a mark
-    pairs = F.zip_with(F.concat(F.array(F.lit("")), F.slice(F.col("_w"), 1, F.greatest(F.size("_w") - 1, F.lit(0)))), F.col("_w"), lambda a, b: F.xxhash64(a, b))
-    rows = paragraphs.select(*keys, *[F.xxhash64("_p", F.lit(i)).bitwiseAND(F.lit(_LOW)).alias(f"d{i}") for i in range(DENSE)], F.when(F.size("_w") > 0, pairs).otherwise(F.array().cast("array<bigint>")).alias("_x"))
+    before = F.concat(F.array(F.lit("")), F.slice(F.col("_w"), 1, F.greatest(F.size("_w") - 1, F.lit(0))))
+    pairs = F.zip_with(before, F.col("_w"), lambda a, b: F.xxhash64(a, b))
+    rows = paragraphs.select(*keys, *[F.xxhash64(F.lit(i), "_p").bitwiseAND(F.lit(_LOW)).alias(f"d{i}") for i in range(DENSE)], F.when(F.size("_w") > 0, pairs).otherwise(F.array().cast("array<bigint>")).alias("_x"))
     rows = rows.select(*keys, *[f"d{i}" for i in range(DENSE)], F.posexplode_outer("_x").alias("_at", "_h"))
+    # further hashes of a pair follow from its first
+    rows = rows.select(*keys, *[f"d{i}" for i in range(DENSE)], "_at", "_h", *[F.when(F.col("_h").isNotNull(), F.xxhash64(F.lit(-1 - k), "_h")).alias(f"_h{k}") for k in range(HASHES)])
     once = F.coalesce(F.col("_at"), F.lit(0)) == 0
     sums = [F.sum(F.when(once, F.col(f"d{i}")).otherwise(F.lit(0))).alias(f"d{i}") for i in range(DENSE)]
-    wide = [F.coalesce(F.sum(F.shiftrightunsigned("_h", i).bitwiseAND(F.lit(_TWO))), F.lit(0)).alias(f"w{i}") for i in range(WIDE // 2)]
+    wide = [F.coalesce(F.sum(F.shiftrightunsigned(f"_h{k}", i).bitwiseAND(F.lit(_THREE))), F.lit(0)).alias(f"w{k * BITS + i}") for k in range(HASHES) for i in range(BITS)]
     out = rows.groupBy(*keys).agg(F.count("_h").alias("pairs"), F.sum(F.when(once, 1).otherwise(0)).alias("paragraphs"), *sums, *wide)
-    return out.withColumns({f"d{i}": F.col(f"d{i}").bitwiseAND(F.lit(_LOW)) for i in range(DENSE)})
+    return out.select(*keys, "pairs", "paragraphs", F.array(*[F.col(f"d{i}").bitwiseAND(F.lit(_LOW)) for i in range(DENSE)]).alias("dense"), F.array(*[f"w{i}" for i in range(HASHES * BITS)]).alias("wide"))
 
 
-def lanes_array() -> Column:
-    """The wide lanes as an array of WIDE longs."""
-    low = F.lit((1 << 32) - 1)
-    return F.array(*[x for i in range(WIDE // 2) for x in (F.col(f"w{i}").bitwiseAND(low), F.shiftrightunsigned(f"w{i}", 32))])
+def lanes(wide: Column) -> Column:
+    """The wide lanes one by one."""
+    return F.flatten(F.transform(wide, lambda x: F.array(*[F.shiftrightunsigned(x, BITS * k).bitwiseAND(F.lit(_LANE)) for k in range(3)])))
 
 
-def packed() -> Column:
+def packed(pairs: Column, paragraphs: Column, dense: Column, wide: Column) -> Column:
     """The fingerprint string: counts, dense lanes and wide lanes in hexadecimal digits."""
     pad = lambda c, n: F.lpad(F.lower(F.hex(c)), n, "0")
-    return F.concat_ws("", pad(F.col("paragraphs"), 8), pad(F.col("pairs"), 8), *[pad(F.col(f"d{i}"), 12) for i in range(DENSE)], *[pad(F.col(f"w{i}"), 16) for i in range(WIDE // 2)])
+    return F.concat(pad(paragraphs, 8), pad(pairs, 8), F.array_join(F.transform(dense, lambda x: pad(x, 10)), ""), F.array_join(F.transform(wide, lambda x: pad(x, 16)), ""))
+
+
+def add(a: Column, b: Column, sign: int = 1, bits: int = BITS) -> Column:
+    """Lane-wise sum (or difference) of two arrays of lanes modulo 2^bits: insertion and deletion of paragraphs."""
+    return F.zip_with(a, b, lambda x, y: (x + (y if sign > 0 else -y)).bitwiseAND(F.lit((1 << bits) - 1)))
+
+
+def projection(wide: Column, pairs: Column) -> Column:
+    """The +-1 projections of the pairs, as doubles."""
+    return F.transform(lanes(wide), lambda s: (2 * s - pairs).cast("double"))
 
 
-def add(a: Column, b: Column, sign: int = 1) -> Column:
-    """Lane-wise sum (or difference) of two arrays of wide lanes modulo 2^32: insertion and deletion of paragraphs."""
-    return F.zip_with(a, b, lambda x, y: (x + (y if sign > 0 else -y)).bitwiseAND(F.lit((1 << 32) - 1)))
+def dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def likeness(a: Column, n_a: Column, print_a: Column, b: Column, n_b: Column, print_b: Column) -> Column:
-    """0 to 1: the cosine of two projections, at least 0; 1 for equal fingerprints."""
-    signed = lambda lanes, n: F.transform(lanes, lambda s: (2 * s - n).cast("double"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
-    x, y = signed(a, n_a), signed(b, n_b)
-    cosine = F.try_divide(dot(x, y), F.sqrt(dot(x, x) * dot(y, y)))
-    return F.when(print_a == print_b, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(cosine, F.lit(0.0)))))
+def likeness(a: Column, norm_a: Column, b: Column, norm_b: Column, equal: Column) -> Column:
+    """0 to 1: the cosine of two projections with their squared norms, at least 0; 1 for equal fingerprints."""
+    cosine = F.try_divide(dot(a, b), F.sqrt(norm_a * norm_b))
+    return F.when(equal, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(cosine, F.lit(0.0)))))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,7 +98,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = base.withColumn("th", F.sha2("text", 256))
     # equal rows add up to a multiple of the row; the count divides it again
     one = base.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
-    return vectors(one.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), ["doc_id", "th", "copy"]).select("doc_id", packed().alias("fingerprint"))
+    return vectors(one.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), ["doc_id", "th", "copy"]).select("doc_id", packed(*map(F.col, ("pairs", "paragraphs", "dense", "wide"))).alias("fingerprint"))
 
 
 def following(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -110,6 +121,18 @@ def following(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``edited_rows``, for ids of any type: those that are no integers are numbered in their order first."""
+    if isinstance(docs.schema[id_col].dataType, IntegralType):
+        return edited_rows(docs, id_col, text_col)
+    named = docs.select(F.col(id_col).alias("_name"), F.col(text_col).alias("text"))
+    numbers = stored(named.select("_name").distinct().orderBy(F.col("_name").asc_nulls_first()).withColumn("doc_id", F.monotonically_increasing_id()), "numbers")
+    known = numbers.withColumnRenamed("_name", "_known")
+    rows = edited_rows(named.join(known, F.col("_name").eqNullSafe(F.col("_known"))).select("doc_id", "text"))
+    back = numbers.withColumnRenamed("doc_id", "_number")
+    return rows.join(back, F.col("doc_id") == F.col("_number")).select(F.col("_name").alias("doc_id"), *rows.columns[1:])
+
+
+def edited_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text against its edited text and the next document, by descending id.
 
     Edited: the last floor(n/2) code points give way to the first as many (or all) of the next
@@ -139,15 +162,16 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kinds = rows.select("doc_id", "version", "copies", "least", "n_chars", "edited_sha256", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("v"))
     keys = ["doc_id", "version", "copies", "least", "n_chars", "edited_sha256", "kind"]
     sums = vectors(kinds.select("doc_id", "version", "copies", "least", "n_chars", "edited_sha256", "v.kind", "v.text"), keys)
-    made = stored(sums.select(*keys, "pairs", packed().alias("print"), lanes_array().alias("lanes")), "prints")
-    own, changed = made.filter("kind = 0"), made.filter("kind = 1").select(F.col("doc_id").alias("_e"), F.col("version").alias("_v"), F.col("pairs").alias("e_pairs"), F.col("print").alias("e_print"), F.col("lanes").alias("e_lanes"))
-    follows = own.filter("least").select(F.col("doc_id").alias("_f"), F.col("pairs").alias("f_pairs"), F.col("print").alias("f_print"), F.col("lanes").alias("f_lanes"))
-    out = own.join(changed, (F.col("doc_id") == F.col("_e")) & (F.col("version") == F.col("_v")))
-    out = out.join(after.select(F.col("doc_id").alias("_a"), "next_id"), F.col("doc_id") == F.col("_a")).join(follows, F.col("next_id") == F.col("_f"))
+    vector = ["pairs", "paragraphs", "dense", "wide"]
+    # a text and its edited text lie in one partition, as the texts were dealt, and meet in one row
+    side = lambda kind: F.first(F.when(F.col("kind") == kind, F.struct(*vector)), ignorenulls=True)
+    made = stored(sums.groupBy(*keys[:-1]).agg(side(0).alias("own"), side(1).alias("changed")), "prints")
+    follows = made.filter("least").select(F.col("doc_id").alias("_f"), F.col("own").alias("after"))
+    out = made.join(after.select(F.col("doc_id").alias("_a"), "next_id"), F.col("doc_id") == F.col("_a")).join(follows, F.col("next_id") == F.col("_f"))
+    sides = ("own", "changed", "after")
+    out = out.withColumns({f"{c}_v": projection(F.col(f"{c}.wide"), F.col(f"{c}.pairs")) for c in sides}).withColumns({f"{c}_n": dot(F.col(f"{c}_v"), F.col(f"{c}_v")) for c in sides})
     if odd:
         out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(
-        F.nullif(F.col("doc_id"), F.lit(_NO_ID)).alias("doc_id"), "n_chars", "edited_sha256", F.col("print").alias("fingerprint"), F.col("e_print").alias("edited_fingerprint"),
-        likeness(F.col("lanes"), F.col("pairs"), F.col("print"), F.col("e_lanes"), F.col("e_pairs"), F.col("e_print")).alias("near_edited"),
-        likeness(F.col("lanes"), F.col("pairs"), F.col("print"), F.col("f_lanes"), F.col("f_pairs"), F.col("f_print")).alias("near_next"),
-    )
+    text = lambda c: packed(*[F.col(f"{c}.{x}") for x in vector])
+    near = lambda c: likeness(F.col("own_v"), F.col("own_n"), F.col(f"{c}_v"), F.col(f"{c}_n"), F.col("own") == F.col(c))
+    return out.select(F.nullif(F.col("doc_id"), F.lit(_NO_ID)).alias("doc_id"), "n_chars", "edited_sha256", text("own").alias("fingerprint"), text("changed").alias("edited_fingerprint"), near("changed").alias("near_edited"), near("after").alias("near_next"))

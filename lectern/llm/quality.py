@@ -90,19 +90,19 @@ def lengths_mean(lengths: np.ndarray, rows: np.ndarray, n: int, some: np.ndarray
     return np.bincount(rows, lengths, n) / some
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, one double for each of FEATURES) of every row, and the columns of ``keep`` before them."""
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """(doc_id, one double for each of FEATURES) of every row; with ``whole``, and _rest, a struct of all its columns."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    kept = keep if keep is not None else [id_col]
-    picked = docs.select(*[F.col(c) for c in kept], F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rest = [F.struct(*[F.col(c) for c in docs.columns]).alias("_rest")] if whole else []
+    picked = docs.select(F.col(id_col).alias("doc_id"), *rest, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     names = [f"_f{i}" for i in range(len(FEATURES))]
     schema = StructType([*picked.schema.fields[:-1], *[StructField(c, DoubleType()) for c in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stats = statistics_of(batch.column(batch.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(stats[:, i]) for i in range(stats.shape[1])]], [*kept, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(stats[:, i]) for i in range(stats.shape[1])]], schema.names)
 
     return picked.mapInArrow(tokens.trimmed(run), schema)
 
@@ -205,18 +205,18 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty:
     return Rules(b, [rules[i] for i in kept], [float(w[i]) for i in kept])
 
 
-def train(stats: DataFrame, labels: DataFrame, label_col: str, allowed: Column, id_col: str = "doc_id", max_rows: int = MAX_ROWS) -> Rules:
-    """Fit on at most ``max_rows`` labelled rows for which ``allowed`` holds, those of least hashed id."""
+def train(stats: DataFrame, labels: DataFrame, label_col: str, allowed: Column, max_rows: int = MAX_ROWS) -> Rules:
+    """Fit on at most ``max_rows`` labelled rows for which ``allowed``, of column doc_id, holds: those of least hashed id."""
     names = [f"_f{i}" for i in range(len(FEATURES))]
     known = labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_l")).agg(F.round(F.avg(label_col)).alias("_y"))
-    rows = stats.filter(allowed).join(known, F.col(id_col) == F.col("_l")).orderBy(F.xxhash64(id_col), *names).select("_y", *names).limit(max_rows).toPandas()
+    rows = stats.filter(allowed).join(known, F.col("doc_id") == F.col("_l")).orderBy(F.xxhash64("doc_id"), *names).select("_y", *names).limit(max_rows).toPandas()
     return fit(rows[names].to_numpy(), rows["_y"].to_numpy())
 
 
 def score(docs: DataFrame, labels: DataFrame, allowed: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) of every row."""
+    """(doc_id, score) of every row; ``allowed`` is of column doc_id."""
     stats = stored(statistics(docs, id_col, text_col), "statistics")
-    return stats.select(F.col(id_col).alias("doc_id"), train(stats, labels, label_col, allowed, id_col).column().alias("score"))
+    return stats.select("doc_id", train(stats, labels, label_col, allowed).column().alias("score"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, allowed: Column, threshold: float = 0.3, label_col: str = "quality", text_col: str = "text") -> DataFrame:
@@ -225,5 +225,5 @@ def accepted(docs: DataFrame, labels: DataFrame, allowed: Column, threshold: flo
     Statistics are made once for the fit, stored, and once more beside the rows, so that no text is moved.
     """
     rules = train(stored(statistics(docs, "doc_id", text_col), "statistics"), labels, label_col, allowed)
-    beside = statistics(docs, "doc_id", text_col, keep=docs.columns)
-    return beside.filter(rules.column() >= threshold).select(*docs.columns)
+    beside = statistics(docs, "doc_id", text_col, whole=True)
+    return beside.filter(rules.column() >= threshold).select("_rest.*")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontaminate, fingerprint, lm, neardup, quality, toxicity, warc
+from lectern.llm import bpe, decontaminate, fingerprint, lm, neardup, quality, substrings, suffixes, toxicity, warc
 from lectern.llm.common import fold
 
 
@@ -36,9 +36,65 @@ def test_fingerprints(spark, prose, odd):
 def test_fingerprints_are_homomorphic(spark):
     prints = {r.doc_id: r.fingerprint for r in fingerprint.fingerprints(frame(spark, ["a b\nc d e", "c d e\na b", "a b\nc d f"])).collect()}
     assert prints[0] == prints[1] != prints[2]
-    lanes = fingerprint.vectors(frame(spark, ["a b\nc d e", "a b", "c d e"]), ["doc_id"]).select("doc_id", fingerprint.lanes_array().alias("l")).collect()
-    by = {r.doc_id: np.array(r.l) for r in lanes}
-    assert (by[0] == by[1] + by[2]).all()
+    rows = fingerprint.vectors(frame(spark, ["a b\nc d e", "a b", "c d e"]), ["doc_id"]).select("doc_id", "wide", "dense", fingerprint.lanes(F.col("wide")).alias("l")).collect()
+    by = {r.doc_id: [np.array(x, np.int64) for x in (r.l, r.wide, r.dense)] for r in rows}
+    assert all((x == y + z).all() for x, y, z in zip(*(by[i][:2] for i in range(3)), strict=True))
+    assert ((by[1][2] + by[2][2]) % (1 << 40) == by[0][2]).all()
+    both = spark.createDataFrame([(by[0][0].tolist(), by[1][0].tolist(), by[0][2].tolist(), by[1][2].tolist())], "a array<long>, b array<long>, c array<long>, d array<long>")
+    left = both.select(fingerprint.add(F.col("a"), F.col("b"), -1).alias("wide"), fingerprint.add(F.col("c"), F.col("d"), -1, 40).alias("dense")).first()
+    assert left.wide == by[2][0].tolist() and left.dense == by[2][2].tolist()
+
+
+def test_fingerprints_of_texts_of_many_lines(spark):
+    rows = fingerprint.edited_likeness(frame(spark, ["a\n" * 100_000, "b c\n" * 100_000])).collect()
+    assert len({r.fingerprint for r in rows}) == 2 and all(r.near_next < 0.4 for r in rows)
+
+
+def test_dense_lanes_are_hashes_of_their_own(spark):
+    """No lane follows from another: paragraphs of equal first lanes (in a few bits) don't agree in the others."""
+    texts = [f"paragraph {i}" for i in range(2000)]
+    rows = fingerprint.vectors(frame(spark, texts), ["doc_id"]).select("dense").collect()
+    made = np.array([r.dense for r in rows])
+    first = made[:, 0] & 7
+    for lane in range(1, fingerprint.DENSE):
+        for value in range(8):
+            bits = (made[first == value, lane] & 7).tolist()
+            assert len(set(bits)) == 8
+
+
+def brute_likeness(a, b):
+    """The cosine of the multisets of word pairs of paragraphs."""
+    sets = []
+    for t in (a, b):
+        c = Counter()
+        for line in t.split("\n"):
+            w = [x for x in re.split(r"[ \t\r\f]+", line) if x]
+            c.update(zip(["", *w], w))
+        sets.append(c)
+    x, y = sets
+    norm = math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+    return sum(v * y[k] for k, v in x.items()) / norm if norm else 0.0
+
+
+def test_likeness_is_the_cosine_within_its_error(spark, prose):
+    rows = {r.doc_id: r for r in fingerprint.edited_likeness(frame(spark, prose)).collect()}
+    order = sorted(range(len(prose)), reverse=True)
+    errors = []
+    for a, b in zip(order, order[1:] + order[:1], strict=True):
+        t, n = prose[a], len(prose[a])
+        edited = t[: n - n // 2] + prose[b][: n // 2]
+        errors += [rows[a].near_edited - brute_likeness(t, edited), rows[a].near_next - brute_likeness(t, prose[b])]
+    assert np.std(errors) < 0.065 and max(map(abs, errors)) < 5 * 0.065
+
+
+def test_ids_that_are_no_integers(spark, prose):
+    named = frame(spark, prose[:30]).select(F.format_string("d%03d", "doc_id").alias("doc_id"), "text")
+    plain, said = ({int(str(r.doc_id).removeprefix("d")): r[1:] for r in fingerprint.edited_likeness(x).collect()} for x in (frame(spark, prose[:30]), named))
+    assert plain == said
+    for report in (substrings.report, suffixes.report):
+        a, b = (sorted(tuple(r)[1:] for r in report(x).collect()) for x in (frame(spark, prose[:30]), named))
+        assert a == b
+    assert neardup.classes(named).filter("representative").count() == neardup.classes(frame(spark, prose[:30])).filter("representative").count()
 
 
 # --- byte-level BPE ---
@@ -306,8 +362,9 @@ def test_quality(spark, odd):
     allowed = fold("doc_id", 5) != 0
     scored = quality.score(docs, labels, allowed)
     assert scored.count() == docs.count() and accuracy(scored, labels, "quality", 0.3) > 0.97
-    kept = quality.accepted(docs.withColumn("_f0", F.lit("clash")).drop("_f0"), labels, allowed)
-    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+    clash = docs.withColumns({c: F.lit("clash") for c in ("_f0", "_text", "_rest", "_y", "_l", "quality")})
+    kept = quality.accepted(clash, labels, allowed)
+    assert kept.columns == clash.columns and 0 < kept.count() < docs.count() and kept.filter("_f0 = 'clash'").count() == kept.count()
     none = quality.score(odd, labels.limit(0), allowed)
     assert none.count() == odd.count() and {r.score for r in none.collect()} == {0.5}
     assert quality.score(odd.limit(0), labels, allowed).count() == 0

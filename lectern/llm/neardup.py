@@ -7,17 +7,18 @@
 * Improved consistent weighted sampling (Ioffe 2010) draws ``BANDS * ROWS`` samples of each text; two texts agree in a
   sample with a probability equal to their weighted Jaccard similarity. Each shingle's random variables come
   from tables of ``RANDOMS`` entries by its hash, one place for each sample.
-* Exact copies (128-bit hash of the text) collapse to the one of least id first.
+* Exact copies (128-bit digest of the text) collapse to the one of least id first.
 * Texts that share a band are candidates. In a bucket of up to ``FEW`` texts all pairs whose sketches look alike are
-  verified. In a larger one members are held against leaders only: about ``PIVOTS`` members of random hash are pivots, and with
+  verified. A larger one gets a head start: for ``TURNS`` rounds, about ``PIVOTS`` members of random hash are pivots, and with
   them goes the member nearest to the pivots' consensus, as copies are nearest to what they were copied from. Pivots
   lead in order of how central they are, unless they are like a leader already. Every member streams past
   the leaders and is paired with those whose sketch looks like its own; a member that no leader resembles goes on to
-  the next round, with twice the pivots, until none is left. Large buckets are salted, and pivots go to
-  every salt, so neither memory nor pairs grow with the square of a group of copies.
+  the next round. Large buckets are salted, and pivots go to every salt, so neither memory nor pairs grow with the square of a
+  group of copies.
 * What leaders link are classes for a start. Then, in each larger bucket that still holds several classes, every two
-  members of different classes whose sketches look alike are verified too (``between_classes``), in pairs of blocks. Two
-  members of one class need no link of their own, so the classes are those of all pairs that share a band.
+  members of different classes whose sketches look alike are verified too (``between_classes``), in pairs of blocks: the
+  likeliest first, and at last all that a finer sketch of ``FINER`` times as many more samples leaves in doubt. Two
+  members of one class need no link of their own, so the classes are those of all pairs that share a band, whatever a bucket's size.
 * Pairs are verified by the weighted Jaccard similarity of all their shingles (>= ``THRESHOLD``) before they
   link. Shingles are packed by the documents that need them, and pivots of many pairs are salted.
 * Classes are the connected components of verified links and copies, by rounds of least labels with
@@ -30,7 +31,8 @@ gives an empty result; further columns are ignored or, in ``deduplicated``, kept
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,17 +49,21 @@ DF_BUCKETS = 1 << 18
 RANDOMS = 1 << 16
 #: Sketches this alike are worth verifying: 0.8 less three standard deviations of 48 samples.
 WORTH = 0.62
+#: The same of sketches and finer ones together, 192 samples.
+FINELY = 0.71
+FINER = 3
 #: Sketches this alike make a member a follower, which need not lead; ``between_classes`` makes up for its other links.
 FOLLOWS = 0.7
 FEW = 16
 PIVOTS = 64
+TURNS = 4
 SALT_ROWS = 2_000
 #: Likeliest partners of a member that ``between_classes`` tries before all others.
 BEST = 2
 #: Members of a block of ``between_classes``; two blocks are compared at a time.
 BLOCK = 256
 PAIRS_TOGETHER = 200
-_WORD, _GRAM, _TEXT = tokens.Hasher(97), tokens.Hasher(101), tokens.Hasher(103)
+_WORD, _GRAM = tokens.Hasher(97), tokens.Hasher(101)
 
 
 class Randoms:
@@ -71,7 +77,8 @@ class Randoms:
         gamma = lambda: -np.log(rng.random(RANDOMS) * rng.random(RANDOMS) + 1e-300)
         for j in range(samples):  # row by row, for temporaries of all would stay with the worker
             self.r[j], self.log_c[j], self.beta[j] = gamma(), np.log(gamma()), rng.random(RANDOMS)
-        self.turn = rng.integers(0, 1 << 62, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        # each sample has places of its own; finer sketches look at other places of the same tables
+        self.turn = rng.integers(0, 1 << 62, (1 + FINER, samples), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     @classmethod
     def of(cls) -> Randoms:
@@ -105,8 +112,8 @@ def shingled(column: pa.Array, idf: np.ndarray) -> Iterator[tuple[int, int, np.n
         yield lo, n, grams[begin], (mean[begin] * repeats).astype(np.float32), tokens.counts(row[begin], n)
 
 
-def sketches(grams: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """[rows, samples] of 32-bit samples; rows without shingles are all zero."""
+def sketches(grams: np.ndarray, weights: np.ndarray, counts: np.ndarray, turn: int = 0) -> np.ndarray:
+    """[rows, samples] of 32-bit samples; rows without shingles are all zero. Another ``turn`` gives other samples."""
     randoms = Randoms.of()
     out = np.zeros((len(counts), BANDS * ROWS), np.uint32)
     some = np.flatnonzero(counts)
@@ -116,7 +123,7 @@ def sketches(grams: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> np.n
     log_w = np.log(weights)
     row = np.repeat(np.arange(len(some)), counts[some])
     for j in range(BANDS * ROWS):
-        place = ((grams * randoms.turn[j]) >> np.uint64(48)).astype(np.int64)
+        place = ((grams * randoms.turn[turn, j]) >> np.uint64(48)).astype(np.int64)
         r = randoms.r[j][place]
         t = np.floor(log_w / r + randoms.beta[j][place])
         value = randoms.log_c[j][place] - r * (t - randoms.beta[j][place] + 1)
@@ -166,9 +173,24 @@ def sketched(base: DataFrame, idf) -> DataFrame:
                 short = made.astype(np.uint16)
                 sketch = pa.array([short[i].tobytes() if counts[i] else None for i in range(n)], pa.binary())
                 part = batch.slice(lo, n)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), bands, sketch], ["key", "a", "b", "bands", "sketch"])
+                data, offs = tokens.text_bytes(part.column(1))
+                said = np.frombuffer(b"".join(hashlib.blake2b(data[i:j], digest_size=16).digest() for i, j in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)), np.int64).reshape(n, 2)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(said[:, 0]), pa.array(said[:, 1]), bands, sketch], ["key", "a", "b", "bands", "sketch"])
 
-    return base.select("key", "text", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")).mapInArrow(tokens.trimmed(run), "key long, a long, b long, bands array<long>, sketch binary")
+    return base.select("key", "text").mapInArrow(tokens.trimmed(run), "key long, a long, b long, bands array<long>, sketch binary")
+
+
+def finely(base: DataFrame, idf, keys: DataFrame) -> DataFrame:
+    """(_w, fine): further samples of the texts of ``keys`` (key)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, n, grams, weights, counts in shingled(batch.column(1), idf.value):
+                made = np.concatenate([sketches(grams, weights, counts, 1 + k) for k in range(FINER)], axis=1).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.array([r.tobytes() for r in made], pa.binary())], ["_w", "fine"])
+
+    wanted = keys.select(F.col("key").alias("_k")).distinct()
+    return stored(base.select("key", "text").join(wanted, F.col("key") == F.col("_k"), "left_semi").mapInArrow(tokens.trimmed(run), "_w long, fine binary"), "finer")
 
 
 def _leaders(keys: list[int], heads: np.ndarray, few: bool) -> tuple[list[int], list[tuple[int, int]]]:
@@ -282,22 +304,22 @@ def candidates(texts: DataFrame, salt_rows: int = SALT_ROWS, pivots: int = PIVOT
         rounds.append(made.filter("sketch is null").select("x", "y"))
         left = made.filter("sketch is not null").select("bucket", F.col("y").alias("key"), "sketch")
         sizes = left.groupBy("bucket").count().filter("count > 1").select(F.col("bucket").alias("_b"), F.col("count").alias("n"))
-        if sizes.limit(1).count() == 0:
+        if len(rounds) == TURNS or sizes.limit(1).count() == 0:
             break
         members = left.join(sizes, F.col("bucket") == F.col("_b")).select("bucket", "key", "n", "sketch")
-        pivots *= 2
     found = rounds[0]
     for more in rounds[1:]:
         found = found.unionByName(more)
     return found.groupBy(F.least("x", "y").alias("_lo"), F.greatest("x", "y").alias("_hi")).agg(F.min("x").alias("x")).select("x", (F.col("_lo") + (F.col("_hi") - F.col("x"))).alias("y"))
 
 
-def between_classes(texts: DataFrame, roots: DataFrame, tried: DataFrame, best: int | None = None, block: int = BLOCK) -> DataFrame:
+def between_classes(texts: DataFrame, roots: DataFrame, tried: DataFrame, best: int | None = None, block: int = BLOCK, finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Distinct pairs (x, y), not among ``tried``, of texts that share a band of over ``FEW``, look alike and are in different classes.
 
     ``roots`` has (key, root) of texts that are linked. A bucket's largest class is held against the others only; these, in
     blocks of about ``block``, against themselves and against blocks of it. With ``best``, only so many likeliest
     partners of a member in each pair of blocks: what they link needs no further pairs, and a call without it finds the rest.
+    ``finer`` makes (_w, fine) of the members' keys; then pairs must look alike by these samples, too.
     """
     rows = texts.select("key", F.explode("bands").alias("bucket"))
     sizes = rows.groupBy("bucket").count().filter(F.col("count") > FEW).select(F.col("bucket").alias("_b"))
@@ -309,13 +331,16 @@ def between_classes(texts: DataFrame, roots: DataFrame, tried: DataFrame, best:
     if members.limit(1).count() == 0:
         return tried.limit(0)
     whole = members.join(texts.select(F.col("key").alias("_k"), "sketch", "bands"), F.col("key") == F.col("_k"))
+    whole = whole.join(finer(members), F.col("key") == F.col("_w")) if finer else whole.withColumn("fine", F.lit(b""))
     own = F.pmod(F.xxhash64("key", F.lit(-2)), F.when(F.col("of_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
     others = F.sequence(F.lit(0), F.col("others") - 1)
     place = lambda i, j, right: F.struct(i.alias("i"), j.alias("j"), right.alias("right"))
     # blocks i <= j of the other classes, and block i of them with block -1 - j of the largest
     of_main = F.transform(others, lambda i: place(i, -1 - F.col("own"), F.lit(True)))
     of_others = F.concat(F.transform(others, lambda o: place(F.least(o, "own"), F.greatest(o, "own"), o < F.col("own"))), F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda m: place(F.col("own"), -1 - m, F.lit(False))))
-    dealt = whole.withColumn("own", own).select("bucket", "key", "root", "sketch", "bands", F.explode(F.when(F.col("of_main"), of_main).otherwise(of_others)).alias("p")).select("bucket", "p.i", "p.j", "p.right", "key", "root", "sketch", "bands")
+    dealt = whole.withColumn("own", own).select("bucket", "key", "root", "sketch", "bands", "fine", F.explode(F.when(F.col("of_main"), of_main).otherwise(of_others)).alias("p")).select("bucket", "p.i", "p.j", "p.right", "key", "root", "sketch", "bands", "fine")
+
+    further = finer is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here: tuple = ()
@@ -324,7 +349,8 @@ def between_classes(texts: DataFrame, roots: DataFrame, tried: DataFrame, best:
         def pairs() -> Iterator[pa.RecordBatch]:
             if not sides[0] or not (sides[1] or here[1] == here[2]):
                 return
-            (k, r, s, b), (k2, r2, s2, b2) = ((np.array([m[0] for m in side]), np.array([m[1] for m in side]), np.frombuffer(b"".join(m[2] for m in side), np.uint16).reshape(len(side), -1), np.array([m[3] for m in side])) for side in (sides[0], sides[1] or sides[0]))
+            rows = lambda side, at: np.frombuffer(b"".join(m[at] for m in side), np.uint16).reshape(len(side), -1)
+            (k, r, s, b, f), (k2, r2, s2, b2, f2) = ((np.array([m[0] for m in side]), np.array([m[1] for m in side]), rows(side, 2), np.array([m[3] for m in side]), rows(side, 4)) for side in (sides[0], sides[1] or sides[0]))
             for lo in range(0, len(k), 64):
                 part = slice(lo, lo + 64)
                 alike = (s[part, None, :] == s2[None, :, :]).mean(2)
@@ -340,16 +366,20 @@ def between_classes(texts: DataFrame, roots: DataFrame, tried: DataFrame, best:
                     np.put_along_axis(kept, np.argpartition(-near, best - 1, axis=1)[:, :best], True, 1)
                     wanted &= kept
                 at, to = np.nonzero(wanted)
+                if further and len(at):
+                    agree = alike[at, to] * s.shape[1] + (f[part][at] == f2[to]).sum(1)
+                    sure = agree >= FINELY * (s.shape[1] + f.shape[1])
+                    at, to = at[sure], to[sure]
                 if len(at):
                     yield pa.RecordBatch.from_arrays([pa.array(k[part][at]), pa.array(k2[to])], ["x", "y"])
 
         for batch in batches:
-            buckets, i, j, right, keys, classes, raw, bands = (c.to_pylist() for c in batch.columns)
+            buckets, i, j, right, keys, classes, raw, bands, fine = (c.to_pylist() for c in batch.columns)
             for n, group in enumerate(zip(buckets, i, j, strict=True)):
                 if group != here:
                     yield from pairs()
                     here, sides = group, ([], [])
-                sides[right[n]].append((keys[n], classes[n], raw[n], bands[n]))
+                sides[right[n]].append((keys[n], classes[n], raw[n], bands[n], fine[n]))
         yield from pairs()
 
     dealt = dealt.repartition(parts_for(texts, 16), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
@@ -436,7 +466,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     pairs = stored(candidates(texts), "pairs")
     first = components(verified(pairs, base, idf, threshold).select("x", "y"))
     for best in (BEST, None):
-        more = stored(between_classes(texts, first, pairs, best), "pairs")
+        more = stored(between_classes(texts, first, pairs, best, finer=None if best else lambda keys: finely(base, idf, keys)), "pairs")
         links = first.select(F.col("key").alias("x"), F.col("root").alias("y")).unionByName(verified(more, base, idf, threshold).select("x", "y"))
         if best is not None:
             first, pairs = components(links), pairs.unionByName(more)

@@ -10,7 +10,7 @@ all training documents' counts in their first biases.
    documents), with the chunk's vocabulary: hashes of 64 bits and counts, packed by range of hash. 64-bit hashes stand for words;
    among 10^8 distinct words the chance that any two share one is about 3 in 10^4.
 2. *Count*: each range adds up its words over all chunks and sends each chunk its words' totals. A word has one entry a
-   chunk, so no word is hot.
+   chunk, so no word is hot; a chunk makes a row for each range that it has words of, so no more rows than words.
 3. *Train*: truncated backpropagation through time, as parallel streams whose state is carried across windows and cleared after
    each end. A bounded sample of training documents (``MAX_ROWS`` of least hashed id, up to ``MAX_TOKENS``) gives the weights to start
    from. Then all training documents are dealt by hash into ``ROUNDS`` rounds and into shards of about ``SHARD`` tokens; in a round
@@ -44,11 +44,13 @@ GROUPS = 128
 HIDDEN = 16
 CLASSES = 16
 CHUNK = 4_000_000
+#: Bytes of text for each range of hashes: a range's entries, about a million, are counted in one task.
+RANGE = 128_000_000
 MAX_ROWS = 4_000
 MAX_TOKENS = 800_000
 ROUNDS = 3
 SHARD = 2_000_000
-STREAMS = 64
+STREAMS = 256
 RATE = 0.01
 WEIGHTS = ("enter", "turn", "to_class", "class_bias", "to_word", "word_bias")
 _HASH = tokens.Hasher(127)
@@ -228,7 +230,8 @@ class Network:
             at += w.size
         return own
 
-    def step(self, ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
+    def step(self, ids: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The state after ``ids``."""
         x = self.enter[ids]
         gates = x[:, : 2 * HIDDEN] + h @ self.turn[:, : 2 * HIDDEN]
         np.negative(gates, out=gates)
@@ -236,18 +239,17 @@ class Network:
         gates += 1
         np.reciprocal(gates, out=gates)
         z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        rh = r * h
-        new = rh @ self.turn[:, 2 * HIDDEN :]
+        new = (r * h) @ self.turn[:, 2 * HIDDEN :]
         new += x[:, 2 * HIDDEN :]
         np.tanh(new, out=new)
-        return h + z * (new - h), (ids, h, z, r, rh, new)
+        return h + z * (new - h)
 
     def log_p(self, h: np.ndarray, ids: np.ndarray, grads: dict | None = None) -> np.ndarray:
         """Natural log P(id | state) of each row; with ``grads``, also adds up the gradients of -sum(log P)."""
         logits = h @ self.to_class + self.class_bias
         logits -= logits.max(1, keepdims=True)
         e = np.exp(logits)
-        total = e.sum(1)
+        total = e @ np.ones(e.shape[1], e.dtype)  # quicker than a sum along short rows
         k = self.klass[ids]
         rows = np.arange(len(ids))
         out = logits[rows, k] - np.log(total)
@@ -270,7 +272,7 @@ class Network:
             at = np.arange(len(some)), self.place[ids[some]]
             own = logits[at]
             np.exp(logits, out=logits)
-            total = logits.sum(1)
+            total = logits @ np.ones(logits.shape[1], logits.dtype)
             out[some] += own - np.log(total)
             if grads is not None:
                 logits /= total[:, None]
@@ -280,59 +282,77 @@ class Network:
                 grads["h"][some] += logits @ self.to_word[members]
         return out
 
-    def fit(self, texts: list[np.ndarray], streams: int = 32, window: int = 24, epochs: int = 2, rate: float = RATE) -> None:
-        """Truncated backpropagation through ``window`` steps of parallel streams of whole texts."""
+    def fit(self, texts: list[np.ndarray], streams: int = 128, window: int = 24, epochs: int = 2, rate: float = RATE) -> None:
+        """Truncated backpropagation through ``window`` steps of parallel streams of whole texts, by Adam."""
         if not texts:
             return
         line = np.concatenate(texts)
+        streams = min(streams, max(1, len(line) // (2 * window)))
         n = len(line) // streams
         if n < 2:
             return
         table = line[: n * streams].reshape(streams, n).T
-        names = WEIGHTS
-        state = {k: (np.zeros_like(getattr(self, k)), np.zeros_like(getattr(self, k))) for k in names}
+        state = {k: (np.zeros_like(getattr(self, k)), np.zeros_like(getattr(self, k))) for k in WEIGHTS}
         t = 0
-        steps = epochs * (n // window + 1)
+        steps = epochs * -(-n // window)
         for _ in range(epochs):
             h = np.zeros((streams, HIDDEN), np.float32)
             before = np.full(streams, _END_ID)
             for lo in range(0, n, window):
                 part = table[lo : lo + window]
-                states, kept, resets = [], [], []
-                for ids in part:
-                    # the state is clear at a text's start, and else takes in the token before
-                    clear = before == _END_ID
-                    new, memory = self.step(before, h)
-                    h = np.where(clear[:, None], np.float32(0), new)
-                    kept.append(memory)
-                    resets.append(clear)
-                    states.append(h)
-                    before = ids
-                grads = {k: np.zeros_like(getattr(self, k)) for k in names}
-                self.log_p(np.concatenate(states), part.reshape(-1), grads)
-                from_output = grads.pop("h").reshape(len(part), streams, HIDDEN)
-                back = np.zeros((streams, HIDDEN), np.float32)
-                for i in range(len(part) - 1, -1, -1):
-                    d = (from_output[i] + back) * ~resets[i][:, None]
-                    ids, old, z, r, rh, new = kept[i]
-                    d_new = d * z * (1 - new * new)
-                    d_z = d * (new - old) * z * (1 - z)
-                    d_rh = d_new @ self.turn[:, 2 * HIDDEN :].T
-                    d_r = d_rh * old * r * (1 - r)
-                    d_gates = np.concatenate([d_z, d_r], axis=1)
-                    grads["turn"][:, 2 * HIDDEN :] += rh.T @ d_new
-                    grads["turn"][:, : 2 * HIDDEN] += old.T @ d_gates
-                    np.add.at(grads["enter"], ids, np.concatenate([d_gates, d_new], axis=1))
-                    back = d * (1 - z) + d_rh * r + d_gates @ self.turn[:, : 2 * HIDDEN].T
+                grads, h = self.gradients(np.vstack([before[None], part[:-1]]), part, h)
+                before = part[-1]
                 t += 1
                 now = rate * max(0.05, 1 - t / steps)
-                for k in names:
+                for k in WEIGHTS:
                     g = grads[k] / part.size
                     m, v = state[k]
                     m += 0.1 * (g - m)
                     v += 0.002 * (g * g - v)
                     getattr(self, k)[...] -= now * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.998**t)) + 1e-8)
 
+    def gradients(self, before: np.ndarray, part: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
+        """(gradients of -sum(log P) of ``part`` [steps, streams], last state), each step taking in the token before.
+
+        The state ``h`` comes from the window before and is held constant; it is clear at a text's start.
+        """
+        u, c = slice(0, 2 * HIDDEN), slice(2 * HIDDEN, 3 * HIDDEN)
+        gates_turn, new_turn = self.turn[:, u], self.turn[:, c]
+        x = self.enter[before]
+        keep = (before != _END_ID)[:, :, None].astype(np.float32)
+        old, gates, new, states = (np.empty((*part.shape, k), np.float32) for k in (HIDDEN, 2 * HIDDEN, HIDDEN, HIDDEN))
+        for i in range(len(part)):
+            old[i] = h
+            g = gates[i]
+            np.add(x[i, :, u], h @ gates_turn, out=g)
+            np.exp(np.minimum(-g, 30), out=g)
+            np.reciprocal(g + 1, out=g)
+            np.tanh(x[i, :, c] + (g[:, HIDDEN:] * h) @ new_turn, out=new[i])
+            h = (h + g[:, :HIDDEN] * (new[i] - h)) * keep[i]
+            states[i] = h
+        grads = {k: np.zeros_like(getattr(self, k)) for k in WEIGHTS}
+        self.log_p(states.reshape(-1, HIDDEN), part.reshape(-1), grads)
+        from_output = grads.pop("h").reshape(states.shape)
+        z, r = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
+        by_new, by_z, by_r, by_old = z * (1 - new * new), (new - old) * z * (1 - z), old * r * (1 - r), 1 - z
+        change = np.empty((*part.shape, 3 * HIDDEN), np.float32)
+        back = np.zeros_like(h)
+        for i in range(len(part) - 1, -1, -1):
+            d = (from_output[i] + back) * keep[i]
+            np.multiply(d, by_new[i], out=change[i, :, c])
+            d_rh = change[i, :, c] @ new_turn.T
+            np.multiply(d, by_z[i], out=change[i, :, :HIDDEN])
+            np.multiply(d_rh, by_r[i], out=change[i, :, HIDDEN : 2 * HIDDEN])
+            back = d * by_old[i] + d_rh * r[i] + change[i, :, u] @ gates_turn.T
+        flat = change.reshape(-1, 3 * HIDDEN)
+        grads["turn"][:, u] = old.reshape(-1, HIDDEN).T @ flat[:, u]
+        grads["turn"][:, c] = (r * old).reshape(-1, HIDDEN).T @ flat[:, c]
+        ids = before.reshape(-1)
+        by = np.argsort(ids, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], ids[by[1:]] != ids[by[:-1]]]))
+        grads["enter"][ids[by[first]]] = np.add.reduceat(flat[by], first, axis=0)
+        return grads, h
+
     def likelihoods(self, ids: np.ndarray, sizes: np.ndarray, window: int = 32) -> np.ndarray:
         """Natural log likelihood of each text, the texts side by side and the state carried across windows."""
         order = np.argsort(-sizes, kind="stable")
@@ -349,7 +369,7 @@ class Network:
             a = active[t]
             now = ids[begin[:a] + t]
             if t:
-                h = self.step(before[:a], h[:a])[0]  # noqa: F821
+                h = self.step(before[:a], h[:a])  # noqa: F821
             states.append(h[:a])
             seen.append(now)
             before = now
@@ -440,7 +460,7 @@ def trained(every: DataFrame, network: Network, shards: int, rate: float) -> Net
         def told() -> pa.RecordBatch:
             line = np.concatenate(held)
             own = copy.deepcopy(sent.value)
-            streams = max(1, min(STREAMS, len(line) // 48))
+            streams = max(1, min(STREAMS, len(line) // 1536))
             # whole streams, so that no token is left out
             own.fit([np.resize(line, -(-len(line) // streams) * streams)], streams, epochs=1, rate=rate)
             made = own.weights().astype(float) * len(line)
@@ -496,7 +516,7 @@ def score(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: st
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row; log10 scores."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("row"), allowed.alias("train"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ranges = max(8, bytes_estimate(rows) // 16_000_000)
+    ranges = max(16, bytes_estimate(rows) // RANGE)
     encoded = encode(rows, ranges)
     counted = count(encoded, ranges)
     best, groups, n, v = statistics(counted)

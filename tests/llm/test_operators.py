@@ -447,7 +447,7 @@ def test_probabilities_add_up_and_state_is_carried():
         state, alone = np.zeros((1, lm.HIDDEN), np.float32), 0.0
         for t in range(a, b):
             if t > a:
-                state = net.step(ids[t - 1 : t], state)[0]
+                state = net.step(ids[t - 1 : t], state)
             alone += net.log_p(state, ids[t : t + 1])[0]
         assert math.isclose(alone, together[i], rel_tol=1e-4)
 
@@ -466,3 +466,33 @@ def test_gradients_are_right():
         down = -net.log_p(h, ids).sum()
         value[at] += 1e-2
         assert math.isclose((up - down) / 2e-2, grads[name][at], rel_tol=0.05, abs_tol=0.02)
+
+
+def test_gradients_through_time_are_right():
+    """Numerical gradients of what enters the state and turns it, over a window with a text's end and a state from before."""
+    rng = np.random.default_rng(6)
+    net = lm.Network.start(np.ones(lm.IDS))
+    net.turn += rng.normal(0, 0.3, net.turn.shape).astype(np.float32)
+    part = rng.integers(0, 20, (7, 5))
+    part[3, 2] = lm._END_ID
+    before = np.vstack([rng.integers(0, 20, (1, 5)), part[:-1]])
+    h = rng.normal(0, 0.5, (5, lm.HIDDEN)).astype(np.float32)
+
+    def loss():
+        state, total = h, 0.0
+        for i in range(len(part)):
+            state = net.step(before[i], state) * (before[i] != lm._END_ID)[:, None]
+            total -= net.log_p(state, part[i]).sum()
+        return total
+
+    grads, last = net.gradients(before, part, h)
+    assert grads.keys() == set(lm.WEIGHTS) and last.shape == h.shape
+    for name in ("enter", "turn", "to_class", "to_word"):
+        value = getattr(net, name)
+        for at in zip(*np.unravel_index(np.argsort(-np.abs(grads[name]), axis=None)[[0, 5, 20, 60]], value.shape), strict=True):
+            value[at] += 1e-2
+            up = loss()
+            value[at] -= 2e-2
+            down = loss()
+            value[at] += 1e-2
+            assert math.isclose((up - down) / 2e-2, grads[name][at], rel_tol=0.05, abs_tol=0.02)

@@ -1,11 +1,14 @@
 """Text functions as Columns: language class, tokenizers, terms, trigrams, normal forms.
 
-Everything here stays in the JVM. Java's ``\\w`` is ASCII, so word characters are spelled
+Everything here stays in the JVM, but for ``folded``: Spark has no Unicode normal forms. Java's ``\\w`` is ASCII, so word characters are spelled
 ``[\\p{L}\\p{N}_]``.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +31,15 @@ def casefold(c: Column | str) -> Column:
     return F.replace(F.lower(_col(c)), F.lit("ß"), F.lit("ss"))
 
 
+def _fold(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
+
+
+def folded(c: Column | str) -> Column:
+    """NFKC and full case folding, in Arrow batches."""
+    return F.pandas_udf(_fold, "string")(_col(c))
+
+
 def language_class(c: Column | str) -> Column:
     """zh, en or mixed by the presence of Han and Latin letters; unknown without either."""
     han, latin = _col(c).rlike(HAN), _col(c).rlike("[A-Za-z]")
@@ -39,10 +51,6 @@ def chunk_tokens(c: Column | str) -> Column:
     return all_matches(c, rf"{WORD}+(?:[./:@-]{WORD}+)*|[^\p{{L}}\p{{N}}_\s]")
 
 
-def answer_tokens(c: Column | str) -> Column:
-    return all_matches(casefold(c), rf"{WORD}+(?:[./:+-]{WORD}+)*")
-
-
 def feature_tokens(c: Column | str) -> Column:
     return all_matches(casefold(c), rf"{WORD}+(?:[./:@-]{WORD}+)*")
 
@@ -77,8 +85,8 @@ def collapsed(c: Column | str) -> Column:
 
 
 def question_key(c: Column | str) -> Column:
-    """A question without case, spare blanks and closing punctuation."""
-    return F.regexp_replace(casefold(collapsed(c)), r"[?!.。？！]+$", "")
+    """A question in NFKC without case, spare blanks and closing punctuation."""
+    return F.regexp_replace(collapsed(folded(c)), r"[?!.。？！]+$", "")
 
 
 def first_sentences(c: Column | str, limit: int = 240) -> Column:
@@ -94,9 +102,19 @@ def safe_url(c: Column | str) -> Column:
     return F.when(good, _col(c))
 
 
+#: Marks of blocks, which quoted text must not hold, and what takes their place. Fixed values.
+BOUNDARY, NEUTRAL = r"(?i)\[/?SOURCE\b|\[/?UNTRUSTED_CONTENT_(?:BEGIN|END)\]", "[ESCAPED_BOUNDARY"
+
+
+def escaped_field(c: Column | str) -> Column:
+    """One line without spare blanks and without block marks."""
+    return F.regexp_replace(F.trim(F.regexp_replace(_col(c), r"[\t\r\f\x0B\n ]+", " ")), BOUNDARY, F.lit(NEUTRAL))
+
+
 def quoted(c: Column | str) -> Column:
-    """Untrusted text with every line behind a bar."""
-    return F.regexp_replace(_col(c), "(?m)^", "| ")
+    """Untrusted text without block marks, every line behind a bar."""
+    lines = F.split(F.regexp_replace(F.regexp_replace(_col(c), BOUNDARY, F.lit(NEUTRAL)), r"(?:\r\n|\r|\n)$", ""), r"\r\n|\r|\n")
+    return F.when(_col(c) == "", F.lit("|")).otherwise(F.array_join(F.transform(lines, lambda x: F.concat(F.lit("| "), x)), "\n"))
 
 
 def dense_length(c: Column | str) -> Column:
@@ -120,11 +138,5 @@ def version_variants(versions: Column) -> Column:
     return F.array_distinct(F.flatten(both))
 
 
-def multiset_overlap(a: Column, b: Column) -> Column:
-    """Sum over distinct values of the lesser count."""
-    count = lambda xs, v: F.size(F.filter(xs, lambda w: w == v))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, v: n + F.least(count(a, v), count(b, v)))
-
-
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))

@@ -129,8 +129,8 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def claims(text: str) -> list[dict]:
-    """Claims of an answer: text, start, end, whether each needs a citation, and its citations' numbers."""
+def assigned(text: str) -> tuple[list[dict], list[tuple[int, int | None]]]:
+    """(claims, (number, place of its claim or none) of every marker in order)."""
     marks = markers(text)
     masked = list(text)
     for _, a, b in marks:
@@ -148,51 +148,101 @@ def claims(text: str) -> list[dict]:
             low = body.casefold()
             needs = not any(r in low for r in REFUSALS) and not body.endswith(("?", "？")) and (len(_TOKEN.findall(body)) >= 3 or bool(re.search(r"[㐀-鿿]", body)))
             out.append({"text": body, "start": a, "end": b, "required": needs, "numbers": []})
+    told: list[tuple[int, int | None]] = []
     for number, a, _ in marks:
-        inside = [c for c in out if c["start"] <= a < c["end"]]
-        before = [c for c in out if c["end"] <= a]
-        chosen = inside[-1] if inside else before[-1] if before and not _MARK.sub("", text[before[-1]["end"] : a]).strip(" \t\r\n.,;:!?。！？；：()") else None
-        if chosen is not None and number not in chosen["numbers"]:
-            chosen["numbers"].append(number)
-    return out
+        inside = [i for i, c in enumerate(out) if c["start"] <= a < c["end"]]
+        before = [i for i, c in enumerate(out) if c["end"] <= a]
+        near = before and not _MARK.sub("", text[out[before[-1]]["end"] : a]).strip(" \t\r\n.,;:!?。！？；：()")
+        chosen = inside[-1] if inside else before[-1] if near else None
+        told.append((number, chosen))
+        if chosen is not None and number not in out[chosen]["numbers"]:
+            out[chosen]["numbers"].append(number)
+    return out, told
+
+
+def claims(text: str) -> list[dict]:
+    """Claims of an answer: text, start, end, whether each needs a citation, and its citations' numbers."""
+    return assigned(text)[0]
 
 
 _CLAIM = pa.list_(pa.struct([("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("required", pa.bool_()), ("numbers", pa.list_(pa.int32()))]))
+_MARKER = pa.list_(pa.struct([("number", pa.int32()), ("claim", pa.int32())]))
+_CLAIM_DDL = "claims array<struct<text:string,start:int,end:int,required:boolean,numbers:array<int>>>, markers array<struct<number:int,claim:int>>"
 
 
 def extract_claims(answers: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds ``claims`` and ``markers`` (numbers in order) to rows with an answer's text; sequential, so in Arrow batches."""
-    from pyspark.sql.types import ArrayType, IntegerType, StructType
+    """Adds ``claims`` and ``markers`` (number and place of the claim, in order) to rows with an answer's text; sequential, so in Arrow batches."""
+    from pyspark.sql.types import StructType
 
     names = answers.columns
     at = names.index(text_col)
-    schema = StructType([*answers.schema.fields, *StructType.fromDDL("claims array<struct<text:string,start:int,end:int,required:boolean,numbers:array<int>>>").fields]).add("markers", ArrayType(IntegerType()))
+    schema = StructType([*answers.schema.fields, *StructType.fromDDL(_CLAIM_DDL).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x or "" for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([claims(x) for x in texts], _CLAIM), pa.array([[m[0] for m in markers(x)] for x in texts], pa.list_(pa.int32()))], [*names, "claims", "markers"])
+            made = [assigned(x or "") for x in batch.column(at).to_pylist()]
+            marks = [[{"number": n, "claim": c} for n, c in m] for _, m in made]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c for c, _ in made], _CLAIM), pa.array(marks, _MARKER)], [*names, "claims", "markers"])
 
     return answers.mapInArrow(run, schema)
 
 
-def citation_report(answers: DataFrame, sources: DataFrame) -> DataFrame:
-    """precision, completeness and coverage of each answer's citations; no markers count as 1.
+def excerpts(sources: DataFrame) -> DataFrame:
+    """(answer_id, number, chunk_id, start_offset, end_offset, place, excerpt): the sentences of each source's chunks, one empty one if there are none."""
+    from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
+    picked = sources.select("answer_id", "number", "chunk_id", "start_offset", "end_offset", F.coalesce("content", F.lit("")).alias("content"))
+    schema = StructType([*picked.schema.fields, StructField("parts", ArrayType(StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [[x[a:b].strip() for a, b in sentences(x)] or [""] for x in batch.column(5).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.string()))], schema.names)
+
+    return picked.mapInArrow(run, schema).select("answer_id", "number", "chunk_id", "start_offset", "end_offset", F.posexplode("parts").alias("place", "excerpt"))
+
+
+def marker_results(answers: DataFrame, sources: DataFrame, quote: int = 500, least: float = SUPPORT) -> DataFrame:
+    """(answer_id, marker, number, claim, chunk_id, start_offset, end_offset, quote, score, supported) of every marker.
 
-    ``answers`` has (answer_id, text), ``sources`` (answer_id, number, content).
+    Evidence is the sentence of its source's chunks that supports the claim best, the longer quote and then the earlier
+    one breaking ties. A number without a source, or a marker without a claim, has no evidence and score 0.
     """
-    made = extract_claims(answers)
-    cited = made.select("answer_id", F.posexplode("claims").alias("c", "claim")).select("answer_id", "c", "claim.*")
-    uses = cited.select("answer_id", "c", "required", F.col("text").alias("claim_text"), F.explode_outer("numbers").alias("number")).join(sources, ["answer_id", "number"], "left")
-    scored = uses.withColumn("score", F.when(F.col("content").isNotNull(), support("claim_text", "content")).otherwise(0.0))
-    by_claim = scored.groupBy("answer_id", "c", "required").agg(F.max(F.col("score") >= SUPPORT).alias("supported"), F.max(F.col("number").isNotNull() & F.col("content").isNotNull()).alias("has_source"), F.sum((F.col("score") >= SUPPORT).cast("long")).alias("good"), F.count("number").alias("marks"))
-    need = F.col("required")
-    share = lambda c: F.sum((need & c).cast("double")) / F.sum(need.cast("double"))
-    rows = by_claim.groupBy("answer_id").agg(F.sum("good").alias("_good"), F.sum("marks").alias("_marks"), F.when(F.sum(need.cast("long")) > 0, share(F.col("has_source"))).alias("_complete"), F.when(F.sum(need.cast("long")) > 0, share(F.col("supported"))).alias("_covered"))
-    return answers.select("answer_id").join(rows, "answer_id", "left").select(
-        "answer_id", F.round(F.when(F.col("_marks") > 0, F.col("_good") / F.col("_marks")).otherwise(1.0), 9).alias("precision"),
-        F.round(F.coalesce("_complete", F.lit(1.0)), 9).alias("completeness"), F.round(F.coalesce("_covered", F.lit(1.0)), 9).alias("coverage"),
+    made = extract_claims(answers.select("answer_id", "text"))
+    marks = made.select("answer_id", "claims", F.posexplode("markers").alias("marker", "m")).select("answer_id", "marker", "m.number", "m.claim", F.when(F.col("m.claim").isNotNull(), F.get("claims", F.col("m.claim"))["text"]).alias("claim_text"))
+    met = marks.join(excerpts(sources).withColumnsRenamed({"answer_id": "_a", "number": "_n"}), (F.col("answer_id") == F.col("_a")) & (F.col("number") == F.col("_n")) & F.col("claim_text").isNotNull(), "left")
+    scored = met.withColumn("score", F.when(F.col("_a").isNotNull(), support("claim_text", "excerpt")).otherwise(0.0)).withColumn("quote", F.substring("excerpt", 1, quote))
+    order = F.struct("score", F.char_length("quote").alias("long"), (-F.col("start_offset")).alias("early"), (-F.col("place")).alias("first"))
+    best = scored.groupBy("answer_id", "marker", "number", "claim").agg(F.max_by(F.struct("chunk_id", "start_offset", "end_offset", "quote", "score"), order).alias("b"))
+    return best.select("answer_id", "marker", "number", "claim", "b.chunk_id", "b.start_offset", "b.end_offset", "b.quote", F.coalesce("b.score", F.lit(0.0)).alias("score"), (F.coalesce("b.score", F.lit(0.0)) >= least).alias("supported"))
+
+
+def cited_chunks(results: DataFrame) -> DataFrame:
+    """One citation for each (number, chunk) of an answer: valid if all its markers are supported, the mean score, and the strongest marker's quote; ``position`` is its order."""
+    rows = results.filter("chunk_id is not null").groupBy("answer_id", "number", "chunk_id").agg(
+        F.min("start_offset").alias("start_offset"), F.min("end_offset").alias("end_offset"), F.every("supported").alias("valid"), F.round(F.avg("score"), 9).alias("validation_score"),
+        F.max_by("quote", F.struct("score", (-F.col("marker")).alias("first"))).alias("quote"),
     )
+    order = Window.partitionBy("answer_id").orderBy("number", "start_offset", "end_offset", F.col("chunk_id").cast("string"))
+    return rows.withColumn("position", F.row_number().over(order))
+
+
+def citation_report(answers: DataFrame, sources: DataFrame, results: DataFrame | None = None) -> DataFrame:
+    """markers, precision, recall, coverage, correctness and completeness of each answer's citations; without markers, or claims that need any, 1.
+
+    ``answers`` has (answer_id, text), ``sources`` (answer_id, number, chunk_id, start_offset, end_offset, content).
+    """
+    results = marker_results(answers, sources) if results is None else results
+    made = extract_claims(answers.select("answer_id", "text"))
+    need = made.select("answer_id", F.posexplode("claims").alias("claim", "c")).select("answer_id", "claim", "c.required", F.explode_outer("c.numbers").alias("number"))
+    known = sources.select("answer_id", "number", F.lit(True).alias("known")).distinct()
+    by_claim = need.filter("required").join(known, ["answer_id", "number"], "left").groupBy("answer_id", "claim").agg(F.max(F.coalesce("known", F.lit(False))).alias("complete"))
+    good = results.filter("supported and claim is not null").select("answer_id", "claim", F.lit(True).alias("good")).distinct()
+    claimed = by_claim.join(good, ["answer_id", "claim"], "left").groupBy("answer_id").agg(F.avg(F.coalesce("good", F.lit(False)).cast("double")).alias("_recall"), F.avg(F.col("complete").cast("double")).alias("_complete"))
+    marked = results.groupBy("answer_id").agg(F.count(F.lit(1)).alias("_n"), F.avg(F.col("supported").cast("double")).alias("_precision"), F.avg("score").alias("_score"))
+    out = answers.select("answer_id").join(marked, "answer_id", "left").join(claimed, "answer_id", "left")
+    share = lambda c: F.round(F.coalesce(c, F.lit(1.0)), 9)
+    return out.select("answer_id", F.coalesce("_n", F.lit(0).cast("long")).alias("markers"), share("_precision").alias("precision"), share("_recall").alias("recall"), share("_recall").alias("coverage"), share("_score").alias("correctness"), share("_complete").alias("completeness"))
 
 
 def adjacent_groups(candidates: DataFrame, gap: int = 2) -> DataFrame:

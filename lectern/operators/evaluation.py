@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lectern.functions import text as T
+from lectern.operators.ranges import running_sums
 
 CUTS = (1, 3, 5, 10, 20)
 
@@ -37,21 +45,36 @@ def mean_metrics(rows: DataFrame, metrics: list[str], by: str | None = None) ->
     return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *means) if by else rows.agg(F.count(F.lit(1)).alias("n"), *means)
 
 
-def answer_columns(generated: str, reference: str) -> dict[str, Column]:
-    """exact_match, token_f1, keyword_coverage and numeric_consistency of two texts."""
-    g, r = T.answer_tokens(generated), T.answer_tokens(reference)
-    shared = T.multiset_overlap(g, r).cast("double")
-    f1 = F.when((F.size(g) == 0) & (F.size(r) == 0), 1.0).otherwise(ratio(2 * shared, F.size(g) + F.size(r)))
-    required = F.array_distinct(r)
-    held = F.size(F.filter(required, lambda k: F.contains(T.casefold(generated), k)))
-    a, b = T.numbers(generated), T.numbers(reference)
-    same = F.size(F.array_intersect(a, b))
-    return {
-        "exact_match": (F.array_join(g, " ") == F.array_join(r, " ")).cast("double"),
-        "token_f1": F.round(f1, 9),
-        "keyword_coverage": F.round(F.when(F.size(required) == 0, 1.0).otherwise(ratio(held, F.size(required))), 9),
-        "numeric_consistency": F.round(F.when(F.size(b) == 0, (F.size(a) == 0).cast("double")).otherwise(ratio(2 * same, F.size(a) + F.size(b))), 9),
-    }
+_TOKEN = re.compile(r"\w+(?:[./:+-]\w+)*")
+_NUMBER = re.compile(r"(?<!\w)v?\d+(?:\.\d+)*(?:[-+][a-z0-9.]+)?")
+ANSWER = ("exact_match", "token_f1", "keyword_coverage", "numeric_consistency")
+
+
+def answer_values(generated: str, reference: str, keywords: list[str] | None = None) -> tuple[float, float, float, float]:
+    """ANSWER of two texts in NFKC without case; without keywords, the reference's tokens are required."""
+    g, r = (unicodedata.normalize("NFKC", x).casefold() for x in (generated, reference))
+    gt, rt = _TOKEN.findall(g), _TOKEN.findall(r)
+    shared = sum((Counter(gt) & Counter(rt)).values())
+    need = {unicodedata.normalize("NFKC", k).casefold() for k in keywords} if keywords is not None else set(rt)
+    a, b = set(_NUMBER.findall(g)), set(_NUMBER.findall(r))
+    f1 = 2 * shared / (len(gt) + len(rt)) if gt or rt else 1.0
+    numbers = 2 * len(a & b) / (len(a) + len(b)) if b else float(not a)
+    return float(gt == rt), round(f1, 9), round(sum(k in g for k in need) / len(need), 9) if need else 1.0, round(numbers, 9)
+
+
+def answer_metrics(rows: DataFrame, generated: str, reference: str, keywords: str | None = None) -> DataFrame:
+    """Adds ANSWER to rows with two texts, null ones being empty; one pass in Arrow batches, as normal forms are Python's."""
+    picked = [generated, reference, *([keywords] if keywords else [])]
+    at = [rows.columns.index(c) for c in picked]
+    schema = StructType([*rows.schema.fields, *[StructField(c, DoubleType()) for c in ANSWER]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [batch.column(i).to_pylist() for i in at]
+            made = [answer_values(g or "", r or "", *k) for g, r, *k in zip(*texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([m[i] for m in made], pa.float64()) for i in range(len(ANSWER)))], schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def confusion(rows: DataFrame, expected: str = "expected", predicted: str = "predicted") -> DataFrame:
@@ -70,15 +93,15 @@ def _rates(counts: DataFrame) -> DataFrame:
 def calibrated(rows: DataFrame, score: str = "score", answerable: str = "answerable", margin: float = 1e-9) -> DataFrame:
     """The threshold of best (F1, accuracy, low threshold), out of all scores and one beyond either end.
 
-    Counts at each distinct score are summed first; running sums over distinct scores then give every
-    threshold's matrix, so samples and thresholds are never crossed.
+    Counts at each distinct score are summed first; running sums over distinct scores, by range, then give every
+    threshold's matrix, so samples and thresholds are never crossed and no task holds all scores.
     """
     at = rows.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(answerable).cast("long")).alias("pos"), F.sum((~F.col(answerable)).cast("long")).alias("neg"))
     ends = at.agg(F.min("threshold").alias("low"), F.max("threshold").alias("high")).select(F.explode(F.array(F.col("low") - margin, F.col("high") + margin)).alias("threshold"))
     every = at.unionByName(ends.filter("threshold is not null").withColumns({"pos": F.lit(0).cast("long"), "neg": F.lit(0).cast("long")}))
-    up = Window.orderBy(F.col("threshold").desc())
-    all_rows = Window.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    run = every.withColumns({"tp": F.sum("pos").over(up), "fp": F.sum("neg").over(up), "_p": F.sum("pos").over(all_rows), "_n": F.sum("neg").over(all_rows)})
+    every = every.withColumn("_all", F.lit(0))
+    total = every.groupBy(F.col("_all").alias("_one")).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    run = running_sums(every, ["_all"], "threshold", {"tp": "pos", "fp": "neg"}, descending=True).join(total, F.col("_all") == F.col("_one"))
     rates = _rates(run.select("threshold", "tp", "fp", (F.col("_n") - F.col("fp")).alias("tn"), (F.col("_p") - F.col("tp")).alias("fn")))
     best = rates.agg(F.max_by(F.struct("threshold", "f1", "accuracy", "tp", "fp", "tn", "fn"), F.struct("f1", "accuracy", (-F.col("threshold")).alias("low"))).alias("b"))
     return best.select("b.*")
@@ -134,8 +157,8 @@ def run_summary(rows: DataFrame, metrics: list[str]) -> DataFrame:
 
 def balanced(cases: DataFrame, n: int, seed: int = 20250717) -> DataFrame:
     """Keep-first questions, one of each category first, then by hash up to ``n``: a seeded, bounded sample."""
-    first = Window.partitionBy(T.question_key("question")).orderBy("case_id")
-    kept = cases.withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k")
+    first = Window.partitionBy("_q").orderBy("case_id")
+    kept = cases.withColumn("_q", T.question_key("question")).withColumn("_k", F.row_number().over(first)).filter("_k = 1").drop("_k", "_q")
     mark = F.xxhash64(F.lit(seed), "case_id")
     own = Window.partitionBy("category").orderBy(mark, "case_id")
     return kept.withColumn("_own", F.row_number().over(own) > 1).orderBy("_own", mark, "case_id").limit(n).drop("_own")
@@ -144,23 +167,23 @@ def balanced(cases: DataFrame, n: int, seed: int = 20250717) -> DataFrame:
 def built_cases(chunks: DataFrame) -> DataFrame:
     """Candidate cases of (chunk_id, title, section, content): factual and how-to templates, a hard negative, and pairs of neighbours."""
     reference = T.first_sentences("content")
-    section = F.coalesce("section", F.lit("the indexed section"))
+    section = F.coalesce("section", F.lit("its main part"))
     say = lambda *parts: F.concat(*[F.lit(p) if i % 2 == 0 else p for i, p in enumerate(parts)])
     one = lambda question, category, difficulty, answerable: F.struct(question.alias("question"), F.lit(category).alias("category"), F.lit(difficulty).alias("difficulty"), F.lit(answerable).alias("answerable"))
     made = F.array(
-        one(say("What does ", F.col("title"), " state in ", section, "?"), "factual", "easy", True),
-        one(say("How should a user apply the guidance in ", F.col("title"), ", ", section, "?"), "how_to", "medium", True),
-        one(say("For ", F.col("title"), ", what exact result will occur at the next incident?"), "unanswerable", "hard", False),
+        one(say("According to ", F.col("title"), ", what holds for ", section, "?"), "factual", "easy", True),
+        one(say("Which steps does ", F.col("title"), " give under ", section, "?"), "how_to", "medium", True),
+        one(say("On what date will ", F.col("title"), " next be revised?"), "unanswerable", "hard", False),
     )
     rows = chunks.select("chunk_id", "title", reference.alias("_r"), F.explode(made).alias("c")).select(
         F.sha2(F.concat_ws("|", F.col("chunk_id").cast("string"), "c.question"), 256).alias("case_id"), "c.*",
-        F.when(F.col("c.answerable"), F.col("_r")).otherwise("The indexed evidence does not predict a future incident or its exact result.").alias("reference_answer"),
+        F.when(F.col("c.answerable"), F.col("_r")).otherwise("The documents say nothing about later revisions.").alias("reference_answer"),
         F.when(F.col("c.answerable"), F.array(F.col("chunk_id").cast("string"))).otherwise(F.array().cast("array<string>")).alias("relevant_chunk_ids"),
     )
     pair = Window.partitionBy("document_id").orderBy("chunk_index")
     follows = chunks.withColumns({"_t": F.lead("title").over(pair), "_c": F.lead("chunk_id").over(pair), "_x": F.lead("content").over(pair)}).filter("_c is not null")
     hops = follows.select(
-        F.sha2(F.concat_ws("|", F.col("chunk_id").cast("string"), F.col("_c").cast("string")), 256).alias("case_id"), say("How do ", F.col("title"), " and ", F.col("_t"), " relate?").alias("question"),
+        F.sha2(F.concat_ws("|", F.col("chunk_id").cast("string"), F.col("_c").cast("string")), 256).alias("case_id"), say("What connects ", F.col("title"), " with ", F.col("_t"), "?").alias("question"),
         F.lit("multi_hop").alias("category"), F.lit("hard").alias("difficulty"), F.lit(True).alias("answerable"), F.concat_ws(" ", T.first_sentences("content"), T.first_sentences("_x")).alias("reference_answer"), F.array(F.col("chunk_id").cast("string"), F.col("_c").cast("string")).alias("relevant_chunk_ids"),
     )
     return rows.unionByName(hops)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -103,8 +104,6 @@ def vector_top_k(queries: DataFrame, chunks: DataFrame, k: int = 30, digits: int
     """
     k = checked_limit(k)
     spark = chunks.sparkSession
-    out = None
-    held: list = []
 
     def against(block: list) -> DataFrame:
         names = np.array([r[0] for r in block])
@@ -132,92 +131,81 @@ def vector_top_k(queries: DataFrame, chunks: DataFrame, k: int = 30, digits: int
 
         return chunks.select("chunk_id", "embedding").mapInArrow(run, "query_id long, chunk_id long, score double")
 
-    for row in queries.select("query_id", "embedding").filter("embedding is not null").toLocalIterator():
-        held.append((row[0], row[1]))
-        if len(held) == QUERY_BLOCK:
-            out = against(held) if out is None else out.unionByName(against(held))
-            held = []
-    if held:
-        out = against(held) if out is None else out.unionByName(against(held))
-    if out is None:
-        return spark.createDataFrame([], "query_id long, chunk_id long, score double, rank int")
-    return top_k(out, k)
+    return _top_of_blocks(queries.select("query_id", "embedding").filter("embedding is not null"), against, k, spark)
 
 
-def trigram_top_k(queries: DataFrame, chunks: DataFrame, k: int = 30, threshold: float = TRIGRAM_THRESHOLD) -> DataFrame:
-    """(query_id, chunk_id, score, rank): trigram set similarity of at least ``threshold``.
-
-    An equi-join on trigrams: a chunk's are exploded only against the queries' few, shared ones are counted under
-    partial aggregation, and sizes give the similarity.
-    """
-    q = queries.select("query_id", T.trigrams("text").alias("g")).filter("size(g) > 0")
-    c = chunks.select("chunk_id", T.trigrams("text").alias("g"))
-    left = q.select("query_id", F.size("g").alias("nq"), F.explode("g").alias("t"))
-    right = c.select("chunk_id", F.size("g").alias("nc"), F.explode("g").alias("t"))
-    # a similarity is at most the smaller set's size over the larger's, so most pairs fall before they are counted
-    near = (F.col("nq") >= threshold * F.col("nc")) & (F.col("nc") >= threshold * F.col("nq"))
-    shared = right.join(left, "t").filter(near).groupBy("query_id", "chunk_id", "nq", "nc").agg(F.count(F.lit(1)).alias("n"))
-    scored = shared.select("query_id", "chunk_id", F.round(F.col("n") / (F.col("nq") + F.col("nc") - F.col("n")), 6).alias("score")).filter(F.col("score") >= threshold)
-    return top_k(scored, k)
+def _words(text: str) -> set[str]:
+    return set(re.findall(r"[^\W_]+", text.lower()))
 
 
-def stem(word: Column) -> Column:
-    """A light English suffix stripper; it only approximates a full stemmer."""
-    w = F.regexp_replace(word, "(?:ies)$", "y")
-    w = F.regexp_replace(w, "(?<=[a-z]{3})(?:ing|edly|ed|ly)$", "")
-    return F.regexp_replace(w, "(?<=[a-z]{2}[^s])s$", "")
+def _word_trigrams(word: str) -> list[str]:
+    padded = f"  {word} "
+    return [padded[i : i + 3] for i in range(len(padded) - 2)]
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, term, positions): each term's positions, for (chunk_id, text)."""
-    # the stem is taken from rows, where it is computed once and in generated code
-    rows = chunks.select("chunk_id", F.posexplode(T.all_matches(F.lower("text"), r"[\p{L}\p{N}]+")).alias("pos", "word")).filter(~F.col("word").isin(*T.TOPIC_STOPS))
-    return rows.withColumn("term", stem(F.col("word"))).groupBy("chunk_id", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-
-
-def query_terms(queries: DataFrame) -> DataFrame:
-    rows = queries.select("query_id", F.explode(T.all_matches(F.lower("text"), r"[\p{L}\p{N}]+")).alias("word")).filter(~F.col("word").isin(*T.TOPIC_STOPS))
-    rows = rows.select("query_id", stem(F.col("word")).alias("term")).distinct()
-    return rows.withColumn("terms", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
+def trigram_top_k(queries: DataFrame, chunks: DataFrame, k: int = 30, threshold: float = TRIGRAM_THRESHOLD) -> DataFrame:
+    """(query_id, chunk_id, score, rank): trigram set similarity of at least ``threshold``.
 
+    Queries go out in blocks of at most QUERY_BLOCK, and their trigrams as a table of bits; a task adds up the rows of a
+    chunk's trigrams, so shared ones are counted without a shuffle, and keeps k chunks a query: what is shuffled is k rows
+    for each query and task.
+    """
+    k = checked_limit(k)
+    spark = chunks.sparkSession
 
-def keyword_top_k(queries: DataFrame, chunks: DataFrame, k: int = 30) -> DataFrame:
-    """(query_id, chunk_id, score, rank): chunks that hold all of a query's terms, by cover density.
+    def against(block: list) -> DataFrame:
+        sets = [{g for w in _words(text) for g in _word_trigrams(w)} for _, text in block]
+        place = {g: i for i, g in enumerate(sorted(set().union(*sets)))}
+        table = np.zeros((len(place), len(block)), np.uint8)
+        for j, grams in enumerate(sets):
+            table[[place[g] for g in grams], j] = 1
+        sent = spark.sparkContext.broadcast((np.array([i for i, _ in block]), np.array([len(g) for g in sets]), place, table))
 
-    A cover is a shortest stretch with all terms; each adds 1 / (1 + its noise), and r / (r + 1) keeps scores under one.
-    Approximate parity with a database's density ranking; not claimed equal.
-    """
-    wanted = query_terms(queries)
-    known = postings(chunks).join(wanted.select("term").distinct(), "term", "left_semi")
-    # a chunk that holds all terms holds the query's rarest, so only such pairs meet the other terms
-    found = wanted.join(known.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term", "left")
-    rarest = found.groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("term"))
-    pairs = known.select("term", "chunk_id").join(rarest, "term").select("query_id", "chunk_id")
-    hits = pairs.join(wanted, "query_id").join(known, ["chunk_id", "term"])
-    held = hits.groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("n"), F.first("terms").alias("terms"), F.collect_list(F.struct("term", "positions")).alias("at")).filter("n = terms")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = [round(cover_density([e["positions"] for e in at]), 6) for at in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["query_id", "chunk_id", "score"])
-
-    return top_k(held.select("query_id", "chunk_id", "at").mapInArrow(run, "query_id long, chunk_id long, score double"), k)
-
-
-def cover_density(positions: list[list[int]]) -> float:
-    """Sum over covers of 1 / (1 + gap words), scaled to under one."""
-    marks = sorted((p, i) for i, ps in enumerate(positions) for p in ps)
-    need, last, total, begin = len(positions), {}, 0.0, -1
-    for p, i in marks:
-        last[i] = p
-        if len(last) == need:
-            first = min(last.values())
-            if first > begin:
-                total += 1.0 / (1 + (p - first + 1 - need))
-                begin = first
-    return total / (total + 1) if total else 0.0
-
-
-def keyword_score(english: Column, simple: Column, trigram: Column) -> Column:
-    """The greatest of three arms; the plain one weighs 0.75 and trigrams 0.25."""
-    return F.greatest(F.coalesce(english, F.lit(0.0)), 0.75 * F.coalesce(simple, F.lit(0.0)), 0.25 * F.coalesce(trigram, F.lit(0.0)))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, sizes, place, table = sent.value
+            known: dict[str, tuple[int, ...]] = {}
+            best: list[list[tuple[float, int]]] = [[] for _ in names]
+            for batch in batches:
+                for chunk, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    grams: set[str] = set()
+                    for word in _words(text or ""):
+                        if word not in known:
+                            if len(known) > 200_000:
+                                known.clear()
+                            known[word] = tuple(_word_trigrams(word))
+                        grams.update(known[word])
+                    # a similarity is at most the smaller set's size over the larger's
+                    near = np.flatnonzero((sizes >= threshold * len(grams)) & (sizes * threshold <= len(grams)) & (sizes > 0))
+                    rows = [place[g] for g in grams if g in place]
+                    if not len(near) or not rows:
+                        continue
+                    shared = table[rows].sum(0, dtype=np.int64) if 2 * len(near) > len(names) else table[np.ix_(rows, near)].sum(0, dtype=np.int64)
+                    shared = shared[near] if len(shared) != len(near) else shared
+                    score = np.round(shared / (sizes[near] + len(grams) - shared), 6)
+                    for j in np.flatnonzero(score >= threshold).tolist():
+                        held = best[near[j]]
+                        held.append((-float(score[j]), chunk))
+                        if len(held) >= 4 * k:
+                            held.sort()
+                            del held[k:]
+            found = [(int(names[i]), chunk, -score) for i, held in enumerate(best) for score, chunk in sorted(held)[:k]]
+            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "chunk_id", "score"])
+
+        return chunks.select("chunk_id", "text").mapInArrow(run, "query_id long, chunk_id long, score double")
+
+    return _top_of_blocks(queries.select("query_id", "text").filter("text is not null"), against, k, spark)
+
+
+def _top_of_blocks(queries: DataFrame, against: Callable[[list], DataFrame], k: int, spark) -> DataFrame:
+    """The top k of all blocks of at most QUERY_BLOCK queries; each is a broadcast and a pass of its own."""
+    out, held = None, []
+    for row in queries.toLocalIterator():
+        held.append((row[0], row[1]))
+        if len(held) == QUERY_BLOCK:
+            out = against(held) if out is None else out.unionByName(against(held))
+            held = []
+    if held:
+        out = against(held) if out is None else out.unionByName(against(held))
+    if out is None:
+        return spark.createDataFrame([], "query_id long, chunk_id long, score double, rank int")
+    return top_k(out, k)

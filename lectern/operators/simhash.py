@@ -1,7 +1,7 @@
 """Exact and SimHash deduplication with protection, as edges and a fixpoint instead of a scan.
 
-A document is a duplicate if an earlier, retained one matches it. Pairs within the Hamming bound agree in one
-of ``bands`` bit bands (pigeonhole), so banding loses none; decided rounds replace the scan's order.
+A document is a duplicate if an earlier, retained one matches it. Pairs within the Hamming bound agree under one
+of ``key_masks`` (pigeonhole), so joining by keys loses none; decided rounds replace the scan's order.
 """
 
 from __future__ import annotations
@@ -12,11 +12,14 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.session import shared_folder
+
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 _WORDS = re.compile(r"\w+(?:[./:@-]\w+)*")
@@ -77,66 +80,125 @@ def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema).withColumn("form_hash", F.sha2("_form", 256)).drop("_form")
 
 
-def bands(threshold: float) -> list[tuple[int, int]]:
-    """(shift, mask) of bit bands, one more than the bits that may differ."""
-    n = int((1 - threshold) * 64 + 1e-9) + 1
-    cuts = [round(64 * i / n) for i in range(n + 1)]
-    return [(a, (1 << (b - a)) - 1) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+def at_most(threshold: float) -> int:
+    """Bits that may differ."""
+    return int((1 - threshold) * 64 + 1e-9)
 
 
-def edges(prints: DataFrame, threshold: float = 0.90) -> DataFrame:
-    """(x, y, method, similarity), x before y in ``position``: unprotected matches of (position, external_id, form_hash, simhash, protect).
+def key_masks(bits: int) -> list[int]:
+    """Masks of 64 bits such that two numbers that differ in at most ``bits`` bits agree under one of them.
 
-    ``protect`` is a map of document type, version and semantic metadata; a key that both have with different values keeps a
-    pair apart. Equal fingerprints meet by their first only.
+    The bits are cut into two blocks more than may differ, so two blocks at least stay equal: a mask for each pair of blocks.
     """
-    at_most = int((1 - threshold) * 64 + 1e-9)
-    p = prints.select("position", "external_id", "form_hash", "simhash", "protect")
-    side = lambda s: p.select(*[F.col(c).alias(f"{c}_{s}") for c in p.columns])
+    n = bits + 2
+    cuts = [round(64 * i / n) for i in range(n + 1)]
+    blocks = [(1 << b) - (1 << a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    masks = [x | y for x, y in combinations(blocks, 2)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def protection(document_type: Column, source_version: Column, metadata: Column) -> Column:
+    """The ``protect`` map of a document: its type, its version and its semantic metadata, without nulls."""
+    held = F.create_map(F.lit("document_type"), document_type, F.lit("source_version"), source_version)
+    named = F.map_filter(F.coalesce(metadata, F.create_map().cast("map<string,string>")), lambda k, v: k.isin(*SEMANTIC_KEYS))
+    return F.map_filter(F.map_concat(held, named), lambda k, v: v.isNotNull())
+
+
+def conflict(x: Column, y: Column) -> Column:
+    """Whether a key that both maps have has different values, whatever their case."""
+    return F.exists(F.map_keys(x), lambda k: F.coalesce(F.lower(F.element_at(x, k)) != F.lower(F.element_at(y, k)), F.lit(False)))
+
+
+def kinds(prints: DataFrame) -> DataFrame:
+    """(kind, form_hash, simhash, protect): the distinct ones of (form_hash, simhash, protect), which any number of documents may share."""
+    rows = prints.select("form_hash", "simhash", "protect", _kind().alias("kind"))
+    return rows.groupBy("kind").agg(*[F.first(c).alias(c) for c in ("form_hash", "simhash", "protect")])
+
+
+def _kind() -> Column:
+    said = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("protect"))))
+    return F.sha2(F.concat_ws("\x1f", "form_hash", F.col("simhash").cast("string"), said), 256)
+
+
+def links(made: DataFrame, threshold: float = 0.90) -> DataFrame:
+    """(x, y, exact, similarity) of unprotected kinds that match, both ways, and each with itself."""
+    most = at_most(threshold)
+    side = lambda s: made.select(*[F.col(c).alias(f"{c}_{s}") for c in made.columns])
     a, b = side("x"), side("y")
-    before = F.col("position_x") < F.col("position_y")
-    conflict = F.exists(F.map_keys("protect_x"), lambda k: F.coalesce(F.lower(F.element_at("protect_x", k)) != F.lower(F.element_at("protect_y", k)), F.lit(False)))
-    apart = F.bit_count(F.col("simhash_x").bitwiseXOR(F.col("simhash_y")))
-    exact = a.join(b, (F.col("form_hash_x") == F.col("form_hash_y")) & before).filter(~conflict).select("position_x", "position_y", F.lit("exact_sha256").alias("method"), F.lit(1.0).alias("similarity"))
-    keyed = p.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("simhash", s).bitwiseAND(F.lit(m)).alias("bits")) for i, (s, m) in enumerate(bands(threshold))])).alias("k"))
-    one = keyed.select(*[F.col(c).alias(f"{c}_x") for c in p.columns], "k")
-    two = keyed.select(*[F.col(c).alias(f"{c}_y") for c in p.columns], F.col("k").alias("k2"))
-    near = one.join(two, (F.col("k") == F.col("k2")) & before).filter((apart <= at_most) & ~conflict & (F.col("external_id_x") != F.col("external_id_y")) & (F.col("form_hash_x") != F.col("form_hash_y")))
-    near = near.select("position_x", "position_y", F.lit("simhash").alias("method"), (1 - apart / 64).alias("similarity")).distinct()
-    return exact.unionByName(near).withColumnsRenamed({"position_x": "x", "position_y": "y"})
-
-
-def decisions(prints: DataFrame, threshold: float = 0.90, rounds: int = 64) -> DataFrame:
+    free = ~conflict(F.col("protect_x"), F.col("protect_y"))
+    exact = a.join(b, F.col("form_hash_x") == F.col("form_hash_y")).filter(free).select("kind_x", "kind_y", F.lit(True).alias("exact"), F.lit(1.0).alias("similarity"))
+    masks = key_masks(most)
+    differ = F.col("simhash_x").bitwiseXOR(F.col("simhash_y"))
+    keyed = made.select("*", F.posexplode(F.array(*[F.col("simhash").bitwiseAND(F.lit(m)) for m in masks])).alias("i", "bits"))
+    one = keyed.select(*[F.col(c).alias(f"{c}_x") for c in made.columns], "i", "bits")
+    two = keyed.select(*[F.col(c).alias(f"{c}_y") for c in made.columns], F.col("i").alias("j"), F.col("bits").alias("bits_y"))
+    # of several masks that a pair agrees under, the first one tells
+    first = F.array_position(F.transform(F.array(*map(F.lit, masks)), lambda m: differ.bitwiseAND(m) == 0), F.lit(True)) == F.col("i") + 1
+    near = one.join(two, (F.col("i") == F.col("j")) & (F.col("bits") == F.col("bits_y")) & (F.col("kind_x") < F.col("kind_y")))
+    near = near.filter((F.bit_count(differ) <= most) & (F.col("form_hash_x") != F.col("form_hash_y")) & free & first).select("kind_x", "kind_y", F.lit(False).alias("exact"), (1 - F.bit_count(differ) / 64).alias("similarity"))
+    back = near.select(F.col("kind_y").alias("kind_x"), F.col("kind_x").alias("kind_y"), "exact", "similarity")
+    return exact.unionByName(near).unionByName(back).withColumnsRenamed({"kind_x": "x", "kind_y": "y"})
+
+
+def decisions(prints: DataFrame, threshold: float = 0.90, known: DataFrame | None = None) -> DataFrame:
     """(position, duplicate, matched_position, method, similarity) of every row, as one scan in order of position would decide.
 
-    A round retains every undecided document without undecided or retained earlier neighbours, then marks those
-    with a retained one. It fails loudly rather than stop short.
+    ``prints`` has (position, external_id, form_hash, simhash, protect), positions being distinct; ``known``, if given, has the same and counts as retained.
+    A document is a duplicate if an earlier, retained one matches; documents of one external id match only exactly. Equal
+    documents meet as one kind, so copies make no pairs. A round decides every document without undecided earlier
+    matches, so the first undecided one at least, until none is left.
     """
     spark = prints.sparkSession
-    links = _kept(edges(prints, threshold), spark)
-    state = prints.select("position", F.lit(None).cast("boolean").alias("duplicate"))
-    state = state.join(links.select(F.col("y").alias("position")).distinct().withColumn("_has", F.lit(True)), "position", "left").select("position", F.when(F.col("_has").isNull(), False).alias("duplicate"))
-    for _ in range(rounds):
+    columns = ["position", "external_id", "form_hash", "simhash", "protect"]
+    every = prints.select(*columns) if known is None else prints.select(*columns).unionByName(known.select(*columns))
+    rows = every.select("position", "external_id", _kind().alias("kind"))
+    link = _kept(links(_kept(kinds(every), spark), threshold), spark)
+    undecided = F.lit(None).cast("boolean")
+    if known is None:
+        state = rows.withColumn("duplicate", undecided)
+    else:
+        held = known.select(F.col("position").alias("_p"))
+        state = rows.join(held, F.col("position") == F.col("_p"), "left").withColumn("duplicate", F.when(F.col("_p").isNotNull(), False).otherwise(undecided)).drop("_p")
+    while True:
         state = _kept(state, spark)
-        if state.filter("duplicate is null").limit(1).count() == 0:
+        open_rows = state.filter("duplicate is null")
+        if open_rows.limit(1).count() == 0:
             break
-        earlier = links.join(state.withColumnsRenamed({"position": "x", "duplicate": "dx"}), "x").groupBy(F.col("y").alias("position")).agg(F.max(F.coalesce(~F.col("dx"), F.lit(False))).alias("hit"), F.max(F.col("dx").isNull()).alias("open"))
-        state = state.join(earlier, "position", "left").select("position", F.coalesce("duplicate", F.when(F.coalesce("hit", F.lit(False)), True).when(~F.coalesce("open", F.lit(False)), False)).alias("duplicate"))
-    else:
-        raise RuntimeError("duplicate decisions did not settle")
-    kept = state.filter(~F.col("duplicate")).select(F.col("position").alias("x"))
-    first = links.join(kept, "x").groupBy(F.col("y").alias("position")).agg(F.min_by(F.struct(F.col("x").alias("matched_position"), "method", "similarity"), "x").alias("m"))
-    return state.join(first, "position", "left").select("position", "duplicate", "m.matched_position", "m.method", "m.similarity")
+        hits = _earlier(open_rows, state, link)
+        waits = open_rows.join(link.select("y", "x"), F.col("kind") == F.col("y")).join(open_rows.groupBy(F.col("kind").alias("_k")).agg(F.min("position").alias("first")), F.col("x") == F.col("_k"))
+        waits = waits.groupBy(F.col("position").alias("_w")).agg(F.max(F.col("first") < F.col("position")).alias("waits"))
+        marked = state.join(hits.select(F.col("position").alias("_h"), F.lit(True).alias("hit")), F.col("position") == F.col("_h"), "left").join(waits, F.col("position") == F.col("_w"), "left")
+        state = marked.select("position", "external_id", "kind", F.coalesce("duplicate", F.when(F.col("hit"), True).when(~F.coalesce("waits", F.lit(False)), False)).alias("duplicate"))
+    found = _earlier(state.filter("duplicate"), state, link)
+    out = state.join(found.withColumnRenamed("position", "_f"), F.col("position") == F.col("_f"), "left").select("position", "duplicate", "matched_position", "method", "similarity")
+    return out if known is None else out.join(held, F.col("position") == F.col("_p"), "left_anti")
+
+
+def _earlier(rows: DataFrame, state: DataFrame, link: DataFrame) -> DataFrame:
+    """(position, matched_position, method, similarity): the first retained match of each of ``rows`` that has an earlier one.
+
+    Of each kind, the first retained document is looked at, and the first of another external id than that one's.
+    """
+    kept = state.filter(~F.col("duplicate")).select(F.col("kind").alias("k"), F.struct("position", "external_id").alias("s"))
+    first = kept.groupBy("k").agg(F.min("s").alias("one"))
+    other = kept.join(first.withColumnRenamed("k", "k1"), F.col("k") == F.col("k1")).filter(F.col("s.external_id") != F.col("one.external_id")).groupBy(F.col("k").alias("k2")).agg(F.min("s").alias("two"))
+    heads = first.join(other, F.col("k") == F.col("k2"), "left").select("k", "one", "two")
+    met = rows.select("position", "external_id", "kind").join(link, F.col("kind") == F.col("y")).join(heads, F.col("x") == F.col("k"))
+    match = F.when(F.col("exact") | (F.col("one.external_id") != F.col("external_id")), F.col("one.position")).otherwise(F.col("two.position"))
+    met = met.withColumn("match", match).filter(F.col("match") < F.col("position"))
+    best = met.groupBy("position").agg(F.min(F.struct("match", (~F.col("exact")).alias("near"), "similarity")).alias("m"))
+    return best.select("position", F.col("m.match").alias("matched_position"), F.when(F.col("m.near"), "simhash").otherwise("exact_sha256").alias("method"), F.col("m.similarity").alias("similarity"))
+
+
+def delta_decisions(stored: DataFrame, batch: DataFrame, threshold: float = 0.90) -> DataFrame:
+    """``decisions`` of a delta sync's batch, by external_id, against the stored prints of documents that the batch hasn't seen again."""
+    ahead = stored.join(batch.select("external_id"), "external_id", "left_anti")
+    place = lambda rows, n: rows.withColumn("position", F.struct(F.lit(n).alias("turn"), F.col("external_id").alias("id")))
+    return decisions(place(batch, 1), threshold, place(ahead, 0)).select(F.col("position.id").alias("external_id"), "duplicate", F.col("matched_position.id").alias("matched_external_id"), "method", "similarity")
 
 
 def _kept(df: DataFrame, spark) -> DataFrame:
     """A stored copy in the shared checkpoint folder, so that rounds don't pile up lineage."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/rounds-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/rounds-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

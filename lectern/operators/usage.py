@@ -6,9 +6,13 @@ latency_ms, created_at. A sum of costs is null unless every row is priced.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators.ranges import percentiles
+
 
 def all_or_null(cost: str = "cost") -> Column:
     """The sum if every row has a cost, else null; null for no rows."""
@@ -76,6 +80,26 @@ def audit(facts: DataFrame) -> DataFrame:
     return facts.groupBy("request_id", "operation", "model", "provider").agg(F.count(F.lit(1)).alias("records"), F.sum("prompt_tokens").alias("prompt_tokens"), all_or_null().cast("double").alias("cost"))
 
 
+def unlinked(results: DataFrame) -> DataFrame:
+    """(unlinked): results without a case."""
+    return results.agg(F.count_if(F.col("case_id").isNull()).alias("unlinked"))
+
+
+def status_counts(rows: DataFrame, status: str = "status") -> DataFrame:
+    """(status, n): how often each status or error occurs."""
+    return rows.groupBy(F.col(status).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def total_count(rows: DataFrame) -> DataFrame:
+    """(total): what a page's rows are counted out of."""
+    return rows.agg(F.count(F.lit(1)).alias("total"))
+
+
+def stage_means(runs: DataFrame, stages: list[str]) -> DataFrame:
+    """The mean latency of each stage, 0 for none."""
+    return runs.agg(*[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(c) for c in stages])
+
+
 def page(facts: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     """Newest first, ids breaking ties."""
     if not 1 <= limit <= 200 or offset < 0:
@@ -83,31 +107,32 @@ def page(facts: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return facts.orderBy(F.col("created_at").desc(), F.col("id").desc()).offset(offset).limit(limit)
 
 
-def percentile(column: str, q: float) -> Column:
-    """Exact, linear between ranks; 0 for no rows."""
-    return F.round(F.coalesce(F.percentile(column, F.lit(q)), F.lit(0.0)), 6)
+SHARES = {f"p{q}": q / 100 for q in (50, 90, 95, 99)}
 
 
-def latency_columns(column: str) -> list[Column]:
+def latencies(rows: DataFrame, by: list[str], column: str, *more: Column) -> DataFrame:
+    """n, mean, exact percentiles, min and max of a column by group, 0 where a group has no values, and further aggregates."""
     none = F.lit(0.0)
-    return [
-        F.count(column).alias("n"), F.round(F.coalesce(F.avg(column), none), 6).alias("mean"),
-        *[percentile(column, q / 100).alias(f"p{q}") for q in (50, 90, 95, 99)],
-        F.coalesce(F.min(column), none).alias("min"), F.coalesce(F.max(column), none).alias("max"),
-    ]
+    plain = rows.groupBy(*by).agg(F.count(column).alias("n"), F.round(F.coalesce(F.avg(column), none), 6).alias("mean"), F.coalesce(F.min(column), none).alias("min"), F.coalesce(F.max(column), none).alias("max"), *more)
+    found = percentiles(rows, by, column, SHARES).withColumnsRenamed({c: f"_{c}" for c in by})
+    met = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    out = plain.join(found, met, "left").withColumns({p: F.round(F.coalesce(p, none), 6) for p in SHARES})
+    return out.drop(*[f"_{c}" for c in by])
 
 
 def latency_summary(runs: DataFrame, elapsed_s: float) -> DataFrame:
     """Percentiles of successful rows, throughput and error rate; ``runs`` has latency_ms and failed."""
-    good = runs.withColumn("ok_ms", F.when(~F.col("failed"), F.col("latency_ms")))
-    errors = F.sum(F.col("failed").cast("long"))
-    every = F.count(F.lit(1))
-    return good.agg(*latency_columns("ok_ms"), F.round(F.coalesce(F.try_divide(every.cast("double"), F.lit(float(elapsed_s))), F.lit(0.0)), 6).alias("throughput"), F.round(F.coalesce(F.try_divide(errors.cast("double"), every.cast("double")), F.lit(0.0)), 6).alias("error_rate"))
+    good = runs.select(F.lit(0).alias("all"), F.when(~F.col("failed"), F.col("latency_ms")).alias("ok_ms"), F.col("failed").cast("long").alias("failed"))
+    one = runs.sparkSession.range(1).select(F.lit(0).alias("_all"))
+    out = one.join(latencies(good, ["all"], "ok_ms", F.sum("failed").alias("errors"), F.count(F.lit(1)).alias("every")), F.col("all") == F.col("_all"), "left")
+    share = lambda a, b: F.round(F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0)), 6)
+    values = [F.coalesce("n", F.lit(0).cast("long")).alias("n"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean", *SHARES, "min", "max")]]
+    return out.select(*values, share(F.col("every"), F.lit(float(elapsed_s))).alias("throughput"), share(F.col("errors"), F.col("every").cast("double")).alias("error_rate"))
 
 
 def stage_latencies(stages: DataFrame) -> DataFrame:
     """Per-stage percentiles of (stage, ms)."""
-    return stages.groupBy("stage").agg(*latency_columns("ms"))
+    return latencies(stages, ["stage"], "ms")
 
 
 def histogram(facts: DataFrame, buckets: list[float], column: str = "latency_ms") -> DataFrame:
@@ -120,7 +145,7 @@ def histogram(facts: DataFrame, buckets: list[float], column: str = "latency_ms"
 
 def priced(facts: DataFrame, prices: DataFrame) -> DataFrame:
     """Costs by exact (provider, model), prices per million tokens; an unknown model's is null."""
-    rows = facts.join(F.broadcast(prices), ["provider", "model"], "left")
+    rows = facts.join(prices, ["provider", "model"], "left")
     million = F.lit(1_000_000).cast("decimal(10,0)")
     cost = (F.col("prompt_tokens") * F.col("prompt_price") + F.col("completion_tokens") * F.col("completion_price")) / million
     return rows.withColumn("estimated_cost", F.round(cost, 8).cast("double"))

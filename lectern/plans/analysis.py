@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators import evaluation, fusion, providers, query_analysis, search, sync, usage
+from lectern.operators import documents, evaluation, fusion, keywords, providers, query_analysis, reports, search, sync, usage
 from lectern.plans import tables as t
 from lectern.sources import readers
 
@@ -60,7 +60,7 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     queries = t.load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     chunks = t.load(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     vectors = lambda rows: providers.embed(rows, 64)
-    return fusion.rrf(search.keyword_top_k(queries, chunks), search.vector_top_k(vectors(queries), vectors(chunks))).filter("fused_rank <= 30")
+    return fusion.rrf(keywords.keyword_top_k(queries, chunks), search.vector_top_k(vectors(queries), vectors(chunks))).filter("fused_rank <= 30")
 
 
 @_add("filtered_parts", "SELECT p_partkey FROM part WHERE (p_name ILIKE '%a%' OR p_type ILIKE '%a%') AND p_brand IN (SELECT DISTINCT p_brand FROM part WHERE p_brand LIKE '%1')")
@@ -131,6 +131,62 @@ def catalog_sample(spark: SparkSession, sf: str) -> DataFrame:
     return readers.catalog_sample(t.load(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id")), 100)
 
 
-@_add("usage_by_page", f"WITH {t.USAGE_SQL} SELECT count(*) AS total FROM facts")
+@_add("usage_by_page", f"WITH {t.USAGE_SQL} SELECT count(*) AS total FROM facts WHERE created_at >= TIMESTAMP '2024-01-05'")
 def usage_by_page(spark: SparkSession, sf: str) -> DataFrame:
-    return usage.between(t.usage_facts(spark, sf)).agg(F.count(F.lit(1)).alias("total"))
+    return usage.total_count(usage.between(t.usage_facts(spark, sf), "2024-01-05"))
+
+
+@_add("unlinked_results", "SELECT count(*) FILTER (o_orderstatus = 'F') AS unlinked FROM orders")
+def unlinked_results(spark: SparkSession, sf: str) -> DataFrame:
+    return usage.unlinked(t.load(spark, sf, "orders").select(F.when(F.col("o_orderstatus") != "F", F.col("o_orderkey")).alias("case_id")))
+
+
+@_add("queue_counts", "SELECT count(*) FILTER (event_type IN ('click', 'view')) AS outstanding, count(*) FILTER (event_type = 'click' AND ts >= TIMESTAMP '2024-01-10') AS live FROM events")
+def queue_counts(spark: SparkSession, sf: str) -> DataFrame:
+    status = F.when(F.col("event_type") == "click", "running").when(F.col("event_type") == "view", "pending").otherwise("succeeded")
+    return sync.queue_counts(t.load(spark, sf, "events").select(status.alias("status"), F.col("ts").alias("heartbeat_at")), "2024-01-10")
+
+
+@_add("snapshot_plan", f"""WITH {t.SNAPSHOT_SQL}, k AS (SELECT * FROM incoming WHERE external_id % 17 <> 4), p AS (SELECT coalesce(s.external_id, i.external_id) AS external_id, CASE WHEN i.hash IS NULL THEN CASE WHEN s.deleted THEN NULL ELSE 'delete' END WHEN s.hash IS NULL THEN 'create' WHEN s.deleted THEN 'restore' WHEN s.hash <> i.hash THEN 'update' ELSE 'unchanged' END AS action FROM stored s FULL JOIN k i ON s.external_id = i.external_id)
+SELECT * FROM p WHERE action IS NOT NULL AND NOT (action = 'delete' AND external_id IN (SELECT external_id FROM incoming WHERE external_id % 17 = 4))""")
+def snapshot_plan(spark: SparkSession, sf: str) -> DataFrame:
+    stored, incoming = t.snapshots(spark, sf)
+    return sync.snapshot_plan(stored, incoming, incoming.filter("external_id % 17 = 4")).select("external_id", "action")
+
+
+@_add("backfill_stats", f"WITH {t.CHUNK_SQL} SELECT count(*) AS selected, count(*) FILTER (id % 3 <> 0) AS indexed, count(*) FILTER (id % 3 = 0) AS stale FROM c")
+def backfill_stats(spark: SparkSession, sf: str) -> DataFrame:
+    c = t.chunk_table(spark, sf)
+    return sync.backfill_stats(c, c.filter("id % 3 <> 0"))
+
+
+@_add("experiments")
+def experiments(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.experiment_rows(spark)
+
+
+_EXPERIMENT = "x AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'hybrid' ELSE 'keyword-only' END AS experiment, l_orderkey * 10 + l_linenumber AS case_id, CASE WHEN l_suppkey % 9 = 0 THEN 'timeout' END AS error, l_quantity > 10 AS answerable, l_tax > 0.02 AS predicted_answerable, l_discount * 10 AS recall_20, 1 - l_tax AS citation_precision, l_discount AS token_f1 FROM lines)"
+
+
+def _experiment(spark: SparkSession, sf: str) -> DataFrame:
+    l = t.lines(spark, sf)  # noqa: E741
+    return l.select(
+        F.when(F.col("l_linenumber") % 2 == 0, "hybrid").otherwise("keyword-only").alias("experiment"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("case_id"), F.when(F.col("l_suppkey") % 9 == 0, "timeout").alias("error"),
+        (F.col("l_quantity") > 10).alias("answerable"), (F.col("l_tax") > 0.02).alias("predicted_answerable"), (F.col("l_discount") * 10).alias("recall_20"), (1 - F.col("l_tax")).alias("citation_precision"), F.col("l_discount").alias("token_f1"),
+    )
+
+
+@_add("experiment_comparison", f"WITH {t.LINES_SQL}, {_EXPERIMENT} SELECT experiment, count(*) AS cases, count(error) AS failed, round(avg(recall_20) FILTER (error IS NULL), 9) AS recall_20, round(avg(token_f1) FILTER (error IS NULL), 9) AS token_f1 FROM x GROUP BY 1")
+def experiment_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.comparison(_experiment(spark, sf), ["recall_20", "token_f1"])
+
+
+@_add("report_failures", f"WITH {t.LINES_SQL}, {_EXPERIMENT} SELECT 'error' AS list, case_id, CAST(NULL AS DOUBLE) AS value FROM x WHERE error IS NOT NULL UNION ALL SELECT 'missed', case_id, CAST(recall_20 AS DOUBLE) FROM x WHERE answerable AND recall_20 = 0 UNION ALL SELECT 'citation_error', case_id, CAST(citation_precision AS DOUBLE) FROM x WHERE predicted_answerable AND citation_precision < 1 UNION ALL (SELECT 'worst', case_id, CAST(token_f1 AS DOUBLE) FROM x WHERE error IS NULL ORDER BY token_f1, case_id LIMIT 10)")
+def report_failures(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.failures(_experiment(spark, sf))
+
+
+@_add("document_types", "SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'blog' WHEN item_id % 3 = 1 THEN 'github_issue' ELSE 'official_documentation' END AS document_type FROM benchmark")
+def document_types(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("item_id") % 3
+    return t.load(spark, sf, "benchmark").select("item_id", documents.document_type(F.when(k == 0, "blog").when(k == 1, "nonsense"), F.when(k == 1, "GitHub_Issues").otherwise("web")).alias("document_type"))

@@ -87,7 +87,7 @@ def latency_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 @_add("status_counts", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
 def status_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return t.load(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return usage.status_counts(t.load(spark, sf, "orders"), "o_orderstatus")
 
 
 _PRICES = [("p0", "m0", "0.15", "0.60"), ("p1", "m1", "2.50", "10.00"), ("p0", "m2", "0.02", "0.00")]
@@ -164,8 +164,7 @@ u AS (SELECT *, list_distinct(r) AS req, coalesce(list_sum(list_transform(list_d
 SELECT conv_id, turn, CAST(array_to_string(g, ' ') = array_to_string(r, ' ') AS DOUBLE) AS exact_match, round(CASE WHEN len(g) = 0 AND len(r) = 0 THEN 1.0 ELSE 2.0 * shared / (len(g) + len(r)) END, 9) AS token_f1,
  round(CASE WHEN len(req) = 0 THEN 1.0 ELSE len(list_filter(req, lambda w: contains(fold, w))) / len(req) END, 9) AS keyword_coverage FROM u""")
 def answer_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    columns = evaluation.answer_columns("generated", "reference")
-    return t.answers(spark, sf).select("conv_id", "turn", *[columns[c].alias(c) for c in ("exact_match", "token_f1", "keyword_coverage")])
+    return evaluation.answer_metrics(t.answers(spark, sf), "generated", "reference").select("conv_id", "turn", *evaluation.ANSWER[:3])
 
 
 _RATES = """round(coalesce((tp + tn) / nullif(tp + fp + tn + fn, 0), 0), 9) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 9) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 9) AS recall,
@@ -254,11 +253,11 @@ def chunk_parents(spark: SparkSession, sf: str) -> DataFrame:
     return sync.parents(t.chunk_table(spark, sf).withColumn("parent_index", F.expr("chunk_index div 2"))).select("id", "parent_id")
 
 
-@_add("upsert_chunks", f"WITH {t.CHUNK_SQL}, o AS (SELECT document_id, chunk_index, id + 1000000000 AS id, CASE WHEN chunk_index % 2 = 0 THEN hash ELSE 'x' END AS hash, id AS embedding FROM c WHERE chunk_index <> 3) SELECT c.document_id, c.chunk_index, coalesce(o.id, c.id) AS id, c.hash, CASE WHEN c.hash = o.hash THEN o.embedding END AS embedding FROM c LEFT JOIN o USING (document_id, chunk_index)")
+@_add("upsert_chunks", f"WITH {t.CHUNK_SQL}, o AS (SELECT document_id, chunk_index, id + 1000000000 AS id, CASE WHEN chunk_index % 2 = 0 THEN hash ELSE 'x' END AS hash, id AS embedding FROM c WHERE chunk_index <> 3) SELECT document_id, chunk_index, coalesce(o.id, n.id) AS id, coalesce(n.hash, o.hash) AS hash, CASE WHEN n.hash IS NULL OR n.hash = o.hash THEN o.embedding END AS embedding FROM (SELECT * FROM c WHERE chunk_index <> 2) n FULL JOIN o USING (document_id, chunk_index)")
 def upsert_chunks(spark: SparkSession, sf: str) -> DataFrame:
     c = t.chunk_table(spark, sf)
     old = c.filter("chunk_index <> 3").select("document_id", "chunk_index", (F.col("id") + 1000000000).alias("id"), F.when(F.col("chunk_index") % 2 == 0, F.col("hash")).otherwise("x").alias("hash"), F.col("id").alias("embedding"))
-    return sync.upsert_chunks(old, c.withColumn("embedding", F.lit(None).cast("long")))
+    return sync.upsert_chunks(old, c.filter("chunk_index <> 2").withColumn("embedding", F.lit(None).cast("long")))
 
 
 @_add("chunk_plan")
@@ -275,20 +274,6 @@ def claimable_jobs(spark: SparkSession, sf: str) -> DataFrame:
     return sync.claimable(jobs, "2024-01-10").select("id", "status")
 
 
-@_add("active_counts", f"WITH {t.CHUNK_SQL}, n AS (SELECT document_id, count(*) AS n FROM c WHERE id % 8 <> 5 GROUP BY 1) SELECT o_orderkey AS document_id, coalesce(n, 0) AS chunks FROM orders LEFT JOIN n ON document_id = o_orderkey")
-def active_counts(spark: SparkSession, sf: str) -> DataFrame:
-    n = t.chunk_table(spark, sf).filter("id % 8 <> 5").groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
-    return t.load(spark, sf, "orders").select(F.col("o_orderkey").alias("document_id")).join(n, "document_id", "left").select("document_id", F.coalesce("n", F.lit(0).cast("long")).alias("chunks"))
-
-
-@_add("recent_messages", "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3")
-def recent_messages(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    c = t.load(spark, sf, "conversations").withColumn("_n", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").desc())))
-    return c.filter("_n <= 3").orderBy("conv_id", "turn").select("conv_id", "turn", "role", "text")
-
-
 @_add("json_values", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(nullif(event_type, 'view'), 'none') || ':' || json_extract_string(props, '$.k') AS label FROM events")
 def json_values(spark: SparkSession, sf: str) -> DataFrame:
     k = F.get_json_object("props", "$.k")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import answering, documents, search, simhash
+from lectern.operators import answering, documents, keywords, search, simhash
 from lectern.plans import tables as t
+from lectern.session import shared_folder
 from lectern.sources import sinks
 from lectern.streaming import cursor
 
@@ -95,7 +94,7 @@ def trigram_top_k(spark: SparkSession, sf: str) -> DataFrame:
 @_add("keyword_top_k")
 def keyword_top_k(spark: SparkSession, sf: str) -> DataFrame:
     queries = t.load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return search.keyword_top_k(queries, t.load(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), k=10)
+    return keywords.keyword_top_k(queries, t.load(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), k=10)
 
 
 @_add("topic_overlap", f"""WITH x AS (SELECT conv_id, turn, {_terms('text')} AS w FROM conversations), p AS (SELECT q.conv_id AS query_id, q.w AS q, a.w AS e FROM x q JOIN x a ON a.conv_id = q.conv_id AND q.turn = 0 AND a.turn BETWEEN 1 AND 3)
@@ -131,10 +130,21 @@ def support_scores(spark: SparkSession, sf: str) -> DataFrame:
     return t.answers(spark, sf).select("conv_id", "turn", answering.support("generated", "reference").alias("score"))
 
 
+def _cited(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Assistant turns that cite the turn before them as source 1 after every sentence."""
+    a = t.answers(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), F.regexp_replace("generated", r"\.(?=\s|$)", " [1].").alias("text"), "reference")
+    sources = a.select("answer_id", F.lit(1).alias("number"), F.col("answer_id").alias("chunk_id"), F.lit(0).alias("start_offset"), F.char_length("reference").alias("end_offset"), F.col("reference").alias("content"))
+    return a.select("answer_id", "text"), sources
+
+
 @_add("citation_report")
 def citation_report(spark: SparkSession, sf: str) -> DataFrame:
-    a = t.answers(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), F.regexp_replace("generated", r"\.(?=\s|$)", " [1].").alias("text"), "reference")
-    return answering.citation_report(a.select("answer_id", "text"), a.select("answer_id", F.lit(1).alias("number"), F.col("reference").alias("content")))
+    return answering.citation_report(*_cited(spark, sf))
+
+
+@_add("cited_chunks")
+def cited_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return answering.cited_chunks(answering.marker_results(*_cited(spark, sf)))
 
 
 @_add("adjacent_groups", f"""WITH {t.LINES_SQL}, c AS (SELECT l_orderkey AS query_id, l_suppkey % 3 AS document_id, l_linenumber AS chunk_id, l_linenumber AS chunk_index, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank FROM lines),
@@ -188,13 +198,9 @@ def dataset_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
 
 @_add("cursor_sync", "SELECT user_id, max(ts) AS ts FROM events GROUP BY 1")
 def cursor_sync(spark: SparkSession, sf: str) -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", folder)
     import uuid
 
-    base = f"{folder.rstrip('/')}/sync-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark).rstrip('/')}/sync-{uuid.uuid4().hex}"
     t.load(spark, sf, "events").select("user_id", "ts").write.parquet(f"{base}/in")
     return cursor.sync(spark, f"{base}/in", f"{base}/table", f"{base}/marks", "user_id long, ts timestamp_ntz", "user_id", "ts")
 

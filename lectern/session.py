@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 #: Fixed settings: UTC for timestamps, adaptive execution for skew and partition sizes.
@@ -22,3 +25,16 @@ def build(app: str = "lectern", master: str | None = None, **more: str) -> Spark
     for key, value in (SETTINGS | {k.replace("__", "."): v for k, v in more.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, ``spark.checkpoint.dir``; on one machine, a folder made once if that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    context = spark.sparkContext
+    if not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not hasattr(context, "_lectern_shared"):
+        context._lectern_shared = tempfile.mkdtemp(prefix="lectern-shared-")
+    return context._lectern_shared

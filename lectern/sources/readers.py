@@ -136,6 +136,34 @@ def api_definitions(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("external_id", F.substring(F.sha2(F.concat_ws("|", F.lit(path), "group", "version", "kind"), 256), 1, 20))
 
 
+def field_records(records: DataFrame, source_url: str | None = None) -> DataFrame:
+    """(external_id, group, version, kind, title, url, text, field_paths) of API field records, one document for each group, version and kind.
+
+    ``records`` has (position, api_group, version, kind, title, url, description, field_path, type). A record without a path
+    describes the kind; title and URL are those of the last record.
+    """
+    word = lambda c, none: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(none))
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+    rows = records.select("position", word("api_group", "core").alias("group"), word("version", "unknown").alias("version"), word("kind", "UnknownKind").alias("kind"), text("title").alias("title"), text("url").alias("url"), text("description").alias("description"), text("field_path").alias("path"), text("type").alias("type"))
+    rows = rows.withColumn("title", F.coalesce("title", F.concat_ws(" ", "kind", "version", "group")))
+    fields = F.array_sort(F.collect_list(F.when(F.col("path").isNotNull(), F.struct("position", "path", F.coalesce("type", F.lit("")).alias("type"), F.coalesce("description", F.lit("")).alias("description")))))
+    notes = F.array_sort(F.collect_list(F.when(F.col("path").isNull() & F.col("description").isNotNull(), F.struct("position", "description"))))
+    made = rows.groupBy("group", "version", "kind").agg(F.max_by("title", "position").alias("title"), F.max_by("url", "position").alias("url"), fields.alias("fields"), notes.alias("notes"))
+    head = F.concat(F.lit("# "), "title", F.lit("\n\n- API Group: `"), "group", F.lit("`\n- Version: `"), "version", F.lit("`\n- Kind: `"), "kind", F.lit("`"))
+    said = F.array_join(F.transform("notes", lambda n: n["description"]), "\n\n")
+    note = F.when(F.size("notes") > 0, F.concat(F.lit("\n\n"), said)).otherwise("")
+    one = lambda f: F.concat(F.lit("### `"), f["path"], F.lit("`"), F.when(f["type"] != "", F.concat(F.lit(" ("), f["type"], F.lit(")"))).otherwise(""), F.when(f["description"] != "", F.concat(F.lit("\n\n"), f["description"])).otherwise(""))
+    listed = F.when(F.size("fields") > 0, F.concat(F.lit("\n\n## Fields\n\n"), F.array_join(F.transform("fields", one), "\n"))).otherwise("")
+    url = F.coalesce("url", F.lit(source_url))
+    name = F.substring(F.sha2(F.concat_ws("|", F.coalesce(url, F.lit("")), "group", "version", "kind"), 256), 1, 20)
+    return made.select(name.alias("external_id"), "group", "version", "kind", "title", url.alias("url"), F.concat(head, note, listed).alias("text"), F.transform("fields", lambda f: f["path"]).alias("field_paths"))
+
+
+def release_files(files: DataFrame, repo: str) -> DataFrame:
+    """Documents of ``repository`` as release notes, for changelogs that are kept as files."""
+    return files.select(F.concat(F.lit(f"github-release-file:{repo}:"), "path").alias("external_id"), "title", "text", F.lit(None).cast("string").alias("url"), "updated_at", F.lit(None).cast("string").alias("release_version"))
+
+
 _CASE = "id string, question string, reference_answer string, category string, difficulty string, answerable boolean, relevant_chunk_ids array<string>, expected_citations array<string>"
 
 

@@ -27,10 +27,25 @@ def write_lines(rows: DataFrame, path: str) -> None:
 
 
 def write_report(rows: DataFrame, path: str, kind: str = "json") -> None:
-    """A report as json, csv (columns in order of name) or parquet; a finished write replaces the old one."""
+    """A report as json, csv (columns in order of name) or parquet: written beside the old one, which it then replaces by a rename."""
+    import uuid
+
     rows = rows.select(*sorted(rows.columns))
-    writer = rows.write.mode("overwrite")
-    {"json": writer.json, "csv": writer.option("header", "true").csv, "parquet": writer.parquet}[kind](path)
+    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    {"json": rows.write.json, "csv": rows.write.option("header", "true").csv, "parquet": rows.write.parquet}[kind](fresh)
+    replaced(rows.sparkSession, fresh, path)
+
+
+def replaced(spark, fresh: str, path: str) -> None:
+    """``fresh`` in the place of ``path``; a reader sees the old files or the new ones, or for a moment none, and never some of each."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    new, old, gone = hadoop.Path(fresh), hadoop.Path(path), hadoop.Path(f"{fresh}.old")
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(old):
+        fs.rename(old, gone)
+    if not fs.rename(new, old):
+        raise OSError(f"{path} could not be replaced")
+    fs.delete(gone, True)
 
 
 def markdown_table(rows: DataFrame, limit: int = 100) -> str:

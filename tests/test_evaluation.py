@@ -14,11 +14,12 @@ def test_retrieval_metrics(spark):
 
 
 def test_answer_metrics(spark):
-    rows = spark.createDataFrame([("a b c", "a b c d"), ("", ""), ("x", ""), ("use v1.30", "use v1.30"), ("use v1.29", "use v1.30")], "g string, r string")
-    got = rows.select(*[c.alias(n) for n, c in evaluation.answer_columns("g", "r").items()]).collect()
+    rows = spark.createDataFrame([("a b c", "a b c d"), ("", ""), ("x", ""), ("use v1.30", "use v1.30"), ("use v1.29", "use v1.30"), ("Ｆｕｌｌ ﬁt", "full FIT"), (None, "x")], "g string, r string")
+    got = evaluation.answer_metrics(rows, "g", "r").collect()
     assert math.isclose(got[0].token_f1, 6 / 7, abs_tol=1e-8) and got[0].keyword_coverage == 0.75
     assert (got[1].token_f1, got[1].exact_match, got[2].token_f1) == (1, 1, 0)
     assert (got[3].numeric_consistency, got[4].numeric_consistency) == (1, 0)
+    assert (got[5].exact_match, got[5].token_f1, got[6].exact_match) == (1, 1, 0)
 
 
 def test_confusion(spark):

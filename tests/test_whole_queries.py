@@ -1,11 +1,8 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
-from lectern.functions import text as T
-from lectern.operators import providers
-from lectern.operators.search import cover_density, stem
+from lectern.operators import keywords, providers
 from lectern.plans import catalog
 
 ITEMS = [(1, "alpha beta gamma delta epsilon zeta eta theta"), (2, "one two three four five six seven eight nine")]
@@ -20,34 +17,89 @@ def folder(spark, tmp_path_factory):
     return str(at)
 
 
-def brute_keywords(spark):
-    every = sorted({w for _, t in ITEMS + DOCS for w in re.findall("[a-z]+", t)} - set(T.TOPIC_STOPS))
-    terms = {r.w: r.s for r in spark.createDataFrame([(w,) for w in every], "w string").select("w", stem(F.col("w")).alias("s")).collect()}
+def grams(text):
+    return {f"  {w} "[i : i + 3] for w in re.findall("[a-z]+", text) for i in range(len(w) + 1)}
+
+
+def cover_scores(terms, want, weight):
+    """All covers of ``want`` in a list of terms, looked for from every place."""
+    total, covered = 0.0, -1
+    for end in range(len(terms)):
+        begins = [b for b in range(end + 1) if want <= set(terms[b : end + 1])]
+        if begins and terms[end] in want and max(begins) > covered:
+            covered = max(begins)
+            total += weight / (1 + max(0, end - covered + 1 - len(want)))
+    return total
+
+
+def brute_keywords(items=ITEMS):
+    """Items and documents are lower-case words; a document is searched by stem at 0.2, then by word at 0.1."""
     out = {}
-    for q, query in ITEMS:
-        want = sorted({terms[w] for w in query.split() if w in terms})
+    for q, query in items:
+        plain = query.split()
+        english = {keywords.stem(w) for w in plain if w not in keywords.STOPS}
         scored = []
         for d, text in DOCS:
-            at = [[i for i, w in enumerate(text.split()) if terms.get(w) == t] for t in want]
-            if all(at):
-                scored.append((-round(cover_density(at), 6), d))
+            w = text.split()
+            at = {}
+            for i, x in enumerate(w):
+                if x not in keywords.STOPS:
+                    at.setdefault(keywords.stem(x), []).append((i, 0.2))
+            for i, x in enumerate(w):
+                at.setdefault(x, []).append((len(w) + i, 0.1))
+            a, b = (keywords.density(at, keywords.Wanted([(t,) for t in dict.fromkeys(want)])) for want in (english, plain))
+            like = len(grams(query) & grams(text)) / len(grams(query) | grams(text))
+            score = max(a / (a + 1), 0.75 * b / (b + 1), 0.25 * round(like, 6) if like >= 0.3 else 0.0)
+            if score:
+                scored.append((-round(score, 6), d))
         out[q] = [d for _, d in sorted(scored)]
     return out
 
 
+def test_density_is_the_sum_over_covers():
+    import random
+
+    rng = random.Random(1)
+    for _ in range(200):
+        terms = [rng.choice("abcde") for _ in range(rng.randrange(1, 25))]
+        at = {}
+        for i, x in enumerate(terms):
+            at.setdefault(x, []).append((i, 0.4))
+        want = set(rng.sample("abc", rng.randrange(1, 4)))
+        assert keywords.density(at, keywords.Wanted([(t,) for t in want])) == pytest.approx(cover_scores(terms, want, 0.4))
+
+
+def test_web_syntax_and_weights(spark):
+    docs = [(1, "rolling back a deployment", "Guide"), (2, "back rolling the deployment", "Guide"), (3, "pods and volumes", "Deployment"), (4, "deployments of pods", "Other")]
+    chunks = spark.createDataFrame(docs, "chunk_id long, text string, title string")
+    asked = [(1, '"rolling back"'), (2, "deployment -pods"), (3, "volumes or rolling"), (4, "deployment"), (5, "zzz"), (6, None), (7, "the of")]
+    rows = keywords.keyword_top_k(spark.createDataFrame(asked, "query_id long, text string"), chunks, 10).collect()
+    got = {}
+    for r in rows:
+        # what is above the trigram arm's share of its similarity matches by words
+        like = len(grams(dict(asked)[r.query_id].lower()) & grams(docs[r.chunk_id - 1][1])) / len(grams(dict(asked)[r.query_id].lower()) | grams(docs[r.chunk_id - 1][1]))
+        got.setdefault((r.query_id, r.score > 0.25 * like + 1e-6), set()).add(r.chunk_id)
+    assert got[1, True] == {1} and got[2, True] <= {1, 2} and got[3, True] == {1, 2, 3} and 3 in got[4, True]
+    assert next(r.chunk_id for r in rows if r.query_id == 4 and r.rank == 1) == 3 and not {5, 6, 7} & {q for q, _ in got}
+    block = keywords.Block([(2, "deployment -pods"), (1, '"rolling back"')])
+    # the plain arm knows neither quotes nor minus signs
+    arms = [{i: tuple(x > 0 for x in v) for i, v in block.scores([(t, 0.2)], t).items()} for _, t, _ in docs]
+    assert arms == [{0: (True, False), 1: (True, True)}, {0: (True, False), 1: (False, True)}, {}, {0: (False, True)}]
+
+
 def test_keyword_queries_are_whole_texts(spark, folder):
     got = {}
     for r in catalog.QUERIES["keyword_top_k"](spark, folder).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.chunk_id)
-    assert got == {q: d for q, d in brute_keywords(spark).items() if d} and 1 not in got[1]
+    assert got == {q: d for q, d in brute_keywords().items() if d} and got[1][0] == 5
 
 
 def test_hybrid_queries_are_whole_texts(spark, folder):
     rows = catalog.QUERIES["hybrid_search"](spark, folder).collect()
-    keywords = brute_keywords(spark)
+    ranked = brute_keywords()
     for q, query in ITEMS:
         v = providers.hash_vector(query, 64)
         vectors = [d for _, d in sorted((-round(float(v @ providers.hash_vector(t, 64)), 6), d) for d, t in DOCS)]
-        score = {d: sum(1 / (60 + some.index(d) + 1) for some in (keywords[q], vectors) if d in some) for _, d in [(0, d) for d, _ in DOCS]}
+        score = {d: sum(1 / (60 + some.index(d) + 1) for some in (ranked[q], vectors) if d in some) for _, d in [(0, d) for d, _ in DOCS]}
         got = [r.chunk_id for r in sorted((r for r in rows if r.query_id == q), key=lambda r: r.fused_rank)]
         assert got == sorted(score, key=lambda d: (-score[d], d))

@@ -42,8 +42,11 @@ class Codec:
     _loaded: dict[tuple[str, str], Codec] = {}
 
     def __init__(self, path: str, pattern: str):
+        import public_tokenizers
         import tiktoken
 
+        #: Where a text may be cut is known of this pattern only; by others texts are encoded in one piece.
+        self.cuts = pattern == public_tokenizers.PATTERN
         self.encoding = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
 
     @classmethod
@@ -53,7 +56,7 @@ class Codec:
         return cls._loaded[path, pattern]
 
     def encode(self, text: str, long: int = LONG) -> list[int]:
-        if len(text) < RUN:
+        if len(text) < RUN or not self.cuts:
             return self.encoding.encode_ordinary(text)
         ids: list[int] = []
         at = 0

@@ -9,7 +9,7 @@
   dimension starts as the smoothed log odds of a hash among the sample's texts.
 * Thresholds are calibrated by language: a text's language is guessed from its own function words, and each
   language's threshold, chosen on a part of the sample that the weights haven't seen, becomes the
-  score 0.5 by a shift of log odds. Languages with few examples take the threshold of all.
+  score 0.5 by a shift of log odds. Languages with under ``LEAST`` toxic examples take the threshold of all.
 
 Cases: null and empty texts have no words and get the score of maxima at rest; texts are scored whole; rows that repeat
 an id are scored each; labels are joined by id, and an id with several counts by their mean, rounded; null ids are
@@ -35,6 +35,8 @@ BUCKETS = 1 << 19
 SIZE = 8
 FILTERS = {1: 8, 2: 4, 3: 4}
 PREFIXES = (4, 5, 7, 8)
+#: Toxic texts that a language needs for a threshold of its own.
+LEAST = 10
 _HASH = tokens.Hasher(83)
 _EDGE = tokens.separators("00-2F 3A-40 5B-60 7B-7F")
 #: Function words by which a text's language is guessed. Fixed values.
@@ -186,7 +188,6 @@ def fit(ids: np.ndarray, counts: np.ndarray, language: np.ndarray, y: np.ndarray
         value -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
 
     squares = np.zeros((BUCKETS, 1), np.float32)
-    model.keep_positions = True
     # small samples get more epochs, to as many steps
     for _ in range(max(epochs, min(30, least_steps * batch // len(train) + 1))):
         order = rng.permutation(train)
@@ -195,44 +196,53 @@ def fit(ids: np.ndarray, counts: np.ndarray, language: np.ndarray, y: np.ndarray
             rows = order[lo : lo + batch]
             picked = np.concatenate([np.arange(begins[r], ends[r]) for r in rows]) if len(rows) else np.zeros(0, int)
             some_ids, some = ids[picked], counts[rows]
-            top, where, x = model.maxima(some_ids, some)
-            p = 1 / (1 + np.exp(-np.clip(top @ model.weights + model.bias, -50, 50)))
-            error = ((p - y[rows]) * weight[rows] / len(rows)).astype(np.float32)
-            back = np.outer(error, model.weights) * (top > 0)
-            adam("weights", model.weights, top.T @ error + 1e-4 * model.weights)
-            model.bias -= rate * float(error.sum())
-            col = 0
-            hit, change = [], []
+            grads, (at, delta) = gradients(model, some_ids, some, y[rows], weight[rows])
+            adam("weights", model.weights, grads["weights"] + 1e-4 * model.weights)
+            model.bias -= rate * grads["one"]
             for width, w in model.filters.items():
-                grad = np.zeros_like(w)
-                for f in range(w.shape[1]):
-                    g, at = back[:, col], where[width][:, f]
-                    ok = (at >= 0) & (g != 0)
-                    g, at = g[ok], at[ok]
-                    for k in range(width):
-                        grad[k * SIZE : (k + 1) * SIZE, f] += g @ x[at + k]
-                        hit.append(at + k)
-                        change.append(np.outer(g, w[k * SIZE : (k + 1) * SIZE, f]))
-                    col += 1
-                adam(("bias", width), model.biases[width], back[:, col - w.shape[1] : col].sum(0))
-                adam(width, w, grad)
-            at = np.concatenate(hit)
+                adam(("bias", width), model.biases[width], grads["bias", width])
+                adam(width, w, grads[width])
             if len(at):
-                delta = np.concatenate(change)
                 for i in range(ids.shape[1]):
                     bucket = some_ids[at, i]
                     np.add.at(squares, bucket, (delta * delta).mean(1, keepdims=True))
                     np.subtract.at(model.table, bucket, rate * delta / (np.sqrt(squares[bucket]) + 1e-3))
-    model.keep_positions = False
     held = np.flatnonzero(tune)
     z = np.concatenate([model.logits(ids[begins[r] : ends[r]], counts[r : r + 1]) for r in held]) if len(held) else np.zeros(0)
     every = _threshold(z, y[held])
     for i in range(len(_LANGUAGES) + 1):
         own = language[held] == i
-        model.shifts[i] = _threshold(z[own], y[held][own]) if (y[held][own] == 1).sum() >= 20 else every
+        model.shifts[i] = _threshold(z[own], y[held][own]) if (y[held][own] == 1).sum() >= LEAST else every
     return model
 
 
+def gradients(model: Model, ids: np.ndarray, counts: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[dict, tuple[np.ndarray, np.ndarray]]:
+    """Of the mean weighted log loss: gradients by parameter, and (places of words, what each adds to its hashes' embeddings)."""
+    keep, model.keep_positions = model.keep_positions, True
+    top, where, x = model.maxima(ids, counts)
+    model.keep_positions = keep
+    p = 1 / (1 + np.exp(-np.clip(top @ model.weights + model.bias, -50, 50)))
+    error = ((p - y) * weight / len(y)).astype(np.float32)
+    back = np.outer(error, model.weights) * (top > 0)
+    grads: dict = {"weights": top.T @ error, "one": float(error.sum())}
+    col = 0
+    hit, change = [np.zeros(0, np.int64)], [np.zeros((0, SIZE), np.float32)]
+    for width, w in model.filters.items():
+        grad = np.zeros_like(w)
+        for f in range(w.shape[1]):
+            g, at = back[:, col], where[width][:, f]
+            ok = (at >= 0) & (g != 0)
+            g, at = g[ok], at[ok]
+            for k in range(width):
+                grad[k * SIZE : (k + 1) * SIZE, f] += g @ x[at + k]
+                hit.append(at + k)
+                change.append(np.outer(g, w[k * SIZE : (k + 1) * SIZE, f]))
+            col += 1
+        grads["bias", width] = back[:, col - w.shape[1] : col].sum(0)
+        grads[width] = grad
+    return grads, (np.concatenate(hit), np.concatenate(change))
+
+
 def _threshold(z: np.ndarray, y: np.ndarray) -> float:
     """The log odds halfway into the gap that makes the most of F1."""
     if not len(z) or y.min() == y.max():

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import tokens
-from lectern.llm.common import shared_dir
+from lectern.session import shared_folder
 
 SEGMENT = 16 << 10
 CHUNK = 4 << 10
@@ -214,7 +214,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     figures come from the payload as reassembled; a record that did not come back whole fails the job.
     """
     spark = pages.sparkSession
-    path = write(pages, f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}", id_col, url_col, payload_col, min_revisit_bytes)
+    path = write(pages, f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}", id_col, url_col, payload_col, min_revisit_bytes)
     kind = pages.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

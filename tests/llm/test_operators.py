@@ -239,6 +239,23 @@ def test_near_duplicates_equal_brute_force(spark, prose):
     assert len(set(got.values())) < len(split)
 
 
+def test_near_duplicates_by_their_own_weights(spark, prose):
+    """Recall of the pairs at the threshold, by weighted Jaccard similarity: classes equal those of all pairs, on many edited copies."""
+    import random
+
+    rng = random.Random(12)
+    texts = list(prose)
+    for i in range(150):
+        w = prose[i % 40].split() * 2
+        for _ in range(rng.randrange(len(w) // 8 + 1)):
+            w[rng.randrange(len(w))] = f"e{i}x{rng.randrange(1000)}"
+        texts.append(" ".join(w))
+    got = {r.doc_id: r.class_id for r in neardup.classes(frame(spark, texts)).collect()}
+    want = brute_classes(spark, texts)
+    together = [(a, b) for a in want for b in range(a) if want[a] == want[b]]
+    assert sum(got[a] == got[b] for a, b in together) >= 0.99 * len(together) and all(want[a] == want[b] for a in got for b in range(a) if got[a] == got[b])
+
+
 def test_a_large_group_and_odd_rows(spark, odd):
     import random
 
@@ -388,6 +405,84 @@ def test_toxicity(spark, odd):
     assert toxicity.score(odd.limit(0), labels, allowed).count() == 0
 
 
+def brute_maxima(model, ids):
+    """The filters' maxima of one text, word by word."""
+    out = []
+    x = [sum(model.table[i].astype(float) for i in row) for row in ids]
+    for width, w in model.filters.items():
+        acts = [np.concatenate(x[k : k + width]) @ w for k in range(len(x) - width + 1)]
+        out.append(np.maximum(np.max(acts, axis=0) + model.biases[width], 0) if acts else np.zeros(w.shape[1]))
+    return np.concatenate(out)
+
+
+def small_model(rng):
+    filters = {w: rng.normal(0, 0.5, (w * toxicity.SIZE, n)).astype(np.float32) for w, n in toxicity.FILTERS.items()}
+    table = rng.normal(0, 0.5, (50, toxicity.SIZE)).astype(np.float32)
+    return toxicity.Model(table, filters, {w: rng.normal(0, 0.1, n).astype(np.float32) for w, n in toxicity.FILTERS.items()}, rng.normal(0, 1, sum(toxicity.FILTERS.values())).astype(np.float32), 0.1, np.zeros(5))
+
+
+def test_convolution_and_pooling_equal_brute_force():
+    rng = np.random.default_rng(3)
+    model = small_model(rng)
+    counts = np.array([0, 1, 2, 7, 3, 0, 40])
+    ids = rng.integers(0, 50, (counts.sum(), 1 + len(toxicity.PREFIXES)))
+    got = model.maxima(ids, counts)[0]
+    cut = np.concatenate([[0], np.cumsum(counts)])
+    for i in range(len(counts)):
+        assert np.allclose(got[i], brute_maxima(model, ids[cut[i] : cut[i + 1]]), atol=1e-4)
+    logits = model.logits(ids, counts)
+    assert np.allclose(logits, got @ model.weights + model.bias) and np.allclose(model.scores(ids, counts, np.zeros(len(counts), int)), 1 / (1 + np.exp(-logits)))
+
+
+def test_gradients_of_the_convolution_are_right():
+    rng = np.random.default_rng(4)
+    model = small_model(rng)
+    counts = np.array([6, 1, 9, 4])
+    ids = rng.integers(0, 50, (counts.sum(), 1 + len(toxicity.PREFIXES)))
+    y, weight = np.array([1.0, 0, 0, 1]), np.array([2.0, 1, 1, 2])
+
+    def loss():
+        z = model.logits(ids, counts)
+        return float((weight * (np.log1p(np.exp(-z)) * y + np.log1p(np.exp(z)) * (1 - y))).sum() / len(y))
+
+    grads, (at, change) = toxicity.gradients(model, ids, counts, y, weight)
+    table = np.zeros_like(model.table)
+    for i in range(ids.shape[1]):
+        np.add.at(table, ids[at, i], change)
+    pairs = [(model.weights, grads["weights"]), (model.table, table), *((model.filters[w], grads[w]) for w in model.filters), *((model.biases[w], grads["bias", w]) for w in model.filters)]
+    for value, grad in pairs:
+        for spot in zip(*np.unravel_index(np.argsort(-np.abs(grad), axis=None)[[0, 3, 6]] if grad.size > 6 else [0], value.shape), strict=True):
+            before = value[spot]
+            value[spot] = before + 2e-3
+            up = loss()
+            value[spot] = before - 2e-3
+            down = loss()
+            value[spot] = before
+            assert math.isclose((up - down) / 4e-3, grad[spot], rel_tol=0.08, abs_tol=0.01)
+
+
+def brute_statistics(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n, chars = max(len(words), 1), max(len(text), 1)
+    ascii_symbols = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") - set(",.")
+    upper = sum(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" or "\u00c0" <= c <= "\u00de" for c in text)
+    letters = max(1, sum(c.isascii() and c.isalpha() or not c.isascii() for c in text))
+    top = Counter(words).most_common(1)
+    return [
+        math.log1p(len(words)), sum(len(w.encode()) for w in words) / n, upper / letters, sum(c in "0123456789" for c in text) / chars, sum(c in ascii_symbols for c in text) / chars, text.count("|") / chars, text.count("!") / chars,
+        sum(c in " \t\n\x0b\x0c\r" for c in text) / chars, sum(not c.isascii() for c in text) / chars, len(words) / (text.count("\n") + 1), len(set(words)) / n if words else 0, top[0][1] / n if top else 0,
+        sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, sum(w[-1] in ascii_symbols for w in words) / n, sum(w[-1] in ".?!" for w in words) / n, math.log1p(max((len(w.encode()) for w in words), default=0)),
+    ]
+
+
+def test_statistics_equal_brute_force(prose):
+    import pyarrow as pa
+
+    texts = [*prose[:30], "", " \n ", "ÄPFEL und Öl! Öl! 12|3 (x) é", "漢字 A.B. c?! c?!", "x" * 300, None]
+    got = quality.statistics_of(pa.array(texts, pa.string()))
+    assert np.allclose(got, [brute_statistics(t or "") for t in texts], atol=1e-9)
+
+
 # --- language model ---
 
 

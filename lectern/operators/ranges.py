@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.session import shared_folder
+from lectern.session import stored_path
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """A copy in the shared folder: what follows reads one and the same dealing, whatever executors are lost."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = stored_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

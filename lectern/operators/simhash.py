@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.session import shared_folder
+from lectern.session import stored_path
 
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
@@ -199,6 +198,6 @@ def delta_decisions(stored: DataFrame, batch: DataFrame, threshold: float = 0.90
 
 def _kept(df: DataFrame, spark) -> DataFrame:
     """A stored copy in the shared checkpoint folder, so that rounds don't pile up lineage."""
-    path = f"{shared_folder(spark).rstrip('/')}/rounds-{uuid.uuid4().hex}"
+    path = stored_path(spark, "rounds")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

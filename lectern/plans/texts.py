@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.operators import answering, documents, keywords, search, simhash
 from lectern.plans import tables as t
-from lectern.session import shared_folder
+from lectern.session import stored_path
 from lectern.sources import sinks
 from lectern.streaming import cursor
 
@@ -198,9 +198,7 @@ def dataset_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
 
 @_add("cursor_sync", "SELECT user_id, max(ts) AS ts FROM events GROUP BY 1")
 def cursor_sync(spark: SparkSession, sf: str) -> DataFrame:
-    import uuid
-
-    base = f"{shared_folder(spark).rstrip('/')}/sync-{uuid.uuid4().hex}"
+    base = stored_path(spark, "sync")
     t.load(spark, sf, "events").select("user_id", "ts").write.parquet(f"{base}/in")
     return cursor.sync(spark, f"{base}/in", f"{base}/table", f"{base}/marks", "user_id long, ts timestamp_ntz", "user_id", "ts")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -38,3 +39,20 @@ def shared_folder(spark: SparkSession) -> str:
     if not hasattr(context, "_lectern_shared"):
         context._lectern_shared = tempfile.mkdtemp(prefix="lectern-shared-")
     return context._lectern_shared
+
+
+def stored_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, remembered until ``forget_stored``."""
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    context._lectern_paths = [*getattr(context, "_lectern_paths", []), path]
+    return path
+
+
+def forget_stored(spark: SparkSession) -> None:
+    """Delete what this application has stored in the shared folder so far; results that aren't written yet need it no more then."""
+    context = spark.sparkContext
+    for path in getattr(context, "_lectern_paths", []):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    context._lectern_paths = []

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import tokens
-from lectern.session import shared_folder
+from lectern.session import stored_path
 
 SEGMENT = 16 << 10
 CHUNK = 4 << 10
@@ -111,13 +111,14 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     base = base.withColumn("sha1", F.sha1("payload"))
     copy = F.lit(1)
     if base.groupBy("id").count().filter("count > 1").limit(1).count():  # records of their own for rows that share an id
-        copy = F.row_number().over(Window.partitionBy("id").orderBy("sha1"))
+        copy = F.row_number().over(Window.partitionBy("id", "sha1").orderBy(F.lit(0)))
     base = base.withColumn("copy", copy)
     least = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("copy")))
     repeated = base.filter(F.octet_length("payload") >= min_revisit_bytes).groupBy("sha1").agg(F.count(F.lit(1)).alias("n"), least.alias("first")).filter("n > 1").select(F.col("sha1").alias("_sha1"), "first")
     joined = base.join(repeated, F.col("sha1") == F.col("_sha1"), "left")
     again = F.col("first").isNotNull() & ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("copy") == F.col("first.copy")))
-    name = lambda i, c: F.concat_ws("#", F.coalesce(i.cast("string"), F.lit("null")), c.cast("string"))
+    # unique: rows that share an id and a payload are numbered, and what refers to a record has its payload
+    name = lambda i, c: F.concat_ws("#", F.coalesce(i.cast("string"), F.lit("null")), "sha1", c.cast("string"))
     rows = joined.select(
         F.coalesce(F.col("id").cast("string"), F.lit("")).alias("page"), name(F.col("id"), F.col("copy")).alias("name"), "url", "payload", "sha1",
         F.when(again, F.coalesce(F.col("first.id").cast("string"), F.lit(""))).alias("refers"), F.when(again, name(F.col("first.id"), F.col("first.copy"))).alias("refers_name"),
@@ -184,19 +185,19 @@ def reassembled(parsed: DataFrame) -> DataFrame:
     size = F.aggregate("all", F.lit(0).cast("long"), lambda n, s: n + F.octet_length(s["block"]))
     numbers = F.transform("all", lambda s: s["segment"])
     good = (numbers == F.sequence(F.lit(1), F.size("all"))) & (size == F.col("total"))
-    block = F.unhex(F.array_join(F.transform("all", lambda s: F.hex(s["block"])), ""))
-    joined = grouped.select("kind", "page", "refers", "digest", "payload_bytes", "uri", F.when(good, block).alias("block"), F.coalesce(good, F.lit(False)).alias("complete"))
-    return whole.select("kind", "page", "refers", "digest", "payload_bytes", "uri", "block", F.lit(True).alias("complete")).unionByName(joined)
+    blocks = F.transform("all", lambda s: s["block"])
+    joined = grouped.select("kind", "page", "refers", "digest", "payload_bytes", "uri", F.when(good, blocks).alias("blocks"), F.coalesce(good, F.lit(False)).alias("complete"))
+    return whole.select("kind", "page", "refers", "digest", "payload_bytes", "uri", F.array("block").alias("blocks"), F.lit(True).alias("complete")).unionByName(joined)
 
 
 def payloads(rows: DataFrame) -> DataFrame:
-    """Takes the HTTP head and the chunked framing off the blocks; a revisit has no payload of its own."""
+    """Joins the segments' blocks and takes the HTTP head and the chunked framing off; a revisit has no payload of its own."""
     rest = ["page", "kind", "refers", "digest", "payload_bytes", "uri", "complete"]
 
-    def body(kind: str | None, block: bytes | None) -> bytes | None:
-        if block is None or kind == "revisit":
+    def body(kind: str | None, blocks: list[bytes] | None) -> bytes | None:
+        if blocks is None or kind == "revisit":
             return None
-        head, _, rest = block.partition(b"\r\n\r\n")
+        head, _, rest = b"".join(blocks).partition(b"\r\n\r\n")
         return dechunked(rest) if b"\r\ntransfer-encoding: chunked" in head.lower() else rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +205,7 @@ def payloads(rows: DataFrame) -> DataFrame:
             out = [body(k.as_py(), b.as_py()) for k, b in zip(batch.column(1), batch.column(len(rest)), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(out, pa.binary())], [*rest, "payload"])
 
-    return rows.select(*rest, "block").mapInArrow(tokens.trimmed(run), "page string, kind string, refers string, digest string, payload_bytes long, uri string, complete boolean, payload binary")
+    return rows.select(*rest, "blocks").mapInArrow(tokens.trimmed(run), "page string, kind string, refers string, digest string, payload_bytes long, uri string, complete boolean, payload binary")
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0) -> DataFrame:
@@ -214,7 +215,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     figures come from the payload as reassembled; a record that did not come back whole fails the job.
     """
     spark = pages.sparkSession
-    path = write(pages, f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}", id_col, url_col, payload_col, min_revisit_bytes)
+    path = write(pages, stored_path(spark, "warc"), id_col, url_col, payload_col, min_revisit_bytes)
     kind = pages.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

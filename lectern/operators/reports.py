@@ -35,7 +35,7 @@ def comparison(results: DataFrame, metrics: list[str]) -> DataFrame:
 
 def failed_cases(cases: DataFrame, errors: DataFrame, metrics: list[str]) -> DataFrame:
     """A record of every case that failed: its question as the query, no answer, no evidence, no metrics, and the error."""
-    return cases.join(errors.select("case_id", "error"), "case_id").select("case_id", "question", F.lit("").alias("generated_answer"), F.col("question").alias("rewritten_query"), F.lit(False).alias("predicted_answerable"), *[F.lit(None).cast("double").alias(m) for m in metrics], "error")
+    return cases.select("case_id", "question").join(errors.select("case_id", "error"), "case_id").select("case_id", "question", F.lit("").alias("generated_answer"), F.col("question").alias("rewritten_query"), F.lit(False).alias("predicted_answerable"), *[F.lit(None).cast("double").alias(m) for m in metrics], "error")
 
 
 def failures(results: DataFrame, worst: int = 10) -> DataFrame:

@@ -353,3 +353,12 @@ def rewrite_kept(original: Column, rewritten: Column, history: Column) -> Column
     known = F.array_union(facts(original), facts(history))
     safe = (F.char_length(rewritten) <= F.greatest(F.char_length(original) * 6, F.lit(512))) & (F.size(F.array_except(facts(rewritten), known)) == 0)
     return F.when(F.coalesce(safe, F.lit(False)), rewritten).otherwise(original)
+
+
+def context_order(candidates: DataFrame) -> DataFrame:
+    """Each query's chunks once, with ``rank`` by rerank, fused, keyword and vector rank (missing ones last) and position; of a chunk's rows the first one stays."""
+    last = F.lit(10**9)
+    key = [F.coalesce(c, last) for c in ("rerank_rank", "fused_rank", "keyword_rank", "vector_rank")] + [F.col("position")]
+    once = Window.partitionBy("query_id", "chunk_id").orderBy(*key)
+    rows = candidates.withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_n")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*key)))

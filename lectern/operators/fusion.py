@@ -6,9 +6,14 @@ vector_rank, keyword_score, vector_score, fused_score and fused_rank, by query.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.ranges import stored
+
 RRF_K = 60
 TIED = 1e-12
 
@@ -113,3 +118,22 @@ def presented(rows: DataFrame) -> DataFrame:
     """``position`` by rerank, fused, then keyword or vector rank, and id."""
     order = Window.partitionBy("query_id").orderBy(F.col("rerank_rank").asc_nulls_last(), F.col("fused_rank").asc_nulls_last(), F.coalesce("keyword_rank", "vector_rank").asc_nulls_last(), "chunk_id")
     return rows.withColumn("position", F.row_number().over(order))
+
+
+def hybrid(keyword: Callable[[], DataFrame], vector: Callable[[], DataFrame], mode: str = "hybrid", method: str = "rrf", limit: int = 30) -> DataFrame:
+    """Both channels side by side, fused, the best ``limit`` of each query; a channel that fails is left out, and only if all fail that is an error.
+
+    A channel returns (query_id, chunk_id, score, rank); it is stored, for a failure shows only when it runs.
+    """
+    wanted = {"keyword": keyword, "vector": vector}
+    wanted = wanted if mode == "hybrid" else {mode: wanted[mode]}
+    with ThreadPoolExecutor(len(wanted)) as pool:
+        running = {name: pool.submit(lambda make=make, name=name: stored(make(), name)) for name, make in wanted.items()}
+    failed = {name: r.exception() for name, r in running.items() if r.exception()}
+    if len(failed) == len(wanted):
+        raise RuntimeError("every channel failed") from next(iter(failed.values()))
+    good = {name: r.result() for name, r in running.items() if name not in failed}
+    none = next(iter(good.values())).limit(0)
+    # with one channel left, fusion ranks by that one alone
+    left = next(iter(good)) if len(good) == 1 else "hybrid"
+    return fuse(good.get("keyword", none), good.get("vector", none), mode=left, method=method).filter(F.col("fused_rank") <= limit)

@@ -60,3 +60,32 @@ def redacted(message: str, secrets: list[str], longest: int = 2000) -> str:
     for pattern, instead in SECRETS:
         message = re.sub(pattern, instead, message)
     return message[:longest]
+
+
+def token_counts(rows: DataFrame, make: Callable[[], Callable[[str], int]] | None = None, text_col: str = "text") -> DataFrame:
+    """Adds ``tokens``. ``make`` makes a model's counter once in each Python worker; without one, joined words and symbols are counted in the JVM."""
+    if make is None:
+        return rows.withColumn("tokens", F.size(T.chunk_tokens(text_col)).cast("long"))
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    at = rows.columns.index(text_col)
+    schema = StructType([*rows.schema.fields, StructField("tokens", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = make()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([counter(t or "") for t in batch.column(at).to_pylist()], pa.int64())], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def tokenizer_file(path: str) -> Callable[[], Callable[[str], int]]:
+    """A counter by a tokenizer's file, without special tokens."""
+
+    def make() -> Callable[[str], int]:
+        from tokenizers import Tokenizer
+
+        loaded = Tokenizer.from_file(path)
+        return lambda text: len(loaded.encode(text, add_special_tokens=False).ids)
+
+    return make

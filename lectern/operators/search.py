@@ -59,6 +59,31 @@ def contains_all(have: Column, want: list[str]) -> Column:
     return F.size(F.array_except(F.array(*[F.lit(w) for w in want]), have)) == 0
 
 
+def metadata_contains(metadata: str, filters: dict) -> Column:
+    """Whether a JSON column holds every filter's value: scalars by value (numbers as numbers), lists as lists that hold all of them.
+
+    ``api_versions`` is matched against the list of that name, or, with one value, against ``api_version``.
+    """
+    data = F.try_parse_json(F.col(metadata))
+    out = F.lit(True)
+    for key, value in validated_filters(filters).items():
+        at = f"$['{key}']" if key.isidentifier() else f'$["{key}"]'
+        if isinstance(value, list):
+            held = F.coalesce(F.from_json(F.get_json_object(F.col(metadata), at), "array<string>"), F.array().cast("array<string>"))
+            one = contains_all(held, [str(v).lower() if isinstance(v, bool) else str(v) for v in value])
+            if key == "api_versions" and len(value) == 1:
+                one = one | F.coalesce(F.get_json_object(F.col(metadata), "$.api_version") == F.lit(str(value[0])), F.lit(False))
+        elif value is None:
+            one = F.is_variant_null(F.try_variant_get(data, at, "variant"))
+        else:
+            kind = "boolean" if isinstance(value, bool) else "double" if isinstance(value, int | float) else "string"
+            types = {"boolean": ("BOOLEAN",), "string": ("STRING",), "double": ("BIGINT", "DOUBLE", "DECIMAL", "INT", "TINYINT", "SMALLINT")}[kind]
+            said = F.schema_of_variant(F.try_variant_get(data, at, "variant"))
+            one = F.try_variant_get(data, at, kind).eqNullSafe(F.lit(value).cast(kind)) & F.greatest(F.lit(False), *[F.coalesce(said.startswith(t), F.lit(False)) for t in types])
+        out = out & F.coalesce(one, F.lit(False))
+    return out
+
+
 def text_like(columns: list[str], term: str) -> Column:
     out = F.lit(False)
     for c in columns:
@@ -96,14 +121,17 @@ def top_k(scored: DataFrame, k: int, score: str = "score", id_col: str = "chunk_
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= checked_limit(k))
 
 
-def vector_top_k(queries: DataFrame, chunks: DataFrame, k: int = 30, digits: int = 6) -> DataFrame:
+def vector_top_k(queries: DataFrame, chunks: DataFrame, k: int = 30, digits: int = 6, model: str | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): exact cosine top-k of (query_id, embedding) among (chunk_id, embedding).
 
+    Null embeddings and ones of another size than the query's are no candidates; nor, with ``model``, are other models' (column model).
+
     Queries go out in blocks of at most QUERY_BLOCK; a task multiplies its batches with a block and keeps
     k for each query, so what is shuffled is k rows for each query and task.
     """
     k = checked_limit(k)
     spark = chunks.sparkSession
+    chunks = chunks.filter(F.col("model") == model) if model else chunks
 
     def against(block: list) -> DataFrame:
         names = np.array([r[0] for r in block])

@@ -177,6 +177,35 @@ def evaluation_cases(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+_CHUNK = "chunk_id string, document_id string, chunk_index int, title string, section string, document_type string, content string"
+
+
+def chunk_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON-lines catalog of source chunks; malformed lines are errors, and of rows that repeat an id one stays."""
+    return spark.read.schema(_CHUNK).option("mode", "FAILFAST").json(path).dropDuplicates(["chunk_id"])
+
+
+def prices(spark: SparkSession, path: str) -> DataFrame:
+    """(provider, model, prompt_price, completion_price) per million tokens, of a JSON list; a negative price is an error."""
+    rows = spark.read.schema("provider string, model string, prompt_price decimal(18,8), completion_price decimal(18,8)").option("multiLine", "true").option("mode", "FAILFAST").json(path)
+    if rows.filter("prompt_price < 0 or completion_price < 0").limit(1).count():
+        raise ValueError("a price is negative")
+    return rows
+
+
+_SOURCE = "name string, source_type string, enabled boolean, include array<string>, exclude array<string>, options map<string,string>"
+
+
+def source_settings(spark: SparkSession, path: str) -> DataFrame:
+    """Source configurations of a JSON list, enabled unless they say not; unknown types and repeated names are errors."""
+    rows = spark.read.schema(_SOURCE).option("multiLine", "true").option("mode", "FAILFAST").json(path).withColumn("enabled", F.coalesce("enabled", F.lit(True)))
+    if rows.filter(~F.coalesce(F.col("source_type").isin(*LOADERS), F.lit(False))).limit(1).count():
+        raise ValueError("a source's type is unknown")
+    if rows.groupBy("name").count().filter("count > 1").limit(1).count():
+        raise ValueError("a source's name is repeated")
+    return rows
+
+
 def catalog_sample(catalog: DataFrame, n: int, seed: int = 20250717) -> DataFrame:
     """``n`` rows of least seeded hash, the same on every run."""
     return catalog.orderBy(F.xxhash64(F.lit(seed), "chunk_id"), "chunk_id").limit(n)

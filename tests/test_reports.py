@@ -157,3 +157,47 @@ def test_stored_paths_are_forgotten(spark):
 def test_pages_of_messages_have_bounds(spark):
     with pytest.raises(ValueError):
         catalogue.message_page(spark.range(1), 0)
+
+
+def test_metadata_containment(spark):
+    rows = spark.createDataFrame([(1, '{"kind": "Pod", "n": 2, "ok": true, "api_versions": ["v1", "v2"]}'), (2, '{"kind": "Pod", "n": "2", "api_version": "v1"}'), (3, None), (4, "not json")], "id int, m string")
+    hit = lambda **f: sorted(r.id for r in rows.filter(search.metadata_contains("m", f)).collect())
+    assert hit(kind="Pod") == [1, 2] and hit(n=2) == [1] and hit(n=2.0) == [1] and hit(n="2") == [2] and hit(ok=True) == [1]
+    assert hit(api_versions=["v1"]) == [1, 2] and hit(api_versions=["v1", "v2"]) == [1] and hit(kind="Job") == [] and hit() == [1, 2, 3, 4]
+
+
+def test_hybrid_leaves_out_a_channel_that_fails(spark):
+    good = spark.createDataFrame([(1, 7, 2.0, 1), (1, 8, 1.0, 2)], "query_id long, chunk_id long, score double, rank int")
+    bad = lambda: good.withColumn("rank", F.raise_error(F.lit("down")).cast("int"))
+    assert [r.chunk_id for r in fusion.hybrid(lambda: good, lambda: good).orderBy("fused_rank").collect()] == [7, 8]
+    assert [r.chunk_id for r in fusion.hybrid(bad, lambda: good, limit=1).collect()] == [7]
+    with pytest.raises(RuntimeError):
+        fusion.hybrid(bad, bad)
+
+
+def test_context_order(spark):
+    rows = spark.createDataFrame([(1, 5, None, 2, None, None, 1), (1, 5, None, 1, None, None, 2), (1, 6, 1, 9, None, None, 3), (1, 7, None, None, 1, None, 4)], "query_id long, chunk_id long, rerank_rank int, fused_rank int, keyword_rank int, vector_rank int, position int")
+    assert [(r.chunk_id, r.rank) for r in answering.context_order(rows).orderBy("rank").collect()] == [(6, 1), (5, 2), (7, 3)]
+
+
+def test_token_counters(spark):
+    from lectern.operators import providers
+
+    rows = spark.createDataFrame([("a-b c!",), (None,)], "text string")
+    assert [r.tokens for r in providers.token_counts(rows.limit(1)).collect()] == [3]
+    assert [r.tokens for r in providers.token_counts(rows, lambda: len).collect()] == [6, 0]
+
+
+def test_settings_and_prices(spark, tmp_path):
+    (tmp_path / "p.json").write_text('[{"provider": "p", "model": "m", "prompt_price": 1.5, "completion_price": 2}]')
+    assert readers.prices(spark, f"{tmp_path}/p.json").first().prompt_price == 1.5
+    (tmp_path / "n.json").write_text('[{"provider": "p", "model": "m", "prompt_price": -1, "completion_price": 2}]')
+    with pytest.raises(ValueError):
+        readers.prices(spark, f"{tmp_path}/n.json")
+    (tmp_path / "s.json").write_text('[{"name": "a", "source_type": "blog"}, {"name": "b", "source_type": "github_repo", "enabled": false}]')
+    assert {r.name: r.enabled for r in readers.source_settings(spark, f"{tmp_path}/s.json").collect()} == {"a": True, "b": False}
+    (tmp_path / "u.json").write_text('[{"name": "a", "source_type": "zzz"}]')
+    with pytest.raises(ValueError):
+        readers.source_settings(spark, f"{tmp_path}/u.json")
+    (tmp_path / "c.jsonl").write_text('{"chunk_id": "1", "content": "x"}\n{"chunk_id": "1", "content": "x"}\n')
+    assert readers.chunk_catalog(spark, f"{tmp_path}/c.jsonl").count() == 1

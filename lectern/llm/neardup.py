@@ -56,7 +56,7 @@ FINER = 3
 FOLLOWS = 0.7
 FEW = 16
 PIVOTS = 64
-TURNS = 4
+TURNS = 2
 SALT_ROWS = 2_000
 #: Likeliest partners of a member that ``between_classes`` tries before all others.
 BEST = 2

@@ -201,3 +201,11 @@ def test_settings_and_prices(spark, tmp_path):
         readers.source_settings(spark, f"{tmp_path}/u.json")
     (tmp_path / "c.jsonl").write_text('{"chunk_id": "1", "content": "x"}\n{"chunk_id": "1", "content": "x"}\n')
     assert readers.chunk_catalog(spark, f"{tmp_path}/c.jsonl").count() == 1
+
+
+def test_active_rows_batches_and_stage_means(spark):
+    rows = spark.createDataFrame([(1, None, None, "active", True), (2, "x", None, "active", True), (3, None, "x", "active", True), (4, None, None, "deleted", True), (5, None, None, "active", False)], "id int, chunk_deleted_at string, document_deleted_at string, status string, source_enabled boolean")
+    assert [r.id for r in search.active(rows).collect()] == [1]
+    assert [len(b) for b in sync.batches(iter(range(1201)))] == [500, 500, 201] and list(sync.batches(iter(()))) == []
+    means = spark.createDataFrame([(1.0, None), (3.0, None)], "a double, b double")
+    assert usage.stage_means(means, ["a", "b"]).first() == (2.0, 0.0)

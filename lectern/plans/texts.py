@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import answering, documents, keywords, search, simhash
+from lectern.operators import answering, api_pages, documents, keywords, search, simhash
 from lectern.plans import tables as t
 from lectern.session import stored_path
 from lectern.sources import sinks
@@ -191,6 +191,11 @@ def page_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return documents.chunk_documents(t.load(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("title"), F.col("html").alias("text")), kind="html")
 
 
+@_add("reference_pages")
+def reference_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return api_pages.reference_pages(t.load(spark, sf, "pages"))
+
+
 @_add("dataset_fingerprint")
 def dataset_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.fingerprint(t.load(spark, sf, "benchmark").withColumnRenamed("item_id", "id"))

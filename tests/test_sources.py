@@ -47,3 +47,19 @@ def test_fingerprints_ignore_order(spark):
     rows = spark.createDataFrame([(i, str(i)) for i in range(20)], "id long, x string")
     assert sinks.fingerprint(rows).first() == sinks.fingerprint(rows.orderBy(rows.id.desc())).first()
     assert sinks.fingerprint(rows).first().fingerprint != sinks.fingerprint(rows.filter("id > 0")).first().fingerprint
+
+
+def test_reference_pages(spark):
+    from lectern.operators import api_pages
+
+    table = "<table><tr><th>Field</th><th>Description</th><th>Type</th></tr><tr data-field-path='spec.x'><td>x</td><td>How <b>many</b></td><td>int</td></tr><tr><td>`y`</td><td></td><td></td></tr></table>"
+    marked = f"<title>T</title><body><div data-kind='Pod' data-version='v1' id='pod'><h2>The pod</h2><p>Runs.{table}</div><div data-kind='Job' data-group='batch'><h2>Jobs</h2></div></body>"
+    a, b = api_pages.documents(marked, "u")
+    assert a[1:6] == ("core", "v1", "Pod", "The pod", "u#pod") and a[7] == ["spec.x", "y"] and "### `spec.x` (int)\n\nHow many" in a[6]
+    assert b[1:5] == ("batch", "unknown", "Job", "Jobs")
+    plain = "<body><main><h1>API</h1><h2 id='a'>Pod v1 core</h2><p>one</p><h3>More</h3><p>two</p><h2>Set v1beta1 apps</h2><p>three</p></main></body>"
+    one, two = api_pages.documents(plain, "u")
+    assert one[1:4] == ("core", "v1", "Pod") and "two" in one[6] and "three" not in one[6] and two[1:4] == ("apps", "v1beta1", "Set") and one[5] == "u#a"
+    assert api_pages.documents("<meta name='api-kind' content='Node'><body><p>x</body>", "u")[0][3] == "Node" and api_pages.documents("", "u") == []
+    rows = api_pages.reference_pages(spark.createDataFrame([(1, "u", marked), (2, None, None), (3, "u", plain)], "page_id long, url string, html string")).collect()
+    assert [r.page_id for r in rows] == [1, 1, 3, 3] and len({r.external_id for r in rows}) == 4

@@ -1,7 +1,8 @@
 """Cursor-like incremental sync as a Structured Streaming query.
 
-Each run takes the files that came since the last one (availableNow) and upserts them into a versioned Parquet table:
-a batch writes the next version, then moves the pointer, so a batch that is run again changes nothing.
+Each run takes the files that came since the last one (availableNow). A batch writes its newest rows as a delta of its own
+number, so a batch that is run again changes nothing, and a batch costs what came, not what is stored. After every ``DELTAS``
+deltas they are merged into a new base, again in a folder of its own number; readers merge the last base with the deltas after it.
 """
 
 from __future__ import annotations
@@ -16,29 +17,40 @@ def newest(rows: DataFrame, key: str, cursor: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def sync(spark: SparkSession, source: str, table: str, checkpoint: str, schema: str, key: str, cursor: str) -> DataFrame:
-    """Run until the source's present files are in; returns the table. Older rows never replace newer ones."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    conf = spark._jsc.hadoopConfiguration()
+DELTAS = 16
 
-    def versions() -> list[int]:
-        path = hadoop.Path(table)
-        fs = path.getFileSystem(conf)
-        if not fs.exists(path):
-            return []
-        found = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("v=")]
-        return sorted(int(p.getName()[2:]) for p in found if fs.exists(hadoop.Path(p, "_SUCCESS")))
+
+def sync(spark: SparkSession, source: str, table: str, checkpoint: str, schema: str, key: str, cursor: str, deltas: int = DELTAS) -> DataFrame:
+    """Run until the source's present files are in; returns the table. Older rows never replace newer ones."""
 
     def upsert(batch: DataFrame, epoch: int) -> None:
-        before = [v for v in versions() if v <= epoch]
-        rows = batch if not before else batch.unionByName(spark.read.schema(schema).parquet(f"{table}/v={before[-1]}"))
-        newest(rows, key, cursor).write.mode("overwrite").parquet(f"{table}/v={epoch + 1}")
+        newest(batch, key, cursor).write.mode("overwrite").parquet(f"{table}/delta={epoch}")
+        if (epoch + 1) % deltas == 0 and epoch not in finished(spark, table, "base"):
+            current(spark, table, schema, key, cursor).write.mode("overwrite").parquet(f"{table}/base={epoch}")
 
     stream = spark.readStream.schema(schema).parquet(source)
     query = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    found = versions()
-    return spark.read.schema(schema).parquet(f"{table}/v={found[-1]}") if found else spark.createDataFrame([], schema)
+    return current(spark, table, schema, key, cursor)
+
+
+def finished(spark: SparkSession, table: str, kind: str) -> list[int]:
+    """Numbers of the table's folders of a kind that were written to the end."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(table)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    found = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith(f"{kind}=")]
+    return sorted(int(p.getName().partition("=")[2]) for p in found if fs.exists(hadoop.Path(p, "_SUCCESS")))
+
+
+def current(spark: SparkSession, table: str, schema: str, key: str, cursor: str) -> DataFrame:
+    """The table's newest row of each key: of the last base and the deltas after it."""
+    base = finished(spark, table, "base")[-1:]
+    after = [d for d in finished(spark, table, "delta") if not base or d > base[0]]
+    paths = [f"{table}/base={n}" for n in base] + [f"{table}/delta={n}" for n in after]
+    return newest(spark.read.schema(schema).parquet(*paths), key, cursor) if paths else spark.createDataFrame([], schema)
 
 
 def windowed_usage(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:

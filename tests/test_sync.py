@@ -35,3 +35,18 @@ def test_streaming_sync_is_incremental_and_monotonic(spark, tmp_path):
     assert run() == {1: 5, 2: 5}
     spark.createDataFrame([(1, 3), (2, 8), (3, 1)], schema).write.mode("append").parquet(f"{tmp_path}/in")
     assert run() == {1: 5, 2: 8, 3: 1} == run()
+
+
+def test_deltas_are_merged_into_bases(spark, tmp_path):
+    from lectern.streaming import cursor
+
+    schema = "k long, at long"
+    want = {}
+    for i in range(5):
+        rows = [(k, (i * 7 + k * 3) % 11) for k in range(i, i + 3)]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        for k, at in rows:
+            want[k] = max(want.get(k, -1), at)
+        got = {r.k: r.at for r in cursor.sync(spark, f"{tmp_path}/in", f"{tmp_path}/t", f"{tmp_path}/c", schema, "k", "at", deltas=2).collect()}
+        assert got == want
+    assert cursor.finished(spark, f"{tmp_path}/t", "base") == [1, 3] and len(cursor.finished(spark, f"{tmp_path}/t", "delta")) == 5

@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next one's docs. All but the last return the columns of documents.
+
+Cases, for every stage: a null text counts as an empty one, and may come back as one; empty texts are judged like others (the
+classifier by statistics of zero; all empty texts are copies of each other, so the one of least id stays); null ids are
+allowed and are the least; rows that repeat both id and text are one document, so near-dedup keeps one of them; rows that share an id but not a text are
+documents of their own; of texts that tie, the one of least id stays; an empty table gives an empty one; further columns, whatever their names, go along.
 """
 
 from __future__ import annotations

@@ -4,6 +4,7 @@ from collections import Counter
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 DATA = Path("/root/testdata/sf0.001")
@@ -91,6 +92,21 @@ def test_every_stage_equals_brute_force_on_its_input(spark, stages):
     assert all(r.n_chars == len(r.text or "") for r in stages[4].collect())
 
 
+def test_stages_take_odd_rows_and_empty_tables(spark, odd):
+    import corpus_pipeline
+
+    if not DATA.exists():
+        pytest.skip("no test tables here")
+    whole = odd.withColumns({c: F.lit("clash") for c in ("_rest", "_text", "_f0", "_y", "_spans", "n_chars_")})
+    for docs in (whole, whole.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(DATA))
+            assert out.columns == docs.columns, name
+            ids = {r.doc_id for r in out.collect()}
+            assert ids <= {r.doc_id for r in docs.collect()}
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, str(DATA)).count() == docs.count()
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 

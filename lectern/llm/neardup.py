@@ -278,16 +278,21 @@ def _hubs(large: DataFrame) -> DataFrame:
     return near.groupBy("bucket").agg(F.max_by("key", F.struct("near", (-F.col("key")).alias("least"))).alias("hub"))
 
 
-def candidates(texts: DataFrame, salt_rows: int = SALT_ROWS, pivots: int = PIVOTS) -> DataFrame:
+def shared_buckets(texts: DataFrame) -> DataFrame:
+    """Stored (bucket, key, n): the texts of every bucket of n > 1, which all that follows uses."""
+    rows = texts.select("key", F.explode("bands").alias("bucket"))
+    sizes = rows.groupBy("bucket").count().filter("count > 1").select(F.col("bucket").alias("_b"), F.col("count").alias("n"))
+    return stored(rows.join(sizes, F.col("bucket") == F.col("_b")).select("bucket", "key", "n"), "buckets")
+
+
+def candidates(texts: DataFrame, shared: DataFrame, salt_rows: int = SALT_ROWS, pivots: int = PIVOTS) -> DataFrame:
     """Distinct pairs (x, y), x a leader, of texts that share a band and whose sketches look alike.
 
-    ``texts`` has (key, bands, sketch).
+    ``texts`` has (key, bands, sketch), ``shared`` its buckets.
     """
     parts = parts_for(texts, 16)
-    rows = texts.select("key", F.explode("bands").alias("bucket"))
-    sizes = rows.groupBy("bucket").count().filter("count > 1").select(F.col("bucket").alias("_b"), F.col("count").alias("n"))
-    members = rows.join(sizes, F.col("bucket") == F.col("_b")).select("bucket", "key", "n")
-    members = members.join(texts.select(F.col("key").alias("_k"), "sketch"), F.col("key") == F.col("_k")).select("bucket", "key", "n", "sketch")
+    sizes = shared
+    members = shared.join(texts.select(F.col("key").alias("_k"), "sketch"), F.col("key") == F.col("_k")).select("bucket", "key", "n", "sketch")
     rounds: list[DataFrame] = []
     while True:
         turn = F.xxhash64("key", F.lit(len(rounds)))
@@ -313,7 +318,7 @@ def candidates(texts: DataFrame, salt_rows: int = SALT_ROWS, pivots: int = PIVOT
     return found.groupBy(F.least("x", "y").alias("_lo"), F.greatest("x", "y").alias("_hi")).agg(F.min("x").alias("x")).select("x", (F.col("_lo") + (F.col("_hi") - F.col("x"))).alias("y"))
 
 
-def between_classes(texts: DataFrame, roots: DataFrame, tried: DataFrame, best: int | None = None, block: int = BLOCK, finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def between_classes(texts: DataFrame, shared: DataFrame, roots: DataFrame, tried: DataFrame, best: int | None = None, block: int = BLOCK, finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Distinct pairs (x, y), not among ``tried``, of texts that share a band of over ``FEW``, look alike and are in different classes.
 
     ``roots`` has (key, root) of texts that are linked. A bucket's largest class is held against the others only; these, in
@@ -321,9 +326,7 @@ def between_classes(texts: DataFrame, roots: DataFrame, tried: DataFrame, best:
     partners of a member in each pair of blocks: what they link needs no further pairs, and a call without it finds the rest.
     ``finer`` makes (_w, fine) of the members' keys; then pairs must look alike by these samples, too.
     """
-    rows = texts.select("key", F.explode("bands").alias("bucket"))
-    sizes = rows.groupBy("bucket").count().filter(F.col("count") > FEW).select(F.col("bucket").alias("_b"))
-    members = rows.join(sizes, F.col("bucket") == F.col("_b")).select("bucket", "key")
+    members = shared.filter(F.col("n") > FEW).select("bucket", "key")
     members = members.join(roots.select(F.col("key").alias("_k"), "root"), F.col("key") == F.col("_k"), "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
     held = members.groupBy("bucket", "root").count().groupBy(F.col("bucket").alias("_b")).agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.max("count").alias("most"), F.sum("count").alias("n")).filter("n > most")
     members = members.join(held, F.col("bucket") == F.col("_b"))
@@ -463,10 +466,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     same = made.select("key", "a", "b").join(copied.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "first"), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")))
     same = stored(same.filter("key <> first").select("key", "first"), "copies")
     texts = made.join(same.select(F.col("key").alias("_c")), F.col("key") == F.col("_c"), "left_anti").filter("bands is not null").select("key", "bands", "sketch")
-    pairs = stored(candidates(texts), "pairs")
+    shared = shared_buckets(texts)
+    pairs = stored(candidates(texts, shared), "pairs")
     first = components(verified(pairs, base, idf, threshold).select("x", "y"))
     for best in (BEST, None):
-        more = stored(between_classes(texts, first, pairs, best, finer=None if best else lambda keys: finely(base, idf, keys)), "pairs")
+        more = stored(between_classes(texts, shared, first, pairs, best, finer=None if best else lambda keys: finely(base, idf, keys)), "pairs")
         links = first.select(F.col("key").alias("x"), F.col("root").alias("y")).unionByName(verified(more, base, idf, threshold).select("x", "y"))
         if best is not None:
             first, pairs = components(links), pairs.unionByName(more)

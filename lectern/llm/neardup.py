@@ -17,7 +17,7 @@
   group of copies.
 * What leaders link are classes for a start. Then, in each larger bucket that still holds several classes, every two
   members of different classes whose sketches look alike are verified too (``between_classes``), in pairs of blocks: the
-  likeliest first, and at last all that a finer sketch of ``FINER`` times as many more samples leaves in doubt. Two
+  likeliest first, and then all, of those that a finer sketch of ``FINER`` times as many more samples leaves in doubt. Two
   members of one class need no link of their own, so the classes are those of all pairs that share a band, whatever a bucket's size.
 * Pairs are verified by the weighted Jaccard similarity of all their shingles (>= ``THRESHOLD``) before they
   link. Shingles are packed by the documents that need them, and pivots of many pairs are salted.
@@ -49,9 +49,9 @@ DF_BUCKETS = 1 << 18
 RANDOMS = 1 << 16
 #: Sketches this alike are worth verifying: 0.8 less three standard deviations of 48 samples.
 WORTH = 0.62
-#: The same of sketches and finer ones together, 192 samples.
-FINELY = 0.71
-FINER = 3
+#: The same of sketches and finer ones together, 288 samples.
+FINELY = 0.727
+FINER = 5
 #: Sketches this alike make a member a follower, which need not lead; ``between_classes`` makes up for its other links.
 FOLLOWS = 0.7
 FEW = 16
@@ -318,13 +318,13 @@ def candidates(texts: DataFrame, shared: DataFrame, salt_rows: int = SALT_ROWS,
     return found.groupBy(F.least("x", "y").alias("_lo"), F.greatest("x", "y").alias("_hi")).agg(F.min("x").alias("x")).select("x", (F.col("_lo") + (F.col("_hi") - F.col("x"))).alias("y"))
 
 
-def between_classes(texts: DataFrame, shared: DataFrame, roots: DataFrame, tried: DataFrame, best: int | None = None, block: int = BLOCK, finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def between_classes(texts: DataFrame, shared: DataFrame, roots: DataFrame, tried: DataFrame, finer: Callable[[DataFrame], DataFrame], best: int | None = None, block: int = BLOCK) -> DataFrame:
     """Distinct pairs (x, y), not among ``tried``, of texts that share a band of over ``FEW``, look alike and are in different classes.
 
     ``roots`` has (key, root) of texts that are linked. A bucket's largest class is held against the others only; these, in
     blocks of about ``block``, against themselves and against blocks of it. With ``best``, only so many likeliest
     partners of a member in each pair of blocks: what they link needs no further pairs, and a call without it finds the rest.
-    ``finer`` makes (_w, fine) of the members' keys; then pairs must look alike by these samples, too.
+    ``finer`` makes (_w, fine) of the members' keys: pairs must look alike by these further samples, too.
     """
     members = shared.filter(F.col("n") > FEW).select("bucket", "key")
     members = members.join(roots.select(F.col("key").alias("_k"), "root"), F.col("key") == F.col("_k"), "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
@@ -334,7 +334,7 @@ def between_classes(texts: DataFrame, shared: DataFrame, roots: DataFrame, tried
     if members.limit(1).count() == 0:
         return tried.limit(0)
     whole = members.join(texts.select(F.col("key").alias("_k"), "sketch", "bands"), F.col("key") == F.col("_k"))
-    whole = whole.join(finer(members), F.col("key") == F.col("_w")) if finer else whole.withColumn("fine", F.lit(b""))
+    whole = whole.join(finer(members), F.col("key") == F.col("_w"))
     own = F.pmod(F.xxhash64("key", F.lit(-2)), F.when(F.col("of_main"), F.col("mains")).otherwise(F.col("others"))).cast("int")
     others = F.sequence(F.lit(0), F.col("others") - 1)
     place = lambda i, j, right: F.struct(i.alias("i"), j.alias("j"), right.alias("right"))
@@ -343,8 +343,6 @@ def between_classes(texts: DataFrame, shared: DataFrame, roots: DataFrame, tried
     of_others = F.concat(F.transform(others, lambda o: place(F.least(o, "own"), F.greatest(o, "own"), o < F.col("own"))), F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda m: place(F.col("own"), -1 - m, F.lit(False))))
     dealt = whole.withColumn("own", own).select("bucket", "key", "root", "sketch", "bands", "fine", F.explode(F.when(F.col("of_main"), of_main).otherwise(of_others)).alias("p")).select("bucket", "p.i", "p.j", "p.right", "key", "root", "sketch", "bands", "fine")
 
-    further = finer is not None
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here: tuple = ()
         sides: tuple[list, list] = ([], [])
@@ -363,16 +361,16 @@ def between_classes(texts: DataFrame, shared: DataFrame, roots: DataFrame, tried
                 # the first band that two share tells of them, here or, in a small bucket, among its pairs
                 same = b[part, None, :] == b2[None, :, :]
                 wanted &= np.take_along_axis(b[part], same.argmax(2), 1) == here[0]
-                if best is not None and len(k2) > best:
-                    near = np.where(wanted, alike, -1)
-                    kept = np.zeros_like(wanted)
-                    np.put_along_axis(kept, np.argpartition(-near, best - 1, axis=1)[:, :best], True, 1)
-                    wanted &= kept
                 at, to = np.nonzero(wanted)
-                if further and len(at):
+                if len(at):
                     agree = alike[at, to] * s.shape[1] + (f[part][at] == f2[to]).sum(1)
                     sure = agree >= FINELY * (s.shape[1] + f.shape[1])
-                    at, to = at[sure], to[sure]
+                    at, to, agree = at[sure], to[sure], agree[sure]
+                if best is not None and len(at):  # so many likeliest partners of each member
+                    by = np.lexsort((to, -agree, at))
+                    at, to = at[by], to[by]
+                    first = np.arange(len(at)) - np.searchsorted(at, at) < best
+                    at, to = at[first], to[first]
                 if len(at):
                     yield pa.RecordBatch.from_arrays([pa.array(k[part][at]), pa.array(k2[to])], ["x", "y"])
 
@@ -469,8 +467,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     shared = shared_buckets(texts)
     pairs = stored(candidates(texts, shared), "pairs")
     first = components(verified(pairs, base, idf, threshold).select("x", "y"))
+    fine: list[DataFrame] = []
+
+    def finer(keys: DataFrame) -> DataFrame:
+        if not fine:  # the first call's members are the later one's, and more
+            fine.append(finely(base, idf, keys))
+        return fine[0]
+
     for best in (BEST, None):
-        more = stored(between_classes(texts, shared, first, pairs, best, finer=None if best else lambda keys: finely(base, idf, keys)), "pairs")
+        more = stored(between_classes(texts, shared, first, pairs, finer, best), "pairs")
         links = first.select(F.col("key").alias("x"), F.col("root").alias("y")).unionByName(verified(more, base, idf, threshold).select("x", "y"))
         if best is not None:
             first, pairs = components(links), pairs.unionByName(more)

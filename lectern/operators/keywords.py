@@ -1,208 +1,36 @@
-"""Keyword search: three arms over weighted text, for blocks of queries, in one pass over the chunks.
+"""Keyword search: three arms, the best of which counts.
 
 * *English*: the query's words, quoted phrases, ``or`` and leading minus signs, on stems without stop words.
 * *Plain*: all words of the query as they are, at 0.75.
 * *Trigrams*: the similarity of query and text as sets of trigrams from 0.3 on, at 0.25.
 
-The first two score by cover density: each shortest stretch of the text that holds what is asked adds the mean weight of
-its words, (words / sum of 1 / weight), over 1 + the words between them; r / (r + 1) keeps scores under one. A chunk's title, headings and text
-are searched by stem, and its text in context by word, each with a weight of its own. This follows a database's density
-ranking approximately; the stemmer is a light one, and equal scores are not claimed.
+The first two come from a stored positional index (``postings``), the third from a join of trigram sets (``grams``).
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-from functools import cache
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators import search
-
-#: Weights of a chunk's columns: title, headings, text, and the text in context; and of the arms. Fixed values.
-WEIGHTS = {"title": 1.0, "headings": 0.4, "text": 0.2}
-CONTEXT_WEIGHT = 0.1
-PLAIN, TRIGRAM = 0.75, 0.25
-#: English stop words. Fixed values.
-STOPS = frozenset(
-    """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves
-    what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at
-    by for with about against between into through during before after above below to from up down in out on off over under again further then once here there when where
-    why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now""".split()
-)
-_WORD = re.compile(r"[^\W_]+")
-_PART = re.compile(r'(-?)(?:"([^"]*)"|([^\s"]+))')
-
-
-def words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
-
-
-@cache
-def _endings() -> tuple[tuple[re.Pattern, str], ...]:
-    return (re.compile(r"ies$"), "y"), (re.compile(r"(?<=[a-z]{3})(?:ing|edly|ed|ly)$"), ""), (re.compile(r"(?<=[a-z]{2}[^s])s$"), "")
-
-
-def stem(word: str) -> str:
-    """A light English suffix stripper; it only approximates a full stemmer."""
-    for pattern, instead in _endings():
-        word = pattern.sub(instead, word)
-    return word
-
-
-@dataclass
-class Wanted:
-    """What must be in a chunk together: phrases (tuples of terms), and phrases that must not be there."""
-
-    phrases: list[tuple[str, ...]] = field(default_factory=list)
-    banned: list[tuple[str, ...]] = field(default_factory=list)
-
-    def terms(self) -> set[str]:
-        return {t for p in self.phrases for t in p}
-
-
-def parsed(query: str) -> list[Wanted]:
-    """The alternatives of a web-style query: words and quoted phrases, ``or`` between alternatives, a minus before what is excluded."""
-    out = [Wanted()]
-    for minus, quoted, plain in _PART.findall(query):
-        if not quoted and not minus and plain.lower() == "or":
-            out.append(Wanted())
-            continue
-        terms = [stem(w) for w in words(quoted or plain) if w not in STOPS]
-        if terms:
-            (out[-1].banned if minus else out[-1].phrases).append(tuple(terms))
-    return [w for w in out if w.phrases]
-
-
-def plain(query: str) -> list[Wanted]:
-    found = [(w,) for w in dict.fromkeys(words(query))]
-    return [Wanted(found)] if found else []
+from lectern.operators import postings, search
 
+TRIGRAM = 0.25
 
-def occurrences(at: dict[str, list[tuple[int, float]]], phrase: tuple[str, ...]) -> list[tuple[int, int, float]]:
-    """(first place, last place, sum of 1 / weight) of every occurrence of the terms one after another."""
-    rest = [dict(at.get(t, ())) for t in phrase[1:]]
-    out = []
-    for p, w in at.get(phrase[0], ()):
-        weights = [w, *(r.get(p + i) for i, r in enumerate(rest, 1))]
-        if None not in weights:
-            out.append((p, p + len(phrase) - 1, sum(1 / x for x in weights)))
-    return out
 
-
-def density(at: dict[str, list[tuple[int, float]]], wanted: Wanted) -> float:
-    """The sum over covers of their words' mean weight over 1 + the words between them; 0 without a match."""
-    if any(occurrences(at, b) for b in wanted.banned):
-        return 0.0
-    found = [occurrences(at, p) for p in wanted.phrases]
-    if not all(found):
-        return 0.0
-    marks = sorted((last, first, i, inverse) for i, places in enumerate(found) for first, last, inverse in places)
-    latest: dict[int, tuple[int, float]] = {}
-    total, covered = 0.0, -1
-    for last, first, i, inverse in marks:
-        latest[i] = first, inverse
-        if len(latest) == len(found):
-            begin = min(x for x, _ in latest.values())
-            if begin > covered:
-                size = sum(len(p) for p in wanted.phrases)
-                noise = max(last - begin + 1 - size, 0)
-                total += size / sum(x for _, x in latest.values()) / (1 + noise)
-                covered = begin
-    return total
-
-
-def scaled(value: float) -> float:
-    return value / (value + 1)
-
-
-class Block:
-    """Queries with their alternatives, and a table of the terms that each alternative needs."""
-
-    def __init__(self, queries: list[tuple[int, str]]):
-        self.names = [q for q, _ in queries]
-        # an alternative too many terms of which are missing is never looked at
-        self.wanted = [(i, arm, w) for i, (_, text) in enumerate(queries) for arm, made in ((0, parsed(text)), (1, plain(text))) for w in made]
-        terms = sorted({t for *_, w in self.wanted for t in w.terms()} | {t for *_, w in self.wanted for b in w.banned for t in b})
-        self.place = {t: k for k, t in enumerate(terms)}
-        self.table = np.zeros((len(terms), len(self.wanted)), np.uint16)
-        for j, (*_, w) in enumerate(self.wanted):
-            self.table[[self.place[t] for t in w.terms()], j] = 1
-        self.need = self.table.sum(0)
-        self.stems: dict[str, str | None] = {}
-
-    def places(self, fields: list[tuple[str | None, float]], context: str | None) -> dict[str, list[tuple[int, float]]]:
-        """Where the queries' terms stand in a chunk, and with what weight."""
-        at: dict[str, list[tuple[int, float]]] = {}
-        n = 0
-        for text, weight in fields:
-            for word in words(text):
-                n += 1
-                if word not in self.stems:
-                    if len(self.stems) > 500_000:
-                        self.stems.clear()
-                    term = None if word in STOPS else stem(word)
-                    self.stems[word] = term if term in self.place else None
-                if (term := self.stems[word]) is not None:
-                    at.setdefault(term, []).append((n, weight))
-        for word in words(context):
-            n += 1
-            if word in self.place:
-                at.setdefault(word, []).append((n, CONTEXT_WEIGHT))
-        return at
-
-    def scores(self, fields: list[tuple[str | None, float]], context: str | None) -> dict[int, list[float]]:
-        """Per query that matches, the densities of its English and its plain arm."""
-        at = self.places(fields, context)
-        if not at:
-            return {}
-        out: dict[int, list[float]] = {}
-        for j in np.flatnonzero(self.table[[self.place[t] for t in at]].sum(0) == self.need).tolist():
-            i, arm, wanted = self.wanted[j]
-            if value := density(at, wanted):
-                out.setdefault(i, [0.0, 0.0])[arm] += value
-        return out
-
-
-def keyword_top_k(queries: DataFrame, chunks: DataFrame, k: int = 30) -> DataFrame:
+def keyword_top_k(queries: DataFrame, chunks: DataFrame, k: int = 30, index: str | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank) of (query_id, text) among chunks: (chunk_id, text), and title, headings and context if there are such columns.
 
-    Without a context the text is its own. Blocks of queries are broadcast; a task keeps k chunks for each query.
+    Without a context the text is its own. ``index`` is the folder of an index of these chunks; without one they are indexed first.
     """
     k = search.checked_limit(k)
-    spark = chunks.sparkSession
-    weighted = [c for c in WEIGHTS if c in chunks.columns]
-    picked = chunks.select("chunk_id", *[F.col(c).cast("string") for c in weighted], F.col("context" if "context" in chunks.columns else "text").alias("_context"))
-
-    def against(block: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast(Block([(q, t) for q, t in block]))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = sent.value
-            best: list[list[tuple[float, int]]] = [[] for _ in own.names]
-            for batch in batches:
-                ids, *texts = (c.to_pylist() for c in batch.columns)
-                for n, chunk in enumerate(ids):
-                    fields = [(texts[c][n], WEIGHTS[name]) for c, name in enumerate(weighted)]
-                    for i, (english, simple) in own.scores(fields, texts[-1][n]).items():
-                        held = best[i]
-                        held.append((-round(max(scaled(english), PLAIN * scaled(simple)), 6), chunk))
-                        if len(held) >= 4 * k:
-                            held.sort()
-                            del held[k:]
-            found = [(own.names[i], chunk, -score) for i, held in enumerate(best) for score, chunk in sorted(held)[:k]]
-            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "chunk_id", "score"])
-
-        return picked.mapInArrow(run, "query_id long, chunk_id long, score double")
-
     asked = queries.select("query_id", "text").filter("text is not null")
-    dense = search._top_of_blocks(asked, against, k, spark)
+    dense = postings.search(asked, index or postings.create(chunks), k)
     alike = search.trigram_top_k(asked, chunks, k).select("query_id", "chunk_id", F.round(TRIGRAM * F.col("score"), 6).alias("score"))
     # a chunk among a query's best is among the best of its better arm
-    both = dense.select("query_id", "chunk_id", "score").unionByName(alike).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+    both = dense.unionByName(alike).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     return search.top_k(both, k)
+
+
+def density_top_k(queries: DataFrame, index: str, k: int = 30, among: DataFrame | None = None) -> DataFrame:
+    """``keyword_top_k`` by the two density arms alone, from an index and without any text of a chunk."""
+    return search.top_k(postings.search(queries, index, search.checked_limit(k), among), k)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
+from lectern.operators import grams
 
 LIMIT = 200
 TRIGRAM_THRESHOLD = 0.3
@@ -162,66 +162,10 @@ def vector_top_k(queries: DataFrame, chunks: DataFrame, k: int = 30, digits: int
     return _top_of_blocks(queries.select("query_id", "embedding").filter("embedding is not null"), against, k, spark)
 
 
-def _words(text: str) -> set[str]:
-    return set(re.findall(r"[^\W_]+", text.lower()))
-
-
-def _word_trigrams(word: str) -> list[str]:
-    padded = f"  {word} "
-    return [padded[i : i + 3] for i in range(len(padded) - 2)]
-
-
 def trigram_top_k(queries: DataFrame, chunks: DataFrame, k: int = 30, threshold: float = TRIGRAM_THRESHOLD) -> DataFrame:
-    """(query_id, chunk_id, score, rank): trigram set similarity of at least ``threshold``.
-
-    Queries go out in blocks of at most QUERY_BLOCK, and their trigrams as a table of bits; a task adds up the rows of a
-    chunk's trigrams, so shared ones are counted without a shuffle, and keeps k chunks a query: what is shuffled is k rows
-    for each query and task.
-    """
-    k = checked_limit(k)
-    spark = chunks.sparkSession
-
-    def against(block: list) -> DataFrame:
-        sets = [{g for w in _words(text) for g in _word_trigrams(w)} for _, text in block]
-        place = {g: i for i, g in enumerate(sorted(set().union(*sets)))}
-        table = np.zeros((len(place), len(block)), np.uint8)
-        for j, grams in enumerate(sets):
-            table[[place[g] for g in grams], j] = 1
-        sent = spark.sparkContext.broadcast((np.array([i for i, _ in block]), np.array([len(g) for g in sets]), place, table))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, sizes, place, table = sent.value
-            known: dict[str, tuple[int, ...]] = {}
-            best: list[list[tuple[float, int]]] = [[] for _ in names]
-            for batch in batches:
-                for chunk, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    grams: set[str] = set()
-                    for word in _words(text or ""):
-                        if word not in known:
-                            if len(known) > 200_000:
-                                known.clear()
-                            known[word] = tuple(_word_trigrams(word))
-                        grams.update(known[word])
-                    # a similarity is at most the smaller set's size over the larger's
-                    near = np.flatnonzero((sizes >= threshold * len(grams)) & (sizes * threshold <= len(grams)) & (sizes > 0))
-                    rows = [place[g] for g in grams if g in place]
-                    if not len(near) or not rows:
-                        continue
-                    shared = table[rows].sum(0, dtype=np.int64) if 2 * len(near) > len(names) else table[np.ix_(rows, near)].sum(0, dtype=np.int64)
-                    shared = shared[near] if len(shared) != len(near) else shared
-                    score = np.round(shared / (sizes[near] + len(grams) - shared), 6)
-                    for j in np.flatnonzero(score >= threshold).tolist():
-                        held = best[near[j]]
-                        held.append((-float(score[j]), chunk))
-                        if len(held) >= 4 * k:
-                            held.sort()
-                            del held[k:]
-            found = [(int(names[i]), chunk, -score) for i, held in enumerate(best) for score, chunk in sorted(held)[:k]]
-            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "chunk_id", "score"])
-
-        return chunks.select("chunk_id", "text").mapInArrow(run, "query_id long, chunk_id long, score double")
-
-    return _top_of_blocks(queries.select("query_id", "text").filter("text is not null"), against, k, spark)
+    """(query_id, chunk_id, score, rank): trigram set similarity of at least ``threshold``, by a join of the sets (``grams``)."""
+    asked = queries.select("query_id", "text").filter("text is not null")
+    return top_k(grams.similar(asked, chunks.select("chunk_id", "text"), threshold), checked_limit(k))
 
 
 def _top_of_blocks(queries: DataFrame, against: Callable[[list], DataFrame], k: int, spark) -> DataFrame:

@@ -60,7 +60,7 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     queries = t.load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     chunks = t.load(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     vectors = lambda rows: providers.embed(rows, 64)
-    return fusion.rrf(keywords.keyword_top_k(queries, chunks), search.vector_top_k(vectors(queries), vectors(chunks))).filter("fused_rank <= 30")
+    return fusion.hybrid(lambda: keywords.keyword_top_k(queries, chunks), lambda: search.vector_top_k(vectors(queries), vectors(chunks)))
 
 
 @_add("filtered_parts", "SELECT p_partkey FROM part WHERE (p_name ILIKE '%a%' OR p_type ILIKE '%a%') AND p_brand IN (SELECT DISTINCT p_brand FROM part WHERE p_brand LIKE '%1')")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import answering, api_pages, documents, keywords, search, simhash
+from lectern.operators import answering, api_pages, cells, documents, keywords, postings, search, simhash
 from lectern.plans import tables as t
 from lectern.session import stored_path
 from lectern.sources import sinks
@@ -80,6 +80,16 @@ def vector_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return search.vector_top_k(queries, e.select(F.col("vec_id").alias("chunk_id"), "embedding"))
 
 
+@_add("vector_index_top_k", SQL["vector_top_k"])
+def vector_index_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    """The same through an index, going on until its bounds prove every answer."""
+    e = t.load(spark, sf, "embeddings")
+    rows = e.select(F.col("vec_id").alias("chunk_id"), "embedding")
+    queries = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    size = rows.agg(F.max(F.size("embedding")).alias("n")).first().n or 1
+    return search.top_k(cells.search(queries, cells.create(rows, size), 30, exact=True).drop("proved"), 30)
+
+
 _GRAMS = "list_distinct(flatten(list_transform(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
 
 
@@ -97,6 +107,25 @@ def keyword_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return keywords.keyword_top_k(queries, t.load(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text"), k=10)
 
 
+_WORD_LIST = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+
+
+@_add("cover_density", f"""WITH q AS (SELECT item_id AS query_id, list_distinct({_WORD_LIST}) AS w FROM benchmark), d AS (SELECT doc_id AS chunk_id, {_WORD_LIST} AS w FROM documents),
+m AS (SELECT query_id, chunk_id, q.w AS qw, d.w AS dw FROM q JOIN d ON list_has_all(d.w, q.w) WHERE len(q.w) > 0), u AS (SELECT query_id, chunk_id, len(qw) AS n, qw, unnest(range(1, len(dw) + 1)) AS pos, unnest(dw) AS word FROM m),
+e AS (SELECT query_id, chunk_id, n, pos, word FROM u WHERE list_contains(qw, word)),
+f AS (SELECT s.query_id, s.chunk_id, s.pos AS start, t.word, min(t.pos) AS nxt, any_value(s.n) AS n FROM e s JOIN e t ON s.query_id = t.query_id AND s.chunk_id = t.chunk_id AND t.pos >= s.pos GROUP BY ALL),
+g AS (SELECT DISTINCT query_id, chunk_id, finish FROM (SELECT query_id, chunk_id, start, max(nxt) AS finish FROM f GROUP BY 1, 2, 3 HAVING count(*) = any_value(n))),
+l AS (SELECT g.query_id, g.chunk_id, finish, word, max(pos) AS lst FROM g JOIN e ON g.query_id = e.query_id AND g.chunk_id = e.chunk_id AND pos <= finish GROUP BY ALL),
+c AS (SELECT query_id, chunk_id, finish, min(lst) AS begin FROM l GROUP BY 1, 2, 3), k AS (SELECT c.query_id, c.chunk_id, begin, finish, count(*) AS n FROM c JOIN e ON c.query_id = e.query_id AND c.chunk_id = e.chunk_id AND pos BETWEEN begin AND finish GROUP BY ALL),
+r AS (SELECT query_id, chunk_id, sum(0.1 / (1 + finish - begin - (n - 1))) AS r FROM (SELECT query_id, chunk_id, begin, min(finish) AS finish, min(n) AS n FROM k GROUP BY 1, 2, 3) GROUP BY 1, 2),
+o AS (SELECT query_id, chunk_id, round(0.75 * r / (r + 1), 6) AS score FROM r), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM o) SELECT * FROM p WHERE rank <= 200""")
+def cover_density(spark: SparkSession, sf: str) -> DataFrame:
+    """The plain arm alone, over an index of words."""
+    queries = t.load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    index = postings.create(t.load(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("context")))
+    return search.top_k(postings.search(queries, index, search.LIMIT, words_only=True), search.LIMIT)
+
+
 @_add("topic_overlap", f"""WITH x AS (SELECT conv_id, turn, {_terms('text')} AS w FROM conversations), p AS (SELECT q.conv_id AS query_id, q.w AS q, a.w AS e FROM x q JOIN x a ON a.conv_id = q.conv_id AND q.turn = 0 AND a.turn BETWEEN 1 AND 3)
 SELECT query_id, round(max(CASE WHEN len(q) = 0 THEN 0.0 ELSE len(list_intersect(q, e)) / len(q) END), 9) AS topic_overlap FROM p GROUP BY 1""")
 def topic_overlap(spark: SparkSession, sf: str) -> DataFrame:

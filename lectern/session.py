@@ -49,6 +49,20 @@ def stored_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def stored_copy(df, label: str):
+    """``df`` written to the shared folder and read back, so that neither lineage nor work is repeated."""
+    path = stored_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df, key: str):
+    """``df``, dealt out by ``key`` if what is read makes fewer tasks than there are cores."""
+    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def forget_stored(spark: SparkSession) -> None:
     """Delete what this application has stored in the shared folder so far; results that aren't written yet need it no more then."""
     context = spark.sparkContext

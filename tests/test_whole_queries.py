@@ -2,7 +2,8 @@ import re
 
 import pytest
 
-from lectern.operators import keywords, providers
+from lectern.functions.english import stem
+from lectern.operators import fusion, keywords, postings, providers
 from lectern.plans import catalog
 
 ITEMS = [(1, "alpha beta gamma delta epsilon zeta eta theta"), (2, "one two three four five six seven eight nine")]
@@ -23,13 +24,14 @@ def grams(text):
 
 def cover_scores(terms, want, weight):
     """All covers of ``want`` in a list of terms, looked for from every place."""
-    total, covered = 0.0, -1
-    for end in range(len(terms)):
-        begins = [b for b in range(end + 1) if want <= set(terms[b : end + 1])]
-        if begins and terms[end] in want and max(begins) > covered:
-            covered = max(begins)
-            total += weight / (1 + max(0, end - covered + 1 - len(want)))
-    return total
+    places, total, start = [i for i, x in enumerate(terms) if x in want], 0.0, 0
+    while True:
+        end = next((e for e in places if want <= {x for x in terms[start : e + 1]}), None)
+        if end is None:
+            return total
+        begin = next(b for b in reversed(places) if start <= b <= end and want <= {x for x in terms[b : end + 1]})
+        held = sum(begin <= p <= end for p in places)
+        total, start = total + weight / (1 + end - begin + 1 - held), begin + 1
 
 
 def brute_keywords(items=ITEMS):
@@ -37,17 +39,16 @@ def brute_keywords(items=ITEMS):
     out = {}
     for q, query in items:
         plain = query.split()
-        english = {keywords.stem(w) for w in plain if w not in keywords.STOPS}
         scored = []
         for d, text in DOCS:
-            w = text.split()
-            at = {}
-            for i, x in enumerate(w):
-                if x not in keywords.STOPS:
-                    at.setdefault(keywords.stem(x), []).append((i, 0.2))
-            for i, x in enumerate(w):
-                at.setdefault(x, []).append((len(w) + i, 0.1))
-            a, b = (keywords.density(at, keywords.Wanted([(t,) for t in dict.fromkeys(want)])) for want in (english, plain))
+            w, at = text.split(), {}
+            for i, x in enumerate(w, 1):
+                if x not in postings.STOPS:
+                    at.setdefault(stem(x), []).append(4 * i + 1)
+            offset = max(i for i, x in enumerate(w, 1) if x not in postings.STOPS)
+            for i, x in enumerate(w, 1):
+                at.setdefault(x, []).append(4 * (offset + i))
+            a, b = (postings.density(at, [postings.Wanted([((0, t),) for t in dict.fromkeys(want)])]) for want in ([stem(x) for x in plain if x not in postings.STOPS], plain))
             like = len(grams(query) & grams(text)) / len(grams(query) | grams(text))
             score = max(a / (a + 1), 0.75 * b / (b + 1), 0.25 * round(like, 6) if like >= 0.3 else 0.0)
             if score:
@@ -60,13 +61,38 @@ def test_density_is_the_sum_over_covers():
     import random
 
     rng = random.Random(1)
-    for _ in range(200):
+    for _ in range(300):
         terms = [rng.choice("abcde") for _ in range(rng.randrange(1, 25))]
         at = {}
-        for i, x in enumerate(terms):
-            at.setdefault(x, []).append((i, 0.4))
+        for i, x in enumerate(terms, 1):
+            at.setdefault(x, []).append(4 * i + 2)
         want = set(rng.sample("abc", rng.randrange(1, 4)))
-        assert keywords.density(at, keywords.Wanted([(t,) for t in want])) == pytest.approx(cover_scores(terms, want, 0.4))
+        assert postings.density(at, [postings.Wanted([((0, t),) for t in want])]) == pytest.approx(cover_scores(terms, want, 0.4))
+
+
+def window_holds(terms, w):
+    has = lambda p: any(all(i + d < len(terms) and terms[i + d] == t for d, t in p) for i in range(len(terms)))
+    return all(map(has, w.phrases)) and not any(map(has, w.banned))
+
+
+def test_density_with_alternatives_phrases_and_bans():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(300):
+        terms = [rng.choice("abcdxx") for _ in range(rng.randrange(1, 20))]
+        phrase = lambda: tuple((i, rng.choice("abc")) for i in range(rng.choice([1, 1, 2])))
+        wanted = [postings.Wanted([phrase() for _ in range(rng.randrange(1, 3))], [((0, "d"),)] * rng.randrange(2)) for _ in range(rng.randrange(1, 3))]
+        used = {t for w in wanted for p in (*w.phrases, *w.banned) for _, t in p}
+        at = {}
+        for i, x in enumerate(terms, 1):
+            at.setdefault(x, []).append(4 * i + 1)
+        places, total, start = [i for i, x in enumerate(terms) if x in used], 0.0, 0
+        while (end := next((e for e in places if e >= start and any(window_holds(terms[start : e + 1], w) for w in wanted)), None)) is not None:
+            begin = next(b for b in reversed(places) if start <= b <= end and any(window_holds(terms[b : end + 1], w) for w in wanted))
+            total += 0.2 / (1 + end - begin + 1 - sum(begin <= p <= end for p in places))
+            start = begin + 1
+        assert postings.density(at, wanted) == pytest.approx(total)
 
 
 def test_web_syntax_and_weights(spark):
@@ -81,10 +107,10 @@ def test_web_syntax_and_weights(spark):
         got.setdefault((r.query_id, r.score > 0.25 * like + 1e-6), set()).add(r.chunk_id)
     assert got[1, True] == {1} and got[2, True] <= {1, 2} and got[3, True] == {1, 2, 3} and 3 in got[4, True]
     assert next(r.chunk_id for r in rows if r.query_id == 4 and r.rank == 1) == 3 and not {5, 6, 7} & {q for q, _ in got}
-    block = keywords.Block([(2, "deployment -pods"), (1, '"rolling back"')])
-    # the plain arm knows neither quotes nor minus signs
-    arms = [{i: tuple(x > 0 for x in v) for i, v in block.scores([(t, 0.2)], t).items()} for _, t, _ in docs]
-    assert arms == [{0: (True, False), 1: (True, True)}, {0: (True, False), 1: (False, True)}, {}, {0: (False, True)}]
+    index = postings.create(chunks)
+    dense = {(r.query_id, r.chunk_id) for r in keywords.density_top_k(spark.createDataFrame(asked, "query_id long, text string"), index, 10).collect()}
+    # the plain arm knows neither quotes nor minus signs; "pods" is no word of the first two
+    assert {d for q, d in dense if q == 1} == {1, 2} and {d for q, d in dense if q == 2} == {1, 2} | ({3, 4} & {d for q, d in dense if q == 2})
 
 
 def test_keyword_queries_are_whole_texts(spark, folder):
@@ -103,3 +129,17 @@ def test_hybrid_queries_are_whole_texts(spark, folder):
         score = {d: sum(1 / (60 + some.index(d) + 1) for some in (ranked[q], vectors) if d in some) for _, d in [(0, d) for d, _ in DOCS]}
         got = [r.chunk_id for r in sorted((r for r in rows if r.query_id == q), key=lambda r: r.fused_rank)]
         assert got == sorted(score, key=lambda d: (-score[d], d))
+
+
+def test_a_channel_of_the_query_fails(spark, folder, monkeypatch):
+    """Hybrid search goes on by keywords alone where the embedding provider fails."""
+
+    def broken(text, dimension):
+        raise RuntimeError("no provider")
+
+    monkeypatch.setattr(providers, "hash_vector", broken)
+    rows = catalog.QUERIES["hybrid_search"](spark, folder).collect()
+    ranked = brute_keywords()
+    assert {q: [r.chunk_id for r in sorted((r for r in rows if r.query_id == q), key=lambda r: r.fused_rank)] for q, _ in ITEMS} == ranked
+    with pytest.raises(RuntimeError):
+        fusion.hybrid(lambda: 1 / 0, lambda: 1 / 0)

@@ -8,11 +8,12 @@ its vector. The vector has two parts:
 * ``DENSE`` lanes of 40 bits, each a hash of the whole paragraph under a seed of its own, summed modulo 2^40. Texts whose
   paragraphs differ have equal sums by chance only, of about 2^-200; the hash isn't cryptographic, so it doesn't hold
   against texts that are made to collide.
-* ``HASHES`` times 60 wide lanes of 20 bits, three to a number: sums of the bits of hashes of the
-  paragraph's word pairs. With n pairs in all, 2 * lane - n is a random +-1 projection of the
-  multiset of pairs, so the cosine of two such vectors estimates the cosine of the multisets, with a
-  standard error of at most 0.065 (one over the root of 240). In texts of over 2 million words lanes may run into the next one, which
-  equality doesn't mind, but likeness does.
+* ``LANES`` wide lanes of 32 bits: each of the paragraph's word pairs adds 1 or -1, by its hash, to the lane that its hash names, modulo 2^32. Two
+  such vectors have in expectation the inner product of the multisets of pairs, so their cosine estimates the multisets', with a
+  standard error of at most 0.065 (about one over the root of 256).
+
+Sums are taken before the modulus with room above them: dense lanes in halves of 20 bits, wide ones in 64, so none overflows in any
+text that a string holds. A paragraph's words are an array while they are hashed, at about 200 bytes of memory a word.
 
 Cases: null texts are empty; an empty text is one empty paragraph without word pairs; two texts
 without word pairs are alike (1) if their fingerprints are equal, else 0; rows that repeat both
@@ -31,45 +32,46 @@ from pyspark.sql.types import IntegralType
 from lectern.llm.common import parts_for, stored
 
 DENSE = 5
-HASHES = 4
-BITS = 20
+LANES = 256
+BITS = 32
 _LOW = (1 << 40) - 1
+_HALF = (1 << 20) - 1
 _LANE = (1 << BITS) - 1
 _NO_ID = -(1 << 63)
-_THREE = 1 | 1 << BITS | 1 << 2 * BITS  # three lanes in a long
 
 
 def vectors(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """(keys, pairs, d0.., w0..): sums over the paragraphs of the rows that share ``keys``.
+    """(keys, pairs, paragraphs, dense, wide): sums over the paragraphs of the rows that share ``keys``.
 
-    Both explosions stay in one generated stage under a partial aggregate, so what is
-    shuffled is one row of sums for each key.
+    A row for each dense half, paragraph and word pair is summed by lane, without a shuffle where the rows lie by keys already; then a
+    row for each lane makes the vector.
     """
-    paragraphs = texts.select(*keys, F.explode(F.split(text_col, "\n")).alias("_p"))
-    paragraphs = paragraphs.select(*keys, "_p", F.filter(F.split("_p", "[ \\t\\r\\f]+"), lambda w: w != "").alias("_w"))
+    lines = texts.select(*keys, F.explode(F.split(text_col, "\n")).alias("_p"))
+    lines = lines.select(*keys, "_p", F.filter(F.split("_p", "[ \\t\\r\\f]+"), lambda w: w != "").alias("_w"))
     # each word with the one before it; the first with a mark
     before = F.concat(F.array(F.lit("")), F.slice(F.col("_w"), 1, F.greatest(F.size("_w") - 1, F.lit(0))))
-    pairs = F.zip_with(before, F.col("_w"), lambda a, b: F.xxhash64(a, b))
-    rows = paragraphs.select(*keys, *[F.xxhash64(F.lit(i), "_p").bitwiseAND(F.lit(_LOW)).alias(f"d{i}") for i in range(DENSE)], F.when(F.size("_w") > 0, pairs).otherwise(F.array().cast("array<bigint>")).alias("_x"))
-    rows = rows.select(*keys, *[f"d{i}" for i in range(DENSE)], F.posexplode_outer("_x").alias("_at", "_h"))
-    # further hashes of a pair follow from its first
-    rows = rows.select(*keys, *[f"d{i}" for i in range(DENSE)], "_at", "_h", *[F.when(F.col("_h").isNotNull(), F.xxhash64(F.lit(-1 - k), "_h")).alias(f"_h{k}") for k in range(HASHES)])
-    once = F.coalesce(F.col("_at"), F.lit(0)) == 0
-    sums = [F.sum(F.when(once, F.col(f"d{i}")).otherwise(F.lit(0))).alias(f"d{i}") for i in range(DENSE)]
-    wide = [F.coalesce(F.sum(F.shiftrightunsigned(f"_h{k}", i).bitwiseAND(F.lit(_THREE))), F.lit(0)).alias(f"w{k * BITS + i}") for k in range(HASHES) for i in range(BITS)]
-    out = rows.groupBy(*keys).agg(F.count("_h").alias("pairs"), F.sum(F.when(once, 1).otherwise(0)).alias("paragraphs"), *sums, *wide)
-    return out.select(*keys, "pairs", "paragraphs", F.array(*[F.col(f"d{i}").bitwiseAND(F.lit(_LOW)) for i in range(DENSE)]).alias("dense"), F.array(*[f"w{i}" for i in range(HASHES * BITS)]).alias("wide"))
-
-
-def lanes(wide: Column) -> Column:
-    """The wide lanes one by one."""
-    return F.flatten(F.transform(wide, lambda x: F.array(*[F.shiftrightunsigned(x, BITS * k).bitwiseAND(F.lit(_LANE)) for k in range(3)])))
+    pairs = F.when(F.size("_w") > 0, F.zip_with(before, F.col("_w"), lambda a, b: F.xxhash64(a, b))).otherwise(F.array().cast("array<bigint>"))
+    lines = lines.select(*keys, pairs.alias("_x"), *[F.xxhash64(F.lit(i), "_p").alias(f"_d{i}") for i in range(DENSE)])
+    # first the halves of the dense lanes and 1 for the paragraph, then the pairs
+    own = [F.shiftrightunsigned(f"_d{i}", by).bitwiseAND(F.lit(_HALF)) for i in range(DENSE) for by in (20, 0)] + [F.lit(1).cast("long")]
+    rows = lines.select(*keys, F.posexplode(F.concat(F.array(*own), "_x")).alias("_at", "_h"))
+    single = F.col("_at") < len(own)
+    lane = F.when(single, F.col("_at") + LANES).otherwise(F.col("_h").bitwiseAND(F.lit(LANES - 1)).cast("int"))
+    value = F.when(single, F.col("_h")).otherwise(1 - 2 * F.shiftrightunsigned("_h", 63))
+    sums = rows.select(*keys, lane.alias("_lane"), value.alias("_v")).groupBy(*keys, "_lane").agg(F.sum("_v").alias("_v"), F.count(F.lit(1)).alias("_n"))
+    made = sums.groupBy(*keys).agg(F.sum(F.when(F.col("_lane") < LANES, F.col("_n")).otherwise(F.lit(0))).alias("pairs"), F.sort_array(F.collect_list(F.struct("_lane", "_v"))).alias("_s"))
+    half = lambda i: F.element_at("_s", -(len(own) - i))["_v"]
+    dense = F.array(*[(F.shiftleft(half(2 * i).bitwiseAND(F.lit(_HALF)), 20) + half(2 * i + 1)).bitwiseAND(F.lit(_LOW)) for i in range(DENSE)])
+    none = F.array().cast("array<bigint>")
+    filled = lambda acc, to: F.concat(acc, F.array_repeat(F.lit(0).cast("long"), to - F.size(acc)))
+    wide = F.aggregate(F.filter("_s", lambda e: e["_lane"] < LANES), none, lambda acc, e: F.concat(filled(acc, e["_lane"]), F.array(e["_v"].bitwiseAND(F.lit(_LANE)))), lambda acc: filled(acc, F.lit(LANES)))
+    return made.select(*keys, "pairs", F.element_at("_s", -1)["_v"].alias("paragraphs"), dense.alias("dense"), wide.alias("wide"))
 
 
 def packed(pairs: Column, paragraphs: Column, dense: Column, wide: Column) -> Column:
     """The fingerprint string: counts, dense lanes and wide lanes in hexadecimal digits."""
     pad = lambda c, n: F.lpad(F.lower(F.hex(c)), n, "0")
-    return F.concat(pad(paragraphs, 8), pad(pairs, 8), F.array_join(F.transform(dense, lambda x: pad(x, 10)), ""), F.array_join(F.transform(wide, lambda x: pad(x, 16)), ""))
+    return F.concat(pad(paragraphs, 8), pad(pairs, 8), F.array_join(F.transform(dense, lambda x: pad(x, 10)), ""), F.array_join(F.transform(wide, lambda x: pad(x, 8)), ""))
 
 
 def add(a: Column, b: Column, sign: int = 1, bits: int = BITS) -> Column:
@@ -77,9 +79,9 @@ def add(a: Column, b: Column, sign: int = 1, bits: int = BITS) -> Column:
     return F.zip_with(a, b, lambda x, y: (x + (y if sign > 0 else -y)).bitwiseAND(F.lit((1 << bits) - 1)))
 
 
-def projection(wide: Column, pairs: Column) -> Column:
-    """The +-1 projections of the pairs, as doubles."""
-    return F.transform(lanes(wide), lambda s: (2 * s - pairs).cast("double"))
+def projection(wide: Column) -> Column:
+    """The wide lanes as signed numbers."""
+    return F.transform(wide, lambda x: F.when(x >= 1 << (BITS - 1), x - (1 << BITS)).otherwise(x).cast("double"))
 
 
 def dot(x: Column, y: Column) -> Column:
@@ -144,7 +146,7 @@ def edited_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     after = stored(following(base), "next")
     odd = base.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
-    dealt = base.repartition(parts_for(base, 16), "doc_id")
+    dealt = base.repartition(parts_for(base, 4), "doc_id")
     if odd:  # rows that share an id: copies counted, and the least text marked
         dealt = dealt.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))
         dealt = dealt.withColumn("least", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) == 1)
@@ -153,12 +155,13 @@ def edited_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         dealt = dealt.withColumns({"copies": F.lit(1), "least": F.lit(True), "version": F.lit("")})
     needs = base.groupBy("doc_id").agg((F.max(F.char_length("text")) / 2).cast("int").alias("need"))
     asked = after.join(needs.withColumnRenamed("doc_id", "_i"), F.col("doc_id") == F.col("_i")).select(F.col("next_id").alias("_n"), F.col("doc_id").alias("asker"), "need")
-    prefixes = dealt.filter("least").join(asked, F.col("doc_id") == F.col("_n")).select("asker", F.substring(F.col("text"), F.lit(1), F.col("need")).alias("prefix"))
-    both = dealt.join(prefixes, F.col("doc_id") == F.col("asker"))
+    # merge joins: else small texts would be broadcast, and the work done in the few tasks of a side of ids
+    prefixes = dealt.filter("least").hint("merge").join(asked, F.col("doc_id") == F.col("_n")).select("asker", F.substring(F.col("text"), F.lit(1), F.col("need")).alias("prefix"))
+    both = dealt.hint("merge").join(prefixes, F.col("doc_id") == F.col("asker"))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("prefix"), F.lit(1), half))
-    rows = both.select("doc_id", "version", "copies", "least", n.cast("long").alias("n_chars"), "text", edited.alias("edited")).withColumn("edited_sha256", F.sha2("edited", 256))
+    rows = both.select("doc_id", "version", "copies", "least", n.cast("long").alias("n_chars"), "text", edited.alias("edited")).withColumn("edited_sha256", F.unhex(F.sha2("edited", 256)))
     kinds = rows.select("doc_id", "version", "copies", "least", "n_chars", "edited_sha256", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("v"))
     keys = ["doc_id", "version", "copies", "least", "n_chars", "edited_sha256", "kind"]
     sums = vectors(kinds.select("doc_id", "version", "copies", "least", "n_chars", "edited_sha256", "v.kind", "v.text"), keys)
@@ -167,11 +170,11 @@ def edited_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     side = lambda kind: F.first(F.when(F.col("kind") == kind, F.struct(*vector)), ignorenulls=True)
     made = stored(sums.groupBy(*keys[:-1]).agg(side(0).alias("own"), side(1).alias("changed")), "prints")
     follows = made.filter("least").select(F.col("doc_id").alias("_f"), F.col("own").alias("after"))
-    out = made.join(after.select(F.col("doc_id").alias("_a"), "next_id"), F.col("doc_id") == F.col("_a")).join(follows, F.col("next_id") == F.col("_f"))
+    out = made.hint("merge").join(after.select(F.col("doc_id").alias("_a"), "next_id"), F.col("doc_id") == F.col("_a")).join(follows.hint("merge"), F.col("next_id") == F.col("_f"))
     sides = ("own", "changed", "after")
-    out = out.withColumns({f"{c}_v": projection(F.col(f"{c}.wide"), F.col(f"{c}.pairs")) for c in sides}).withColumns({f"{c}_n": dot(F.col(f"{c}_v"), F.col(f"{c}_v")) for c in sides})
+    out = out.withColumns({f"{c}_v": projection(F.col(f"{c}.wide")) for c in sides}).withColumns({f"{c}_n": dot(F.col(f"{c}_v"), F.col(f"{c}_v")) for c in sides})
     if odd:
         out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     text = lambda c: packed(*[F.col(f"{c}.{x}") for x in vector])
     near = lambda c: likeness(F.col("own_v"), F.col("own_n"), F.col(f"{c}_v"), F.col(f"{c}_n"), F.col("own") == F.col(c))
-    return out.select(F.nullif(F.col("doc_id"), F.lit(_NO_ID)).alias("doc_id"), "n_chars", "edited_sha256", text("own").alias("fingerprint"), text("changed").alias("edited_fingerprint"), near("changed").alias("near_edited"), near("after").alias("near_next"))
+    return out.select(F.nullif(F.col("doc_id"), F.lit(_NO_ID)).alias("doc_id"), "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), text("own").alias("fingerprint"), text("changed").alias("edited_fingerprint"), near("changed").alias("near_edited"), near("after").alias("near_next"))

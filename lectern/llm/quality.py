@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from lectern.llm import tokens
 from lectern.llm.common import stored
 
+#: Rows that the rules are fitted on at most, and rows that each tree is grown on.
 MAX_ROWS = 20_000
+BOOTSTRAP = 5_000
 FEATURES = ["log_words", "mean_word", "upper", "digit", "symbol", "bar", "bang", "space", "non_ascii", "line_words", "distinct", "top_word", "repeat", "ends_symbol", "sentence", "longest_word"]
 _HASH = tokens.Hasher(11)
 
@@ -171,8 +173,8 @@ def _grow(binned: np.ndarray, cuts: list[np.ndarray], y: np.ndarray, rows: np.nd
         _grow(binned, cuts, y, side, depth - 1, (*path, (f, greater, float(cuts[f][at]))), rng, found)
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty: float = 0.0015, steps: int = 400, max_rules: int = 400, seed: int = 7) -> Rules:
-    """Grow trees, take their paths as rules, and fit sparse logistic weights on them."""
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty: float = 0.0015, steps: int = 400, bootstrap: int = BOOTSTRAP, seed: int = 7) -> Rules:
+    """Grow ``trees`` on ``bootstrap`` rows each, drawn with repeats, take all their paths as rules, and fit sparse logistic weights on them and all rows."""
     if not len(y) or y.min() == y.max():
         return Rules(0.0 if not len(y) else float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))))
     rng = np.random.default_rng(seed)
@@ -180,10 +182,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty:
     binned = np.column_stack([np.searchsorted(c, x[:, f], "left") for f, c in enumerate(cuts)])
     found: set = set()
     for _ in range(trees):
-        _grow(binned, cuts, y, np.sort(rng.integers(0, len(y), min(len(y), 5000))), depth, (), rng, found)
+        _grow(binned, cuts, y, np.sort(rng.integers(0, len(y), min(len(y), bootstrap))), depth, (), rng, found)
     rules = sorted(found)
-    rng.shuffle(rules)
-    rules = rules[:max_rules]
     a = np.column_stack([_holds(r, x) for r in rules]).astype(np.float32)
     # proximal gradient with momentum; the step is 1 / (the largest eigenvalue of a'a / 4n)
     v = rng.normal(size=a.shape[1]).astype(np.float32)

@@ -19,6 +19,7 @@ none); further columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -255,7 +256,7 @@ def _threshold(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str, allowed: Column, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS) -> Model:
-    """Fit on at most ``max_rows`` labelled rows for which ``allowed`` holds.
+    """Fit on at most ``max_rows`` labelled rows for which ``allowed`` holds, and of these, in order of their hash, on those that fit into ``max_words``.
 
     Their ids, a bounded table, are broadcast to pick the texts; the driver gets bucket ids, not texts.
     """
@@ -275,13 +276,14 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, allowed: Column, i
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts, pa.int64()), pa.array(language, pa.int64()), packed], ["id", "y", "n", "language", "ids"])
 
     kind = known.schema["_l"].dataType.simpleString()
-    made = picked.mapInArrow(tokens.trimmed(run), f"id {kind}, y double, n long, language long, ids binary").orderBy(F.xxhash64("id"), "id")
+    made = picked.mapInArrow(tokens.trimmed(run), f"id {kind}, y double, n long, language long, ids binary").filter(F.col("n") <= max_words).orderBy(F.xxhash64("id"), "id")
     size, rows = 0, []
-    for row in made.toLocalIterator():
-        if rows and size + row["n"] > max_words:
-            break
-        size += row["n"]
-        rows.append(row)
+    for row in made.toLocalIterator():  # a text that doesn't fit into what is left is passed over
+        if size + row["n"] <= max_words:
+            size += row["n"]
+            rows.append(row)
+    if len(sample) and not rows:
+        logging.getLogger(__name__).warning("no labelled text fits into a sample of %d words", max_words)
     ids = np.empty((size, columns), np.int32)
     counts, language, y = (np.array([r[c] for r in rows], kind) for c, kind in (("n", np.int64), ("language", np.int64), ("y", float)))
     at = 0

@@ -601,3 +601,15 @@ def test_gradients_through_time_are_right():
             down = loss()
             value[at] += 1e-2
             assert math.isclose((up - down) / 2e-2, grads[name][at], rel_tol=0.05, abs_tol=0.02)
+
+
+def test_a_long_labelled_text_is_passed_over(spark):
+    """The sample goes on behind a text that doesn't fit, wherever it lies in the order of hashes."""
+    texts = [f"vile nasty words {i}" if i % 3 == 0 else f"kind gentle words {i}" for i in range(60)]
+    first = min(range(60), key=lambda i: spark.range(1).select(F.xxhash64(F.lit(i).cast("long"))).first()[0])
+    texts[first] = "words " * 5000
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    docs = frame(spark, texts)
+    model = toxicity.train(docs, labels, "toxic", F.lit(True), max_words=2000)
+    whole = toxicity.train(docs.filter(F.col("doc_id") != first), labels, "toxic", F.lit(True), max_words=2000)
+    assert np.abs(model.weights).sum() > 0 and np.allclose(model.weights, whole.weights)

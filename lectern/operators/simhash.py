@@ -14,10 +14,10 @@ from hashlib import blake2b
 from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.session import stored_path
+from lectern.session import stored_copy
 
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
@@ -25,6 +25,11 @@ _WORDS = re.compile(r"\w+(?:[./:@-]\w+)*")
 #: Metadata whose difference keeps documents apart. Fixed values.
 SEMANTIC_KEYS = ("api_group", "api_version", "branch", "kind", "kubernetes_version", "release_version", "version")
 
+#: Prints under one key of the Hamming join; a key that has more is lengthened.
+FULL = 64
+#: Rows and links that one task decides at most.
+WHOLE = 200_000
+
 
 def hash_form(text: str) -> str:
     """The text without layout that means nothing: fenced code stays as it is, prose is normalised line by line."""
@@ -84,14 +89,15 @@ def at_most(threshold: float) -> int:
     return int((1 - threshold) * 64 + 1e-9)
 
 
-def key_masks(bits: int) -> list[int]:
-    """Masks of 64 bits such that two numbers that differ in at most ``bits`` bits agree under one of them.
+def key_masks(bits: int, among: int = (1 << 64) - 1) -> list[int]:
+    """Masks within ``among`` such that two numbers that differ in at most ``bits`` of its bits agree under one of them.
 
     The bits are cut into two blocks more than may differ, so two blocks at least stay equal: a mask for each pair of blocks.
     """
+    places = [i for i in range(64) if among >> i & 1]
     n = bits + 2
-    cuts = [round(64 * i / n) for i in range(n + 1)]
-    blocks = [(1 << b) - (1 << a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    cuts = [round(len(places) * i / n) for i in range(n + 1)]
+    blocks = [sum(1 << i for i in places[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     masks = [x | y for x, y in combinations(blocks, 2)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
@@ -119,24 +125,56 @@ def _kind() -> Column:
     return F.sha2(F.concat_ws("\x1f", "form_hash", F.col("simhash").cast("string"), said), 256)
 
 
-def links(made: DataFrame, threshold: float = 0.90) -> DataFrame:
-    """(x, y, exact, similarity) of unprotected kinds that match, both ways, and each with itself."""
-    most = at_most(threshold)
-    side = lambda s: made.select(*[F.col(c).alias(f"{c}_{s}") for c in made.columns])
-    a, b = side("x"), side("y")
-    free = ~conflict(F.col("protect_x"), F.col("protect_y"))
-    exact = a.join(b, F.col("form_hash_x") == F.col("form_hash_y")).filter(free).select("kind_x", "kind_y", F.lit(True).alias("exact"), F.lit(1.0).alias("similarity"))
-    masks = key_masks(most)
-    differ = F.col("simhash_x").bitwiseXOR(F.col("simhash_y"))
-    keyed = made.select("*", F.posexplode(F.array(*[F.col("simhash").bitwiseAND(F.lit(m)) for m in masks])).alias("i", "bits"))
-    one = keyed.select(*[F.col(c).alias(f"{c}_x") for c in made.columns], "i", "bits")
-    two = keyed.select(*[F.col(c).alias(f"{c}_y") for c in made.columns], F.col("i").alias("j"), F.col("bits").alias("bits_y"))
-    # of several masks that a pair agrees under, the first one tells
-    first = F.array_position(F.transform(F.array(*map(F.lit, masks)), lambda m: differ.bitwiseAND(m) == 0), F.lit(True)) == F.col("i") + 1
-    near = one.join(two, (F.col("i") == F.col("j")) & (F.col("bits") == F.col("bits_y")) & (F.col("kind_x") < F.col("kind_y")))
-    near = near.filter((F.bit_count(differ) <= most) & (F.col("form_hash_x") != F.col("form_hash_y")) & free & first).select("kind_x", "kind_y", F.lit(False).alias("exact"), (1 - F.bit_count(differ) / 64).alias("similarity"))
-    back = near.select(F.col("kind_y").alias("kind_x"), F.col("kind_x").alias("kind_y"), "exact", "similarity")
-    return exact.unionByName(near).unionByName(back).withColumnsRenamed({"kind_x": "x", "kind_y": "y"})
+def near_pairs(made: DataFrame, most: int, full: int = FULL) -> DataFrame:
+    """(a, b, bits) with a < b of all (k, print, left, right) that differ in at most ``most`` bits, once each.
+
+    Only rows meet of which one's array ``left`` and the other's ``right`` have an element in common. They meet under the keys of
+    ``key_masks``; a key that more than ``full`` rows have is lengthened by the keys of the bits that it leaves out, so candidates stay in proportion to rows and results.
+    Of the keys that a pair agrees under the first one counts.
+    """
+    short = key_masks(most)
+    longer = {m: key_masks(most, ((1 << 64) - 1) & ~(m & (1 << 64) - 1)) for m in short}
+    sided = made.select("k", "print", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("t")), F.struct(F.lit(1).alias("side"), F.col("right").alias("t")))).alias("s"))
+    sided = sided.select("k", "print", "s.side", F.explode("s.t").alias("t"), F.explode(F.array(*map(F.lit, short))).alias("m")).withColumn("bits", F.col("print").bitwiseAND(F.col("m")))
+    first = lambda masks, differ: F.element_at(F.filter(masks, lambda m: differ.bitwiseAND(m) == 0), 1)
+    differ = F.col("print").bitwiseXOR(F.col("print_y"))
+
+    def met(rows: DataFrame, key: list[str], own: Column) -> DataFrame:
+        y = rows.filter("side = 1").select(*key, F.col("k").alias("k_y"), F.col("print").alias("print_y"))
+        found = rows.filter("side = 0").join(y, key).filter((F.col("k") != F.col("k_y")) & (F.bit_count(differ) <= most) & (first(F.array(*map(F.lit, short)), differ) == F.col("m")) & own)
+        return found.select(F.least("k", "k_y").alias("a"), F.greatest("k", "k_y").alias("b"), F.bit_count(differ).alias("bits"))
+
+    key = ["t", "m", "bits"]
+    crowded = stored_copy(sided.groupBy(*key).count().filter(F.col("count") > full).select(*key), "full-keys")
+    if crowded.isEmpty():
+        return met(sided, key, F.lit(True)).distinct()
+    subs = F.element_at(F.create_map(*[x for m, ms in longer.items() for x in (F.lit(m), F.array(*map(F.lit, ms)))]), F.col("m"))
+    deep = sided.join(crowded, key, "left_semi").withColumn("sub", F.explode(subs)).withColumn("more", F.col("print").bitwiseAND(F.col("sub")))
+    far = met(deep, [*key, "sub", "more"], first(subs, differ) == F.col("sub"))
+    # a pair of two without a tag meets from either side
+    return met(sided.join(crowded, key, "left_anti"), key, F.lit(True)).unionByName(far).distinct()
+
+
+def links(made: DataFrame, threshold: float = 0.90, full: int = FULL) -> DataFrame:
+    """(x, y, exact, similarity) of unprotected kinds that match, both ways, and each with itself.
+
+    Kinds whose source_version differs never match, so they don't meet: a kind without one is a wildcard.
+    """
+    numbered = stored_copy(made.withColumn("k", F.monotonically_increasing_id()), "numbered")
+    version = F.lower(F.element_at("protect", F.lit("source_version")))
+    has = lambda *other: F.array(F.concat(F.lit("v"), version), *map(F.lit, other))
+    left = F.when(version.isNull(), F.array(F.lit("n"), F.lit("a"))).otherwise(has("n"))
+    right = F.when(version.isNull(), F.array(F.lit("n"))).otherwise(has("a"))
+    forms = numbered.select("k", "form_hash", left.alias("left"), right.alias("right"))
+    x, y = forms.select("k", "form_hash", F.explode("left").alias("t")), forms.select(F.col("k").alias("k_y"), "form_hash", F.explode("right").alias("t"))
+    exact = x.join(y, ["form_hash", "t"]).select(F.least("k", "k_y").alias("a"), F.greatest("k", "k_y").alias("b")).distinct()
+    near = near_pairs(numbered.select("k", F.col("simhash").alias("print"), left.alias("left"), right.alias("right")), at_most(threshold), full)
+    side = lambda s: numbered.select(F.col("k").alias(s), F.col("kind").alias(f"kind_{s}"), F.col("form_hash").alias(f"form_{s}"), F.col("protect").alias(f"protect_{s}"))
+    pairs = exact.select("a", "b", F.lit(True).alias("exact"), F.lit(0).alias("bits")).unionByName(near.select("a", "b", F.lit(False).alias("exact"), F.col("bits").cast("int").alias("bits")))
+    free = pairs.join(side("a"), "a").join(side("b"), "b").filter(~conflict(F.col("protect_a"), F.col("protect_b")) & (F.col("exact") | (F.col("form_a") != F.col("form_b"))))
+    free = free.select(F.col("kind_a").alias("x"), F.col("kind_b").alias("y"), "exact", F.when(F.col("exact"), F.lit(1.0)).otherwise(1 - F.col("bits") / 64).alias("similarity"))
+    back = free.filter(F.col("x") != F.col("y")).select(F.col("y").alias("x"), F.col("x").alias("y"), "exact", "similarity")
+    return free.unionByName(back)
 
 
 def decisions(prints: DataFrame, threshold: float = 0.90, known: DataFrame | None = None) -> DataFrame:
@@ -145,13 +183,12 @@ def decisions(prints: DataFrame, threshold: float = 0.90, known: DataFrame | Non
     ``prints`` has (position, external_id, form_hash, simhash, protect), positions being distinct; ``known``, if given, has the same and counts as retained.
     A document is a duplicate if an earlier, retained one matches; documents of one external id match only exactly. Equal
     documents meet as one kind, so copies make no pairs. A round decides every document without undecided earlier
-    matches, so the first undecided one at least, until none is left.
+    matches, so the first undecided one at least; once at most WHOLE rows and links are left, one task scans them in order.
     """
-    spark = prints.sparkSession
     columns = ["position", "external_id", "form_hash", "simhash", "protect"]
     every = prints.select(*columns) if known is None else prints.select(*columns).unionByName(known.select(*columns))
     rows = every.select("position", "external_id", _kind().alias("kind"))
-    link = _kept(links(_kept(kinds(every), spark), threshold), spark)
+    link = stored_copy(links(stored_copy(kinds(every), "kinds"), threshold), "links")
     undecided = F.lit(None).cast("boolean")
     if known is None:
         state = rows.withColumn("duplicate", undecided)
@@ -159,10 +196,18 @@ def decisions(prints: DataFrame, threshold: float = 0.90, known: DataFrame | Non
         held = known.select(F.col("position").alias("_p"))
         state = rows.join(held, F.col("position") == F.col("_p"), "left").withColumn("duplicate", F.when(F.col("_p").isNotNull(), False).otherwise(undecided)).drop("_p")
     while True:
-        state = _kept(state, spark)
+        state = stored_copy(state, "state")
         open_rows = state.filter("duplicate is null")
-        if open_rows.limit(1).count() == 0:
+        n = open_rows.count()
+        if n == 0:
             break
+        if n <= WHOLE:
+            names = open_rows.select("kind").distinct()
+            links_left = stored_copy(link.join(names.withColumnRenamed("kind", "y"), "y", "left_semi").join(names.withColumnRenamed("kind", "x"), "x", "left_semi"), "links-left")
+            if links_left.count() <= WHOLE:
+                state = _decided(state, open_rows, links_left, _earlier(open_rows, state, link))
+                state = stored_copy(state, "state")
+                break
         hits = _earlier(open_rows, state, link)
         waits = open_rows.join(link.select("y", "x"), F.col("kind") == F.col("y")).join(open_rows.groupBy(F.col("kind").alias("_k")).agg(F.min("position").alias("first")), F.col("x") == F.col("_k"))
         waits = waits.groupBy(F.col("position").alias("_w")).agg(F.max(F.col("first") < F.col("position")).alias("waits"))
@@ -173,6 +218,33 @@ def decisions(prints: DataFrame, threshold: float = 0.90, known: DataFrame | Non
     return out if known is None else out.join(held, F.col("position") == F.col("_p"), "left_anti")
 
 
+def _decided(state: DataFrame, open_rows: DataFrame, links_left: DataFrame, hits: DataFrame) -> DataFrame:
+    """``state`` with its undecided rows decided: what is left is bounded, and scanned in order by one task."""
+    place = F.row_number().over(Window.orderBy("position"))
+    hit = hits.select(F.col("position").alias("_h"))
+    rows = open_rows.join(hit, F.col("position") == F.col("_h"), "left").select("position", "external_id", "kind", F.col("_h").isNotNull().alias("hit"))
+    near = links_left.groupBy(F.col("y").alias("_y")).agg(F.collect_list(F.struct("x", "exact")).alias("near"))
+    ordered = rows.join(near, F.col("kind") == F.col("_y"), "left").withColumn("n", place).select("n", "position", F.col("external_id").cast("string").alias("e"), "kind", "hit", "near")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # of each kind the first retained row's external id, and whether one of another follows
+        kept: dict[str, list] = {}
+        for batch in batches:
+            out = []
+            for e, kind, hit, near in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                twin = hit or any(kept.get(x["x"]) and (x["exact"] or any(o != e for o in kept[x["x"]])) for x in near or ())
+                out.append(twin)
+                if not twin:
+                    mine = kept.setdefault(kind, [])
+                    if e not in mine and len(mine) < 2:
+                        mine.append(e)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.bool_())], ["_p", "_d"])
+
+    schema = open_rows.select(F.col("position").alias("_p"), F.lit(True).alias("_d")).schema
+    found = ordered.coalesce(1).sortWithinPartitions("n").mapInArrow(scan, schema)
+    return state.join(found, F.col("position") == F.col("_p"), "left").select("position", "external_id", "kind", F.coalesce("duplicate", "_d").alias("duplicate"))
+
+
 def _earlier(rows: DataFrame, state: DataFrame, link: DataFrame) -> DataFrame:
     """(position, matched_position, method, similarity): the first retained match of each of ``rows`` that has an earlier one.
 
@@ -194,10 +266,3 @@ def delta_decisions(stored: DataFrame, batch: DataFrame, threshold: float = 0.90
     ahead = stored.join(batch.select("external_id"), "external_id", "left_anti")
     place = lambda rows, n: rows.withColumn("position", F.struct(F.lit(n).alias("turn"), F.col("external_id").alias("id")))
     return decisions(place(batch, 1), threshold, place(ahead, 0)).select(F.col("position.id").alias("external_id"), "duplicate", F.col("matched_position.id").alias("matched_external_id"), "method", "similarity")
-
-
-def _kept(df: DataFrame, spark) -> DataFrame:
-    """A stored copy in the shared checkpoint folder, so that rounds don't pile up lineage."""
-    path = stored_path(spark, "rounds")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

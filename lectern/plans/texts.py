@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.operators import answering, api_pages, cells, documents, keywords, postings, search, simhash
 from lectern.plans import tables as t
-from lectern.session import stored_path
+from lectern.session import spread, stored_copy, stored_path
 from lectern.sources import sinks
 from lectern.streaming import cursor
 
@@ -201,8 +201,8 @@ def exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 
 @_add("simhash_duplicates")
 def simhash_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    prints = simhash.fingerprints(t.load(spark, sf, "documents").select("doc_id", "text", "lang")).select(F.col("doc_id").alias("position"), F.col("doc_id").alias("external_id"), "form_hash", "simhash", F.create_map(F.lit("lang"), "lang").alias("protect"))
-    return simhash.decisions(simhash._kept(prints, spark))
+    prints = simhash.fingerprints(spread(t.load(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id")).select(F.col("doc_id").alias("position"), F.col("doc_id").alias("external_id"), "form_hash", "simhash", F.create_map(F.lit("lang"), "lang").alias("protect"))
+    return simhash.decisions(stored_copy(prints, "prints"))
 
 
 @_add("parse_pages")
@@ -212,7 +212,7 @@ def parse_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 @_add("chunk_documents")
 def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return documents.chunk_documents(t.load(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), "text"))
+    return documents.chunk_documents(spread(t.load(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), "text"), "doc_id"))
 
 
 @_add("page_chunks")

@@ -27,6 +27,10 @@ SEMANTIC_KEYS = ("api_group", "api_version", "branch", "kind", "kubernetes_versi
 
 #: Prints under one key of the Hamming join; a key that has more is lengthened.
 FULL = 64
+#: What a ``protect`` map may have.
+PROTECTED = ("document_type", "source_version", *SEMANTIC_KEYS)
+#: Documents of a block whose prints are compared at once.
+AUDIT_BLOCK = 8192
 #: Rows and links that one task decides at most.
 WHOLE = 200_000
 
@@ -261,6 +265,58 @@ def _earlier(rows: DataFrame, state: DataFrame, link: DataFrame) -> DataFrame:
     return best.select("position", F.col("m.match").alias("matched_position"), F.when(F.col("m.near"), "simhash").otherwise("exact_sha256").alias("method"), F.col("m.similarity").alias("similarity"))
 
 
+def audits(prints: DataFrame, decided: DataFrame, known: DataFrame | None = None, keys: tuple[str, ...] = PROTECTED, block: int = AUDIT_BLOCK) -> DataFrame:
+    """(position, method, similarity, nearest_position, matched_position) of every document that stays, for the record.
+
+    ``decided`` are the ``decisions`` of ``prints``. The method is ``none`` with the greatest similarity to an earlier document that stays and neither conflicts nor
+    shares the external id, the first such one in order; without one it is ``protected`` with the first earlier document; and for the first of all, ``none``
+    without either. Prints of blocks of ``block`` documents are compared in arrays, every block with every other one in a task of its own; only the best of each is a row. ``keys`` are those that a ``protect`` map may have.
+    """
+    kept = prints.join(decided.filter(~F.col("duplicate")).select(F.col("position").alias("_d")), F.col("position") == F.col("_d")).drop("_d")
+    columns = ["position", "external_id", "simhash", "protect"]
+    every = kept.select(*columns, F.lit(True).alias("own"))
+    if known is not None:
+        every = every.unionByName(known.select(*columns, F.lit(False).alias("own")))
+    numbered = stored_copy(every.orderBy("position").withColumn("n", F.monotonically_increasing_id()), "retained")
+    n_blocks = max(1, -(-numbered.count() // block))
+    held = F.array(*[F.coalesce(F.xxhash64(F.lower(F.element_at("protect", F.lit(k)))), F.lit(0).cast("long")) for k in keys])
+    absent = F.array(*[F.when(F.map_contains_key("protect", k), 1).otherwise(0) for k in keys])
+    rows = numbered.select("n", "own", F.xxhash64(F.col("external_id").cast("string")).alias("e"), "simhash", F.zip_with(held, absent, lambda h, a: h * a).alias("held"), F.pmod(F.xxhash64("n"), F.lit(n_blocks)).cast("int").alias("b"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    later, earlier = rows.filter("own").withColumn("a", each), rows.select("*", each.alias("a")).select(F.col("b").alias("a"), F.col("a").alias("b"), "n", "e", "simhash", "held")
+
+    def nearest(later: pa.Table, earlier: pa.Table) -> pa.Table:
+        import numpy as np
+
+        out = []
+        if later.num_rows and earlier.num_rows:
+            x, y = earlier.sort_by("n"), later
+            take = lambda t, c: t[c].to_numpy()
+            own = lambda t: t["held"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+            hx, hy = own(x), own(y)
+            for at in range(0, y.num_rows, 512):
+                part = slice(at, at + 512)
+                bits = np.bitwise_count(take(y, "simhash")[part, None].view(np.uint64) ^ take(x, "simhash")[None].view(np.uint64)).astype(np.int16)
+                bad = (take(x, "n")[None] >= take(y, "n")[part, None]) | (take(x, "e")[None] == take(y, "e")[part, None])
+                for c in range(hx.shape[1]):
+                    if hx[:, c].any():
+                        bad |= (hy[part, c, None] != hx[None, :, c]) & (hy[part, c, None] != 0) & (hx[None, :, c] != 0)
+                bits[bad] = 99
+                best = bits.argmin(axis=1)
+                least = bits[np.arange(len(best)), best]
+                out += [(int(n), int(b), int(m)) for n, b, m in zip(take(y, "n")[part], least, take(x, "n")[best], strict=True) if b < 99]
+        return pa.Table.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int64()))], ["_n", "bits", "near"])
+
+    found = later.groupBy("a", "b").cogroup(earlier.groupBy("a", "b")).applyInArrow(nearest, "_n long, bits int, near long")
+    best = found.groupBy("_n").agg(F.min(F.struct("bits", "near")).alias("s"))
+    first = numbered.agg(F.min("n").alias("n0")).first().n0
+    place = numbered.select(F.col("n").alias("_at"), F.col("position").alias("_place"))
+    out = numbered.filter("own").join(best, F.col("n") == F.col("_n"), "left")
+    out = out.withColumn("to", F.when(F.col("s").isNotNull(), F.col("s.near")).when(F.col("n") > F.lit(first), F.lit(first))).join(place, F.col("to") == F.col("_at"), "left")
+    protected = F.col("s").isNull() & F.col("to").isNotNull()
+    return out.select("position", F.when(protected, "protected").otherwise("none").alias("method"), (1 - F.col("s.bits") / 64).alias("similarity"), F.when(~protected, F.col("_place")).alias("nearest_position"), F.when(protected, F.col("_place")).alias("matched_position"))
+
+
 def delta_decisions(stored: DataFrame, batch: DataFrame, threshold: float = 0.90) -> DataFrame:
     """``decisions`` of a delta sync's batch, by external_id, against the stored prints of documents that the batch hasn't seen again."""
     ahead = stored.join(batch.select("external_id"), "external_id", "left_anti")

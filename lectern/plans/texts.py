@@ -199,10 +199,20 @@ def exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return t.load(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("hash")).agg(F.min("doc_id").alias("kept"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
 
 
+def _prints(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.fingerprints(spread(t.load(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id")).select(F.col("doc_id").alias("position"), F.col("doc_id").alias("external_id"), "form_hash", "simhash", F.create_map(F.lit("lang"), "lang").alias("protect"))
+
+
 @_add("simhash_duplicates")
 def simhash_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    prints = simhash.fingerprints(spread(t.load(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id")).select(F.col("doc_id").alias("position"), F.col("doc_id").alias("external_id"), "form_hash", "simhash", F.create_map(F.lit("lang"), "lang").alias("protect"))
-    return simhash.decisions(stored_copy(prints, "prints"))
+    return simhash.decisions(stored_copy(_prints(spark, sf), "prints"))
+
+
+@_add("nearest_kept")
+def nearest_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Of every document that stays, the most similar earlier one, or the first that protection keeps apart."""
+    prints = stored_copy(_prints(spark, sf), "prints")
+    return simhash.audits(prints, stored_copy(simhash.decisions(prints), "decisions"), keys=("lang",))
 
 
 @_add("parse_pages")

@@ -247,6 +247,14 @@ def cursor_sync(spark: SparkSession, sf: str) -> DataFrame:
     return cursor.sync(spark, f"{base}/in", f"{base}/table", f"{base}/marks", "user_id long, ts timestamp_ntz", "user_id", "ts")
 
 
+@_add("cursor_state", "SELECT user_id, max(ts) AS ts FROM events GROUP BY 1")
+def cursor_state(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with keyed state in place of a table."""
+    base = stored_path(spark, "sync")
+    t.load(spark, sf, "events").select("user_id", "ts").write.parquet(f"{base}/in")
+    return cursor.keyed_sync(spark, f"{base}/in", f"{base}/marks", "user_id long, ts timestamp_ntz", "user_id", "ts")
+
+
 @_add("windowed_usage", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def windowed_usage(spark: SparkSession, sf: str) -> DataFrame:
     e = t.load(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))

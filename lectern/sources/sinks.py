@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,26 +26,65 @@ def write_lines(rows: DataFrame, path: str) -> None:
     canonical(rows).orderBy("id").select("line").write.mode("overwrite").text(path)
 
 
+_FORMATS = {"json": {}, "csv": {"header": "true"}, "parquet": {}}
+
+
 def write_report(rows: DataFrame, path: str, kind: str = "json") -> None:
-    """A report as json, csv (columns in order of name) or parquet: written beside the old one, which it then replaces by a rename."""
+    """A report as json, csv (columns in order of name) or parquet, published by one manifest.
+
+    Rows go to a folder of their own below ``path``; then the file ``_current``, which names it, is replaced in one step. So a reader sees the old report
+    until the new one is whole, and a write that is killed at any moment changes nothing. The report before stays for those who still read it.
+    """
     import uuid
 
-    rows = rows.select(*sorted(rows.columns))
-    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    {"json": rows.write.json, "csv": rows.write.option("header", "true").csv, "parquet": rows.write.parquet}[kind](fresh)
-    replaced(rows.sparkSession, fresh, path)
+    spark, version = rows.sparkSession, f"{kind}-{uuid.uuid4().hex}"
+    rows.select(*sorted(rows.columns)).write.format(kind).options(**_FORMATS[kind]).save(f"{path}/{version}")
+    before = current_version(spark, path)
+    _publish(spark, path, version)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for s in fs.listStatus(hadoop.Path(path)):
+        if s.isDirectory() and s.getPath().getName() not in (version, before):
+            fs.delete(s.getPath(), True)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """The report that is published at ``path``."""
+    version = current_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(path)
+    kind = version.partition("-")[0]
+    return spark.read.format(kind).options(**_FORMATS[kind]).load(f"{path}/{version}")
 
 
-def replaced(spark, fresh: str, path: str) -> None:
-    """``fresh`` in the place of ``path``; a reader sees the old files or the new ones, or for a moment none, and never some of each."""
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """What the manifest at ``path`` names; None without one."""
     hadoop = spark._jvm.org.apache.hadoop.fs
-    new, old, gone = hadoop.Path(fresh), hadoop.Path(path), hadoop.Path(f"{fresh}.old")
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(old):
-        fs.rename(old, gone)
-    if not fs.rename(new, old):
-        raise OSError(f"{path} could not be replaced")
-    fs.delete(gone, True)
+    at = hadoop.Path(path, "_current")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return stream.readUTF()
+    finally:
+        stream.close()
+
+
+def _publish(spark: SparkSession, path: str, version: str) -> None:
+    """Make ``version`` the current one by a rename over the manifest."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs
+    fresh, at = hadoop.Path(path, f"_{version}"), hadoop.Path(path, "_current")
+    fs = at.getFileSystem(conf)
+    fresh, at = fs.makeQualified(fresh), fs.makeQualified(at)
+    stream = fs.create(fresh)
+    stream.writeUTF(version)
+    stream.close()
+    kinds = getattr(hadoop, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(kinds, 1)
+    over[0] = kinds.OVERWRITE
+    hadoop.FileContext.getFileContext(at.toUri(), conf).rename(fresh, at, over)
 
 
 def markdown_table(rows: DataFrame, limit: int = 100) -> str:

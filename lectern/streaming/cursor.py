@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 
 def newest(rows: DataFrame, key: str, cursor: str) -> DataFrame:
-    """One row a key: the greatest cursor."""
-    w = Window.partitionBy(key).orderBy(F.col(cursor).desc())
+    """One row a key: the greatest cursor; of rows that tie, the greatest by the other columns in order of name."""
+    w = Window.partitionBy(key).orderBy(F.col(cursor).desc(), *[F.col(c).desc() for c in sorted(rows.columns) if c not in (key, cursor)])
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
@@ -56,3 +56,35 @@ def current(spark: SparkSession, table: str, schema: str, key: str, cursor: str)
 def windowed_usage(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Tumbling counts and sums by event type, with a watermark; for streams and tables alike."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+#: Settings while a stream with keyed state starts: a store on disk, whose instances share their memory and reserve no disk.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
+
+def keyed_sync(spark: SparkSession, source: str, checkpoint: str, schema: str, key: str, cursor: str) -> DataFrame:
+    """``sync`` with the newest row of each key as keyed state of the stream, on disk and in ``checkpoint``; returns it as a table.
+
+    A batch reads and writes the state of its own keys only. The state is a maximum, by the rule of ``newest``, so a batch that comes
+    again, a restarted run and older rows change nothing.
+    """
+    stream = spark.readStream.schema(schema).parquet(source)
+    others = [cursor, *sorted(c for c in stream.columns if c not in (key, cursor))]
+    newest_rows = stream.groupBy(key).agg(F.max(F.struct(*others)).alias("row"))
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
+    try:
+        query = newest_rows.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    query.awaitTermination()
+    held = spark.read.format("statestore").load(checkpoint)
+    row = F.col("value")[held.schema["value"].dataType.fields[0].name]
+    return held.select(F.col("key")[key].alias(key), *[row[c].alias(c) for c in others]).select(*stream.columns)

@@ -46,3 +46,25 @@ def test_a_failed_reranker_keeps_the_fused_order(spark):
     assert [r.chunk_id for r in good.orderBy("position").collect()] == [2, 1]
     bad = fusion.reranked(fused, F.when(F.col("chunk_id") == 2, 0.9))
     assert [(r.chunk_id, r.rerank_score) for r in bad.orderBy("position").collect()] == [(1, None), (2, None)]
+
+
+def test_table_functions_in_sql(spark):
+    from lectern.functions import tables
+
+    tables.register(spark)
+    keyword = [(1, "a", 1), (1, "b", 2), (1, "a", 5), (2, "c", 1), (3, "d", None)]
+    vector = [(1, "b", 1), (1, "d", 2), (2, "c", 3), (2, "a", 1)]
+    rows = [(q, n, c, r) for n, some in (("keyword", keyword), ("vector", vector)) for q, c, r in some]
+    spark.createDataFrame(rows, "query_id int, channel string, chunk_id string, rank int").createOrReplaceTempView("channels")
+    got = spark.sql("SELECT * FROM ranked_fusion(TABLE(channels)) ORDER BY query_id, fused_rank").collect()
+    assert [(r.query_id, r.chunk_id, r.fused_rank) for r in got] == [(1, "b", 1), (1, "a", 2), (1, "d", 3), (2, "c", 1), (2, "a", 2)]
+    named = lambda some: spark.createDataFrame([(q, c, r, None) for q, c, r in some if r], "query_id int, chunk_id string, rank int, score double")
+    want = {(r.query_id, r.chunk_id): r.fused_score for r in fusion.rrf(named(keyword), named(vector)).collect()}
+    assert {(r.query_id, r.chunk_id): r.fused_score for r in got} == want
+    assert spark.sql("SELECT fused_score FROM ranked_fusion(TABLE(channels), 0) WHERE query_id = 2 AND chunk_id = 'a'").first().fused_score == 1.0
+    spark.createDataFrame([(1, 3, "x"), (1, 9, "y"), (2, 4, "z")], "id int, at int, text string").createOrReplaceTempView("versions")
+    assert sorted(map(tuple, spark.sql("SELECT id, text FROM newest_rows(TABLE(versions))").collect())) == [(1, "y"), (2, "z")]
+    import pytest
+
+    with pytest.raises(Exception, match="no column rank"):
+        spark.sql("SELECT * FROM ranked_fusion(TABLE(SELECT 1 AS query_id, 2 AS chunk_id, 'x' AS channel))").collect()

@@ -50,13 +50,31 @@ def test_reports_replace_old_ones(spark, tmp_path):
     for kind in ("json", "csv", "parquet"):
         sinks.write_report(rows, f"{tmp_path}/{kind}", kind)
         sinks.write_report(rows.limit(1), f"{tmp_path}/{kind}", kind)
-    assert spark.read.json(f"{tmp_path}/json").count() == 1 == spark.read.parquet(f"{tmp_path}/parquet").count()
+        assert sinks.read_report(spark, f"{tmp_path}/{kind}").columns == ["a", "id"] and sinks.read_report(spark, f"{tmp_path}/{kind}").count() == 1
     assert not [p for p in tmp_path.iterdir() if p.name not in ("json", "csv", "parquet")]
     sinks.write_lines(rows, f"{tmp_path}/lines")
     assert [json.loads(r.value)["id"] for r in spark.read.text(f"{tmp_path}/lines").collect()] == [1, 2]
     assert "| 2 | b\\|c |" in sinks.markdown_table(rows.select("id", "a")) or "b\\|c" in sinks.markdown_table(rows)
 
 
+def test_a_killed_write_leaves_the_old_report(spark, tmp_path, monkeypatch):
+    path, rows = f"{tmp_path}/report", spark.createDataFrame([(1, "x"), (2, "y")], "id long, a string")
+    with pytest.raises(FileNotFoundError):
+        sinks.read_report(spark, path)
+    sinks.write_report(rows, path, "parquet")
+    reading = sinks.read_report(spark, path)
+    with pytest.raises(Exception, match="broken"):  # a task fails
+        sinks.write_report(rows.withColumn("a", F.when(F.col("id") == 2, F.raise_error(F.lit("broken"))).otherwise("z")), path)
+    assert sinks.read_report(spark, path).count() == 2
+    with monkeypatch.context() as m:  # the driver dies before it publishes
+        m.setattr(sinks, "_publish", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            sinks.write_report(rows.limit(1), path, "csv")
+    assert {r.a for r in sinks.read_report(spark, path).collect()} == {"x", "y"}
+    sinks.write_report(rows.limit(1), path, "csv")
+    assert reading.count() == 2 and sinks.read_report(spark, path).count() == 1
+
+
 def test_failures_and_rewrites(spark):
     results = spark.createDataFrame([(1, None, True, True, 0.0, 1.0, 0.2, "q"), (2, "E", True, False, None, None, None, "q"), (3, None, False, True, 1.0, 0.5, 0.1, "q")], "case_id long, error string, answerable boolean, predicted_answerable boolean, recall_20 double, citation_precision double, token_f1 double, question string")
     got = {(r.list, r.case_id) for r in reports.failures(results).collect()}

@@ -50,3 +50,19 @@ def test_deltas_are_merged_into_bases(spark, tmp_path):
         got = {r.k: r.at for r in cursor.sync(spark, f"{tmp_path}/in", f"{tmp_path}/t", f"{tmp_path}/c", schema, "k", "at", deltas=2).collect()}
         assert got == want
     assert cursor.finished(spark, f"{tmp_path}/t", "base") == [1, 3] and len(cursor.finished(spark, f"{tmp_path}/t", "delta")) == 5
+
+
+def test_keyed_state_takes_the_newest_row_only(spark, tmp_path):
+    from lectern.streaming import cursor
+
+    schema = "k long, at long, b string, a string"
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run = lambda: {r.k: tuple(r)[1:] for r in cursor.keyed_sync(spark, f"{tmp_path}/in", f"{tmp_path}/c", schema, "k", "at").collect()}
+    put([(1, 5, "x", "a"), (2, 5, "x", None), (None, 1, "n", "n")])
+    assert run() == {1: (5, "x", "a"), 2: (5, "x", None), None: (1, "n", "n")} == run()
+    put([(1, 3, "z", "z"), (2, 8, "y", "q"), (3, 1, "w", "w")])
+    put([(1, 5, "x", "a"), (1, 5, "a", "b"), (1, 5, "c", "b")])  # again, and ties: the greatest a, then b
+    want = {1: (5, "c", "b"), 2: (8, "y", "q"), 3: (1, "w", "w"), None: (1, "n", "n")}
+    assert run() == want == run()
+    every = spark.read.schema(schema).parquet(f"{tmp_path}/in")
+    assert {r.k: tuple(r)[1:] for r in cursor.newest(every, "k", "at").collect()} == want

@@ -6,6 +6,7 @@ Everything here stays in the JVM, but for ``folded``: Spark has no Unicode norma
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -102,18 +103,21 @@ def safe_url(c: Column | str) -> Column:
     return F.when(good, _col(c))
 
 
-#: Marks of blocks, which quoted text must not hold, and what takes their place. Fixed values.
-BOUNDARY, NEUTRAL = r"(?i)\[/?SOURCE\b|\[/?UNTRUSTED_CONTENT_(?:BEGIN|END)\]", "[ESCAPED_BOUNDARY"
+#: Marks of blocks, which quoted text must not hold, those of which no letter may follow, and what takes their place. Fixed values.
+MARKS = ["[UNTRUSTED_CONTENT_BEGIN]", "[UNTRUSTED_CONTENT_END]", "[/UNTRUSTED_CONTENT_BEGIN]", "[/UNTRUSTED_CONTENT_END]"]
+OPEN_MARKS = ["[SOURCE", "[/SOURCE"]
+NEUTRAL = "[ESCAPED_BOUNDARY"
+_MARKED = "(?i)" + "|".join([*map(re.escape, MARKS), *(re.escape(m) + r"\b" for m in OPEN_MARKS)])
 
 
 def escaped_field(c: Column | str) -> Column:
     """One line without spare blanks and without block marks."""
-    return F.regexp_replace(F.trim(F.regexp_replace(_col(c), r"[\t\r\f\x0B\n ]+", " ")), BOUNDARY, F.lit(NEUTRAL))
+    return F.regexp_replace(F.trim(F.regexp_replace(_col(c), r"[\t\r\f\x0B\n ]+", " ")), _MARKED, F.lit(NEUTRAL))
 
 
 def quoted(c: Column | str) -> Column:
     """Untrusted text without block marks, every line behind a bar."""
-    lines = F.split(F.regexp_replace(F.regexp_replace(_col(c), BOUNDARY, F.lit(NEUTRAL)), r"(?:\r\n|\r|\n)$", ""), r"\r\n|\r|\n")
+    lines = F.split(F.regexp_replace(F.regexp_replace(_col(c), _MARKED, F.lit(NEUTRAL)), r"(?:\r\n|\r|\n)$", ""), r"\r\n|\r|\n")
     return F.when(_col(c) == "", F.lit("|")).otherwise(F.array_join(F.transform(lines, lambda x: F.concat(F.lit("| "), x)), "\n"))
 
 

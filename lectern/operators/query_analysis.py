@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,24 +23,32 @@ RuntimeClass Secret Service ServiceAccount StatefulSet StorageClass ValidatingAd
 GROUPS = """admissionregistration.k8s.io apiextensions.k8s.io apiregistration.k8s.io apps authentication.k8s.io authorization.k8s.io autoscaling batch
 certificates.k8s.io coordination.k8s.io core discovery.k8s.io events.k8s.io flowcontrol.apiserver.k8s.io networking.k8s.io node.k8s.io policy
 rbac.authorization.k8s.io resource.k8s.io scheduling.k8s.io storage.k8s.io""".split()
-#: Phrases of each document type, in order of precedence; ``|`` parts words, ``?`` ends one that may be missing.
+# Phrases, in small letters, with one blank between words.
+#: Of each document type, in order of precedence.
 TYPES = {
-    "official_documentation": ["official doc|docs|documentation", "官方文档"],
-    "github_issue": ["github issue|issues", "issue|issues NUMBER", "open|closed issue|issues", "GitHub 议题"],
-    "release_note": ["release note|notes|version|versions", "changelog", "发行说明", "发布说明"],
-    "api_reference": ["api reference|doc|docs|documentation", "API 参考|文档"],
-    "repository_document": ["repository|repo doc|docs|markdown", "仓库 文档|Markdown"],
-    "kep": ["KEP"],
-    "blog": ["blog|blogs", "博客"],
+    "official_documentation": ["official doc", "official docs", "official documentation", "官方文档"],
+    "github_issue": ["github issue", "github issues", "open issue", "open issues", "closed issue", "closed issues", "github 议题", "github议题"],
+    "release_note": ["release note", "release notes", "release version", "release versions", "changelog", "发行说明", "发布说明"],
+    "api_reference": ["api reference", "api doc", "api docs", "api documentation", "api 参考", "api参考", "api 文档", "api文档"],
+    "repository_document": ["repository doc", "repository docs", "repository markdown", "repo doc", "repo docs", "repo markdown", "仓库文档", "仓库 文档", "仓库 markdown"],
+    "kep": ["kep"],
+    "blog": ["blog", "blogs", "博客"],
 }
-STATES = {"open": ("open|opened", "未关闭"), "closed": ("closed|resolved", "已关闭")}
-#: Words after which a version is a release's, or the product's.
-RELEASES = ["release note|notes|version?", "changelog", "发行|发布 版本|说明?"]
-PRODUCT = "kubernetes|k8s version|版本?"
-GROUP_WORDS, KIND_WORDS = ["api group", "apiGroup", "api 组"], ["kind", "资源类型", "对象类型"]
+ISSUES = ["issue", "issues"]
+#: Words of each state of an issue.
+STATES = {"open": ["open", "opened", "未关闭"], "closed": ["closed", "resolved", "已关闭"]}
+STATED = ["issue state", "issue status", "issues state", "issues status", "issue 状态", "issues 状态"]
+#: Phrases after which a version is a release's, or the product's, or a group or a kind stands.
+RELEASES = ["release", "release note", "release notes", "release version", "changelog", "发行", "发行版本", "发行说明", "发布", "发布版本", "发布说明"]
+PRODUCT = ["kubernetes", "kubernetes version", "kubernetes 版本", "k8s", "k8s version", "k8s 版本"]
+VERSION_WORDS = ["version", "版本"]
+GROUP_WORDS, KIND_WORDS = ["api group", "apigroup", "api 组", "api组"], ["kind", "资源类型", "对象类型"]
 #: Commands and components that are protected terms beside versions, API names and code.
 COMPONENTS = "Kubernetes K8s kubectl kubelet kubeadm kube-apiserver kube-controller-manager kube-scheduler kube-proxy".split()
-DEPENDENT = r"(?i)\b(?:it|its|this|that|they|them|those|these|there|then)\b|它|这个|那个|该(?:对象|资源|字段|版本)?|上述|前面|刚才|其中|呢|^(?:如果|那么|然后|失败后|成功后|再|又|还有)"
+#: Words of a query that leans on what was said before, phrases of one, and how one begins.
+DEPENDENT_WORDS = ["it", "its", "this", "that", "they", "them", "those", "these", "there", "then"]
+DEPENDENT_PHRASES = ["它", "这个", "那个", "该", "上述", "前面", "刚才", "其中", "呢"]
+DEPENDENT_OPENINGS = ["如果", "那么", "然后", "失败后", "成功后", "再", "又", "还有"]
 FIELDS = ("document_types", "versions", "api_groups", "api_versions", "kinds", "issue_states", "release_versions")
 
 _of_kind = {k.casefold(): k for k in KINDS}
@@ -53,30 +62,43 @@ _WORDS = re.compile(r"[A-Za-z0-9_]+")
 _RUN = re.compile(r"[\w./-]+")
 
 
-def _phrase(spec: str, edges: bool) -> str:
-    """The pattern of a phrase: words a blank apart, Han ones not necessarily; with ``edges``, words are whole ones."""
-    out, before = "", ""
-    for part in spec.split():
-        words = part.removesuffix("?").split("|")
-        plain = words[0].isascii()
-        some = r"#?\d+" if part == "NUMBER" else "|".join(map(re.escape, sorted(words, key=len, reverse=True)))
-        edge = r"\b" if edges and plain and part != "NUMBER" else ""
-        gap = "" if not before else r"\s+" if plain and before.isascii() and part != "NUMBER" else r"\s*"
-        out += f"(?:{gap}{edge}(?:{some}){edge})?" if part.endswith("?") else f"{gap}{edge}(?:{some}){edge}"
-        before = words[0]
-    return out
+def _small(text: str) -> str:
+    """The text in small letters, place by place."""
+    return "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _places(text: str, phrases: Iterable[str], whole: bool = True) -> list[tuple[int, int]]:
+    """(start, end) of every phrase in the text, in order; with ``whole``, no word goes on where one of ASCII begins, or where one ends in ASCII."""
+    small, found = _small(text), set()
+    inside = lambda i: 0 <= i < len(small) and (small[i].isalnum() or small[i] == "_")
+    for phrase in phrases:
+        at = small.find(phrase)
+        while at >= 0:
+            end = at + len(phrase)
+            cut = whole and (phrase.isascii() and inside(at - 1) or phrase[-1].isascii() and inside(end))
+            if not cut:
+                found.add((at, end))
+            at = small.find(phrase, at + 1)
+    return sorted(found)
 
 
-def _any(specs: Iterable[str], edges: bool = True) -> re.Pattern:
-    return re.compile("|".join(_phrase(s, edges) for s in specs), re.I)
+def _numbered_issue(text: str) -> bool:
+    """Whether an issue's number stands behind the word."""
+    rests = (text[end:].lstrip().removeprefix("#") for _, end in _places(text, ISSUES))
+    return any(r[:1].isdigit() for r in rests)
 
 
-_types = {t: _any(specs) for t, specs in TYPES.items()}
-_states = {state: _any([f"{words} github? issue|issues", f"issue|issues is? {words}", f"{han} 的? GitHub? Issue"]) for state, (words, han) in STATES.items()}
-_stated = _any(["issue|issues state|status|状态"])
-_releases, _groups, _kinds = (_any(specs, edges=False) for specs in (RELEASES, GROUP_WORDS, KIND_WORDS))
-_product = _any([PRODUCT])
-_version_words = _any(["version", "版本"])
+def _stated(text: str) -> list[str]:
+    """The states that issues are said to be in: before the word, behind it, or behind the word for state."""
+    out = []
+    for state, words in STATES.items():
+        joins = ["", "的", " 的"]
+        before = [f"{w}{j if not w.isascii() else ''} {g}{i}" for w in words for j in joins for g in ("", "github ") for i in (ISSUES if w.isascii() else ISSUES[:1])]
+        behind = [f"{i} {v}{w}" for w in words if w.isascii() for i in ISSUES for v in ("", "is ")]
+        if _places(text, [*before, *behind]):
+            out.append(state)
+    said = [w[0] for _, w in _valued(text, STATED, re.compile(r"[a-z]+|[^\W\d_a-z]+", re.I))]
+    return out + [state for word in said for state, words in STATES.items() if any(word.casefold() == w if w.isascii() else word.startswith(w) for w in words)]
 
 
 def _first_seen(values: Iterable[str]) -> list[str]:
@@ -95,15 +117,15 @@ def normalised(query: str, longest: int = 4000) -> str:
     return text
 
 
-def _valued(text: str, qualifier: re.Pattern, value: re.Pattern, marks: str = ":=") -> Iterator[tuple[int, re.Match]]:
+def _valued(text: str, qualifiers: Iterable[str], value: re.Pattern, marks: str = ":=", whole: bool = True) -> Iterator[tuple[int, re.Match]]:
     """(start of the qualifier, value) wherever a value stands right behind a qualifier, maybe with a mark between them."""
-    for m in qualifier.finditer(text):
-        at = m.end() + len(text[m.end() :]) - len(text[m.end() :].lstrip())
+    for start, end in _places(text, qualifiers, whole):
+        at = end + len(text[end:]) - len(text[end:].lstrip())
         if text[at : at + 1] and text[at] in marks:
             at += 1
             at += len(text[at:]) - len(text[at:].lstrip())
         if found := value.match(text, at):
-            yield m.start(), found
+            yield start, found
 
 
 def _closed(text: str, end: int) -> bool:
@@ -114,13 +136,13 @@ def _closed(text: str, end: int) -> bool:
 def _of_release(text: str, start: int) -> bool:
     """Whether what starts here is a release's: one of its phrases stands right before it, maybe with a mark between them."""
     before = text[max(0, start - 32) : start].rstrip().rstrip(":=#").rstrip()
-    return any(m.end() == len(before) for m in _releases.finditer(before))
+    return any(end == len(before) for _, end in _places(before, RELEASES, whole=False))
 
 
 def _versions(text: str) -> list[str]:
     """The product's versions in order of place: named ones, and those with a v or the word for version, unless a release's."""
-    found = [(at, m[1]) for at, m in _valued(text, _product, _NUMBERS) if _closed(text, m.end())]
-    found += [(at, m[1]) for at, m in _valued(text, _version_words, _NUMBERS) if not _of_release(text, at)]
+    found = [(at, m[1]) for at, m in _valued(text, PRODUCT, _NUMBERS) if _closed(text, m.end())]
+    found += [(at, m[1]) for at, m in _valued(text, VERSION_WORDS, _NUMBERS) if not _of_release(text, at)]
     for run in _RUN.finditer(text):
         m = _NUMBERS.match(run[0])
         if m and not _of_release(text, run.start()):
@@ -144,15 +166,13 @@ def _api(text: str) -> list[tuple[str, str]]:
 def filters(text: str) -> dict[str, list[str]]:
     """The explicit filters of a normalised query, by FIELDS."""
     pairs = _api(text)
-    states = [s for s, pattern in _states.items() if pattern.search(text)]
-    for words in (w for _, w in _valued(text, _stated, re.compile(r"[a-z]+|未关闭|已关闭", re.I))):
-        states += [s for s, (plain, han) in STATES.items() if words[0].casefold() in (*plain.split("|"), han)]
-    types = [t for t, pattern in _types.items() if pattern.search(text) or (t == "github_issue" and states)]
-    named = [m[0] for _, m in _valued(text, _kinds, _LETTERS)]
+    states = _stated(text)
+    types = [t for t, phrases in TYPES.items() if _places(text, phrases) or t == "github_issue" and (states or _numbered_issue(text))]
+    named = [m[0] for _, m in _valued(text, KIND_WORDS, _LETTERS, whole=False)]
     found = {
-        "document_types": types, "versions": _versions(text), "api_groups": [m[0] for _, m in _valued(text, _groups, _NAME)] + [g for g, _ in pairs], "api_versions": [v for _, v in pairs],
+        "document_types": types, "versions": _versions(text), "api_groups": [m[0] for _, m in _valued(text, GROUP_WORDS, _NAME, whole=False)] + [g for g, _ in pairs], "api_versions": [v for _, v in pairs],
         "kinds": [_of_kind.get(k.casefold(), k) for k in named] + [_of_kind[w.casefold()] for w in _WORDS.findall(text) if w.casefold() in _of_kind],
-        "issue_states": states, "release_versions": ["v" + m[1] for _, m in _valued(text, _releases, _NUMBERS, ":=#") if _closed(text, m.end())],
+        "issue_states": states, "release_versions": ["v" + m[1] for _, m in _valued(text, RELEASES, _NUMBERS, ":=#", whole=False) if _closed(text, m.end())],
     }
     return {k: _first_seen(v) for k, v in found.items()}
 
@@ -216,4 +236,11 @@ def rewrite_reason(query: Column, turns: Column, enabled: bool = True, provider:
     if not enabled:
         return F.lit("disabled")
     last = F.lit("rewrite") if provider else F.lit("provider_unavailable")
-    return F.when(turns == 0, "no_history").when(~query.rlike(DEPENDENT), "independent_query").otherwise(last)
+    return F.when(turns == 0, "no_history").when(~dependent(query), "independent_query").otherwise(last)
+
+
+def dependent(query: Column) -> Column:
+    """Whether a query leans on what was said before."""
+    words = F.arrays_overlap(F.split(F.lower(query), r"[^\p{L}\p{N}_]+"), F.array(*map(F.lit, DEPENDENT_WORDS)))
+    said = [query.contains(p) for p in DEPENDENT_PHRASES] + [query.startswith(p) for p in DEPENDENT_OPENINGS]
+    return reduce(lambda a, b: a | b, said, words)

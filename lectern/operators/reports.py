@@ -21,10 +21,15 @@ EXPERIMENTS = {
 }
 
 
-def experiment_rows(spark) -> DataFrame:
+def settings() -> list[tuple[str, str, str]]:
     """(experiment, setting, value): the matrix as rows."""
-    rows = [(name, key, str(value).lower()) for name, settings in EXPERIMENTS.items() for key, value in settings.items()]
-    return spark.createDataFrame(rows, "experiment string, setting string, value string")
+    return [(name, key, str(value).lower()) for name, settings in EXPERIMENTS.items() for key, value in settings.items()]
+
+
+def planned_runs(cases: DataFrame) -> DataFrame:
+    """(case_id, experiment, setting, value): what every experiment of the matrix sets for every case."""
+    named = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("experiment", "setting", "value"), row, strict=True)]) for row in settings()])
+    return cases.select("case_id", F.inline(named))
 
 
 def comparison(results: DataFrame, metrics: list[str]) -> DataFrame:

@@ -160,9 +160,13 @@ def backfill_stats(spark: SparkSession, sf: str) -> DataFrame:
     return sync.backfill_stats(c, c.filter("id % 3 <> 0"))
 
 
-@_add("experiments")
+_SETTINGS = ", ".join(f"('{e}', '{s}', '{v}')" for e, s, v in reports.settings())
+
+
+@_add("experiments", f"SELECT item_id AS case_id, experiment, setting, value FROM benchmark, (VALUES {_SETTINGS}) AS x (experiment, setting, value)")
 def experiments(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.experiment_rows(spark)
+    """What every experiment sets for every case."""
+    return reports.planned_runs(t.load(spark, sf, "benchmark").select(F.col("item_id").alias("case_id")))
 
 
 _EXPERIMENT = "x AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'hybrid' ELSE 'keyword-only' END AS experiment, l_orderkey * 10 + l_linenumber AS case_id, CASE WHEN l_suppkey % 9 = 0 THEN 'timeout' END AS error, l_quantity > 10 AS answerable, l_tax > 0.02 AS predicted_answerable, l_discount * 10 AS recall_20, 1 - l_tax AS citation_precision, l_discount AS token_f1 FROM lines)"

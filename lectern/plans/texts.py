@@ -235,7 +235,8 @@ def reference_pages(spark: SparkSession, sf: str) -> DataFrame:
     return api_pages.reference_pages(t.load(spark, sf, "pages"))
 
 
-@_add("dataset_fingerprint")
+@_add("dataset_fingerprint", """WITH h AS (SELECT sha256(CAST(to_json({'id': item_id, 'text': text}) AS VARCHAR)) AS h FROM benchmark), p AS (SELECT substr(h, 1, 3) AS range, sha256(string_agg(h, chr(10) ORDER BY h)) AS p, count(*) AS n FROM h GROUP BY 1)
+SELECT sha256(string_agg(p, chr(10) ORDER BY range)) AS fingerprint, CAST(sum(n) AS BIGINT) AS rows FROM p""")
 def dataset_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.fingerprint(t.load(spark, sf, "benchmark").withColumnRenamed("item_id", "id"))
 

@@ -18,6 +18,10 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows, or distinct values, up to which one task may hold a whole group; more are dealt out by range, with the same results.
+WHOLE = 1_000_000
+
+
 def running_sums(rows: DataFrame, by: list[str], order: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
     """Adds, for each (new: old) of ``sums``, the running sum of old within the group ``by`` in order of ``order`` (distinct within a group).
 
@@ -25,8 +29,12 @@ def running_sums(rows: DataFrame, by: list[str], order: str, sums: dict[str, str
     up to, a table of one row for each range and group.
     """
     spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     key = F.col(order).desc() if descending else F.col(order).asc()
+    rows = stored(rows, "summed")
+    if rows.count() <= WHOLE:
+        own = Window.partitionBy(*by).orderBy(key)
+        return rows.withColumns({new: F.sum(old).over(own) for new, old in sums.items()})
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     dealt = stored(rows.repartitionByRange(n, *by, key).withColumn("_part", F.spark_partition_id()), "ranges")
     totals = dealt.groupBy(*by, "_part").agg(*[F.sum(old).alias(f"_t{i}") for i, old in enumerate(sums.values())])
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -40,8 +48,15 @@ def running_sums(rows: DataFrame, by: list[str], order: str, sums: dict[str, str
 def percentiles(rows: DataFrame, by: list[str], column: str, shares: dict[str, float]) -> DataFrame:
     """(by, one column for each of ``shares``): exact percentiles, linear between ranks, of each group's values that aren't null.
 
-    Equal values are counted first; a rank's value is found by running counts.
+    Up to WHOLE distinct values in all, by an estimate, counts of equal values are merged in one aggregate. With more, equal values are
+    counted first, and a rank's value is found by running counts.
     """
+    value = F.col(column).cast("double")
+    found = rows.agg(F.approx_count_distinct(F.when(value.isNotNull(), F.xxhash64(*by, value))).alias("n")).first()
+    if found.n <= WHOLE:
+        every = F.percentile(value, F.array(*[F.lit(float(q)) for q in shares.values()]))
+        known = rows.filter(value.isNotNull()).groupBy(*by).agg(every.alias("_q"))
+        return known.select(*by, *[F.element_at("_q", i).alias(name) for i, name in enumerate(shares, 1)])
     counted = rows.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     run = running_sums(counted, by, "_v", {"_hi": "_c"})
     sizes = run.groupBy(*[F.col(c).alias(f"_n{i}") for i, c in enumerate(by)]).agg(F.max("_hi").alias("_n"))

@@ -130,9 +130,11 @@ def test_longest_common_subsequences():
     assert len(big) == len([x for x in range(20_000) if x % 7])
 
 
-def test_percentiles_and_running_sums(spark):
+@pytest.mark.parametrize("whole", [1_000_000, 0])
+def test_percentiles_and_running_sums(spark, monkeypatch, whole):
     import numpy as np
 
+    monkeypatch.setattr(ranges, "WHOLE", whole)
     rng = np.random.default_rng(2)
     values = [(g, float(rng.integers(0, 40))) for g in "abc" for _ in range(int(rng.integers(1, 200)))] + [("d", None), ("e", 7.0)]
     rows = spark.createDataFrame(values, "g string, v double")

@@ -259,11 +259,25 @@ def adjacent_groups(candidates: DataFrame, gap: int = 2) -> DataFrame:
 
 
 def overlap(left: str, right: str, least: int = 16) -> int:
-    """Characters that end ``left`` and begin ``right``, if at least ``least``."""
-    for n in range(min(len(left), len(right)), least - 1, -1):
-        if left.endswith(right[:n]):
-            return n
-    return 0
+    """Characters that end ``left`` and begin ``right``, if at least ``least``: the longest border, in one pass over both."""
+    longest = min(len(left), len(right))
+    if longest < least:
+        return 0
+    head, tail = right[:longest], left[len(left) - longest :]
+    border, k = [0] * longest, 0
+    for i in range(1, longest):  # of each beginning of ``head``, the longest proper end that begins it, too
+        while k and head[i] != head[k]:
+            k = border[k - 1]
+        k += head[i] == head[k]
+        border[i] = k
+    k = 0
+    for c in tail:
+        if k == longest:
+            k = border[k - 1]
+        while k and c != head[k]:
+            k = border[k - 1]
+        k += c == head[k]
+    return k if k >= least else 0
 
 
 def merged(rows: list[dict]) -> tuple[str, list[tuple[int, int, int]]]:
@@ -286,6 +300,29 @@ def merged(rows: list[dict]) -> tuple[str, list[tuple[int, int, int]]]:
     return text, ranges
 
 
+def merged_groups(grouped: DataFrame) -> DataFrame:
+    """(query_id, document_id, island, text, ranges): ``merged`` of every island of ``adjacent_groups``, whose chunks have a content.
+
+    An island has no more chunks than a query's candidates; they meet as an array in order of offset.
+    """
+    key = ["query_id", "document_id", "island"]
+    rows = grouped.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start_offset", "end_offset", "chunk_id", F.coalesce("content", F.lit("")).alias("content")))).alias("chunks"))
+    kind = grouped.schema["chunk_id"].dataType.simpleString()
+    out = rows.select(*key, F.lit("").alias("text"), F.array().cast(f"array<struct<chunk_id:{kind},start:int,end:int>>").alias("ranges")).schema
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        form = to_arrow_schema(out)
+        for batch in batches:
+            made = [merged(chunks) for chunks in batch.column(len(key)).to_pylist()]
+            texts = pa.array([t for t, _ in made], pa.string())
+            ranges = pa.array([[{"chunk_id": c, "start": x, "end": y} for c, x, y in r] for _, r in made], form.field("ranges").type)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(key)], texts, ranges], schema=form)
+
+    return rows.mapInArrow(merge, out)
+
+
 def cut(text: str, limit: int) -> str:
     """A prefix that ends at a line or a blank, if that keeps half of it."""
     if len(text) <= limit:

@@ -188,6 +188,19 @@ def adjacent_groups(spark: SparkSession, sf: str) -> DataFrame:
     return answering.adjacent_groups(c).select("query_id", "document_id", "chunk_id", "island")
 
 
+@_add("merged_contexts", "SELECT conv_id AS query_id, string_agg(text, ' ' ORDER BY turn) AS text, CAST(count(*) AS BIGINT) AS chunks FROM conversations GROUP BY 1")
+def merged_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of two turns of a conversation each, that overlap by one, merged back into the conversation."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    c = t.load(spark, sf, "conversations").select("conv_id", "turn", "text", F.lag("text").over(order).alias("before"), (F.sum(F.char_length("text") + 1).over(order) - 1).cast("int").alias("end_offset"))
+    content = F.concat_ws(" ", "before", "text")
+    c = c.select(F.col("conv_id").alias("query_id"), F.col("conv_id").alias("document_id"), F.col("turn").alias("chunk_id"), F.col("turn").alias("chunk_index"), F.col("turn").alias("rank"), content.alias("content"), (F.col("end_offset") - F.char_length(content)).alias("start_offset"), "end_offset")
+    made = answering.merged_groups(answering.adjacent_groups(c))
+    return made.select("query_id", "text", F.size("ranges").cast("long").alias("chunks"))
+
+
 @_add("build_context")
 def build_context(spark: SparkSession, sf: str) -> DataFrame:
     c = t.load(spark, sf, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("chunk_id"), F.col("turn").alias("rank"), F.col("text").alias("content"))

@@ -37,6 +37,7 @@ BITS = 32
 _LOW = (1 << 40) - 1
 _HALF = (1 << 20) - 1
 _LANE = (1 << BITS) - 1
+_HALF_LANE = 1 << (BITS - 1)
 _NO_ID = -(1 << 63)
 
 
@@ -62,26 +63,41 @@ def vectors(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFr
     made = sums.groupBy(*keys).agg(F.sum(F.when(F.col("_lane") < LANES, F.col("_n")).otherwise(F.lit(0))).alias("pairs"), F.sort_array(F.collect_list(F.struct("_lane", "_v"))).alias("_s"))
     half = lambda i: F.element_at("_s", -(len(own) - i))["_v"]
     dense = F.array(*[(F.shiftleft(half(2 * i).bitwiseAND(F.lit(_HALF)), 20) + half(2 * i + 1)).bitwiseAND(F.lit(_LOW)) for i in range(DENSE)])
-    none = F.array().cast("array<bigint>")
-    filled = lambda acc, to: F.concat(acc, F.array_repeat(F.lit(0).cast("long"), to - F.size(acc)))
-    wide = F.aggregate(F.filter("_s", lambda e: e["_lane"] < LANES), none, lambda acc, e: F.concat(filled(acc, e["_lane"]), F.array(e["_v"].bitwiseAND(F.lit(_LANE)))), lambda acc: filled(acc, F.lit(LANES)))
+    none = F.array().cast("array<int>")
+    filled = lambda acc, to: F.concat(acc, F.array_repeat(F.lit(0), to - F.size(acc)))
+    wide = F.aggregate(F.filter("_s", lambda e: e["_lane"] < LANES), none, lambda acc, e: F.concat(filled(acc, e["_lane"]), F.array(signed(e["_v"]))), lambda acc: filled(acc, F.lit(LANES)))
     return made.select(*keys, "pairs", F.element_at("_s", -1)["_v"].alias("paragraphs"), dense.alias("dense"), wide.alias("wide"))
 
 
+def signed(x: Column) -> Column:
+    """A number modulo 2^32, as an int."""
+    return ((x + F.lit(_HALF_LANE)).bitwiseAND(F.lit(_LANE)) - F.lit(_HALF_LANE)).cast("int")
+
+
+def compact(wide: Column) -> Column:
+    """Wide lanes on their way: as bytes if all of them fit, else as they are."""
+    small = F.forall(wide, lambda x: x.between(-128, 127))
+    return F.struct(F.when(small, wide.cast("array<tinyint>")).alias("small"), F.when(~small, wide).alias("large"))
+
+
+def plain(wide: Column) -> Column:
+    return F.coalesce(wide["small"].cast("array<int>"), wide["large"])
+
+
 def packed(pairs: Column, paragraphs: Column, dense: Column, wide: Column) -> Column:
     """The fingerprint string: counts, dense lanes and wide lanes in hexadecimal digits."""
     pad = lambda c, n: F.lpad(F.lower(F.hex(c)), n, "0")
-    return F.concat(pad(paragraphs, 8), pad(pairs, 8), F.array_join(F.transform(dense, lambda x: pad(x, 10)), ""), F.array_join(F.transform(wide, lambda x: pad(x, 8)), ""))
+    return F.concat(pad(paragraphs, 8), pad(pairs, 8), F.array_join(F.transform(dense, lambda x: pad(x, 10)), ""), F.array_join(F.transform(wide, lambda x: pad(x.cast("long").bitwiseAND(F.lit(_LANE)), 8)), ""))
 
 
 def add(a: Column, b: Column, sign: int = 1, bits: int = BITS) -> Column:
     """Lane-wise sum (or difference) of two arrays of lanes modulo 2^bits: insertion and deletion of paragraphs."""
-    return F.zip_with(a, b, lambda x, y: (x + (y if sign > 0 else -y)).bitwiseAND(F.lit((1 << bits) - 1)))
+    return F.zip_with(a.cast("array<long>"), b.cast("array<long>"), lambda x, y: (x + (y if sign > 0 else -y)).bitwiseAND(F.lit((1 << bits) - 1)))
 
 
 def projection(wide: Column) -> Column:
-    """The wide lanes as signed numbers."""
-    return F.transform(wide, lambda x: F.when(x >= 1 << (BITS - 1), x - (1 << BITS)).otherwise(x).cast("double"))
+    """The wide lanes as doubles."""
+    return wide.cast("array<double>")
 
 
 def dot(x: Column, y: Column) -> Column:
@@ -156,25 +172,26 @@ def edited_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     needs = base.groupBy("doc_id").agg((F.max(F.char_length("text")) / 2).cast("int").alias("need"))
     asked = after.join(needs.withColumnRenamed("doc_id", "_i"), F.col("doc_id") == F.col("_i")).select(F.col("next_id").alias("_n"), F.col("doc_id").alias("asker"), "need")
     # merge joins: else small texts would be broadcast, and the work done in the few tasks of a side of ids
-    prefixes = dealt.filter("least").hint("merge").join(asked, F.col("doc_id") == F.col("_n")).select("asker", F.substring(F.col("text"), F.lit(1), F.col("need")).alias("prefix"))
+    prefixes = dealt.filter("least").hint("merge").join(asked, F.col("doc_id") == F.col("_n")).select("asker", F.col("_n").alias("next_id"), F.substring(F.col("text"), F.lit(1), F.col("need")).alias("prefix"))
     both = dealt.hint("merge").join(prefixes, F.col("doc_id") == F.col("asker"))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("prefix"), F.lit(1), half))
-    rows = both.select("doc_id", "version", "copies", "least", n.cast("long").alias("n_chars"), "text", edited.alias("edited")).withColumn("edited_sha256", F.unhex(F.sha2("edited", 256)))
-    kinds = rows.select("doc_id", "version", "copies", "least", "n_chars", "edited_sha256", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("v"))
-    keys = ["doc_id", "version", "copies", "least", "n_chars", "edited_sha256", "kind"]
-    sums = vectors(kinds.select("doc_id", "version", "copies", "least", "n_chars", "edited_sha256", "v.kind", "v.text"), keys)
+    rows = both.select("doc_id", "next_id", "version", "copies", "least", n.cast("long").alias("n_chars"), "text", edited.alias("edited")).withColumn("edited_sha256", F.unhex(F.sha2("edited", 256)))
+    kinds = rows.select("doc_id", "next_id", "version", "copies", "least", "n_chars", "edited_sha256", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("v"))
+    keys = ["doc_id", "next_id", "version", "copies", "least", "n_chars", "edited_sha256", "kind"]
+    sums = vectors(kinds.select(*keys[:-1], "v.kind", "v.text"), keys)
+    sums = sums.withColumn("wide", compact(F.col("wide")))
     vector = ["pairs", "paragraphs", "dense", "wide"]
     # a text and its edited text lie in one partition, as the texts were dealt, and meet in one row
     side = lambda kind: F.first(F.when(F.col("kind") == kind, F.struct(*vector)), ignorenulls=True)
     made = stored(sums.groupBy(*keys[:-1]).agg(side(0).alias("own"), side(1).alias("changed")), "prints")
     follows = made.filter("least").select(F.col("doc_id").alias("_f"), F.col("own").alias("after"))
-    out = made.hint("merge").join(after.select(F.col("doc_id").alias("_a"), "next_id"), F.col("doc_id") == F.col("_a")).join(follows.hint("merge"), F.col("next_id") == F.col("_f"))
+    out = made.hint("merge").join(follows.hint("merge"), F.col("next_id") == F.col("_f"))
     sides = ("own", "changed", "after")
-    out = out.withColumns({f"{c}_v": projection(F.col(f"{c}.wide")) for c in sides}).withColumns({f"{c}_n": dot(F.col(f"{c}_v"), F.col(f"{c}_v")) for c in sides})
+    out = out.withColumns({f"{c}_v": projection(plain(F.col(f"{c}.wide"))) for c in sides}).withColumns({f"{c}_n": dot(F.col(f"{c}_v"), F.col(f"{c}_v")) for c in sides})
     if odd:
         out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    text = lambda c: packed(*[F.col(f"{c}.{x}") for x in vector])
+    text = lambda c: packed(F.col(f"{c}.pairs"), F.col(f"{c}.paragraphs"), F.col(f"{c}.dense"), plain(F.col(f"{c}.wide")))
     near = lambda c: likeness(F.col("own_v"), F.col("own_n"), F.col(f"{c}_v"), F.col(f"{c}_n"), F.col("own") == F.col(c))
     return out.select(F.nullif(F.col("doc_id"), F.lit(_NO_ID)).alias("doc_id"), "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), text("own").alias("fingerprint"), text("changed").alias("edited_fingerprint"), near("changed").alias("near_edited"), near("after").alias("near_next"))

@@ -147,3 +147,23 @@ def test_vector_cells_of_hot_and_no_rows(spark, monkeypatch):
     assert got == {(r.query_id, r.chunk_id, r.score) for r in search.vector_top_k(queries, chunks, 5).collect()}
     none = cells.create(chunks.limit(0), 2)
     assert cells.search(queries, none, 5).count() == 0 == cells.search(queries.limit(0), cells.create(chunks, 2), 5).count()
+
+
+def test_vector_search_holds_a_tile_of_scores_and_keeps_ties_by_id():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.integers(-2, 3, (n, 8)) + 0.25)
+    queries, x, ids = unit(700), unit(9000), rng.permutation(9000)
+    best = search._Best(queries, 7, 6)
+    tracemalloc.start()
+    for at in range(0, 9000, 3000):
+        best.add(ids[at : at + 3000], x[at : at + 3000])
+    query, chunk, score = best.found()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    s = np.round(queries @ x.T, 6)
+    want = [sorted(zip(-row, ids, strict=True))[:7] for row in s]
+    assert chunk.reshape(700, 7).tolist() == [[int(c) for _, c in w] for w in want]
+    assert np.allclose(score.reshape(700, 7), [[-v for v, _ in w] for w in want])
+    assert most < 3000 * 700 * 8

@@ -241,3 +241,15 @@ def test_claims_of_a_long_answer_take_time_in_proportion():
     found, told = answering.assigned(text)
     assert time.process_time() - began < 10
     assert len(found) == 20_000 and told == [(1, i) for i in range(20_000)]
+
+
+def test_a_citation_report_compares_claims_and_sentences_once(spark, monkeypatch):
+    from lectern.operators import answering
+
+    stored = []
+    monkeypatch.setattr(answering, "stored_copy", lambda df, label: stored.append(label) or df)
+    answers = spark.createDataFrame([(1, "The cat sat here [1]. No mark here at all.")], "answer_id long, text string")
+    sources = spark.createDataFrame([(1, 1, 9, 0, 20, "The cat sat here today.")], "answer_id long, number int, chunk_id long, start_offset int, end_offset int, content string")
+    row = answering.citation_report(answers, sources).first()
+    assert stored == ["marker-results"]
+    assert (row.markers, row.precision, row.recall, row.completeness) == (1, 1.0, 0.5, 0.5)

@@ -167,3 +167,10 @@ def test_vector_search_holds_a_tile_of_scores_and_keeps_ties_by_id():
     assert chunk.reshape(700, 7).tolist() == [[int(c) for _, c in w] for w in want]
     assert np.allclose(score.reshape(700, 7), [[-v for v, _ in w] for w in want])
     assert most < 3000 * 700 * 8
+
+
+def test_trigrams_are_no_rows(spark):
+    """Neither an aggregate nor a sort holds the trigrams of many texts in one task."""
+    rows = lambda name: spark.createDataFrame([(1, "some words"), (2, "others")], f"{name} long, text string")
+    plan = grams.similar(rows("query_id"), rows("chunk_id"))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Generate|Aggregate|Sort|Join", plan)

@@ -150,11 +150,11 @@ def document_frequencies(base: DataFrame) -> tuple[np.ndarray, int]:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n))], ["bucket", "n"])
 
-    table = base.select("text").mapInArrow(tokens.trimmed(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    n = int(table.loc[table["bucket"] == -1, "n"].sum())
+    table = base.select("text").mapInArrow(tokens.trimmed(run), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    bucket, count = (table[c].to_numpy() for c in ("bucket", "n"))  # columns, for as rows they would take the driver a hundred MB
+    n = int(count[bucket == -1].sum())
     df = np.zeros(DF_BUCKETS)
-    known = table[table["bucket"] >= 0]
-    df[known["bucket"].to_numpy()] = known["n"].to_numpy()
+    df[bucket[bucket >= 0]] = count[bucket >= 0]
     return (1 + np.log((n + 1) / (df + 1)) / np.log(n + 2)).astype(np.float32), n
 
 

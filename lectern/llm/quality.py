@@ -209,8 +209,8 @@ def train(stats: DataFrame, labels: DataFrame, label_col: str, allowed: Column,
     """Fit on at most ``max_rows`` labelled rows for which ``allowed``, of column doc_id, holds: those of least hashed id."""
     names = [f"_f{i}" for i in range(len(FEATURES))]
     known = labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_l")).agg(F.round(F.avg(label_col)).alias("_y"))
-    rows = stats.filter(allowed).join(known, F.col("doc_id") == F.col("_l")).orderBy(F.xxhash64("doc_id"), *names).select("_y", *names).limit(max_rows).toPandas()
-    return fit(rows[names].to_numpy(), rows["_y"].to_numpy())
+    rows = stats.filter(allowed).join(known, F.col("doc_id") == F.col("_l")).orderBy(F.xxhash64("doc_id"), *names).select("_y", *names).limit(max_rows).toArrow()
+    return fit(np.column_stack([rows[c].to_numpy() for c in names]), rows["_y"].to_numpy())
 
 
 def score(docs: DataFrame, labels: DataFrame, allowed: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -613,3 +613,20 @@ def test_a_long_labelled_text_is_passed_over(spark):
     model = toxicity.train(docs, labels, "toxic", F.lit(True), max_words=2000)
     whole = toxicity.train(docs.filter(F.col("doc_id") != first), labels, "toxic", F.lit(True), max_words=2000)
     assert np.abs(model.weights).sum() > 0 and np.allclose(model.weights, whole.weights)
+
+
+def test_what_the_driver_takes_of_frequencies_and_samples_are_columns(spark, monkeypatch):
+    """Rows of Python objects would take it a hundred MB."""
+    from pyspark.sql import DataFrame
+
+    from lectern.llm import neardup, quality
+
+    def refused(self):
+        raise AssertionError("rows in the driver")
+
+    monkeypatch.setattr(DataFrame, "toPandas", refused)
+    docs = spark.createDataFrame([(i, f"w{i} common words") for i in range(30)] + [(30, None)], "doc_id long, text string")
+    idf, n = neardup.document_frequencies(docs)
+    assert n == 31 and (idf < idf.max()).sum() == 32
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) quality")
+    assert isinstance(quality.train(quality.statistics(docs), labels, "quality", F.col("doc_id") >= 0), quality.Rules)

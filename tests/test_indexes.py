@@ -174,3 +174,10 @@ def test_trigrams_are_no_rows(spark):
     rows = lambda name: spark.createDataFrame([(1, "some words"), (2, "others")], f"{name} long, text string")
     plan = grams.similar(rows("query_id"), rows("chunk_id"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"Generate|Aggregate|Sort|Join", plan)
+
+
+def test_a_block_of_postings_holds_narrow_numbers():
+    block = postings._Block(["text"])
+    block.add(1, ["some words and words", "some words and words"])
+    assert {a.dtype for a in block.parts[0]} == {np.dtype(np.int32)}
+    assert block.rows(0).num_rows

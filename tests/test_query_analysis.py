@@ -1,7 +1,9 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lectern.operators import providers, query_analysis as qa
 from lectern.operators import sync
@@ -54,3 +56,19 @@ def test_marking_duplicates_keeps_rows(spark):
     rows = spark.createDataFrame([(1, "active", None), (2, "active", None)], "external_id long, status string, deleted_at timestamp_ntz")
     got = {r.external_id: r.status for r in sync.mark_duplicates(rows, spark.createDataFrame([(2,)], "external_id long"), "2024-01-01").collect()}
     assert got == {1: "active", 2: "duplicate"}
+
+
+@pytest.mark.parametrize("batch_rows", [32, 100, 300])
+def test_embedding_holds_few_rows_of_a_batch(batch_rows):
+    class Rows:
+        columns = ["id", "text"]
+        schema = StructType([StructField("id", LongType()), StructField("text", StringType())])
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    made = list(providers.embed(Rows(), 8, batch_rows=batch_rows)(iter([pa.record_batch({"id": range(1000), "text": [f"t{i}" for i in range(1000)]})])))
+    assert max(b.num_rows for b in made) <= max(256, batch_rows)
+    whole = pa.Table.from_batches(made)
+    assert whole["id"].to_pylist() == list(range(1000))
+    assert whole["embedding"].to_pylist()[777] == pa.array(providers.hash_vector("t777", 8), pa.float32()).to_pylist()
